@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import charts, ops, text
+
+QUERIES = ops.QUERIES | text.QUERIES | charts.QUERIES
+ORACLES = ops.ORACLES | text.ORACLES | charts.ORACLES
