@@ -7,7 +7,7 @@ score is the mean natural log over its words.
 ``score`` is the plain relational form for any two tables: exploded bigrams join the count tables.
 ``score_self`` scores a corpus by its own counts. There every pair has been seen, so the log of a document is a
 sum over single n-grams: log count(pair) minus log count(previous). Each n-gram crosses the network once, as
-8 bytes inside an array by hash bucket; a bucket counts its n-grams and returns one sum for each document.
+8 bytes in a block of its hash bucket; a bucket counts its n-grams and returns one sum for each document.
 N-grams with more than 1 / HEAVY of all tokens (so at most HEAVY of each order) are counted first and looked
 up before the shuffle; so no n-gram is hot in any bucket.
 
@@ -30,7 +30,9 @@ from tessera.io import cut_lineage
 
 ALPHA, BEGIN = 0.4, b"\x02"
 #: At most so many n-grams of an order are looked up before the shuffle; n-grams in one bucket.
-HEAVY, PER_BUCKET, COMMON = 50_000, 1_500_000, 1000
+HEAVY, PER_BUCKET, COMMON = 50_000, 6_000_000, 1000
+#: Bytes of text split into words at a time, and words whose hash a worker keeps.
+SLICE, CACHE, NONE = 1 << 21, 200_000, -(1 << 63)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -38,7 +40,7 @@ class _Hashes(dict):
     """Word to 64-bit hash; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= CACHE:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -47,9 +49,19 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a batch, begin marks included, and the row of each."""
-    each = [([BEGIN] + w) if (w := t.split()) else [] for t in pc.cast(texts, pa.large_binary()).fill_null(b"").to_pylist()]
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Ids (null as the least long) and texts of a batch, a few rows at a time."""
+    ids = batch.column(0).fill_null(NONE).to_numpy()
+    data = pc.cast(batch.column(1), pa.large_binary()).fill_null(b"")
+    part = np.cumsum(pc.binary_length(data).to_numpy(zero_copy_only=False)) // SLICE
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, z in zip(first, np.append(first[1:], len(part)), strict=True):
+        yield ids[a:z], data.slice(a, z - a).to_pylist()
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, begin marks included, and the row of each."""
+    each = [([BEGIN] + w) if (w := t.split()) else [] for t in texts]
     sizes = np.fromiter(map(len, each), np.int64, len(each))
     flat = np.fromiter((_HASHES[w] for ws in each for w in ws), np.uint64, int(sizes.sum()))
     return flat, np.repeat(np.arange(len(each)), sizes)
@@ -64,7 +76,8 @@ def _pairs(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _counted(batches: Iterator[pa.RecordBatch], pick) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, n = np.unique(pick(*_words(b.column(1))), return_counts=True)
+        found = [pick(*_words(texts)) for _, texts in _slices(b)]
+        keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["h", "n"])
 
 
@@ -112,49 +125,53 @@ def score_self(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     shared = spark.sparkContext.broadcast((hashes, counts, pair_hashes, pair_numbers))  # at most 2 * HEAVY pairs of numbers
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // PER_BUCKET)
 
+    names = ["bucket", "sign", "ids", "counts", "items"]
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, n1, h2, n2 = shared.value
         one, two = _Known(h1, n1), _Known(h2, n2)
         for b in batches:
-            ids = b.column(0)
-            h, row = _words(b.column(1))
-            pairs, starts = _pairs(h, row)
-            base, out = np.zeros(len(ids)), []
-            for items, rows, known, sign in ((pairs, row[starts], two, 1), (h[starts], row[starts], one, -1)):
-                hit, logs = known.find(items)
-                base += sign * np.bincount(rows, logs, len(ids))
-                items, rows = items[~hit], rows[~hit]
-                key = (items >> np.uint64(17)).astype(np.int64) % buckets * len(ids) + rows
-                order = np.argsort(key, kind="stable")
-                key, items = key[order], items[order]
-                first = np.flatnonzero(np.diff(key, prepend=-1)) if len(key) else np.zeros(0, np.int64)
-                lists = pa.LargeListArray.from_arrays(pa.array(np.append(first, len(items)), pa.int64()), pa.array(items.view(np.int64)))
-                where = key[first]
-                out.append((where // max(1, len(ids)), where % max(1, len(ids)), np.full(len(where), sign), lists, np.zeros(len(where)), np.zeros(len(where), np.int64)))
-            none = pa.LargeListArray.from_arrays(pa.array(np.zeros(len(ids) + 1, np.int64)), pa.array(np.zeros(0, np.int64)))
-            n = np.bincount(row[starts], minlength=len(ids)) if len(ids) else np.zeros(0, np.int64)
-            out.append((np.arange(len(ids)) % buckets, np.arange(len(ids)), np.zeros(len(ids), np.int64), none, base, n))
-            for bucket, r, sign, lists, value, words in out:
-                arrays = [pa.array(bucket.astype(np.int32)), ids.take(pa.array(r)), pa.array(sign.astype(np.int32)), lists.cast(pa.list_(pa.int64())), pa.array(value), pa.array(words.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "id_", "sign", "items", "base", "n"])
+            for ids, texts in _slices(b):
+                h, row = _words(texts)
+                pairs, starts = _pairs(h, row)
+                base, out = np.zeros(len(ids)), []
+                for items, rows, known, sign in ((pairs, row[starts], two, 1), (h[starts], row[starts], one, -1)):
+                    hit, logs = known.find(items)
+                    base += sign * np.bincount(rows, logs, len(ids))
+                    items, rows = items[~hit], rows[~hit]
+                    key = (items >> np.uint64(17)).astype(np.int64) % buckets * len(ids) + rows
+                    order = np.argsort(key, kind="stable")
+                    key, items = key[order], items[order]
+                    first = np.flatnonzero(np.diff(key, prepend=-1))
+                    counts, where = np.diff(np.append(first, len(key))), key[first]
+                    cut = np.flatnonzero(np.diff(where // len(ids), prepend=-1))
+                    for i, j in zip(cut, np.append(cut[1:], len(where)), strict=True):
+                        stop = first[j] if j < len(first) else len(items)
+                        out.append((where[i] // len(ids), sign, ids[where[i:j] % len(ids)].tobytes(), counts[i:j].astype("<i4").tobytes(), items[first[i] : stop].tobytes()))
+                n = np.bincount(row[starts], minlength=len(ids))
+                out.append((int(ids[0]) % buckets, 0, ids.tobytes(), n.astype("<i4").tobytes(), base.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
 
     def count(part: pa.Table) -> pa.Table:
-        part = part.combine_chunks()
-        items = part["items"].combine_chunks()
-        sizes = pc.list_value_length(items).to_numpy(zero_copy_only=False)
-        flat = items.flatten().to_numpy()
-        sign = np.repeat(part["sign"].to_numpy(), sizes)
-        code = part["id_"].combine_chunks().dictionary_encode(null_encoding="encode")
-        who = code.indices.to_numpy()
-        sums = np.bincount(who, part["base"].to_numpy(), len(code.dictionary))
-        for s in (1, -1):
-            mine = sign == s
-            _, place, n = np.unique(flat[mine], return_inverse=True, return_counts=True)
-            sums += s * np.bincount(np.repeat(who, sizes)[mine], np.log(n)[place] if len(n) else None, len(code.dictionary))
-        words = np.bincount(who, part["n"].to_numpy(), len(code.dictionary)).astype(np.int64)
-        return pa.table({"id_": code.dictionary, "logs": sums, "n": words})
+        sign = part["sign"].to_numpy()
+
+        def column(name: str, kind: str, keep: np.ndarray) -> np.ndarray:
+            return np.frombuffer(b"".join(part[name].filter(pa.array(keep)).to_pylist()), kind)
 
-    dealt = docs.mapInArrow(deal, "bucket int, id_ long, sign int, items array<long>, base double, n long")
+        every = column("ids", "<i8", sign == sign)
+        who = np.unique(every)
+        sums, words = np.zeros(len(who)), np.zeros(len(who), np.int64)
+        for s in (1, -1):
+            place = np.repeat(np.searchsorted(who, column("ids", "<i8", sign == s)), column("counts", "<i4", sign == s))
+            _, item, n = np.unique(column("items", "<u8", sign == s), return_inverse=True, return_counts=True)
+            if len(n):
+                sums += s * np.bincount(place, np.log(n)[item], len(who))
+        place = np.searchsorted(who, column("ids", "<i8", sign == 0))
+        np.add.at(sums, place, column("items", "<f8", sign == 0))
+        np.add.at(words, place, column("counts", "<i4", sign == 0))
+        return pa.table({"id_": pa.array(who, mask=who == NONE), "logs": sums, "n": words})
+
+    dealt = docs.mapInArrow(deal, "bucket int, sign int, ids binary, counts binary, items binary")
     sums = dealt.groupBy("bucket").applyInArrow(count, "id_ long, logs double, n long")
     return sums.groupBy("id_").agg(F.sum("n").alias("n_words"), F.sum("logs").alias("logs")).select(
         F.col("id_").alias(id_col), "n_words", F.when(F.col("n_words") > 0, F.col("logs") / F.col("n_words")).alias("score")
