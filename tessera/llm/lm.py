@@ -7,7 +7,8 @@ score is the mean natural log over its words.
 ``score`` is the plain relational form for any two tables: exploded bigrams join the count tables.
 ``score_self`` scores a corpus by its own counts. There every pair has been seen, so the log of a document is a
 sum over single n-grams: log count(pair) minus log count(previous). Each n-gram crosses the network once, as
-8 bytes in a block of its hash bucket; a bucket counts its n-grams and returns one sum for each document.
+8 bytes in a block of its hash bucket; a bucket counts its n-grams and returns, for each
+slice of documents, a block of sums.
 N-grams with more than 1 / HEAVY of all tokens (so at most HEAVY of each order) are counted first and looked
 up before the shuffle; so no n-gram is hot in any bucket.
 
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -125,13 +127,16 @@ def score_self(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     shared = spark.sparkContext.broadcast((hashes, counts, pair_hashes, pair_numbers))  # at most 2 * HEAVY pairs of numbers
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // PER_BUCKET)
 
-    names = ["bucket", "sign", "ids", "counts", "items"]
+    names = ["bucket", "slice", "sign", "places", "counts", "items"]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, n1, h2, n2 = shared.value
         one, two = _Known(h1, n1), _Known(h2, n2)
+        number = TaskContext.get().partitionId() << 32  # the same again if a task is run again
         for b in batches:
             for ids, texts in _slices(b):
+                number += 1
                 h, row = _words(texts)
                 pairs, starts = _pairs(h, row)
                 base, out = np.zeros(len(ids)), []
@@ -147,32 +152,41 @@ def score_self(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
                     cut = np.flatnonzero(np.diff(where // len(ids), prepend=-1))
                     for i, j in zip(cut, np.append(cut[1:], len(where)), strict=True):
                         stop = first[j] if j < len(first) else len(items)
-                        out.append((where[i] // len(ids), sign, ids[where[i:j] % len(ids)].tobytes(), counts[i:j].astype("<i4").tobytes(), items[first[i] : stop].tobytes()))
+                        out.append((where[i] // len(ids), number, sign, (where[i:j] % len(ids)).astype("<i4").tobytes(), counts[i:j].astype("<i4").tobytes(), items[first[i] : stop].tobytes()))
                 n = np.bincount(row[starts], minlength=len(ids))
-                out.append((int(ids[0]) % buckets, 0, ids.tobytes(), n.astype("<i4").tobytes(), base.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
+                out.append((number % buckets, number, 0, ids.astype("<i8").tobytes(), n.astype("<i4").tobytes(), base.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     def count(part: pa.Table) -> pa.Table:
-        sign = part["sign"].to_numpy()
-
-        def column(name: str, kind: str, keep: np.ndarray) -> np.ndarray:
-            return np.frombuffer(b"".join(part[name].filter(pa.array(keep)).to_pylist()), kind)
-
-        every = column("ids", "<i8", sign == sign)
-        who = np.unique(every)
-        sums, words = np.zeros(len(who)), np.zeros(len(who), np.int64)
+        """Counts the n-grams of a bucket; every block gives one log for each of its documents."""
+        sign, blocks = part["sign"].to_numpy(), part.select(["places", "counts", "items"]).to_pydict()
+        sums: list[bytes] = list(blocks["items"])
         for s in (1, -1):
-            place = np.repeat(np.searchsorted(who, column("ids", "<i8", sign == s)), column("counts", "<i4", sign == s))
-            _, item, n = np.unique(column("items", "<u8", sign == s), return_inverse=True, return_counts=True)
-            if len(n):
-                sums += s * np.bincount(place, np.log(n)[item], len(who))
-        place = np.searchsorted(who, column("ids", "<i8", sign == 0))
-        np.add.at(sums, place, column("items", "<f8", sign == 0))
-        np.add.at(words, place, column("counts", "<i4", sign == 0))
-        return pa.table({"id_": pa.array(who, mask=who == NONE), "logs": sums, "n": words})
-
-    dealt = docs.mapInArrow(deal, "bucket int, sign int, ids binary, counts binary, items binary")
-    sums = dealt.groupBy("bucket").applyInArrow(count, "id_ long, logs double, n long")
+            rows = np.flatnonzero(sign == s)
+            if not len(rows):
+                continue
+            _, item, n = np.unique(np.frombuffer(b"".join(blocks["items"][i] for i in rows), "<u8"), return_inverse=True, return_counts=True)
+            logs, at = s * np.log(n)[item], 0
+            for i in rows:
+                size = np.frombuffer(blocks["counts"][i], "<i4")
+                ends = np.cumsum(size)
+                sums[i] = np.add.reduceat(logs[at : at + ends[-1]], ends - size).astype("<f8").tobytes()
+                at += ends[-1]
+        return pa.table({"slice": part["slice"], "sign": part["sign"], "places": part["places"], "counts": part["counts"], "sums": pa.array(sums, pa.binary())})
+
+    def total_up(part: pa.Table) -> pa.Table:
+        """Adds the logs of a slice of documents over all buckets."""
+        rows = part.to_pylist()
+        whole = next(r for r in rows if r["sign"] == 0)
+        ids, n, logs = np.frombuffer(whole["places"], "<i8"), np.frombuffer(whole["counts"], "<i4"), np.frombuffer(whole["sums"], "<f8").copy()
+        for r in rows:
+            if r["sign"]:  # the places of a block are distinct
+                logs[np.frombuffer(r["places"], "<i4")] += np.frombuffer(r["sums"], "<f8")
+        return pa.table({"id_": pa.array(ids, mask=ids == NONE), "logs": logs, "n": n.astype(np.int64)})
+
+    dealt = docs.mapInArrow(deal, "bucket int, slice long, sign int, places binary, counts binary, items binary")
+    counted = dealt.groupBy("bucket").applyInArrow(count, "slice long, sign int, places binary, counts binary, sums binary")
+    sums = counted.groupBy("slice").applyInArrow(total_up, "id_ long, logs double, n long")
     return sums.groupBy("id_").agg(F.sum("n").alias("n_words"), F.sum("logs").alias("logs")).select(
         F.col("id_").alias(id_col), "n_words", F.when(F.col("n_words") > 0, F.col("logs") / F.col("n_words")).alias("score")
     )
