@@ -54,6 +54,8 @@ _HASHES = _Hashes()
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Ids (null as the least long) and texts of a batch, a few rows at a time."""
     ids = batch.column(0).fill_null(NONE).to_numpy()
+    if not batch.num_rows:
+        return
     data = pc.cast(batch.column(1), pa.large_binary()).fill_null(b"")
     part = np.cumsum(pc.binary_length(data).to_numpy(zero_copy_only=False)) // SLICE
     first = np.flatnonzero(np.diff(part, prepend=-1))
@@ -144,6 +146,8 @@ def score_self(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
                     hit, logs = known.find(items)
                     base += sign * np.bincount(rows, logs, len(ids))
                     items, rows = items[~hit], rows[~hit]
+                    if not len(items):
+                        continue
                     key = (items >> np.uint64(17)).astype(np.int64) % buckets * len(ids) + rows
                     order = np.argsort(key, kind="stable")
                     key, items = key[order], items[order]
