@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.io import cut_lineage
@@ -109,13 +109,11 @@ class _Known:
 def score_self(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_words, score) of every document under the counts of all documents."""
     docs = df.select(F.col(id_col).cast("long").alias("id_"), F.col(text).alias("text_"))
-    seen = Observation()
-    words = docs.mapInArrow(lambda it: _counted(it, lambda h, row: h[_pairs(h, row)[1]]), "h long, n long").observe(seen, F.sum("n").alias("n")).groupBy("h").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "h").limit(HEAVY).toPandas()  # at most HEAVY rows of two numbers
-    total = seen.get["n"] or 0
-    top = top[top["n"] > total / HEAVY]
-    hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    common = np.sort(hashes[:COMMON])
+    words = docs.mapInArrow(lambda it: _counted(it, lambda h, row: h[_pairs(h, row)[1]]), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    words = cut_lineage(words)  # two numbers for each distinct word; counted once, read for the total and for the heavy ones
+    total = words.agg(F.sum("n")).first()[0] or 0
+    hashes, counts = _heavy(words, total, HEAVY)
+    common = np.sort(hashes[np.argsort(-counts, kind="stable")[:COMMON]])
 
     def common_pairs(h: np.ndarray, row: np.ndarray) -> np.ndarray:
         # a pair is at most as frequent as its rarer word, so other pairs have under 1 / COMMON of the tokens
