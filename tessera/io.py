@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +18,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     A folder of its own is set only where the session has none (local tests).
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names (a temporary one where nothing is set)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"

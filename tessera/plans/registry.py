@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import audit, charts, ops, text
+from tessera.plans import audit, charts, ops, streams, text
 
-QUERIES = ops.QUERIES | text.QUERIES | charts.QUERIES | audit.QUERIES
-ORACLES = ops.ORACLES | text.ORACLES | charts.ORACLES | audit.ORACLES
+QUERIES = ops.QUERIES | text.QUERIES | charts.QUERIES | audit.QUERIES | streams.QUERIES
+ORACLES = ops.ORACLES | text.ORACLES | charts.ORACLES | audit.ORACLES | streams.ORACLES
