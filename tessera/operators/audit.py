@@ -188,3 +188,26 @@ def best_deliverable(rows: DataFrame, key: str, rank: list[Column]) -> DataFrame
     names = [f"r{i}" for i in range(len(rank))]
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max(F.struct(*[c.alias(n) for c, n in zip(rank, names, strict=True)], *rest)).alias("s")).select(key, *[f"s.{c}" for c in rest])
+
+
+def spec_provenance(rows: DataFrame, texts: DataFrame, key: str, least: int = 2) -> DataFrame:
+    """Rows (key, label, value) whose value, as a whole number without sign, occurs in the blank-free text of the key; keys keep ``least`` rows or none."""
+    plain = texts.select(key, F.regexp_replace("text", r"[ \t\n\r]+", "").alias("plain"))
+    form = F.abs("value").cast("long").cast("string")
+    kept = rows.join(plain, key).where(F.col("plain").contains(form)).select(key, "label", "value")
+    enough = kept.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key)
+    return kept.join(enough, key, "left_semi")
+
+
+def schedule_calendar(jobs: DataFrame, end: Column) -> DataFrame:
+    """(job_id, due): every interval of minutes from the start to the end, the start itself being only a baseline."""
+    step = F.make_dt_interval(mins=F.col("minutes"))
+    due = F.filter(F.sequence("start", F.greatest(end, F.col("start")), step), lambda t: t > F.col("start"))
+    return jobs.select("job_id", F.explode(due).alias("due"))
+
+
+def loose_json(text: Column) -> Column:
+    """The JSON text in a fence or from the first to the last brace, null when it does not parse."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    braces = F.regexp_extract(F.when(fenced != "", fenced).otherwise(text), r"(?s)(\{.*\}|\[.*\])", 1)
+    return F.when(F.try_parse_json(braces).isNotNull(), braces)

@@ -105,4 +105,8 @@ P.add("capability_intersect", lambda r: r("conversations").groupBy("conv_id").ag
 P.add("spec_merge_by_title", lambda r: (lambda p: p.where("p_size <= 25").select("p_partkey", "p_name").unionByName(p.where("p_size > 25").join(p.where("p_size <= 25").select("p_name").distinct(), "p_name", "left_anti").select("p_partkey", "p_name")))(r("part")), "SELECT p_partkey, p_name FROM part WHERE p_size <= 25 OR p_name NOT IN (SELECT p_name FROM part WHERE p_size <= 25)")
 P.add("rejected_source_anti", lambda r: (lambda p: p.select("page_id", "host").join(p.where(F.col("url").rlike("ref=")).select("host").distinct(), "host", "left_anti"))(r("pages").select("page_id", "url", host_of(F.col("url")).alias("host"))), f"WITH p AS (SELECT page_id, url, {HOST} AS host FROM pages) SELECT page_id, host FROM p WHERE host NOT IN (SELECT host FROM p WHERE contains(url, 'ref='))")
 
+P.add("spec_provenance", lambda r: A.spec_provenance(r("lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("label"), F.col("l_quantity").alias("value")), r("orders").select(F.col("o_orderkey").alias("task"), F.concat_ws(" ", F.col("o_totalprice").cast("decimal(18,2)"), "o_orderpriority").alias("text")), "task"), "WITH k AS (SELECT l_orderkey AS task, l_linenumber AS label, l_quantity AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE contains(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || o_orderpriority, CAST(CAST(abs(l_quantity) AS BIGINT) AS VARCHAR))) SELECT * FROM k WHERE task IN (SELECT task FROM k GROUP BY task HAVING count(*) >= 2)")
+P.add("schedule_calendar", lambda r: A.schedule_calendar(r("orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("start"), (F.col("o_orderkey") % 7 * 60 + 60).cast("int").alias("minutes")), F.col("start") + F.expr("interval 6 hours")), "SELECT o_orderkey AS job_id, o_orderdate + i * (o_orderkey % 7 * 60 + 60) * INTERVAL 1 MINUTE AS due FROM (SELECT *, unnest(generate_series(1, 6)) AS i FROM orders) WHERE i * (o_orderkey % 7 * 60 + 60) <= 360")
+P.add("loose_json", lambda r: r("events").select("event_id", A.loose_json(F.concat(F.lit("note: ```json "), F.col("props"), F.lit(" ``` end"))).alias("found")), "SELECT event_id, props AS found FROM events")
+
 QUERIES, ORACLES = P.queries, P.oracles
