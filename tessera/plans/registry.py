@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import audit, charts, facts, ops, streams, text
+from tessera.plans import audit, charts, facts, ops, sources, streams, text
 
-QUERIES = ops.QUERIES | text.QUERIES | charts.QUERIES | audit.QUERIES | facts.QUERIES | streams.QUERIES
-ORACLES = ops.ORACLES | text.ORACLES | charts.ORACLES | audit.ORACLES | facts.ORACLES | streams.ORACLES
+QUERIES = ops.QUERIES | text.QUERIES | charts.QUERIES | audit.QUERIES | facts.QUERIES | sources.QUERIES | streams.QUERIES
+ORACLES = ops.ORACLES | text.ORACLES | charts.ORACLES | audit.ORACLES | facts.ORACLES | sources.ORACLES | streams.ORACLES

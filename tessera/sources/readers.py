@@ -1,4 +1,7 @@
-"""Readers of staged files; bad records become nulls or are dropped, never a failed job."""
+"""Readers of staged files; bad records become nulls or are dropped, never a failed job.
+
+A source is a path, or a DataFrame that holds the files as rows already: (file, value) for texts, (path, content) for bytes.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +16,10 @@ XBRL = "map<string,struct<units:map<string,array<struct<form:string,start:string
 RANKING = "struct<data:struct<diff:array<struct<f2:string,f3:string,f5:string,f6:string,f8:string,f12:string,f14:string,f20:string>>>>"
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
+def _whole(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(file, value): every file as one text."""
+    if isinstance(path, DataFrame):
+        return path.select("file", "value")
     return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
 
 
@@ -22,13 +27,13 @@ def _num(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).try_cast("double")
 
 
-def read_search_docs(spark: SparkSession, path: str) -> DataFrame:
+def read_search_docs(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(file, pos, title, url, snippet) from files that hold a JSON array; an unreadable file has no rows."""
     rows = F.from_json("value", "array<struct<title:string,url:string,snippet:string>>")
     return _whole(spark, path).select("file", F.posexplode(rows).alias("pos", "d")).select("file", "pos", "d.*")
 
 
-def read_structured_frame(spark: SparkSession, path: str, row: str) -> DataFrame:
+def read_structured_frame(spark: SparkSession, path: str | DataFrame, row: str) -> DataFrame:
     """Rows of a JSON envelope: the first non-empty array of data.rows, data.items, data.points, else the array itself."""
     inner = F.from_json("value", f"struct<data:struct<rows:array<{row}>,items:array<{row}>,points:array<{row}>>>")
     full = lambda a: F.when(F.size(a) > 0, a)
@@ -37,7 +42,7 @@ def read_structured_frame(spark: SparkSession, path: str, row: str) -> DataFrame
     return files.select("file", F.explode(rows).alias("r")).select("file", "r.*")
 
 
-def read_ranking_snapshot(spark: SparkSession, path: str) -> DataFrame:
+def read_ranking_snapshot(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """The eleven ranking columns from a vendor snapshot; hands and yuan are scaled to ten thousand hands and hundred millions."""
     rows = _whole(spark, path).select("file", F.posexplode(F.from_json("value", RANKING)["data"]["diff"]).alias("pos", "d")).select("file", "pos", "d.*")
     scaled = lambda c, by: F.round(_num(c) / by, 2)
@@ -47,14 +52,15 @@ def read_ranking_snapshot(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def decoded(spark: SparkSession, path: str, charsets: list[str]) -> DataFrame:
+def decoded(spark: SparkSession, path: str | DataFrame, charsets: list[str]) -> DataFrame:
     """(file, value): each file's bytes in the first charset that fits; latin-1 always does."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"file": part["path"], "value": [_decode(bytes(b), charsets) for b in part["content"]]})
+            yield pd.DataFrame({"file": part["path"], "value": [None if b is None else _decode(bytes(b), charsets) for b in part["content"]]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, value string")
+    files = path if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path)
+    return files.select("path", "content").mapInPandas(run, "file string, value string")
 
 
 def _decode(data: bytes, charsets: list[str]) -> str:
@@ -66,12 +72,13 @@ def _decode(data: bytes, charsets: list[str]) -> str:
     return data.decode("latin-1")
 
 
-def files_to_text(spark: SparkSession, path: str, chars: int = 30_000) -> DataFrame:
-    """Text files of unknown charset; the text is cut at the length the report form allows."""
-    return decoded(spark, path, ["utf-8-sig", "gb18030"]).select("file", F.substring("value", 1, chars).alias("text"))
+def files_to_text(spark: SparkSession, path: str | DataFrame, chars: int | None = 30_000) -> DataFrame:
+    """Text files of unknown charset; the text is cut at the length the report form allows (None: whole)."""
+    text = F.col("value") if chars is None else F.substring("value", 1, chars)
+    return decoded(spark, path, ["utf-8-sig", "gb18030"]).select("file", text.alias("text"))
 
 
-def read_quote_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_quote_lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Quotes from lines v_<code>="a~b~..."; lines with under 39 fields are dropped."""
     lines = decoded(spark, path, ["gbk"]).select(F.explode(F.regexp_extract_all("value", F.lit(r'(v_\w+="[^"]*)'), 1)).alias("line"))
     rows = lines.select(F.regexp_extract("line", r"^v_[a-z]*(\w+)=", 1).alias("code"), F.split(F.regexp_extract("line", r'="(.*)$', 1), "~").alias("f")).where(F.size("f") >= 39)
@@ -82,7 +89,7 @@ def read_quote_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_xbrl_facts(spark: SparkSession, path: str) -> DataFrame:
+def read_xbrl_facts(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(file, tag, year, val): annual filings only; flows span 330 to 390 days; the last in file order wins."""
     tags = _whole(spark, path).select("file", F.explode(F.from_json("value", XBRL)).alias("tag", "fact"))
     rows = tags.select("file", "tag", F.posexplode(F.col("fact.units")["USD"]).alias("pos", "u")).select("file", "tag", "pos", "u.*")
@@ -93,7 +100,7 @@ def read_xbrl_facts(spark: SparkSession, path: str) -> DataFrame:
     return kept.groupBy("file", "tag", F.year("d1").alias("year")).agg(F.max_by("val", "pos").alias("val"))
 
 
-def read_coin_quotes(spark: SparkSession, path: str) -> DataFrame:
+def read_coin_quotes(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     quotes = _whole(spark, path).select(F.explode(F.from_json("value", f"map<string,{QUOTE}>")).alias("id", "q"))
     return quotes.select("id", F.col("q.usd").alias("price"), F.col("q.usd_market_cap").alias("market_cap"), F.col("q.usd_24h_vol").alias("volume_24h"), F.col("q.usd_24h_change").alias("change_24h"))
 
@@ -105,7 +112,7 @@ def read_macro_csv(spark: SparkSession, path: str, series: str, newest: int = 24
     return rows.where("date <> '' and value is not null").withColumn("back", F.row_number().over(order)).where(F.col("back") <= newest).drop("back")
 
 
-def read_news_rss(spark: SparkSession, path: str, each: int = 20) -> DataFrame:
+def read_news_rss(spark: SparkSession, path: str | DataFrame, each: int = 20) -> DataFrame:
     """(file, pos, title, link, published): items without title and link are dropped; the first ones of each feed stay."""
     items = _whole(spark, path).select("file", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<item>(.*?)</item>"), 1)).alias("pos", "item"))
     field = lambda tag: F.trim(F.regexp_replace(F.regexp_extract("item", rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1), r"^<!\[CDATA\[|\]\]>$", ""))
@@ -119,6 +126,48 @@ def read_acl_refs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path).where("trim(kb_id) <> ''").select(F.trim("kb_id").alias("kb_id"), F.explode(ids).alias("position_id"))
 
 
-def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
+def read_eval_cases(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(file, id, goal) from JSON files with a list of cases."""
     return _whole(spark, path).select("file", F.inline(F.from_json("value", "struct<cases:array<struct<id:string,goal:string>>>")["cases"]))
+
+
+#: Vendor fields of the annual columns, in the order (revenue, net_profit, gross_profit, gross_margin, operating_profit, total_assets,
+#: total_liabilities, operating_cashflow, basic_eps, roe). Fixed values of the two formats.
+STATEMENT_FIELDS = {
+    "hk": ("OPERATE_INCOME", "HOLDER_PROFIT", "GROSS_PROFIT", "GROSS_PROFIT_RATIO", "OPERATE_PROFIT", "TOTAL_ASSETS", "TOTAL_LIABILITIES", "NETCASH_OPERATE", "BASIC_EPS", "ROE_AVG"),
+    "ashare": ("TOTALOPERATEREVE", "PARENTNETPROFIT", "MLR", "XSMLL", "OPERATE_PROFIT_PK", "TOTAL_ASSETS_PK", "LIABILITY", "NETCASH_OPERATE_PK", "EPSJB", "ROEJQ"),
+}
+STATEMENT_COLUMNS = ("revenue", "net_profit", "gross_profit", "gross_margin", "operating_profit", "total_assets", "total_liabilities", "operating_cashflow", "basic_eps", "roe")
+#: Digits of the columns that are ratios; all others are yuan and become hundred millions.
+STATEMENT_RATIOS = {"gross_margin": 2, "basic_eps": 3, "roe": 2}
+
+
+def read_statement_rows(spark: SparkSession, path: str | DataFrame, vendor: str, newest: int = 12, years: tuple[int, int] | None = None, annual: str = "年报") -> DataFrame:
+    """(file, year, report_type, ten figures): annual reports of a vendor's answer, inside the years, the newest of each file."""
+    fields = STATEMENT_FIELDS[vendor]
+    row = "struct<REPORT_DATE:string,REPORT_TYPE:string," + ",".join(f"{f}:string" for f in fields) + ">"
+    rows = _whole(spark, path).select("file", F.posexplode(F.from_json("value", f"struct<result:struct<data:array<{row}>>>")["result"]["data"]).alias("pos", "r")).select("file", "pos", "r.*")
+    rows = rows.withColumn("year", F.substring("REPORT_DATE", 1, 4).try_cast("int")).where(F.col("REPORT_TYPE").contains(annual) & F.col("year").isNotNull())
+    if years:
+        rows = rows.where(F.col("year").between(*years))
+    order = Window.partitionBy("file").orderBy(F.desc("REPORT_DATE"), "pos")
+    kept = rows.withColumn("back", F.row_number().over(order)).where(F.col("back") <= newest)
+    figures = [F.round(_num(f) / (1 if c in STATEMENT_RATIOS else 1e8), STATEMENT_RATIOS.get(c, 2)).alias(c) for c, f in zip(STATEMENT_COLUMNS, fields, strict=True)]
+    return kept.select("file", "year", F.col("REPORT_TYPE").alias("report_type"), *figures)
+
+
+def read_golden(spark: SparkSession, path: str | DataFrame, metrics: list[str]) -> DataFrame:
+    """(file, id, question, answer, metrics...) from JSON lists of judged answers; an absent score is 0."""
+    scores = "struct<" + ",".join(f"{m}:double" for m in metrics) + ">"
+    rows = F.from_json("value", f"array<struct<id:string,question:string,answer:string,human_scores:{scores}>>")
+    flat = _whole(spark, path).select("file", F.inline(rows))
+    return flat.select("file", "id", "question", "answer", *[F.coalesce(F.col("human_scores")[m], F.lit(0.0)).alias(m) for m in metrics])
+
+
+def fresh_files(files: DataFrame, since: Column, deny: str = r"(^|/)(__pycache__|screenshots)/|_check_|/\.test_") -> DataFrame:
+    """Rows of files changed since a time, 60 seconds of grace included, outside the denied paths.
+
+    files: any file scan; the conditions on ``_metadata`` prune whole files before they are read.
+    """
+    changed = F.col("_metadata.file_modification_time") >= since - F.expr("interval 60 seconds")
+    return files.where(changed & ~F.col("_metadata.file_path").rlike(deny))

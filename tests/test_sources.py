@@ -48,3 +48,22 @@ def test_text(spark, tmp_path):
     assert [(r.code, r.name, r.price, r.change_pct, r.amount) for r in q] == [("600519", "贵州茅台", 1500.0, 2.5, 1870400000.0)]
     p = put(tmp_path, "t.txt", "数据".encode("gb18030"))
     assert [r.text for r in R.files_to_text(spark, p).collect()] == ["数据"]
+
+
+def test_statements(spark, tmp_path):
+    rows = [{"REPORT_DATE": f"{y}-12-31", "REPORT_TYPE": kind, "OPERATE_INCOME": 660257000000, "GROSS_PROFIT_RATIO": 52.901, "BASIC_EPS": None} for y, kind in ((2023, "年报"), (2024, "年报"), (2024, "三季报"), (2010, "年报"))]
+    p = put(tmp_path, "s.json", json.dumps({"result": {"data": rows}}))
+    got = R.read_statement_rows(spark, p, "hk", newest=5, years=(2020, 2030)).orderBy("year").collect()
+    assert [(r.year, r.revenue, r.gross_margin, r.basic_eps, r.roe) for r in got] == [(2023, 6602.57, 52.9, None, None), (2024, 6602.57, 52.9, None, None)]
+    assert R.read_statement_rows(spark, put(tmp_path, "bad.json", "{"), "ashare").count() == 0
+
+
+def test_golden_and_fresh(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    p = put(tmp_path, "g.json", json.dumps([{"id": "1", "question": "q", "answer": "a", "human_scores": {"recall": 0.5}}, {"id": "2"}]))
+    assert [(r.id, r.recall, r.precision) for r in R.read_golden(spark, p, ["recall", "precision"]).collect()] == [("1", 0.5, 0.0), ("2", 0.0, 0.0)]
+    now = F.current_timestamp()
+    assert R.fresh_files(spark.read.text(p), now).count() == 1 and R.fresh_files(spark.read.text(p), now + F.expr("interval 1 hour")).count() == 0
+    put(tmp_path, "a_check_b.txt", "x")
+    assert R.fresh_files(spark.read.text(str(tmp_path / "a_check_b.txt")), now).count() == 0
