@@ -38,6 +38,11 @@ ORACLES["stream_latency"] = "SELECT a.event_id AS id, b.event_id AS result_id, r
 QUERIES["stream_rate_limit"] = lambda spark, d: J.drain(J.keyed(log(spark, d), J.rate_limit(3, 86_400)))
 QUERIES["stream_circuit"] = lambda spark, d: J.drain(J.keyed(log(spark, d), J.circuit(2, 86_400)))
 QUERIES["stream_dedupe"] = lambda spark, d: J.drain(J.keyed(log(spark, d).withColumn("key", F.concat_ws("/", "key", "kind")), J.dedupe(43_200)))
+QUERIES["stream_ttl_cache"] = lambda spark, d: J.drain(J.keyed(log(spark, d).withColumn("key", F.concat_ws("/", "key", "kind")), J.ttl_cache(43_200)))
+QUERIES["topic_source"] = lambda spark, d: J.drain(J.topic_source(log(spark, d), ["click", "signup"], "^err", "kind").select("id", "kind", "ts"))
+ORACLES["topic_source"] = "SELECT event_id AS id, event_type AS kind, ts FROM events WHERE event_type IN ('click', 'signup') OR event_type LIKE 'err%'"
+QUERIES["summary_json_sink"] = lambda spark, d: J.drain_complete(log(spark, d).groupBy("kind").agg(F.count("*").alias("runs"), F.count_if("failed").alias("failures")), "json")
+ORACLES["summary_json_sink"] = "SELECT event_type AS kind, count(*) AS runs, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1"
 QUERIES["stream_heartbeat"] = lambda spark, d: J.drain(J.keyed(log(spark, d), J.heartbeat(7200)))
 ORACLES["stream_heartbeat"] = "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS key, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 7200000000, false) AS flag FROM events"
 QUERIES["metrics_csv_sink"] = lambda spark, d: J.drain(log(spark, d).select("id", "kind", "value", "failed"), "csv")
@@ -56,15 +61,22 @@ QUERIES["ranking_csv_export"] = ranking_csv
 ORACLES["ranking_csv_export"] = "SELECT p_partkey, p_name, CASE WHEN p_size > 5 THEN p_size END AS p_size, p_retailprice FROM part"
 
 
-def jsonl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Appends records with a cut field as JSON lines twice and reads the newest of each user back."""
+def jsonl_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a cut field, appended as JSON lines in two writes and read back."""
     path, events = shared_folder(spark), table(spark, sf_dir, "events")
     rows = events.select("event_id", "user_id", F.substring("props", 1, 6).alias("note"))
     rows.where("user_id % 2 = 0").write.mode("append").json(path)
     rows.where("user_id % 2 <> 0").write.mode("append").json(path)
-    back = spark.read.schema(rows.schema).option("mode", "DROPMALFORMED").json(path)
+    return spark.read.schema(rows.schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def jsonl_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest appended record of each user."""
+    back = jsonl_append(spark, sf_dir)
     return back.groupBy("user_id").agg(F.max(F.struct("event_id", "note")).alias("s"), F.count("*").alias("records")).select("user_id", "s.*", "records")
 
 
-QUERIES["jsonl_tail"] = jsonl_log
+QUERIES["jsonl_append"] = jsonl_append
+ORACLES["jsonl_append"] = "SELECT event_id, user_id, substr(props, 1, 6) AS note FROM events"
+QUERIES["jsonl_tail"] = jsonl_tail
 ORACLES["jsonl_tail"] = "SELECT user_id, max(event_id) AS event_id, arg_max(substr(props, 1, 6), event_id) AS note, count(*) AS records FROM events GROUP BY user_id"

@@ -37,16 +37,21 @@ def drain(stream: DataFrame, form: str = "parquet") -> DataFrame:
     return spark.read.schema(stream.schema).option("header", form == "csv").format(form).load(f"{base}/out")
 
 
-def drain_complete(stream: DataFrame) -> DataFrame:
+def topic_source(stream: DataFrame, exact: list[str], pattern: str, channel: str = "channel") -> DataFrame:
+    """Rows of the channels named or matched by the pattern; over Kafka the same is ``subscribe`` and ``subscribePattern``."""
+    return stream.where(F.col(channel).isin(*exact) | F.col(channel).rlike(pattern))
+
+
+def drain_complete(stream: DataFrame, form: str = "parquet") -> DataFrame:
     """Runs a stream of running totals; every trigger writes the whole result under its number, so a rerun overwrites itself."""
     spark, base, last = stream.sparkSession, shared_folder(stream.sparkSession), []
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/{number}")
+        batch.write.mode("overwrite").format(form).save(f"{base}/out/{number}")
         last[:] = [number]
 
     stream.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out/{last[0]}")
+    return spark.read.schema(stream.schema).format(form).load(f"{base}/out/{last[0]}")
 
 
 def task_metrics(log: DataFrame, span: str = "30 seconds") -> DataFrame:
@@ -101,6 +106,11 @@ def dedupe(seconds: float) -> Step:
     return lambda state, at, failed: ([at], True) if not state or at - state[0] > seconds else (state, False)
 
 
+def ttl_cache(seconds: float, least: float = 30) -> Step:
+    """Whether the key's value is still valid; an expired or absent one is set anew for the time to live, ``least`` at minimum."""
+    return lambda state, at, failed: (state, True) if state and at < state[0] else ([at + max(seconds, least)], False)
+
+
 def heartbeat(seconds: float) -> Step:
     """Whether the gap since the last row of the key is longer than the limit."""
     return lambda state, at, failed: ([at], bool(state) and at - state[0] > seconds)

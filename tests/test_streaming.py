@@ -18,7 +18,7 @@ def loop(spark, step, key):
 
 def test_keyed(spark):
     user, both = (lambda e: e.user_id), (lambda e: (e.user_id, e.event_type))
-    for name, step, key in [("stream_rate_limit", J.rate_limit(3, 86_400), user), ("stream_circuit", J.circuit(2, 86_400), user), ("stream_dedupe", J.dedupe(43_200), both)]:
+    for name, step, key in [("stream_rate_limit", J.rate_limit(3, 86_400), user), ("stream_circuit", J.circuit(2, 86_400), user), ("stream_dedupe", J.dedupe(43_200), both), ("stream_ttl_cache", J.ttl_cache(43_200), both)]:
         got = {r.id: r.flag for r in streams.QUERIES[name](spark, SF).collect()}
         assert got == loop(spark, step, key), name
 
