@@ -79,7 +79,8 @@ def shards(df: DataFrame, limit: int, id_col: str = "doc_id", text: str = "text"
 
 def write_shards(df: DataFrame, limit: int, path: str, id_col: str = "doc_id", text: str = "text") -> None:
     """Writes the rows of df as Parquet, one folder for each shard."""
-    placed = df.join(shards(df, limit, id_col, text).select(id_col, "shard").distinct(), id_col)
+    found = shards(df, limit, id_col, text).select(F.col(id_col).alias("id_"), "shard").distinct()
+    placed = df.join(found, F.col(id_col).eqNullSafe(F.col("id_"))).drop("id_")
     placed.withColumn("shard", F.concat(F.lit("b"), "shard")).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 

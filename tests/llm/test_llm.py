@@ -234,6 +234,12 @@ def test_sharding_writes_every_row(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 200
 
 
+def test_sharding_writes_rows_without_id(spark, tmp_path):
+    df = spark.createDataFrame([(i if i % 4 else None, f"t{i}") for i in range(200)], "doc_id long, text string")
+    sharding.write_shards(df, 50, str(tmp_path / "s"))
+    assert sorted(x.text for x in spark.read.parquet(str(tmp_path / "s")).collect()) == sorted(f"t{i}" for i in range(200))
+
+
 def test_quality_on_held_out_rows(spark):
     rows = {r.doc_id: r for r in registry.QUERIES["op8_quality"](spark, "/root/testdata/sf0.01").collect()}
     labels = duckdb.sql("select doc_id, quality from '/root/testdata/sf0.01/labels.parquet'").fetchall()
