@@ -26,19 +26,24 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each class of near copies."""
+    """Keeps the document with the least id of each class of near copies, and every document without an id."""
     docs = docs.select(COLUMNS)
-    first = jaccard.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    row = ["doc_id", "text_hash"]
+    first = jaccard.classes(docs).where("doc_id = class_id and text_hash = class_hash").select(row).distinct()
+    kept = docs.withColumn("text_hash", F.xxhash64("text")).join(first, row, "left_semi").dropDuplicates(row)
+    return kept.select(COLUMNS).unionAll(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents of small sources up to the limit; every document stays at least once."""
+    """Repeats documents of small sources up to the limit; every document stays at least once.
+
+    The rows of a block occur once in each epoch of the block, so equal or null ids do not change the copies.
+    """
     docs = docs.select(COLUMNS)
     mixed = mixing.mix(docs, repetition_limit=mixing.REPEATS)
-    copies = mixed.groupBy("doc_id").agg(F.count("*").alias("copies"))
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
+    copies = mixed.groupBy(F.col("source").alias("source_"), "block").agg(F.count_distinct("epoch").alias("copies"))
+    placed = docs.withColumn("block", mixing.block_of(F.col("source"), F.col("doc_id")))
+    return placed.join(copies, placed["source"].eqNullSafe(copies["source_"]) & (placed["block"] == copies["block"])).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ def _sequence(text: str | None, n: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str, text: str, bands: int, rows: int, n: int = WORDS) -> DataFrame:
-    """(id_, digest_hi, digest_lo, b0 ...): a digest of the word sequence and one hash for each band (null without words)."""
+    """(id_, text_hash, digest_hi, digest_lo, b0 ...): hashes of the plain text and of the word sequence, and one hash for each band (null without words)."""
     seeds = np.random.default_rng(11).integers(1, 1 << 63, size=(2, bands * rows), dtype=np.uint64)
     names = [f"b{i}" for i in range(bands)]
 
@@ -110,11 +110,11 @@ def signatures(df: DataFrame, id_col: str, text: str, bands: int, rows: int, n:
                         out[band, start + live] = mix ^ (mix >> np.uint64(32))
                     full[start + live] = True
                 start = stop
-            arrays = [b.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), *[pa.array(o.view(np.int64), mask=~full) for o in out]]
-            yield pa.RecordBatch.from_arrays(arrays, ["id_", "digest_hi", "digest_lo", *names])
+            arrays = [b.column(0), b.column(2), pa.array(halves[:, 0]), pa.array(halves[:, 1]), *[pa.array(o.view(np.int64), mask=~full) for o in out]]
+            yield pa.RecordBatch.from_arrays(arrays, ["id_", "text_hash", "digest_hi", "digest_lo", *names])
 
-    schema = "id_ long, digest_hi long, digest_lo long, " + ", ".join(f"{c} long" for c in names)
-    return df.select(F.col(id_col).cast("long").alias("id_"), F.col(text).alias("text_")).mapInArrow(run, schema)
+    schema = "id_ long, text_hash long, digest_hi long, digest_lo long, " + ", ".join(f"{c} long" for c in names)
+    return df.select(F.col(id_col).cast("long").alias("id_"), F.col(text).alias("text_"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, schema)
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -170,13 +170,18 @@ def _verify(part: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"rep": ids, "root": ids[root], "links": tied.sum(axis=1).astype(np.int64)})
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, n: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """(id, class_id, n_links, n_copies) of every row."""
+def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, n: int = WORDS, block: int = BLOCK) -> DataFrame:
+    """(id, text_hash, class_id, class_hash, n_links, n_copies) of every row.
+
+    ``class_id`` and ``class_hash`` are the least (id, xxhash64 of the text) of the class. Texts are told apart by
+    their digest, so ids may repeat; a row with a null id is a class of its own.
+    """
     bands, rows = bands_for(threshold, recall)
     signed = cut_lineage(signatures(df, id_col, text, bands, rows, n))
     texts = cut_lineage(
         signed.where("id_ is not null").groupBy("digest_hi", "digest_lo")
-        .agg(F.min("id_").alias("rep"), F.count("*").alias("n_copies"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(bands)])
+        .agg(F.min(F.struct("id_", "text_hash")).alias("least"), F.count("*").alias("n_copies"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(bands)])
+        .withColumn("rep", F.monotonically_increasing_id())
     )
     banded = texts.where("b0 is not null").select("rep", F.posexplode(F.array(*[f"b{i}" for i in range(bands)])).alias("band", "hash"))
     leaders = banded.groupBy("band", "hash").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -184,7 +189,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
     grouped = components(stars).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
     sizes = grouped.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("chunks"))
     placed = grouped.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    placed = cut_lineage(placed)
+    placed = cut_lineage(placed.join(texts.select("rep", "least.id_", "least.text_hash"), "rep"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,24 +199,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", t
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("cluster"), b.column("chunks"), b.column("chunk"), lists], ["rep", "cluster", "chunks", "chunk", "shingles"])
 
-    texts_again = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("text_"))
-    sets = texts_again.join(placed, "rep").mapInArrow(read, "rep long, cluster long, chunks int, chunk int, shingles array<long>")
+    texts_again = df.select(F.col(id_col).cast("long").alias("id_"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text_"))
+    sets = texts_again.join(placed, ["id_", "text_hash"]).mapInArrow(read, "rep long, cluster long, chunks int, chunk int, shingles array<long>")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.struct(F.least("chunk", other).alias("left"), F.greatest("chunk", other).alias("right")))
     dealt = sets.withColumn("pair", F.explode(pairs)).select("cluster", "pair.left", "pair.right", "chunk", "chunks", "rep", "shingles")
     checked = dealt.groupBy("cluster", "left", "right").applyInArrow(lambda part: _verify(part, threshold), "rep long, root long, links long")
     checked = cut_lineage(checked)
     tied = components(checked.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
+    roots = tied.select(F.col("node").alias("rep"), "root")
+    heads = texts.select("rep", "least").join(roots, "rep").groupBy("root").agg(F.min("least").alias("head"))
     found = (
-        texts.select("digest_hi", "digest_lo", "rep", "n_copies")
-        .join(tied.select(F.col("node").alias("rep"), "root"), "rep", "left")
+        texts.select("digest_hi", "digest_lo", "rep", "least", "n_copies")
+        .join(roots.join(heads, "root").select("rep", "head"), "rep", "left")
         .join(checked.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
-        .select("digest_hi", "digest_lo", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
+        .select("digest_hi", "digest_lo", F.coalesce("head", "least").alias("head"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
     )
-    out = signed.where("id_ is not null").select("id_", "digest_hi", "digest_lo").join(found, ["digest_hi", "digest_lo"]).select(F.col("id_").alias(id_col), "class_id", "n_links", "n_copies")
-    lost = signed.where("id_ is null").select(F.col("id_").alias(id_col), F.col("id_").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    named = signed.where("id_ is not null").select("id_", "text_hash", "digest_hi", "digest_lo").join(found, ["digest_hi", "digest_lo"])
+    out = named.select(F.col("id_").alias(id_col), "text_hash", F.col("head.id_").alias("class_id"), F.col("head.text_hash").alias("class_hash"), "n_links", "n_copies")
+    lost = signed.where("id_ is null").select(F.col("id_").alias(id_col), "text_hash", F.col("id_").alias("class_id"), F.col("text_hash").alias("class_hash"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return out.unionAll(lost)
 
 
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, n: int = WORDS, block: int = BLOCK) -> DataFrame:
+    """(id, class_id, n_links, n_copies) of every row."""
+    return classes(df, id_col, text, threshold, recall, n, block).select(id_col, "class_id", "n_links", "n_copies")
+
+
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """The class of near copies of every document."""
     from tessera.io import table

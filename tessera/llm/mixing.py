@@ -31,6 +31,11 @@ def _hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 15), 16, 10).cast("long")
 
 
+def block_of(source: Column, doc_id: Column, blocks: int = BLOCKS) -> Column:
+    """The hash block of a document within its source."""
+    return F.pmod(_hash(source, doc_id), F.lit(blocks)).cast("int")
+
+
 def find_exponent(totals: DataFrame, repetition_limit: float | None = None, target_entropy: float | None = None) -> float:
     """The exponent in 0..1: the least that keeps repetitions within the limit, or the greatest that keeps the entropy.
 
@@ -72,7 +77,7 @@ def mix(df: DataFrame, repetition_limit: float | None = None, target_entropy: fl
     docs = df.select(
         F.col(id_col), F.col(source).alias("source"), n_tokens(F.col(text)).alias("tokens"),
         F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("key_"),
-        F.pmod(_hash(F.col(source), F.col(id_col)), F.lit(blocks)).cast("int").alias("block"),
+        block_of(F.col(source), F.col(id_col), blocks).alias("block"),
     )
     docs = cut_lineage(docs)
     dealt = cut_lineage(docs.groupBy("key_", "block").agg(F.sum("tokens").alias("block_tokens")))

@@ -314,3 +314,31 @@ def test_pipeline_against_brute_force(spark):
     fourth = cp.STAGES[3][1](spark, third, sf)
     assert {r.doc_id for r in fourth.select("doc_id").collect()} == {r.doc_id for r in third.collect()}
     assert cp.STAGES[4][1](spark, fourth, sf).count() == fourth.count()
+
+
+def test_pipeline_keeps_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    r = random.Random(8)
+    base = [" ".join(f"v{r.randrange(900)}" for _ in range(100)) for _ in range(4)]
+    near = base[1] + " more"
+    rows = [(None, base[0]), (None, base[0]), (None, base[2]), (1, base[3]), (5, base[0]), (5, base[1]), (5, base[1]), (6, near), (7, base[2]), (7, base[2].upper())]
+    docs = spark.createDataFrame([(d, t, "en", "a" if d else None, 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = sorted({(x.doc_id, x.class_id, x.n_links, x.n_copies) for x in jaccard.near_duplicates(docs).where("doc_id is not null").collect()})
+    assert found == [(1, 1, 0, 1), (5, 5, 0, 1), (5, 5, 1, 2), (6, 5, 1, 1), (7, 7, 0, 2)]
+    kept = cp.keep_one_of_class(spark, docs, "")
+    got = sorted(((x.doc_id or 0, x.text.lower()) for x in kept.collect()))
+    assert got == sorted([(0, base[0]), (0, base[0]), (0, base[2]), (1, base[3]), (5, base[0]), (5, base[1]), (7, base[2])])
+
+
+def test_pipeline_mixes_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    rows = [(7, f"big {i} " * 40, "big") for i in range(30)] + [(None, f"none {i}", None) for i in range(5)] + [(i % 2, f"small {i}", "small") for i in range(6)]
+    docs = spark.createDataFrame([(d, t, "en", s, 1) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {}
+    for x in cp.mix_sources(spark, docs, "").collect():
+        got[x.text] = got.get(x.text, 0) + 1
+    want = mixing.mix(docs, repetition_limit=mixing.REPEATS, id_col="doc_id").groupBy("doc_id", "source").agg(F.count_distinct("epoch").alias("n")).collect()
+    times = {(x.doc_id, x.source): x.n for x in want}
+    assert got == {t: times[d, s] for d, t, s in rows} and max(got.values()) <= 3
