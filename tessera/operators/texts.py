@@ -111,6 +111,60 @@ def search_matches(goals: DataFrame, docs: DataFrame, least: int = 6, top: int =
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+HAN = "\u4e00-\u9fff"
+#: Letters and digits other than Han characters; a word ends where they end.
+ALNUM = rf"[\p{{L}}\p{{Nd}}&&[^{HAN}]]"
+
+
+def _found(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _han_grams(text: Column) -> list[Column]:
+    """All windows of 2 to 4 characters inside runs of Han characters."""
+    return [_found(text, f"(?=([{HAN}]{{{n}}}))", 1) for n in (2, 3, 4)]
+
+
+def goal_tokens(text: Column) -> Column:
+    """What a goal asks for: Han 2/3/4-grams, runs of four digits, words from 3 characters (hyphens belong to the word)."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = _found(low, rf"[\p{{L}}&&[^{HAN}]](?:{ALNUM}|-){{2,}}")
+    return F.array_distinct(F.concat(*_han_grams(low), _found(low, "[0-9]{4}"), words))
+
+
+def text_tokens(text: Column, parts: int) -> Column:
+    """Every token that a goal can find in a text; hyphenated words up to so many parts."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = [_found(low, ALNUM + "+")]
+    pieces = F.transform(_found(low, rf"(?:{ALNUM}|-)*-(?:{ALNUM}|-)*"), lambda run: F.split(run, "-"))
+    for n in range(2, parts + 1):
+        joined = lambda p: F.when(F.size(p) >= n, F.transform(F.sequence(F.lit(1), F.size(p) - n + 1), lambda i: F.array_join(F.slice(p, i, n), "-"))).otherwise(F.array().cast("array<string>"))  # noqa: B023,E731
+        words.append(F.flatten(F.transform(pieces, joined)))
+    return F.array_distinct(F.concat(*_han_grams(low), _found(low, "(?=([0-9]{4}))", 1), *words))
+
+
+def token_weight(token: Column) -> Column:
+    """1 for Han bigrams and years, 2 for longer Han grams and words."""
+    return F.when(token.rlike(f"^([{HAN}]{{2}}|[0-9]{{4}})$"), 1).otherwise(2)
+
+
+def search_scores(goals: DataFrame, docs: DataFrame, top: int = 3, least: int = 2, salts: int = 8) -> DataFrame:
+    """(item_id, doc_id, score, rank): the best ``top`` documents of each goal by the weights of its tokens that they hold.
+
+    Documents under the ``least`` score are left out, unless a goal has none above it. No token is dropped; the goal side
+    is repeated for each salt, so the rows of a frequent token are dealt over several tasks where the join is shuffled.
+    """
+    wanted = goals.select("item_id", F.explode(goal_tokens(F.col("text"))).alias("token"))
+    parts = wanted.agg(F.max(F.size(F.split("token", "-")))).first()[0] or 1
+    wanted = wanted.distinct().select("item_id", "token", token_weight(F.col("token")).alias("weight"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    held = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), F.explode(text_tokens(F.col("text"), parts)).alias("token"))
+    scores = held.join(wanted, ["token", "salt"]).groupBy("item_id", "doc_id").agg(F.sum("weight").alias("score"))
+    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+    best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    strict = F.max("score").over(Window.partitionBy("item_id")) >= least
+    return best.withColumn("strict", strict).where(~F.col("strict") | (F.col("score") >= least)).drop("strict")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, most: float, blocks: int = 8) -> DataFrame:
     """The k nearest vectors of each query by cosine distance of unit vectors, itself excluded.
 

@@ -42,6 +42,10 @@ MATCH = f"""WITH g AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, {WORDS}
 P.add("search_relevance", lambda r: T.search_matches(r("benchmark"), r("documents")), f"{MATCH} SELECT * FROM (SELECT item_id, doc_id, shared, CAST(row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 3")
 P.add("eval_case_match", lambda r: T.search_matches(r("benchmark"), r("documents"), top=1).select("item_id", "doc_id", "shared"), f"{MATCH} SELECT item_id, doc_id, shared FROM h QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) = 1")
 P.add("irrelevant_results", lambda r: r("benchmark").select("item_id").join(T.search_matches(r("benchmark"), r("documents"), top=1).select("item_id", "shared"), "item_id", "left").select("item_id", F.col("shared").isNull().alias("irrelevant")), f"{MATCH} SELECT item_id, NOT EXISTS (SELECT 1 FROM h WHERE h.item_id = b.item_id) AS irrelevant FROM benchmark b")
+#: The whole scoring; no SQL twins, held against brute force by the tests.
+P.add("search_relevance_scored", lambda r: T.search_scores(r("benchmark"), r("documents")))
+P.add("eval_case_match_scored", lambda r: T.search_scores(r("benchmark"), r("documents"), top=1).select("item_id", "doc_id", "score"))
+P.add("irrelevant_results_scored", lambda r: r("benchmark").select("item_id").join(T.search_scores(r("benchmark"), r("documents"), top=1).select("item_id", "score"), "item_id", "left").select("item_id", F.col("score").isNull().alias("irrelevant")))
 P.add("memory_topk", lambda r: T.nearest(r("embeddings").where("vec_id % 100 = 0"), r("embeddings"), 3, 0.6), "WITH p AS (SELECT q.vec_id, e.vec_id AS other, round(1 - list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 4) AS distance FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0) SELECT * FROM (SELECT vec_id, other, distance, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) AS INTEGER) AS rank FROM p WHERE distance <= 0.6) WHERE rank <= 3")
 
 QUERIES, ORACLES = P.queries, P.oracles
