@@ -121,6 +121,34 @@ def resolve_names(asked: DataFrame, known: DataFrame, top: int = 5) -> DataFrame
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+#: Products that are not the share itself, and counters of a share other than the main one.
+DERIVATIVE = "沽|购|权证|法兴|摩通|瑞银|麦格理|高盛|德银|花旗|汇丰|中银|大和|野村|法巴|渣打|ETF|收益|周收益|期权|溢价|杠杆|做多|做空|债券|优先"
+VARIANT, SUFFIX = "-(?:T|W?R)$", "股份|控股|集团"
+
+
+def resolve_parts(asked: DataFrame, known: DataFrame, bonus: dict[str, int], other: int = 0, top: int = 5) -> DataFrame:
+    """The best ``top`` known names (code, name, market) for each asked (query): one contains the other anywhere.
+
+    The first two characters of the shorter name occur in the longer one, so pairs meet on character bigrams (names of
+    one character on that character) and contains is the exact filter. Derivatives are left out. Score: the bonus of the
+    market, 3 for a company suffix, 2 for an exact match, -8 for a variant. Empty names and queries match nothing.
+    """
+    grams = lambda text: F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2)]))
+    queries = asked.where(F.col("query") != "").select("query").distinct()
+    names = known.where((F.col("name") != "") & ~F.col("name").rlike(DERIVATIVE)).select("code", "name", "market").distinct()
+    name, query = F.col("name"), F.col("query")
+    inside = queries.withColumn("gram", F.substring("query", 1, 2)).join(names.withColumn("gram", F.explode(grams(name))), "gram").where(name.contains(query))
+    around = queries.withColumn("gram", F.explode(grams(query))).join(names.withColumn("gram", F.substring("name", 1, 2)), "gram").where(query.contains(name))
+    pairs = inside.select("query", "code", "name", "market").unionAll(around.where(name != query).select("query", "code", "name", "market"))
+    market = F.lit(other)
+    for key, points in bonus.items():
+        market = F.when(F.col("market") == key, points).otherwise(market)
+    score = market + F.when(name.rlike(SUFFIX), 3).otherwise(0) + F.when(name == query, 2).otherwise(0) - F.when(name.rlike(VARIANT), 8).otherwise(0)
+    scored = pairs.select("query", "code", "name", "market", score.alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "code", "name", "market")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("market")
+
+
 def best_url(pages: DataFrame, host: Column, good: str, official: str) -> DataFrame:
     """The best page of each host: pattern hits, then official, then position."""
     score = F.when(F.lower("url").rlike(good), 3).otherwise(0) + F.when(F.col("url").startswith("https"), 1).otherwise(0)

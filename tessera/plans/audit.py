@@ -62,6 +62,11 @@ P.add("facts_union", lambda r: N.facts_union([part_facts(r), r("orders").select(
 P.add("company_resolve", lambda r: A.resolve_names(r("part").select(F.explode(letters(F.col("p_name"))).alias("query")), r("part").groupBy(F.col("p_name").alias("name"), F.col("p_type").alias("market")).agg(F.min("p_partkey").alias("code"))), rf"""WITH q AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(p_name), '[^\p{{L}}]+'), lambda w: w <> '')) AS query FROM part), k AS (SELECT p_name AS name, p_type AS market, min(p_partkey) AS code FROM part GROUP BY ALL),
 s AS (SELECT DISTINCT query, code, name, CASE market WHEN 'STANDARD' THEN 10 WHEN 'ECONOMY' THEN 6 ELSE 4 END + CASE WHEN name = query THEN 2 ELSE 0 END + CASE WHEN ends_with(name, query) THEN 3 ELSE 0 END AS score FROM q JOIN k ON list_contains(regexp_split_to_array(lower(name), '[^\p{{L}}]+'), query) AND contains(name, query))
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, code) AS INTEGER) AS rank FROM s) WHERE rank <= 5""")
+#: Words, their middle parts, single letters and whole names with an addition; known are all names.
+P.add("company_resolve_parts", lambda r: A.resolve_parts(r("part").select(F.explode(letters(F.col("p_name"))).alias("w"), "p_name").select(F.explode(F.array("w", F.substring("w", 2, 3), F.substring("w", 1, 1), F.concat("p_name", F.lit("s")))).alias("query")), r("part").groupBy(F.col("p_name").alias("name"), F.col("p_type").alias("market")).agg(F.min("p_partkey").alias("code")), {"STANDARD": 10, "ECONOMY": 6}, 4), r"""WITH w AS (SELECT p_name, unnest(list_filter(regexp_split_to_array(lower(p_name), '[^\p{L}]+'), lambda w: w <> '')) AS w FROM part),
+q AS (SELECT DISTINCT unnest([w, substr(w, 2, 3), substr(w, 1, 1), p_name || 's']) AS query FROM w), k AS (SELECT p_name AS name, p_type AS market, min(p_partkey) AS code FROM part GROUP BY ALL),
+s AS (SELECT query, code, name, market, CASE market WHEN 'STANDARD' THEN 10 WHEN 'ECONOMY' THEN 6 ELSE 4 END + CASE WHEN name = query THEN 2 ELSE 0 END AS score FROM q JOIN k ON query <> '' AND name <> '' AND (contains(name, query) OR contains(query, name)))
+SELECT * EXCLUDE (market) FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, code, name, market) AS INTEGER) AS rank FROM s) WHERE rank <= 5""")
 P.add("best_url", lambda r: A.best_url(r("pages"), host_of(F.col("url")), "page=|/fr/", "/en/"), f"SELECT host, arg_max(page_id, (score, official, -page_id)) AS page_id, arg_max(url, (score, official, -page_id)) AS url, max(score) AS score FROM (SELECT {HOST} AS host, page_id, url, CASE WHEN regexp_matches(lower(url), 'page=|/fr/') THEN 3 ELSE 0 END + CASE WHEN starts_with(url, 'https') THEN 1 ELSE 0 END AS score, CAST(regexp_matches(lower(url), '/en/') AS INTEGER) AS official FROM pages) GROUP BY host")
 SKILLS = [("german", "der", 2), ("german", "die", 1), ("english", "the", 2), ("english", "and", 1), ("french", "les", 2), ("french", "le", 1)]
 VALUES = ", ".join(f"('{a}', '{b}', {c})" for a, b, c in SKILLS)
