@@ -5,12 +5,13 @@ Every check runs over all reports at once; a report never meets more than its ow
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.texts import letters, sentences
+from tessera.operators.texts import ALNUM, HAN, letters, sentences
 
 #: A figure and a source agree within half a unit or half a percent of the figure.
 RELATIVE, LEAST = 0.005, 0.5
@@ -62,17 +63,69 @@ def conflicting_figures(rows: DataFrame, keys: list[str]) -> DataFrame:
     return counted.groupBy(*keys).agg(main, (F.count("*") - 1).alias("others")).where("others > 0")
 
 
+def names_in(text: Column, names: list[str]) -> Column:
+    """Whether a text holds a name: names with Han characters anywhere, others between characters that are no letters of a word."""
+    letter = rf"[\p{{L}}&&[^{HAN}]]"
+    quoted = [(re.search(f"[{HAN}]", n), rf"\Q{n.lower()}\E") for n in names if n]
+    plain = "|".join(q for han, q in quoted if not han)
+    forms = [q for han, q in quoted if han] + ([f"(?<!{letter})(?:{plain})(?!{letter})"] if plain else [])
+    return F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(forms)) if forms else F.lit(False)
+
+
 def entity_attribution(docs: DataFrame, target: list[str], other: list[str]) -> DataFrame:
     """(doc_id, number, near_target, near_other, flagged): flagged when a number only shares sentences with other names."""
     parts = sentences(docs)
-    tokens = letters(F.col("sentence"))
-    names = lambda words: F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
+    names = lambda words: names_in(F.col("sentence"), words)
     found = F.regexp_extract_all("sentence", F.lit(r"([0-9]+(?:\.[0-9]+)?)"), 1)
     rows = parts.select("doc_id", names(target).alias("t"), names(other).alias("o"), F.explode(found).alias("number"))
     out = rows.groupBy("doc_id", "number").agg(F.bool_or("t").alias("near_target"), F.bool_or("o").alias("near_other"))
     return out.withColumn("flagged", F.col("near_other") & ~F.col("near_target"))
 
 
+RELATION_VERBS = ["投资", "入股", "收购", "融资", "获得", "出资", "补贴", "捐赠", "认购"]
+CORE_WORDS = ["营收", "收入", "净利润", "净利", "利润", "毛利率", "总资产", "总负债", "负债", "资产", "现金流", "销售额", "占比", "经营利润", "市值"]
+#: Platforms whose names hold the name of a company.
+COMPOUNDS = "百度百科|百度知道|百度贴吧|百度文库|谷歌学术|维基百科|微软百科|阿里云盘"
+
+
+def _figures(texts: DataFrame, key: str, radius: int) -> DataFrame:
+    """(key, sentence, prev, number, around): every number with its sentence, the one before and the characters around it."""
+    safe = F.regexp_replace(F.coalesce("text", F.lit("")), r"([0-9]),(?=[0-9]{3})", "$1")
+    parts = F.filter(F.split(safe, r"[。！？；;\n]+|\.(?![0-9])"), lambda s: F.trim(s) != "")
+    rows = texts.select(key, parts.alias("parts")).where(F.size("parts") > 0)
+    rows = rows.select(key, F.inline(F.arrays_zip(F.concat(F.array(F.lit("")), F.slice("parts", 1, F.size("parts") - 1)).alias("prev"), F.col("parts").alias("sentence"))))
+    rows = rows.toDF(key, "prev", "sentence")
+    number = r"(?<![0-9.])[0-9]+(?:\.[0-9]+)?"
+    found = lambda pattern, group: F.regexp_extract_all("sentence", F.lit("(?s)" + pattern), F.lit(group))
+    before = found(rf"(?<=(^.{{0,{radius - 1}}}|.{{{radius}}})){number}", 1)
+    after = found(rf"{number}(?=(.{{0,{radius}}}))", 1)
+    cells = F.arrays_zip(found(number, 0).alias("number"), before.alias("before"), after.alias("after"))
+    rows = rows.select(key, "prev", "sentence", F.inline(cells)).toDF(key, "prev", "sentence", "number", "before", "after")
+    return rows.select(key, "prev", "sentence", "number", F.concat("before", "number", "after").alias("around"))
+
+
+def attribution_evidence(reports: DataFrame, sources: DataFrame, key: str, target: list[str], other: list[str], verbs: list[str] = RELATION_VERBS, core: list[str] = CORE_WORDS, radius: int = 80) -> DataFrame:
+    """(key, number, checked, contaminated, ambiguous) for every number of a report (key, text) that its sources (key, text) hold.
+
+    Sentences with a relation verb are exempt. A number that the report gives to the target alone is contaminated when the
+    sources show it only near other names: within the radius, or so near the end of the sentence before, in a sentence with
+    a core word, and never with the target. A number in a sentence without names is ambiguous. Source evidence is gathered
+    for each (key, number) before the join.
+    """
+    clean = lambda c: F.regexp_replace(c, COMPOUNDS, "")
+    prev, sentence = F.col("prev"), F.col("sentence")
+    tail = F.when(F.char_length(prev) > radius, F.substring(prev, -radius, radius)).otherwise(prev)
+    for_target = names_in(sentence, target) | (names_in(prev, target) & ~names_in(clean(prev), other))
+    for_other = (names_in(F.col("around"), other) | names_in(tail, other)) & names_in(sentence, core)
+    held = _figures(sources, key, radius).select(key, "number", for_target.alias("t"), for_other.alias("o"))
+    held = held.groupBy(key, "number").agg(F.bool_or("t").alias("t"), F.bool_or("o").alias("o"))
+    said = _figures(reports, key, radius).select(key, "number", names_in(sentence, target).alias("mine"), names_in(clean(sentence), other).alias("theirs"), names_in(sentence, verbs).alias("exempt"))
+    claims = said.groupBy(key, "number").agg(
+        F.count("*").alias("checked"), F.bool_or(F.expr("mine and not theirs and not exempt")).alias("claimed"), F.bool_or(F.expr("not mine and not theirs and not exempt")).alias("ambiguous")
+    )
+    return claims.join(held, [key, "number"]).select(key, "number", "checked", F.expr("claimed and o and not t").alias("contaminated"), "ambiguous")
+
+
 def source_labeling(claims: DataFrame, known: DataFrame) -> DataFrame:
     """Claims (claim_id, source) marked by whether the source is a known one; copies of a source count once."""
     names = known.select("source").distinct().withColumn("known", F.lit(True))
@@ -103,8 +156,7 @@ def absorb_labels(facts: DataFrame) -> DataFrame:
 
 def foreign_entity_filter(facts: DataFrame, target: str, others: list[str]) -> DataFrame:
     """Drops facts whose label names another entity and not the target."""
-    names_other = F.arrays_overlap(letters(F.col("label")), F.array(*[F.lit(o) for o in others]))
-    return facts.where(~names_other | F.col("label").contains(target))
+    return facts.where(~names_in(F.col("label"), others) | F.col("label").contains(target))
 
 
 def resolve_names(asked: DataFrame, known: DataFrame, top: int = 5) -> DataFrame:
@@ -171,9 +223,18 @@ def template_match(texts: DataFrame, keys: list[str], templates: list[tuple[str,
     return texts.select(*keys, F.coalesce(*hits).alias("template"))
 
 
-def goal_overlap(messages: DataFrame, least: int = 4) -> DataFrame:
-    """Whether each turn shares a token of so many letters with the turn before it."""
-    tokens = F.filter(letters(F.col("text")), lambda w: F.char_length(w) >= least)
+GOAL_STOP = ["搜索", "总结", "分析", "报告", "最新", "当前", "现状", "发展", "历程", "集团", "财报", "历年", "年度", "数据", "信息", "内容", "情况", "相关", "进行", "需要", "完成", "输出", "生成", "配合"]
+GOAL_STOP += ["the", "and", "with", "for", "report", "analysis", "search", "summary"]
+#: Words with the digits and hyphens inside them.
+GOAL_WORD = rf"[\p{{L}}&&[^{HAN}]](?:{ALNUM}|-)*"
+
+
+def goal_overlap(messages: DataFrame, least: int = 4, word: str = rf"[\p{{L}}&&[^{HAN}]]+", stop: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Whether each turn shares a word of so many letters or a pair of Han characters with the turn before it."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    words = F.filter(F.regexp_extract_all(low, F.lit(word), F.lit(0)), lambda w: F.char_length(w) >= least)
+    tokens = F.array_distinct(F.concat(words, F.regexp_extract_all(low, F.lit(f"(?=([{HAN}]{{2}}))"), F.lit(1))))
+    tokens = F.array_except(tokens, F.array(*[F.lit(w) for w in stop])) if stop else tokens
     before = F.lag("tokens").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = messages.select("conv_id", "turn", tokens.alias("tokens"))
     return rows.withColumn("before", before).select("conv_id", "turn", F.coalesce(F.arrays_overlap("tokens", "before"), F.lit(False)).alias("overlap"))

@@ -48,6 +48,8 @@ P.add("conflicting_figures", lambda r: A.conflicting_figures(r("lineitem").selec
 SENTENCES = r"""s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g'), '[.;\n。；．]'), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '')) AS sentence FROM documents)"""
 P.add("entity_attribution", lambda r: A.entity_attribution(r("documents"), ["der", "die"], ["the", "and"]), rf"""WITH {SENTENCES}, w AS (SELECT doc_id, regexp_split_to_array(lower(sentence), '[^\p{{L}}]+') AS w, unnest(regexp_extract_all(sentence, '[0-9]+(?:\.[0-9]+)?')) AS number FROM s),
 n AS (SELECT doc_id, number, bool_or(list_has_any(w, ['der', 'die'])) AS near_target, bool_or(list_has_any(w, ['the', 'and'])) AS near_other FROM w GROUP BY ALL) SELECT *, near_other AND NOT near_target AS flagged FROM n""")
+#: The rest of the attribution rules, on documents that are their own sources; no SQL twin.
+P.add("entity_attribution_evidence", lambda r: A.attribution_evidence(r("documents").select("doc_id", "text"), r("documents").select("doc_id", "text"), "doc_id", ["der", "die"], ["the", "and"], ["with", "mit"], ["in", "of", "und"]))
 P.add("source_labeling", lambda r: A.source_labeling(r("documents").select(F.col("doc_id").alias("claim_id"), F.col("source")), r("documents").groupBy("source").agg(F.count("*").alias("n")).where("n >= 50")), "SELECT doc_id AS claim_id, source, coalesce(source IN (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY source HAVING count(*) >= 50), false) AS labelled FROM documents")
 
 
@@ -73,6 +75,8 @@ VALUES = ", ".join(f"('{a}', '{b}', {c})" for a, b, c in SKILLS)
 P.add("skill_match", lambda r: A.skill_match(r("conversations"), ["conv_id", "turn"], r("conversations").sparkSession.createDataFrame(SKILLS, "skill string, keyword string, weight int")), f"WITH w AS (SELECT DISTINCT conv_id, turn, keyword FROM (SELECT conv_id, turn, {WORDS} AS keyword FROM conversations)), s AS (SELECT conv_id, turn, skill, CAST(sum(weight) AS BIGINT) AS score FROM w JOIN (VALUES {VALUES}) v(skill, keyword, weight) USING (keyword) GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, skill) AS INTEGER) AS rank FROM s")
 P.add("template_match", lambda r: A.template_match(r("conversations"), ["conv_id", "turn"], [("a", ["der", "die"]), ("b", ["the", "and"]), ("c", ["le"])]), r"WITH w AS (SELECT conv_id, turn, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+') AS w FROM conversations) SELECT conv_id, turn, CASE WHEN list_has_all(w, ['der', 'die']) THEN 'a' WHEN list_has_all(w, ['the', 'and']) THEN 'b' WHEN list_has_all(w, ['le']) THEN 'c' END AS template FROM w")
 P.add("goal_overlap", lambda r: A.goal_overlap(r("conversations")), r"WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+'), lambda x: length(x) >= 4) AS w FROM conversations) SELECT conv_id, turn, coalesce(list_has_any(w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn)), false) AS overlap FROM w")
+#: Words of three letters and stop words as surveyed; no SQL twin.
+P.add("goal_overlap_words", lambda r: A.goal_overlap(r("conversations"), 3, A.GOAL_WORD, A.GOAL_STOP))
 
 
 def latencies(r):

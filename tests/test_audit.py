@@ -14,3 +14,31 @@ def test_resolve_parts(spark):
         ("米", 1, "1", 13), ("米", 2, "4", 6), ("米", 3, "5", 6), ("米", 4, "2", 5), ("米", 5, "8", 4),
     ])
     assert {(x.query, x.code) for x in A.resolve_names(asked.where("query <> ''"), known).collect()} == {("小米", "4"), ("米", "5")}
+
+
+def test_names_in_unspaced_text(spark):
+    docs = spark.createDataFrame([(1, "腾讯营收增速30%"), (2, "据Line称4%"), (3, "airline 5")], "doc_id long, text string")
+    got = {(x.doc_id, x.number, x.near_target, x.flagged) for x in A.entity_attribution(docs, ["腾讯"], ["line"]).collect()}
+    assert got == {(1, "30", True, False), (2, "4", False, True), (3, "5", False, False)}
+    facts = spark.createDataFrame([("百度营收",), ("腾讯与百度",), ("行业",), (None,)], "label string")
+    assert {x.label for x in A.foreign_entity_filter(facts, "腾讯", ["百度"]).collect()} == {"腾讯与百度", "行业", None}
+
+
+def test_attribution_evidence(spark):
+    pad = "很" * 90
+    reports = [(1, "腾讯占比4%"), (2, "腾讯占比4%"), (3, "腾讯投资占比4%"), (4, "占比4%"), (5, "腾讯占比4%"), (6, "腾讯低于百度占比4%"), (7, "腾讯占比4%"), (8, "腾讯占比4%"), (9, "腾讯占比4%")]
+    sources = [
+        (1, "x。Line占比4%"), (2, "Line占比4%。腾讯占比4%"), (3, "Line占比4%"), (4, "Line占比4%"), (5, f"Line{pad}占比4%"), (6, "Line占比4%"),
+        (7, "说到Line。占比4%"), (8, f"Line{pad}。占比4%"), (9, "占比5%"),
+    ]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.number, x.contaminated, x.ambiguous) for x in A.attribution_evidence(frame(reports), frame(sources), "doc_id", ["腾讯"], ["line", "百度"]).collect()}
+    dirty = {1, 7}
+    assert got == {i: ("4", i in dirty, i == 4) for i in range(1, 9)}
+
+
+def test_goal_overlap_of_han_and_short_words(spark):
+    turns = [(1, 1, "看新能源汽车"), (1, 2, "汽车销量"), (1, 3, "big cat"), (1, 4, "a cat 报告"), (1, 5, "报告 the"), (1, 6, "the")]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, text string")
+    assert [x.overlap for x in A.goal_overlap(rows).orderBy("turn").collect()] == [False, True, False, False, True, False]
+    assert [x.overlap for x in A.goal_overlap(rows, 3, A.GOAL_WORD, A.GOAL_STOP).orderBy("turn").collect()] == [False, True, False, True, False, False]
