@@ -1,19 +1,22 @@
-"""LM scoring: stupid-backoff bigram scores from count tables partitioned by hash.
-
-A word is a run without ASCII white space; every non-empty document starts with a begin mark. A word's score
-is count(previous, word) / count(previous as a first word); for a pair never seen it is 0.4 * count(word) / tokens. A document's
-score is the mean natural log over its words.
-
-``score`` is the plain relational form for any two tables: exploded bigrams join the count tables.
-``score_self`` scores a corpus by its own counts. There every pair has been seen, so the log of a document is a
-sum over single n-grams: log count(pair) minus log count(previous). Each n-gram crosses the network once, as
-8 bytes in a block of its hash bucket; a bucket counts its n-grams and returns, for each
-slice of documents, a block of sums.
-N-grams with more than 1 / HEAVY of all tokens (so at most HEAVY of each order) are counted first and looked
-up before the shuffle; so no n-gram is hot in any bucket.
-
-Defined cases: null and empty texts have no words: n_words 0 and score null; rows with equal ids are scored
-as parts of one document (one result row for each id, null included); an empty table gives no rows.
+"""LM scoring: stupid-backoff scores from n-gram count tables, joined to the exploded n-grams of the documents.
+
+A word is a run without ASCII white space; a document with words starts with order - 1 begin marks. The score of
+a word is count(n-gram) / count(its context) for the longest n-gram, up to the order, that the corpus holds; every
+order that must be given up costs a factor of ALPHA, and a word is at last scored by count(word) / all words (a
+word never seen counts as half an occurrence). A document's score is the mean natural log over its words.
+
+``score_self`` scores a corpus by its own counts with the document's own n-grams taken out (count - own count), so a
+text is measured by the rest of the corpus: copies stand out and new text backs off. ``score`` takes the counts of
+another corpus. Both run one plan. N-grams travel as 64-bit hashes. Each order has a count table, partitioned by
+hash through a partially aggregated group-by, and one join: a row whose n-gram was found asks the next table for
+its context, a row whose n-gram was not found asks the same table for the shorter n-gram, so one look-up an order
+is enough for both. Words above 1 / HOT of all words are looked up in a broadcast of at most HOT rows, and their
+rows are spread over the tasks; an n-gram of higher order has one row a document, and adaptive execution splits
+the partitions of a join that are still too large.
+
+Defined cases: a null or empty text has 0 words and a null score; every row is a document of its own, so null and
+repeated ids, of any type, keep their rows, and repeated rows count as copies of each other; other columns are
+not read; an empty table gives no rows; an empty corpus leaves half an occurrence for each word.
 """
 
 from __future__ import annotations
@@ -24,17 +27,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.io import cut_lineage
 
-ALPHA, BEGIN = 0.4, b"\x02"
-#: At most so many n-grams of an order are looked up before the shuffle; n-grams in one bucket.
-HEAVY, PER_BUCKET, COMMON = 50_000, 6_000_000, 1000
+ALPHA, BEGIN, ORDER = 0.4, b"\x02", 3
+#: Words with more than 1 / HOT of all words are broadcast: at most HOT rows.
+HOT = 10_000
 #: Bytes of text split into words at a time, and words whose hash a worker keeps.
-SLICE, CACHE, NONE = 1 << 21, 200_000, -(1 << 63)
+SLICE, CACHE = 1 << 21, 200_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -51,177 +53,165 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Ids (null as the least long) and texts of a batch, a few rows at a time."""
-    ids = batch.column(0).fill_null(NONE).to_numpy()
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """First row and texts of the pieces of a batch, a few rows at a time."""
     if not batch.num_rows:
         return
-    data = pc.cast(batch.column(1), pa.large_binary()).fill_null(b"")
+    data = pc.cast(batch.column(batch.num_columns - 1), pa.large_binary()).fill_null(b"")
     part = np.cumsum(pc.binary_length(data).to_numpy(zero_copy_only=False)) // SLICE
     first = np.flatnonzero(np.diff(part, prepend=-1))
     for a, z in zip(first, np.append(first[1:], len(part)), strict=True):
-        yield ids[a:z], data.slice(a, z - a).to_pylist()
+        yield a, data.slice(a, z - a).to_pylist()
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, begin marks included, and the row of each."""
-    each = [([BEGIN] + w) if (w := t.split()) else [] for t in texts]
+def _words(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words with begin marks, the row of each, and which are words."""
+    each = [[BEGIN] * (order - 1) + w if (w := t.split()) else w for t in texts]
     sizes = np.fromiter(map(len, each), np.int64, len(each))
     flat = np.fromiter((_HASHES[w] for ws in each for w in ws), np.uint64, int(sizes.sum()))
-    return flat, np.repeat(np.arange(len(each)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return flat, np.repeat(np.arange(len(each)), sizes), place >= order - 1
 
 
-def _pairs(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pair hashes and which positions of h start a pair."""
-    starts = np.flatnonzero(row[1:] == row[:-1]) if len(h) else np.zeros(0, np.int64)
-    x = (h[starts] ^ (h[starts] >> np.uint64(29))) * _K1 + h[starts + 1] * _K2
-    return (x ^ (x >> np.uint64(32))) * _K1, starts
+def _grams(h: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each order up to ``order`` the hash of the n-gram that ends at a position (positions start at order - 1)."""
+    out = [h[order - 1 :]]
+    for n in range(2, order + 1):
+        before, x = h[order - n : len(h) - n + 1], out[-1]
+        x = (before ^ (before >> np.uint64(29))) * _K1 + x * _K2 + np.uint64(n)
+        out.append((x ^ (x >> np.uint64(32))) * _K1)
+    return out
 
 
-def _counted(batches: Iterator[pa.RecordBatch], pick) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [pick(*_words(texts)) for _, texts in _slices(b)]
-        keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["h", "n"])
+def _own(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each element, how often its key occurs in its row."""
+    at = np.lexsort((keys, rows))
+    new = np.concatenate(([True], (keys[at][1:] != keys[at][:-1]) | (rows[at][1:] != rows[at][:-1])))
+    first = np.flatnonzero(new)
+    out = np.empty(len(keys), np.int64)
+    out[at] = np.repeat(np.diff(np.append(first, len(keys))), np.diff(np.append(first, len(keys))))
+    return out
 
 
-def _heavy(counts: DataFrame, total: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and count of n-grams above total / limit: fewer than ``limit`` rows by that threshold."""
-    rows = counts.where(F.col("n") > total / limit).toPandas().sort_values("h")
-    return rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
-
-
-class _Known:
-    """Logs of the counts of heavy n-grams."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.logs = hashes[order], np.log(counts[order])
-
-    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.hashes):
-            return np.zeros(len(x), bool), np.zeros(len(x))
-        at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
-        hit = self.hashes[at] == x
-        return hit, np.where(hit, self.logs[at], 0.0)
+def ngram_counts(corpus: DataFrame, n: int, order: int, text: str = "text") -> DataFrame:
+    """(gram, total) of one order; the begin marks that stand before a text count as words of it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.zeros(0, np.uint64)]
+            for _, texts in _slices(b):
+                h, row, _ = _words(texts, order)
+                whole = row[n - 1 :] == row[: len(row) - n + 1]
+                found.append(_grams(h, n)[n - 1][whole])
+            keys, times = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times)], ["gram", "times"])
 
-def score_self(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_words, score) of every document under the counts of all documents."""
-    docs = df.select(F.col(id_col).cast("long").alias("id_"), F.col(text).alias("text_"))
-    words = docs.mapInArrow(lambda it: _counted(it, lambda h, row: h[_pairs(h, row)[1]]), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    words = cut_lineage(words)  # two numbers for each distinct word; counted once, read for the total and for the heavy ones
-    total = words.agg(F.sum("n")).first()[0] or 0
-    hashes, counts = _heavy(words, total, HEAVY)
-    common = np.sort(hashes[np.argsort(-counts, kind="stable")[:COMMON]])
+    rows = corpus.select(F.col(text).alias("text_")).mapInArrow(run, "gram long, times long")
+    return rows.groupBy("gram").agg(F.sum("times").alias("total"))
 
-    def common_pairs(h: np.ndarray, row: np.ndarray) -> np.ndarray:
-        # a pair is at most as frequent as its rarer word, so other pairs have under 1 / COMMON of the tokens
-        pairs, starts = _pairs(h, row)
-        usual = np.isin(h, common)
-        return pairs[usual[starts] & usual[starts + 1]]
 
-    pair_counts = docs.mapInArrow(lambda it: _counted(it, common_pairs), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    pair_hashes, pair_numbers = _heavy(pair_counts, total, HEAVY)
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((hashes, counts, pair_hashes, pair_numbers))  # at most 2 * HEAVY pairs of numbers
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // PER_BUCKET)
+def exploded(df: DataFrame, order: int, id_col: str = "doc_id", text: str = "text", own: bool = True) -> DataFrame:
+    """One row for each distinct n-gram of a document: (id_, row_, words, times, g<n>, o<n>, c<n>, p<n>).
 
-    names = ["bucket", "slice", "sign", "places", "counts", "items"]
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    g<n> and o<n> are the hash of the n-gram and how often the document holds it (0 if own is False), c<n> and p<n>
+    the same for the n-gram one place earlier, the context of the next order. A document without words gives one row
+    with times 0.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    names = [f"{x}{n}" for n in range(1, order + 1) for x in (("g", "o", "c", "p") if n < order else ("g", "o"))]
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h1, n1, h2, n2 = shared.value
-        one, two = _Known(h1, n1), _Known(h2, n2)
-        number = TaskContext.get().partitionId() << 32  # the same again if a task is run again
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, texts in _slices(b):
-                number += 1
-                h, row = _words(texts)
-                pairs, starts = _pairs(h, row)
-                base, out = np.zeros(len(ids)), []
-                for items, rows, known, sign in ((pairs, row[starts], two, 1), (h[starts], row[starts], one, -1)):
-                    hit, logs = known.find(items)
-                    base += sign * np.bincount(rows, logs, len(ids))
-                    items, rows = items[~hit], rows[~hit]
-                    if not len(items):
+            for start, texts in _slices(b):
+                h, row, word = _words(texts, order)
+                size = np.bincount(row[word], minlength=len(texts))
+                at = np.flatnonzero(word)
+                grams = [g[at - order + 1] for g in _grams(h, order)] if len(h) else [h] * order
+                rows = row[at]
+                pick = np.lexsort((grams[-1], rows))  # one of every distinct n-gram
+                pick = pick[np.concatenate(([True], (np.diff(grams[-1][pick].view(np.int64)) != 0) | (np.diff(rows[pick]) != 0)))] if len(pick) else pick
+                times = _own(rows, grams[-1])[pick]
+                empty = np.flatnonzero(size == 0)
+                pad = lambda x, fill=0, empty=empty: np.concatenate((x, np.full(len(empty), fill, x.dtype)))
+                columns = {}
+                for n in range(1, order + 1):
+                    g = grams[n - 1]
+                    columns[f"g{n}"] = pad(g[pick]).view(np.int64)
+                    if n == order:
+                        columns[f"o{n}"] = pad(times * own).astype(np.int32)
                         continue
-                    key = (items >> np.uint64(17)).astype(np.int64) % buckets * len(ids) + rows
-                    order = np.argsort(key, kind="stable")
-                    key, items = key[order], items[order]
-                    first = np.flatnonzero(np.diff(key, prepend=-1))
-                    counts, where = np.diff(np.append(first, len(key))), key[first]
-                    cut = np.flatnonzero(np.diff(where // len(ids), prepend=-1))
-                    for i, j in zip(cut, np.append(cut[1:], len(where)), strict=True):
-                        stop = first[j] if j < len(first) else len(items)
-                        out.append((where[i] // len(ids), number, sign, (where[i:j] % len(ids)).astype("<i4").tobytes(), counts[i:j].astype("<i4").tobytes(), items[first[i] : stop].tobytes()))
-                n = np.bincount(row[starts], minlength=len(ids))
-                out.append((number % buckets, number, 0, ids.astype("<i8").tobytes(), n.astype("<i4").tobytes(), base.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    def count(part: pa.Table) -> pa.Table:
-        """Counts the n-grams of a bucket; every block gives one log for each of its documents."""
-        sign, blocks = part["sign"].to_numpy(), part.select(["places", "counts", "items"]).to_pydict()
-        sums: list[bytes] = list(blocks["items"])
-        for s in (1, -1):
-            rows = np.flatnonzero(sign == s)
-            if not len(rows):
-                continue
-            _, item, n = np.unique(np.frombuffer(b"".join(blocks["items"][i] for i in rows), "<u8"), return_inverse=True, return_counts=True)
-            logs, at = s * np.log(n)[item], 0
-            for i in rows:
-                size = np.frombuffer(blocks["counts"][i], "<i4")
-                ends = np.cumsum(size)
-                sums[i] = np.add.reduceat(logs[at : at + ends[-1]], ends - size).astype("<f8").tobytes()
-                at += ends[-1]
-        return pa.table({"slice": part["slice"], "sign": part["sign"], "places": part["places"], "counts": part["counts"], "sums": pa.array(sums, pa.binary())})
-
-    def total_up(part: pa.Table) -> pa.Table:
-        """Adds the logs of a slice of documents over all buckets."""
-        rows = part.to_pylist()
-        whole = next(r for r in rows if r["sign"] == 0)
-        ids, n, logs = np.frombuffer(whole["places"], "<i8"), np.frombuffer(whole["counts"], "<i4"), np.frombuffer(whole["sums"], "<f8").copy()
-        for r in rows:
-            if r["sign"]:  # the places of a block are distinct
-                logs[np.frombuffer(r["places"], "<i4")] += np.frombuffer(r["sums"], "<f8")
-        return pa.table({"id_": pa.array(ids, mask=ids == NONE), "logs": logs, "n": n.astype(np.int64)})
-
-    dealt = docs.mapInArrow(deal, "bucket int, slice long, sign int, places binary, counts binary, items binary")
-    counted = dealt.groupBy("bucket").applyInArrow(count, "slice long, sign int, places binary, counts binary, sums binary")
-    sums = counted.groupBy("slice").applyInArrow(total_up, "id_ long, logs double, n long")
-    return sums.groupBy("id_").agg(F.sum("n").alias("n_words"), F.sum("logs").alias("logs")).select(
-        F.col("id_").alias(id_col), "n_words", F.when(F.col("n_words") > 0, F.col("logs") / F.col("n_words")).alias("score")
-    )
-
-
-def _grams(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Exploded bigrams (id_, previous, word); documents without words give none."""
-    found: Column = F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    marked = F.concat(F.array(F.lit(BEGIN.decode())), found)
-    rows = df.select(F.col(id_col).alias("id_"), marked.alias("w"))
-    return rows.select("id_", F.inline(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("previous"), F.slice("w", 2, F.size("w") - 1).alias("word"))))
-
-
-def score(df: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text: str = "text", corpus_id: str = "doc_id", corpus_text: str = "text") -> DataFrame:
-    """(id, n_words, score) of every document of df under the counts of another corpus.
-
-    Words that the corpus never saw count as half an occurrence.
+                    whole = row[n - 1 :] == row[: len(row) - n + 1]
+                    every = _grams(h, n)[n - 1] if len(h) else h  # begin marks included, as in the counts
+                    counts = np.zeros(len(every), np.int64)
+                    counts[whole] = _own(row[n - 1 :][whole], every[whole])
+                    columns[f"o{n}"] = pad(counts[at - n + 1][pick] * own).astype(np.int32)
+                    columns[f"c{n}"] = pad(every[at - n][pick]).view(np.int64)
+                    columns[f"p{n}"] = pad(counts[at - n][pick] * own).astype(np.int32)
+                of = np.concatenate((rows[pick], empty))
+                ids = b.column(0).take(pa.array(of + start))
+                keys = b.column(1).take(pa.array(of + start))
+                words, times = size[of], pad(times)
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(words), pa.array(times), *[pa.array(columns[c]) for c in names]], ["id_", "row_", "words", "times", *names])
+
+    schema = f"id_ {kind}, row_ long, words long, times long, " + ", ".join(f"{c} {'long' if c[0] in 'gc' else 'int'}" for c in names)
+    return df.select(F.col(id_col).alias("id_"), F.monotonically_increasing_id().alias("row_"), F.col(text).alias("text_")).mapInArrow(run, schema)
+
+
+def _found(rows: DataFrame, key: Column, own: Column, counts: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Adds ``n``: the count of the key outside the document (null if the table lacks it).
+
+    hot: a bounded part of the table; rows that find their key there are spread by row instead of by key.
     """
-    known = cut_lineage(_grams(corpus, corpus_id, corpus_text).groupBy("previous", "word").agg(F.count("*").alias("c2")))
-    before = known.groupBy("previous").agg(F.sum("c2").alias("c1"))
-    single = known.groupBy("word").agg(F.sum("c2").alias("c0"))
-    tokens = known.agg(F.sum("c2")).first()[0] or 0
-    asked = _grams(df, id_col, text).groupBy("id_", "previous", "word").agg(F.count("*").alias("times"))
-    joined = asked.join(known, ["previous", "word"], "left").join(before, "previous", "left").join(single, "word", "left")
-    rare = F.lit(ALPHA) * F.coalesce(F.col("c0").cast("double"), F.lit(0.5)) / F.lit(float(max(1, tokens)))
-    sums = joined.groupBy("id_").agg(F.sum("times").alias("n_words"), F.sum(F.col("times") * F.log(F.when(F.col("c2") > 0, F.col("c2") / F.col("c1")).otherwise(rare))).alias("logs"))
-    ids = df.select(F.col(id_col).alias("id_")).distinct()
-    out = ids.join(sums, ids["id_"].eqNullSafe(sums["id_"]), "left").select(ids["id_"].alias(id_col), F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), "logs")
-    return out.select(id_col, "n_words", (F.col("logs") / F.col("n_words")).alias("score"))
+    rows = rows.withColumns({"key": key, "own": own})
+    if hot is not None:
+        rows = rows.join(F.broadcast(hot.select(F.col("gram").alias("key"), F.col("total").alias("hot"))), "key", "left")
+        rows = rows.withColumn("key", F.when(F.col("hot").isNotNull(), F.xxhash64("row_", "key")).otherwise(F.col("key")))
+    table = counts.select(F.col("gram").alias("key"), "total")
+    rows = rows.join(table, "key", "left")
+    total = F.coalesce("hot", "total") if hot is not None else F.col("total")
+    return rows.withColumn("n", total - F.col("own")).drop("key", "own", "total", "hot")
+
+
+def _scored(df: DataFrame, corpus: DataFrame, order: int, id_col: str, text: str, corpus_text: str, own: bool) -> DataFrame:
+    single = cut_lineage(ngram_counts(corpus, 1, order, corpus_text))  # two numbers for each distinct word
+    mark = F.lit(int(np.uint64(xxhash.xxh64_intdigest(BEGIN)).view(np.int64)))
+    everything = single.agg(F.sum("total"), F.sum(F.when(F.col("gram") != mark, F.col("total")))).first()
+    hot = cut_lineage(single.where(F.col("total") > (everything[0] or 0) / HOT))  # fewer than HOT rows by that threshold
+    tables = {n: ngram_counts(corpus, n, order, corpus_text) for n in range(2, order + 1)} | {1: single}
+    rows = exploded(df, order, id_col, text, own).withColumns({"level": F.lit(0), "value": F.lit(0.0)})
+    for n in range(order, 0, -1):
+        # level: the order at which a count was found; it is still open (0), waits for its context (n + 1), or is done (above)
+        waits = F.col("level") == n + 1
+        if n < order:
+            key, mine = F.when(waits, F.col(f"c{n}")).otherwise(F.col(f"g{n}")), F.when(waits, F.col(f"p{n}")).otherwise(F.col(f"o{n}"))
+        else:
+            key, mine = F.col(f"g{n}"), F.col(f"o{n}")
+        done = F.col("level") > n + 1
+        if n < order - 1:  # rows that are done meet nobody and are spread
+            key = F.when(done, F.xxhash64("row_", F.lit(n))).otherwise(key)
+        rows = _found(rows, key, mine, tables[n], hot if n == 1 else None)
+        gained = F.when(waits, -F.log("n")).when(~done & (F.col("n") > 0), F.log("n")).when(~done, F.lit(float(np.log(ALPHA))) if n > 1 else F.lit(float(np.log(0.5)))).otherwise(0.0)
+        found = (F.col("level") == 0) & ((F.col("n") > 0) if n > 1 else F.lit(True))
+        rows = rows.withColumns({"value": F.col("value") + gained, "level": F.when(found, n).otherwise(F.col("level"))})
+        rows = rows.drop(*[f"{x}{n}" for x in "gocp"], "n")
+    rest = F.greatest(F.lit(1.0), F.lit(float(everything[1] or 0)) - (F.col("words") if own else F.lit(0)))
+    value = F.col("value") - F.when(F.col("level") == 1, F.log(rest)).otherwise(0.0)
+    sums = rows.groupBy("id_", "row_").agg(F.max("words").alias("n_words"), F.sum(F.col("times") * value).alias("logs"))
+    return sums.select(F.col("id_").alias(id_col), "n_words", F.when(F.col("n_words") > 0, F.col("logs") / F.col("n_words")).alias("score"))
+
+
+def score_self(df: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
+    """(id, n_words, score) of every row under the counts of all other rows."""
+    return _scored(df, df, order, id_col, text, text, True)
+
+
+def score(df: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text: str = "text", corpus_text: str = "text", order: int = ORDER) -> DataFrame:
+    """(id, n_words, score) of every row of df under the counts of another corpus."""
+    return _scored(df, corpus, order, id_col, text, corpus_text, False)
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    """The mean log score of every document under the counts of all documents."""
+    """The mean log score of every document under the counts of all other documents."""
     from tessera.io import table
 
     found = score_self(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -229,17 +219,26 @@ def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH words AS (
-  SELECT doc_id, [chr(2)] || regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents
+), places AS (
+  SELECT r, len(w) AS n_words, [chr(2), chr(2)] || w AS w, unnest(generate_series(1, len(w) + 2)) AS i FROM texts WHERE len(w) > 0
 ), grams AS (
-  SELECT doc_id, unnest(w[:-2]) AS previous, unnest(w[2:]) AS word FROM words WHERE len(w) > 1
-), pairs AS (
-  SELECT previous, word, count(*) AS c2 FROM grams GROUP BY ALL
-), firsts AS (
-  SELECT previous, sum(c2) AS c1 FROM pairs GROUP BY ALL
+  SELECT r, n_words, i, hash(w[i]) AS w, hash(w[i - 1], w[i]) AS vw, hash(w[i - 2], w[i - 1], w[i]) AS uvw FROM places
+), counts AS (  -- of each n-gram outside the document; n-grams with places before the text are not asked for
+  SELECT r, n_words, i,
+    count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY r, w) AS w,
+    count(*) OVER (PARTITION BY vw) - count(*) OVER (PARTITION BY r, vw) AS vw,
+    count(*) OVER (PARTITION BY uvw) - count(*) OVER (PARTITION BY r, uvw) AS uvw
+  FROM grams
+), asked AS (
+  SELECT *, lag(w) OVER before AS v, lag(vw) OVER before AS uv FROM counts WINDOW before AS (PARTITION BY r ORDER BY i)
+), everything AS (
+  SELECT sum(len(w)) AS n FROM texts
 ), sums AS (
-  SELECT doc_id, count(*) AS n_words, sum(ln(c2 / c1)) AS logs FROM grams JOIN pairs USING (previous, word) JOIN firsts USING (previous) GROUP BY doc_id
+  SELECT r, sum(CASE WHEN uvw > 0 THEN ln(uvw) - ln(uv) WHEN vw > 0 THEN ln(0.4) + ln(vw) - ln(v)
+    ELSE 2 * ln(0.4) + ln(greatest(w, 0.5)) - ln(greatest(1, n - n_words)) END) AS logs
+  FROM asked, everything WHERE i > 2 GROUP BY r
 )
-SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(logs / n_words, 6) AS score
-FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN sums USING (doc_id)
+SELECT doc_id, len(w) AS n_words, round(logs / len(w), 6) AS score FROM texts LEFT JOIN sums USING (r)
 """

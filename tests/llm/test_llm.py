@@ -3,8 +3,10 @@
 import hashlib
 import json
 import random
+import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -273,13 +275,53 @@ def test_language_edges(spark):
     assert language.Compressors({}).predict("abc")[0] == "und"
 
 
-def test_lm_self_score_equals_relational_score(spark):
-    df = odd_docs(spark).where("doc_id is not null").unionByName(spark.createDataFrame([(100, "the cat saw the dog the cat"), (101, "the dog saw")], "doc_id long, text string"), allowMissingColumns=True).dropDuplicates(["doc_id"])
-    one = {r.doc_id: (r.n_words, r.score and round(r.score, 9)) for r in lm.score_self(df).collect()}
-    two = {r.doc_id: (r.n_words, r.score and round(r.score, 9)) for r in lm.score(df, df).collect()}
-    assert one == two and one[0] == (0, None)
-    out = lm.score(spark.createDataFrame([(1, "zebra")], "doc_id long, text string"), df).first()
-    assert out.n_words == 1 and out.score < -5
+def brute_lm(texts, corpus, order, own):
+    """Mean log scores by a plain loop; with own, counts of the text itself are taken out."""
+    pad = lambda t: ["\x02"] * (order - 1) + w if (w := re.findall(r"[^ \t\n\x0b\f\r]+", t or "")) else []
+    grams = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    every = sum((grams(pad(t)) for t in corpus), Counter())
+    total = sum(max(0, len(pad(t)) - order + 1) for t in corpus)
+    out = []
+    for t in texts:
+        w = pad(t)
+        mine = grams(w) if own else Counter()
+        count, size, logs = lambda g: every[g] - mine[g], max(0, len(w) - order + 1), 0.0  # noqa: B023,E731
+        for i in range(order - 1, len(w)):
+            for n in range(order, 0, -1):
+                g = tuple(w[i - n + 1 : i + 1])
+                if n == 1:
+                    logs += np.log(max(count(g), 0.5) / max(1, total - (size if own else 0)))
+                elif count(g):
+                    logs += np.log(count(g) / count(g[:-1]))
+                    break
+                else:
+                    logs += np.log(0.4)
+        out.append((size, round(logs / size, 9) if size else None))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores_against_brute_force(spark, order):
+    texts = [t for t in ODD] + ["the cat saw the dog the cat", "the dog saw the cat", "the dog saw the cat", "zebra", "a b a b a b a"]
+    df = spark.createDataFrame([(None if i % 5 == 0 else f"id{i % 4}", t, i) for i, t in enumerate(texts)], "doc_id string, text string, total int")
+    got = sorted((r.n_words, r.score is not None and round(r.score, 9)) for r in lm.score_self(df, order=order).collect())
+    assert got == sorted((n, x is not None and x) for n, x in brute_lm(texts, texts, order, True))
+    assert sorted(str(r.doc_id) for r in lm.score_self(df, order=order).collect()) == sorted(str(r.doc_id) for r in df.collect())
+    other = spark.createDataFrame([("the cat saw a zebra and the dog",), (None,)], "text string")
+    got = sorted((r.n_words, r.score is not None and round(r.score, 9)) for r in lm.score(df, other, order=order).collect())
+    assert got == sorted((n, x is not None and x) for n, x in brute_lm(texts, ["the cat saw a zebra and the dog", None], order, False))
+
+
+def test_lm_empty_tables_and_copies(spark):
+    df = odd_docs(spark)
+    assert lm.score_self(df.limit(0)).count() == 0
+    assert lm.score(df, df.limit(0)).where("n_words > 0 and score is null").count() == 0
+    r = random.Random(5)
+    new = lambda: " ".join(f"v{r.randrange(300)}" for _ in range(120))
+    copied = [new() for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(copied * 2 + [new() for _ in range(40)])), "doc_id int, text string")
+    scores = {x.doc_id: x.score for x in lm.score_self(docs).collect()}
+    assert min(scores[i] for i in range(20)) > max(scores[i] for i in range(20, 60))
 
 
 def test_oracles(spark):
