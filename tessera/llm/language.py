@@ -2,48 +2,57 @@
 
 For every learned language a zstandard raw-content dictionary is filled with the words of sample texts, the
 commonest last, where matches are cheapest; a word goes to the language that uses it in the largest share
-of documents, so passages quoted in another language do no harm. A text, as its lower-case words without
-repeats inside a segment, is compressed with each dictionary; the language with the smallest total size
-wins. The answer is rejected where the margin to the second language is narrow.
+of documents, so passages quoted in another language do no harm. A text is lower-cased and compressed whole, in
+blocks of BLOCK bytes (so that a long text is compared with the dictionaries and not with itself), with each
+dictionary; the language with the smallest total size wins. Every block is followed by the same short pad, without
+which zstandard stores short blocks as they are. The answer is rejected where the margin to the second language is narrow.
 
 Bounds of training (parameters): at most ``sample_docs`` documents of a language, ``sample_chars``
-characters of each, ``dict_bytes`` of dictionary. They are picked by a hash of the id.
+characters of each, ``dict_bytes`` of dictionary, ``most_languages`` languages. Documents are picked by a hash of id and text.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0 and rejected; with one learned
-language the margin is 1; with none every text is ``und``; texts of any length are compressed whole.
+Defined cases: null texts and texts without a letter (Unicode category L) are ``und`` with score 0 and rejected; with one
+learned language the margin is 1; with none every text is ``und``; equal sizes go to the first language by name; null and
+repeated ids keep their rows (equal rows are learned once); other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-import re
 from collections import Counter
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W\d_]+")
-#: Level of compression and words in a segment.
-LEVEL, SEGMENT = 9, 512
+from tessera.io import cut_lineage
+
+LETTER, WORD = regex.compile(r"\p{L}"), regex.compile(r"\p{L}+")
+#: Level of compression, bytes of text in a block, and what follows each block.
+LEVEL, BLOCK, PAD = 12, 512, b"\n" * 32
 #: Narrowest margin, as a share of the second size, that is accepted.
 MARGIN = 0.003
 
 
-def train(df: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id", sample_docs: int = 300, sample_chars: int = 2000, dict_bytes: int = 1 << 16) -> dict[str, bytes]:
+def train(df: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id", sample_docs: int = 300, sample_chars: int = 2000, dict_bytes: int = 1 << 16, most_languages: int = 1000) -> dict[str, bytes]:
     """Dictionary content for each language of the rows given.
 
-    Only ids are ranked; the row limit in the window is applied before the shuffle. The texts that come
+    Only marks are ranked; the row limit in the window is applied before the shuffle. Texts are fetched by a broadcast
+    of the ranked marks, whose number is checked, so that no text is shuffled but the chosen ones. The texts that come
     to the driver are at most sample_docs * sample_chars characters for each language.
     """
-    ids = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(id_col, lang, F.xxhash64(F.col(id_col).cast("string")).alias("mark_"))
-    first = ids.withColumn("rank_", F.row_number().over(Window.partitionBy(lang).orderBy("mark_", id_col))).where(F.col("rank_") <= sample_docs)
-    chosen = df.select(id_col, text).join(first.select(id_col, lang, "mark_"), id_col)
+    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang_"), F.col(text).alias("text_"), F.xxhash64(id_col, lang, text).alias("mark_"))
+    ranked = rows.select("lang_", "mark_", F.row_number().over(Window.partitionBy("lang_").orderBy("mark_")).alias("rank_"))
+    first = cut_lineage(ranked.where(F.col("rank_") <= sample_docs).select("mark_").distinct())
+    if (n := first.count()) > sample_docs * most_languages:
+        raise ValueError(f"{n} training rows are chosen; more than {most_languages} languages cannot be learned")
+    chosen = rows.join(F.broadcast(first), "mark_", "left_semi")  # at most sample_docs * most_languages numbers
+    chosen = chosen.select("lang_", "mark_", F.substring("text_", 1, sample_chars).alias("start_")).distinct()
     texts: dict[str, list[str]] = {}
-    for r in chosen.select(lang, F.substring(text, 1, sample_chars)).collect():
-        texts.setdefault(r[0], []).append(r[1])
+    for r in sorted(chosen.collect()):
+        texts.setdefault(r["lang_"], []).append(r["start_"])
     return contents(texts, dict_bytes)
 
 
@@ -71,23 +80,20 @@ class Compressors:
 
     def __init__(self, content: dict[str, bytes]):
         self.by: dict[str, zstandard.ZstdCompressor] = {}
-        self.words = {lang: set(data.decode(errors="ignore").split()) for lang, data in content.items()}
         for lang, data in content.items():
             known = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             known.precompute_compress(level=LEVEL)
             self.by[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-    def sizes(self, text: str) -> dict[str, float]:
-        """Compressed bytes; the share of words missing in the dictionary adds less than a byte and breaks ties."""
-        found = words(text)
-        pieces = [" ".join(dict.fromkeys(found[i : i + SEGMENT])).encode() for i in range(0, len(found), SEGMENT)]
-        once = set(found)
-        missing = {lang: len(once - known) / (len(once) + 1) for lang, known in self.words.items()}
-        return {lang: sum(len(c.compress(p)) for p in pieces) + missing[lang] for lang, c in self.by.items()}
+    def sizes(self, text: str) -> dict[str, int]:
+        """Compressed bytes of the whole text by language."""
+        data = text.lower().encode()
+        blocks = [data[i : i + BLOCK] + PAD for i in range(0, len(data), BLOCK)]
+        return {lang: sum(len(c.compress(b)) for b in blocks) for lang, c in self.by.items()}
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score (a soft minimum over the sizes) and margin."""
-        if not text or not self.by or not WORD.search(text):
+        if not text or not self.by or not LETTER.search(text):
             return "und", 0.0, 0.0
         ranked = sorted((n, lang) for lang, n in self.sizes(text).items())
         best = ranked[0][0]

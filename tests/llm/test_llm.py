@@ -268,11 +268,43 @@ def test_language_on_held_out_rows(spark):
 
 
 def test_language_edges(spark):
-    content = language.contents({"en": ["the cat and the dog"] * 3, "de": ["der hund und die katze"] * 3})
+    content = language.contents({"en": ["the government announced another building"] * 3, "de": ["der Gemeinderat beschloss gestern ein Wohnhaus"] * 3})
     got = {r.doc_id: r for r in language.predict(odd_docs(spark), content).collect()}
-    assert got[0].lang_pred == got[1].lang_pred == got[2].lang_pred == "und" and not got[0].accepted
-    assert language.Compressors(content).predict("und der hund")[0] == "de"
+    assert len(got) == len(ODD) + 1 and got[0].lang_pred == got[1].lang_pred == got[2].lang_pred == "und" and not got[0].accepted
+    known = language.Compressors(content)
+    assert known.predict("Wohnhaus gestern")[0] == "de" and known.predict("another building")[0] == "en"
     assert language.Compressors({}).predict("abc")[0] == "und"
+    for t in ("½ ①", "²", "Ⅷ 12", "_", "!", "\u0301"):  # digits, marks and signs are no letters
+        assert known.predict(t) == ("und", 0.0, 0.0)
+    assert known.predict("ª")[0] != "und" and known.predict("中")[0] != "und"
+    assert language.predict(odd_docs(spark).limit(0), content).count() == 0
+    assert language.train(odd_docs(spark).limit(0)) == {}
+
+
+def test_language_training_is_bounded_and_keeps_odd_ids(spark):
+    rows = [(None, "the cat", "en")] * 50 + [(1, "the dog", "en"), (1, "a bird", "en"), (2, "der hund", "de"), (3, None, "de"), (4, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("mark_", F.lit("clash"))
+    assert set(b" ".join(language.train(docs).values()).split()) == {b"the", b"cat", b"dog", b"a", b"bird", b"der", b"hund"}
+    with pytest.raises(ValueError):
+        language.train(docs, sample_docs=1, most_languages=1)
+
+
+def test_language_against_a_plain_loop(spark):
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    content = language.train(docs)
+    kept = {r.doc_id: (r.lang_pred, r.accepted) for r in language.predict(docs, content).collect()}
+    for r in docs.collect():
+        sizes = {}
+        data = (r.text or "").lower().encode()
+        for lang, words in content.items():
+            known = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(data[i : i + language.BLOCK] + language.PAD)) for i in range(0, len(data), language.BLOCK))
+        (a, best), (b, _) = sorted((n, lang) for lang, n in sizes.items())[:2]
+        letters = any(unicodedata.category(x)[0] == "L" for x in r.text or "")
+        assert kept[r.doc_id] == ((best, (b - a) / b >= language.MARGIN) if letters else ("und", False))
 
 
 def brute_lm(texts, corpus, order, own):
