@@ -190,7 +190,7 @@ def brute_classes(docs):
     return {d: (find(d), len(links[d])) for d in ids}
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK, 3])
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 3, 2])
 def test_near_duplicates_against_all_pairs(spark, block):
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -207,6 +207,22 @@ def test_near_duplicates_against_all_pairs(spark, block):
     assert got == brute_classes(docs)
 
 
+def test_near_duplicates_recall_at_the_default(spark):
+    r = random.Random(6)
+    docs, pairs = [], []
+    for k in range(1500):  # pairs of similarity 0.8 to 0.95 by one to four changed words
+        w = [f"w{r.randrange(50_000)}" for _ in range(200)]
+        other = list(w)
+        for i in r.sample(range(0, 200, 8), r.randint(1, 4)):
+            other[i] = "x" + other[i]
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+        a, b = (set(jaccard.shingles(t).tolist()) for t in (docs[-2][1], docs[-1][1]))
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append((2 * k, 2 * k + 1))
+    got = {x.doc_id: x.class_id for x in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(pairs) > 1000 and sum(got[a] == got[b] for a, b in pairs) >= 0.998 * len(pairs)
+
+
 def test_near_duplicates_edges(spark):
     assert jaccard.near_duplicates(odd_docs(spark)).count() == len(ODD) + 2
     assert jaccard.near_duplicates(odd_docs(spark).limit(0)).count() == 0
