@@ -1,19 +1,23 @@
 """BPE encoding and decoding as streaming transducers.
 
-``Vocabulary`` reads a tokenizer file (path is a parameter) and computes the sufficient lookahead of its
-merge list: how many symbols to the right can still change a token. ``Encoder`` takes text in pieces of
-any size and gives tokens once they are stable; its state is one unfinished word, and of a word longer
-than the window only the lookahead. ``Decoder`` turns ids back: bytes pass through an incremental UTF-8
+``Vocabulary`` reads a tokenizer file (path is a parameter; other normalizers, pre-tokenizers or decoders than those
+it knows are refused) and computes the sufficient lookahead of its merge list: how many symbols to the right can still
+change a token. ``Encoder`` takes text in pieces of any size and gives tokens once they are stable. What follows the
+last blank waits; when it grows beyond LIMIT characters it is released without a blank: cut before a character that
+cannot join the one before it, normalised, split into words, and a word that is still open goes through ``LongWord``,
+which keeps a window of symbols. So the state is bounded (by LIMIT, a window and the piece given), whatever the text;
+the one exception is a run of combining marks, whose canonical order no cut can keep. ``Decoder`` turns ids back: bytes pass through an incremental UTF-8
 state machine, so that characters split over tokens come out once whole.
 
 The lookahead rests on this: merges run in order of rank, so a token boundary depends on text to its right
 only by a chain of merges of falling rank, each taking a piece from the right side of the next. The longest
 such chain, in symbols, is found by one pass over the merges in order of rank. Each junction between
 windows is checked besides: a sequence is the encoding of its text if every neighbouring pair of tokens
-encodes to itself. If a junction ever failed, the word is encoded in one piece instead.
+encodes to itself; a junction that fails would raise an error instead of giving wrong tokens.
 
 Defined cases: null and empty texts have no tokens; special tokens inside a text are matched as the
-library does; texts of any length are encoded whole.
+library does; texts of any length are encoded whole; null and repeated ids keep their rows; other columns are not
+read; an empty table gives no rows; null ids arrays decode to null.
 """
 
 from __future__ import annotations
@@ -32,7 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words kept with their tokens by a worker, longest word of the fast path, characters of text taken at a time.
-CACHE, SHORT, PIECE = 300_000, 256, 1 << 16
+CACHE, SHORT, PIECE = 100_000, 256, 1 << 16
+#: Characters without a blank that wait, and those at the end of a cut that stay for what may follow.
+LIMIT, TAIL = 1 << 13, 64
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
 
@@ -49,6 +55,10 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        parts = [p["type"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if steps != ["NFC", "Replace", "Lowercase"] or parts != ["Split", "ByteLevel"] or spec["decoder"] or spec["post_processor"] or model["type"] != "BPE":
+            raise ValueError(f"{path}: this encoder knows NFC, single spaces, lower case, a split pattern and bytes, and no decoder section")
         self.end = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -65,8 +75,23 @@ class Vocabulary:
         self.pattern = regex.compile(pattern.replace(r"\s", _SPACE) if r"[^\s" in pattern else pattern)
         self.white = regex.compile(f"[{_SPACE}]+")
         self.marks = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
+        self.signs = regex.compile(rf"[^{_SPACE}\p{{L}}\p{{N}}]+")
         self.lookahead = sufficient_lookahead(pairs, self.end)
 
+    def symbols(self, data: bytes, last: bool) -> list[int]:
+        """Ids of single bytes; the last one of a word carries its end."""
+        out = [self.inner[b] for b in data]
+        if last and data:
+            out[-1] = self.final[data[-1]]
+        return out
+
+    @functools.lru_cache(maxsize=100_000)  # noqa: B019  one vocabulary for each worker
+    def parts(self, token: int) -> tuple[int, ...]:
+        """The symbols of a token."""
+        text, end = self.words[token], self.end
+        last = bool(end) and text.endswith(end)
+        return tuple(self.symbols(bytes(self.bytes[c] for c in (text[: -len(end)] if last else text)), last))
+
     def normalize(self, text: str) -> str:
         """NFC, single spaces, lower case by character (so without the final form of sigma)."""
         return self.white.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
@@ -122,34 +147,148 @@ def merge_all(symbols: list[int], rank: dict) -> list[int]:
     return [t for t in token if t >= 0]
 
 
+_LETTERS = regex.compile(r"\p{L}+")
+
+
+class LongWord:
+    """Tokens of one word through a window: only those further than the lookahead from its end go out."""
+
+    def __init__(self, vocabulary: Vocabulary, window: int):
+        self.v, self.window = vocabulary, window
+        self.buffer: list[int] = []  # symbols whose tokens are open
+        self.byte = b""  # the last byte, which takes the word end if nothing follows
+        self.before: int | None = None
+
+    def feed(self, text: str, out: list[int]) -> None:
+        data = text.encode()
+        for at in range(0, len(data), self.window):
+            part = self.byte + data[at : at + self.window]
+            self.byte = part[-1:]
+            self.buffer += self.v.symbols(part[:-1], False)
+            if len(self.buffer) >= self.window:
+                tokens = self._merged()
+                used = 0
+                for t in tokens:
+                    size = len(self.v.parts(t))
+                    if used + size > len(self.buffer) - self.v.lookahead:
+                        break
+                    used += size
+                    out.append(t)
+                    self.before = t
+                self.buffer = self.buffer[used:]
+
+    def finish(self) -> list[int]:
+        self.buffer += self.v.symbols(self.byte, True)
+        return self._merged()
+
+    def _merged(self) -> list[int]:
+        tokens = merge_all(self.buffer, self.v.rank)
+        if self.before is not None and tokens:
+            both = [self.before, tokens[0]]
+            if merge_all([*self.v.parts(both[0]), *self.v.parts(both[1])], self.v.rank) != both:
+                raise RuntimeError("the lookahead of the merge list is not sufficient")
+        return tokens
+
+
 class Encoder:
     """Text pieces in, stable tokens out."""
 
-    def __init__(self, vocabulary: Vocabulary, window: int | None = None):
+    def __init__(self, vocabulary: Vocabulary, window: int | None = None, limit: int = LIMIT):
         self.v = vocabulary
         self.window = max(window or 4096, 2 * vocabulary.lookahead)
+        self.limit = limit
         self.known: dict[str, list[int]] = {}  # by piece between spaces
         self.stems: dict[str, list[int]] = {}  # by word
-        self.rest = ""
+        self.rest = ""  # text as given
+        self.open, self.norm = False, ""  # a run without blanks is being released; its normalised text that may still change
+        self.long: LongWord | None = None
+        self.kind = _LETTERS  # what continues the long word
+
+    def held(self) -> int:
+        """Characters and symbols of the state."""
+        return len(self.rest) + len(self.norm) + (len(self.long.buffer) if self.long else 0)
 
     def feed(self, piece: str) -> list[int]:
-        """Tokens that no later text can change; what follows the last white space waits."""
+        """Tokens that no later text can change."""
+        out: list[int] = []
         self.rest += piece
+        if self.open:
+            at = min((i for i in (self.rest.find(" "), self.rest.find("\n")) if i >= 0), default=-1)
+            if at < 0:
+                self._release(out)
+                return out
+            head, self.rest = self.rest[:at], self.rest[at:]
+            self._run(head, out, True)
         cut = max(self.rest.rfind(" "), self.rest.rfind("\n"))
-        if cut < 0:
-            return []
-        ready, self.rest = self.rest[:cut], self.rest[cut:]
-        return self._encode(ready)
+        if cut >= 0:
+            out += self._encode(self.rest[:cut])
+            self.rest = self.rest[cut:]
+        if len(self.rest) > self.limit:
+            self._release(out)
+        return out
 
     def finish(self) -> list[int]:
+        out: list[int] = []
         ready, self.rest = self.rest, ""
+        if self.open:
+            self._run(ready, out, True)
+            return out
         return self._encode(ready)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+        return [t for part in self.stream(text) for t in part]
+
+    def stream(self, text: str) -> Iterator[list[int]]:
+        """Tokens of a whole text, some at a time."""
         for at in range(0, len(text), PIECE):
-            out += self.feed(text[at : at + PIECE])
-        return out + self.finish()
+            yield self.feed(text[at : at + PIECE])
+        yield self.finish()
+
+    def _release(self, out: list[int]) -> None:
+        """Gives on what no blank has ended yet, up to a cut that neither normalisation nor a special token spans."""
+        text = self.rest
+        for at in range(len(text) - TAIL, 0, -1):
+            c = text[at]
+            joins = unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff"
+            if joins or any(m.start() + max(0, at - TAIL) < at < m.end() + max(0, at - TAIL) for m in self.v.marks.finditer(text[max(0, at - TAIL) : at + TAIL])):
+                continue
+            self.open, self.rest = True, text[at:]
+            self._run(text[:at], out, False)
+            return
+
+    def _run(self, text: str, out: list[int], last: bool) -> None:
+        at = 0
+        for mark in self.v.marks.finditer(text):
+            self._open_words(text[at : mark.start()], out, True)
+            out.append(self.v.special[mark[0]])
+            at = mark.end()
+        self._open_words(text[at:], out, last)
+        self.open = not last
+
+    def _open_words(self, text: str, out: list[int], last: bool) -> None:
+        """Words of a run that goes on, if not ``last``; matches that start in its last characters wait."""
+        self.norm += self.v.normalize(text)
+        if self.long:
+            found = self.kind.match(self.norm)
+            end = found.end() if found else 0
+            self.long.feed(self.norm[:end], out)
+            self.norm = self.norm[end:]
+            if not self.norm and not last:
+                return
+            out += self.long.finish()
+            self.long = None
+        words = list(self.v.pattern.finditer(self.norm))
+        keep = len(self.norm)
+        while not last and words and (words[-1].end() == len(self.norm) or words[-1].start() > len(self.norm) - 4):
+            keep = words.pop().start()
+        for w in words:
+            self._word(w[0], out)
+        self.norm = "" if last else self.norm[keep:]
+        if len(self.norm) > SHORT and (found := self.v.pattern.match(self.norm)) and found.end() == len(self.norm):
+            self.kind = _LETTERS if _LETTERS.match(self.norm) else self.v.signs
+            self.long = LongWord(self.v, self.window)
+            self.long.feed(self.norm, out)
+            self.norm = ""
 
     def _encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -177,54 +316,21 @@ class Encoder:
     def _words(self, piece: str) -> list[int]:
         out: list[int] = []
         for word in self.v.pattern.findall(self.v.normalize(piece)):
-            if len(word) > SHORT:
-                out.extend(self.long_word(word))
-                continue
-            tokens = self.stems.get(word)
-            if tokens is None:
-                if len(self.stems) >= CACHE:
-                    self.stems.clear()
-                tokens = self.stems[word] = merge_all(self._symbols(word.encode(), True), self.v.rank)
-            out += tokens
-        return out
-
-    def _symbols(self, data: bytes, last: bool) -> list[int]:
-        out = [self.v.inner[b] for b in data]
-        if last and data:
-            out[-1] = self.v.final[data[-1]]
+            self._word(word, out)
         return out
 
-    def long_word(self, word: str) -> Iterator[int]:
-        """Tokens of a word through a window: only those further than the lookahead from its end go out."""
-        data = word.encode()
-        rank, ahead, at, done, buffer = self.v.rank, self.v.lookahead, 0, [], []
-        while at < len(data) or buffer:
-            part = data[at : at + self.window]
-            at += len(part)
-            buffer += self._symbols(part, at >= len(data))
-            tokens = merge_all(buffer, rank)
-            if done and tokens and merge_all(self._parts(done[-1]) + self._parts(tokens[0]), rank) != [done[-1], tokens[0]]:
-                return iter(merge_all(self._symbols(data, True), rank))
-            if at >= len(data):
-                return iter(done + tokens)
-            used = 0
-            for t in tokens:
-                size = len(self._parts(t))
-                if used + size > len(buffer) - ahead:
-                    break
-                used += size
-                done.append(t)
-            buffer = buffer[used:]
-        return iter(done)
-
-    @functools.lru_cache(maxsize=100_000)  # noqa: B019  one encoder for each worker
-    def _cut(self, token: int) -> tuple[int, ...]:
-        text, end = self.v.words[token], self.v.end
-        last = bool(end) and text.endswith(end)
-        return tuple(self._symbols(bytes(self.v.bytes[c] for c in (text[: -len(end)] if last else text)), last))
-
-    def _parts(self, token: int) -> list[int]:
-        return list(self._cut(token))
+    def _word(self, word: str, out: list[int]) -> None:
+        if len(word) > SHORT:
+            long = LongWord(self.v, self.window)
+            long.feed(word, out)
+            out += long.finish()
+            return
+        tokens = self.stems.get(word)
+        if tokens is None:
+            if len(self.stems) >= CACHE:
+                self.stems.clear()
+            tokens = self.stems[word] = merge_all(self.v.symbols(word.encode(), True), self.v.rank)
+        out += tokens
 
 
 class Decoder:
@@ -287,12 +393,17 @@ def token_digests(df: DataFrame, path: str, id_col: str = "doc_id", text: str =
         encoder = worker_encoder(path)
         decoder = Decoder(encoder.v)
         number = {i: str(i) for i in encoder.v.words}
-        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for b in batches:
             rows = []
             for t in b["text_"]:
-                ids = encoder.encode(t or "")
-                rows.append((len(ids), sha(" ".join(map(number.__getitem__, ids))), sha(decoder.surface(ids))))
+                n, shown, decoded = 0, hashlib.sha256(), hashlib.sha256()
+                for ids in encoder.stream(t or ""):  # some tokens at a time, so that no list grows with the text
+                    if ids:
+                        gap = " " if n else ""
+                        shown.update((gap + " ".join(map(number.__getitem__, ids))).encode())
+                        decoded.update((gap + decoder.surface(ids)).encode())
+                        n += len(ids)
+                rows.append((n, shown.hexdigest(), decoded.hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(**{id_col: b[id_col].values})[[id_col, "n_tokens", "ids_sha256", "decoded_sha256"]]
 
     kind = df.schema[id_col].dataType.simpleString()

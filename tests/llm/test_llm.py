@@ -151,6 +151,55 @@ def test_bpe_streams_in_pieces_with_bounded_state(tokenizer):
     assert d.text(e.encode("héllo \U0001f600 wörld")) == "héllo \U0001f600 wörld "
 
 
+def test_bpe_holds_little_without_blanks(tokenizer):
+    lib, v = tokenizer
+    r = random.Random(3)
+    letters = "".join(r.choice("etaoinshrdlu") for _ in range(300_000))
+    texts = [letters, "中文字" * 70_000, "".join(r.choice("!?#$%*|-.'") for _ in range(200_000)), "".join(r.choice("ab1!'s\u0301é<|endoftext|>\t") for _ in range(200_000))]
+    texts += ["".join(r.choice(["<|endoftext|>", "'s", "'re", "x", "é", "e\u0301", "한", "\u1112\u1161", "７", "Σ"]) for _ in range(60_000))]
+    for t in texts:
+        e, out, most, at = bpe.Encoder(v), [], 0, 0
+        while at < len(t):
+            step = r.choice([1, 17, 500, 4000])
+            out += e.feed(t[at : at + step])
+            most, at = max(most, e.held()), at + step
+        out += e.finish()
+        assert out == lib.encode(t, add_special_tokens=False).ids
+        assert most < 2 * bpe.LIMIT + 4000 and e.held() == 0
+    e = bpe.Encoder(v)  # 10 MB in pieces, never whole
+    tokens = most = 0
+    for _ in range(160):
+        tokens += len(e.feed(letters[:62_500]))
+        most = max(most, e.held())
+    assert tokens + len(e.finish()) > 1_000_000 and most < 2 * bpe.LIMIT + 62_500
+
+
+def test_bpe_small_limits_against_the_library(tokenizer):
+    lib, v = tokenizer
+    r = random.Random(11)
+    kinds = ["ab'", "'srevmtld", "!?'", "é\u0301\u0327e", "中a", "\u1112\u1161\u11ab", " \t\n\u3000x", "1a!", "ΣΑİ", "<|endoftext|>"]
+    for _ in range(150):
+        t = "".join(r.choice(r.choice(kinds)) if r.random() < 0.97 else "<|endoftext|>" for _ in range(r.randint(100, 1500)))
+        e, out, at = bpe.Encoder(v, window=1, limit=80), [], 0
+        while at < len(t):
+            step = r.choice([1, 3, 90])
+            out += e.feed(t[at : at + step])
+            at += step
+        assert out + e.finish() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_bpe_edges(tokenizer, spark, tmp_path):
+    lib, v = tokenizer
+    rows = bpe.token_digests(odd_docs(spark), bpe.default_path()).collect()
+    assert len(rows) == len(ODD) + 2 and sum(x.doc_id is None for x in rows) == 1 and sum(x.doc_id == 3 for x in rows) == 2
+    assert bpe.token_digests(odd_docs(spark).limit(0), bpe.default_path()).count() == 0
+    spec = json.loads(lib.to_str())
+    spec["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(str(tmp_path / "other.json"))
+
+
 def test_mixing_meets_limit_and_entropy(spark):
     rows = [(i, s, "w " * (i % 7 + 1)) for s, n in (("a", 600), ("b", 150), ("c", 60), (None, 30)) for i in range(n)]
     df = spark.createDataFrame([(i, s, t) for i, (_, s, t) in enumerate(rows)], "doc_id long, source string, text string")
