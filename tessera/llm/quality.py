@@ -4,11 +4,17 @@ Each line is labelled good or bad from its own features and those of its neighbo
 marginals of all lines, weighted by length, give the document's share of good text, which a two-parameter
 logistic curve turns into a probability.
 
-Bound of training (parameter): ``sample_rows`` labelled documents, picked by a hash of the id; lines of
-longer training documents are learned in chains of at most CHAIN lines. Scoring reads whole texts.
+The weights maximise one objective: the penalised conditional log-likelihood of the training chains, in which every
+line has its document's label and both labels weigh the same (``objective`` gives value and gradient).
+
+Bounds of training (parameters): ``sample_rows`` labelled documents, picked by a hash of the id, and ``sample_lines``
+lines of each, in chains of CHAIN lines spread evenly over the text; so at most sample_rows * sample_lines rows of
+features come to the driver. Scoring reads whole texts.
 
 Defined cases: a null or empty text is one empty line and is scored like any other; without labelled
-rows of both kinds the score is the share of label 1 (0.5 if there are none); repeated ids keep their rows.
+rows of both kinds the score is the share of label 1 (0.5 if there are none); null and repeated ids keep their rows
+(labels of a null id are not used, a repeated id is learned with each of its texts); other columns are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +30,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.language import fold
 
-SAMPLE_ROWS, CHAIN, STEPS = 2000, 32, 50
+SAMPLE_ROWS, SAMPLE_LINES, CHAIN, STEPS = 2000, 128, 32, 80
+#: Penalties on the squares of feature weights and of jump weights.
+PENALTY, JUMP_PENALTY = 1e-3, 1e-2
 _UPPER, _LOWER, _DIGIT = (bytes(range(a, b + 1)) for a, b in ((65, 90), (97, 122), (48, 57)))
 _MARK, _ODD = b".,;:?", b"#$%&*|<>{}[]\\/=+^~@_!"
 #: Own features, and those of them that are also taken from the line before and the line after.
@@ -56,7 +64,7 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chains(x: np.ndarray, lengths: np.ndarray, jump: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward of many padded chains: P(good) of each line, expected jumps, log normaliser.
+    """Forward-backward of many padded chains: P(good) of each line, expected jumps of each chain, log normaliser.
 
     x: (chains, lines) score of the good state; jump: (2, 2) scores of neighbouring states.
     """
@@ -75,43 +83,51 @@ def _chains(x: np.ndarray, lengths: np.ndarray, jump: np.ndarray) -> tuple[np.nd
     z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
     good = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None]) * alive
     pair = alpha[:, :-1, :, None] + jump + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
-    jumps = (np.exp(pair) * alive[:, 1:, None, None]).sum(axis=(0, 1))
+    jumps = (np.exp(pair) * alive[:, 1:, None, None]).sum(axis=1)
     return good, jumps, z
 
 
+class Chains:
+    """Padded chains of the training rows, with their labels and weights."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, int]]):
+        parts = [(f[i : i + CHAIN], y) for f, _, y in rows for i in range(0, len(f), CHAIN)]
+        self.size = np.array([len(f) for f, _ in parts])
+        self.x = np.zeros((len(parts), self.size.max(), WIDTH))
+        for k, (f, _) in enumerate(parts):
+            self.x[k, : len(f)] = f
+        self.y = np.array([y for _, y in parts])
+        self.alive = np.arange(self.x.shape[1]) < self.size[:, None]
+        rare = 1 / np.bincount([y for *_, y in rows], minlength=2)
+        weight = rare[self.y] / self.size  # both labels count the same, and every chain does
+        self.weight = weight / weight.sum()
+
+    def objective(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Penalised conditional log-likelihood and its gradient at (feature weights, jump weights)."""
+        w, jump = theta[:WIDTH], theta[WIDTH:].reshape(2, 2)
+        score = self.x @ w
+        good, jumps, z = _chains(score, self.size, jump)
+        same = jump[self.y, self.y]
+        path = self.y * (score * self.alive).sum(axis=1) + same * (self.size - 1)
+        value = (self.weight * (path - z)).sum() - PENALTY / 2 * (w @ w) - JUMP_PENALTY / 2 * (jump * jump).sum()
+        g = np.einsum("ct,ctf->f", (self.alive * self.y[:, None] - good) * self.weight[:, None], self.x) - PENALTY * w
+        seen = np.zeros((2, 2))
+        np.add.at(seen, (self.y, self.y), self.weight * (self.size - 1))
+        return value, np.concatenate([g, (seen - np.einsum("c,cab->ab", self.weight, jumps) - JUMP_PENALTY * jump).ravel()])
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> dict:
     """Weights from (features, line lengths, label) of the sample; every line takes its document's label."""
     labels = np.array([y for *_, y in rows])
     if len(set(labels.tolist())) < 2:
         return {"prior": float(labels.mean()) if len(rows) else 0.5}
-    parts = [(f[i : i + CHAIN], y) for f, _, y in rows for i in range(0, len(f), CHAIN)]
-    size = np.array([len(f) for f, _ in parts])
-    x = np.zeros((len(parts), size.max(), WIDTH))
-    for k, (f, _) in enumerate(parts):
-        x[k, : len(f)] = f
-    y = np.array([y for _, y in parts], float)
-    alive = np.arange(x.shape[1]) < size[:, None]
-    rare = 1 / np.bincount(labels, minlength=2)
-    weight = rare[y.astype(int)] / size  # both labels count the same, and every chain does
-    weight *= len(parts) / weight.sum()
-    w, jump = np.zeros(WIDTH), np.zeros((2, 2))
+    chains, theta = Chains(rows), np.zeros(WIDTH + 4)
     m, v = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)
-    for step in range(1, STEPS + 1):
-        good, _, _ = _chains(x @ w, size, jump)
-        g = np.einsum("ct,ctf->f", (alive * y[:, None] - good) * weight[:, None], x) / len(parts)
-        stay = np.zeros((2, 2))
-        for state in (0, 1):  # jumps are counted by state of the chain's label, so weights stay simple
-            k = y == state
-            if k.any():
-                _, jumps, _ = _chains(x[k] @ w, size[k], jump)
-                seen = np.zeros((2, 2))
-                seen[state, state] = (size[k] - 1).sum()
-                stay += (seen - jumps) * rare[state] * 0.5 / max(1.0, size[k].mean())
-        g = np.concatenate([g - 1e-3 * w, (stay - 1e-2 * jump).ravel()])
+    for step in range(1, STEPS + 1):  # ascent with adapted steps that shrink
+        _, g = chains.objective(theta)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        change = 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        w, jump = w + change[:WIDTH], np.clip(jump + change[WIDTH:].reshape(2, 2), -1.0, 1.0)
-    model = {"w": w, "jump": jump}
+        theta = theta + 0.3 * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    model = {"w": theta[:WIDTH], "jump": theta[WIDTH:].reshape(2, 2)}
     share = np.array([good_share(f, n, model) for f, n, _ in rows])
     a, b, target = 1.0, 0.0, labels.astype(float)
     for _ in range(50):  # Newton steps of the logistic curve
@@ -152,18 +168,33 @@ def score_text(text: str, model: dict) -> float:
     return 1 / (1 + math.exp(-min(max(x, -60), 60)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", label: str = "quality", text: str = "text") -> dict:
-    """A model from at most sample_rows labelled documents; their line features come to the driver."""
-    chosen = labels.where(F.col(label).isNotNull()).select(id_col, F.col(label).cast("int").alias("label_"))
-    chosen = chosen.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(sample_rows)
+def sampled_lines(n: int, most: int) -> np.ndarray:
+    """Which of n lines are learned: all, or whole chains spread evenly, at most ``most`` lines."""
+    if n <= most:
+        return np.arange(n)
+    chains = max(1, most // CHAIN)
+    starts = np.unique(np.linspace(0, n // CHAIN - 1, chains).astype(int)) * CHAIN
+    return (starts[:, None] + np.arange(CHAIN)).ravel()
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_lines: int = SAMPLE_LINES, id_col: str = "doc_id", label: str = "quality", text: str = "text") -> dict:
+    """A model from at most sample_rows labelled documents and sample_lines lines of each."""
+    chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label).cast("int").alias("label_"))
+    chosen = chosen.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col, "label_").limit(sample_rows)
     sample = docs.select(id_col, F.coalesce(text, F.lit("")).alias("text_")).join(F.broadcast(chosen), id_col)  # at most sample_rows rows
+    mark = F.xxhash64(F.col(id_col).cast("string"), "text_")
+    sample = sample.select(mark.alias("mark_"), "label_", "text_").orderBy("mark_", "label_").limit(sample_rows)  # ids may repeat among the documents
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [line_features(t) for t in b["text_"]]
-            yield pd.DataFrame({"id": b[id_col].astype(str), "label": b["label_"], "features": [f.astype("<f4").tobytes() for f, _ in got], "lengths": [n.astype("<f4").tobytes() for _, n in got]})
-
-    rows = sorted(tuple(r) for r in sample.mapInPandas(run, "id string, label int, features binary, lengths binary").collect())
+            got = []
+            for t in b["text_"]:
+                f, n = line_features(t)
+                keep = sampled_lines(len(f), sample_lines)
+                got.append((f[keep].astype("<f4").tobytes(), n[keep].astype("<f4").tobytes()))
+            yield pd.DataFrame({"mark": b["mark_"], "label": b["label_"], "features": [f for f, _ in got], "lengths": [n for _, n in got]})
+
+    rows = sorted(tuple(r) for r in sample.mapInPandas(run, "mark long, label int, features binary, lengths binary").collect())
     return fit([(np.frombuffer(f, "<f4").astype(float).reshape(-1, WIDTH), np.frombuffer(n, "<f4").astype(float), y) for _, y, f, n in rows])
 
 

@@ -1,6 +1,7 @@
 """Operators against brute force, the libraries, and planted cases."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -325,6 +326,40 @@ def test_quality_edges(spark):
     assert np.allclose(p, good[0])
 
 
+def test_quality_marginals_against_all_labelings():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 8):
+        features = r.normal(size=(n, quality.WIDTH))
+        model = {"w": r.normal(size=quality.WIDTH), "jump": r.normal(size=(2, 2))}
+        good, total = np.zeros(n), 0.0
+        for path in itertools.product((0, 1), repeat=n):
+            x = sum(f @ model["w"] for f, y in zip(features, path, strict=True) if y) + sum(model["jump"][a, b] for a, b in itertools.pairwise(path))
+            total += np.exp(x)
+            good += np.exp(x) * np.array(path)
+        assert np.allclose(quality.marginals(features, model), good / total)
+
+
+def test_quality_gradient_is_that_of_the_objective():
+    r = np.random.default_rng(4)
+    rows = [(r.normal(size=(n, quality.WIDTH)), np.ones(n), int(y)) for n, y in [(1, 0), (3, 1), (40, 1), (33, 0), (5, 0)]]
+    chains, theta = quality.Chains(rows), r.normal(size=quality.WIDTH + 4) / 3
+    _, g = chains.objective(theta)
+    for k in range(len(theta)):
+        step = np.zeros_like(theta)
+        step[k] = 1e-5
+        assert abs((chains.objective(theta + step)[0] - chains.objective(theta - step)[0]) / 2e-5 - g[k]) < 1e-6
+
+
+def test_quality_training_is_bounded_and_keeps_odd_rows(spark):
+    assert len(quality.sampled_lines(10_000, 128)) == 128 and quality.sampled_lines(5, 128).tolist() == [0, 1, 2, 3, 4]
+    docs = spark.createDataFrame([(1, "a fine line of text.\n" * 900), (1, None), (2, "x$$ y## |||\n" * 50), (None, "z")] * 3, "doc_id long, text string").withColumn("label_", F.lit("clash"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    got = quality.score(docs, model).collect()
+    assert len(got) == 12 and sum(x.doc_id is None for x in got) == 3 and all(0 <= x.score <= 1 for x in got)
+    assert quality.train(docs.limit(0), labels) == {"prior": 0.5} and quality.score(docs.limit(0), model).count() == 0
+
+
 def test_language_on_held_out_rows(spark):
     rows = registry.QUERIES["op9_language_id"](spark, "/root/testdata/sf0.01").collect()
     lang = dict(duckdb.sql("select doc_id, lang from '/root/testdata/sf0.01/documents.parquet'").fetchall())
