@@ -1,15 +1,19 @@
 """Chat formatting by schema fingerprints, with DataFrame functions only.
 
-A record is a VARIANT. The known field paths that it holds are hashed; the hash selects one declarative
-mapping, which turns the record into canonical turns (role, text). Records that no mapping knows keep
-their row with layout null and no turns.
+A record is a VARIANT. All its nested field paths, array steps folded (``$.messages[].role``), are gathered and hashed;
+the hash names the schema. A schema selects the declarative mapping with the most required paths that are all among its
+own (the first one on ties), so fields that no mapping knows change nothing. The mapping turns the record into canonical
+turns (role, text). Records whose schema selects no mapping keep their row with layout null and no turns; ``layouts``
+counts the records of every schema, the unknown ones included.
 
 The template marks turns with control strings. Inside roles and texts every backslash is doubled and
 ``<|`` becomes ``<\\|``, so no text can hold a control string and the original comes back exactly; a
 newline inside a role is written as backslash and newline.
 
-Defined cases: null role or text is empty; rows of one conversation with equal turn numbers are ordered
-by role, then text; a null conversation id forms its own conversation; an empty table gives no rows.
+Defined cases: null role or text is empty; a list of messages may be empty, then the record has no turns; content given
+as a list of parts is their texts in a row; a null record has no paths; paths below DEPTH levels are not told apart; rows of one conversation with equal turn numbers are ordered
+by role, then text, a null turn number first; a null conversation id forms its own conversation; repeated rows are
+repeated turns; other columns are not read; an empty table gives no rows.
 One conversation is one output string, so its rows meet in one task by definition of the result.
 """
 
@@ -23,6 +27,31 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+#: Levels of objects and arrays whose paths are gathered.
+DEPTH = 5
+
+
+def _paths(value: str, depth: int) -> str:
+    """SQL for the paths inside a VARIANT expression, relative to it."""
+    if not depth:
+        return "cast(array() as array<string>)"
+    fields = f"try_variant_get({value}, '$', 'map<string,variant>')"
+    items = f"try_variant_get({value}, '$', 'array<variant>')"
+    below = lambda x: _paths(x, depth - 1)
+    return (
+        f"CASE WHEN {fields} IS NOT NULL THEN flatten(transform(map_entries({fields}),"
+        f" e{depth} -> transform(concat(array(''), {below(f'e{depth}.value')}), p{depth} -> concat('.', e{depth}.key, p{depth}))))"
+        f" WHEN {items} IS NOT NULL THEN transform(flatten(transform({items}, i{depth} -> {below(f'i{depth}')})), p{depth} -> concat('[]', p{depth}))"
+        f" ELSE cast(array() as array<string>) END"
+    )
+
+
+def field_paths(record: str = "record") -> Column:
+    """Sorted distinct nested field paths of a VARIANT column."""
+    found = F.array_sort(F.array_distinct(F.expr(_paths(record, DEPTH))))
+    return F.transform(found, lambda p: F.concat(F.lit("$"), p))
+
+
 def _get(path: str) -> str:
     return f"try_variant_get(record, '{path}', 'string')"
 
@@ -31,50 +60,59 @@ def _turn(role: str, text: str) -> str:
     return f"named_struct('role', {role}, 'text', {text})"
 
 
-def _two(user: str, assistant: str) -> str:
-    return f"array({_turn(repr('user'), _get(user))}, {_turn(repr('assistant'), _get(assistant))})"
+def _pair(user: str, assistant: str) -> str:
+    """A user and an assistant turn, after the system's if the record has one."""
+    first = f"CASE WHEN {_get('$.system')} <> '' THEN array({_turn(repr('system'), _get('$.system'))}) ELSE {NO_TURNS} END"
+    return f"concat({first}, array({_turn(repr('user'), user)}, {_turn(repr('assistant'), assistant)}))"
 
 
 def _list(path: str, role: str, text: str) -> str:
+    """A turn for each element of a list."""
     name = f"try_variant_get(m, '$.{role}', 'string')"
     name = f"CASE {name} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE {name} END"
-    return f"transform(try_variant_get(record, '{path}', 'array<variant>'), m -> {_turn(name, f"try_variant_get(m, '$.{text}', 'string')")})"
+    parts = f"try_variant_get(m, '$.{text}', 'array<variant>')"
+    part = "coalesce(try_variant_get(p, '$.text', 'string'), CASE WHEN try_variant_get(p, '$', 'map<string,variant>') IS NULL THEN try_variant_get(p, '$', 'string') END, '')"
+    said = f"CASE WHEN {parts} IS NULL THEN try_variant_get(m, '$.{text}', 'string') ELSE array_join(transform({parts}, p -> {part}), '') END"
+    return f"transform(try_variant_get(record, '{path}', 'array<variant>'), m -> {_turn(name, said)})"
 
 
-#: layout: the field paths that its records hold, and the SQL expression of their turns.
+NO_TURNS = "cast(array() as array<struct<role:string,text:string>>)"
+#: layout: the field paths that its records hold at least, and the SQL expression of their turns.
 MAPPINGS: dict[str, tuple[list[str], str]] = {
     "turn_row": (["$.role", "$.text", "$.turn"], f"array({_turn(_get('$.role'), _get('$.text'))})"),
-    "messages": (["$.messages[0].content", "$.messages[0].role"], _list("$.messages", "role", "content")),
-    "from_value": (["$.conversations[0].from", "$.conversations[0].value"], _list("$.conversations", "from", "value")),
-    "instruction": (["$.instruction", "$.output"], _two("$.instruction", "$.output")),
+    "messages": (["$.messages[].content", "$.messages[].role"], _list("$.messages", "role", "content")),
+    "from_value": (["$.conversations[].from", "$.conversations[].value"], _list("$.conversations", "from", "value")),
     "instruction_input": (
         ["$.input", "$.instruction", "$.output"],
-        f"array({_turn(repr('user'), f"concat_ws('\\n\\n', {_get('$.instruction')}, nullif({_get('$.input')}, ''))")}, {_turn(repr('assistant'), _get('$.output'))})",
+        _pair(f"concat_ws('\\n\\n', {_get('$.instruction')}, nullif({_get('$.input')}, ''))", _get("$.output")),
     ),
-    "prompt_response": (["$.prompt", "$.response"], _two("$.prompt", "$.response")),
-    "prompt_completion": (["$.completion", "$.prompt"], _two("$.prompt", "$.completion")),
-    "question_answer": (["$.answer", "$.question"], _two("$.question", "$.answer")),
+    "instruction": (["$.instruction", "$.output"], _pair(_get("$.instruction"), _get("$.output"))),
+    "prompt_response": (["$.prompt", "$.response"], _pair(_get("$.prompt"), _get("$.response"))),
+    "prompt_completion": (["$.completion", "$.prompt"], _pair(_get("$.prompt"), _get("$.completion"))),
+    "question_answer": (["$.answer", "$.question"], _pair(_get("$.question"), _get("$.answer"))),
+    "empty_messages": (["$.messages"], NO_TURNS),
+    "empty_conversations": (["$.conversations"], NO_TURNS),
 }
 
 
-def schema_hash(mappings: dict = MAPPINGS) -> Column:
-    """Hash of the known nested field paths present in ``record``; other fields do not change it."""
-    paths = sorted({p for known, _ in mappings.values() for p in known})
-    here = [F.when(F.expr(f"try_variant_get(record, '{p}', 'variant')").isNotNull(), F.lit(p)) for p in paths]
-    return F.xxhash64(F.array_join(F.array(*here), "|"))
-
-
 def canonical_turns(df: DataFrame, mappings: dict = MAPPINGS) -> DataFrame:
-    """Adds schema_hash, layout and turns (array of role, text) to rows with a VARIANT column ``record``."""
-    df = df.withColumn("schema_hash", schema_hash(mappings))
-    layout, turns = F.lit(None).cast("string"), F.expr("cast(array() as array<struct<role:string,text:string>>)")
-    for name, (paths, expression) in mappings.items():
-        same = F.col("schema_hash") == F.xxhash64(F.lit("|".join(sorted(paths))))
-        layout = F.when(same, F.lit(name)).otherwise(layout)
-        turns = F.when(same, F.expr(expression)).otherwise(turns)
+    """Adds field_paths, schema_hash, layout and turns (array of role, text) to rows with a VARIANT column ``record``."""
+    df = df.withColumn("field_paths", F.coalesce(field_paths(), F.array().cast("array<string>")))
+    df = df.withColumn("schema_hash", F.xxhash64(F.array_join("field_paths", "|")))
+    layout, turns = F.lit(None).cast("string"), F.expr(NO_TURNS)
+    for name, (paths, expression) in sorted(mappings.items(), key=lambda kv: len(kv[1][0]), reverse=True)[::-1]:
+        holds = F.size(F.array_except(F.array(*[F.lit(p) for p in paths]), F.col("field_paths"))) == 0
+        layout = F.when(holds, F.lit(name)).otherwise(layout)
+        turns = F.when(holds, F.expr(expression)).otherwise(turns)
     return df.withColumns({"layout": layout, "turns": turns})
 
 
+def layouts(df: DataFrame, mappings: dict = MAPPINGS) -> DataFrame:
+    """(schema_hash, field_paths, layout, records) of every schema; layout is null where no mapping fits."""
+    found = canonical_turns(df, mappings).groupBy("schema_hash", "layout")
+    return found.agg(F.min("field_paths").alias("field_paths"), F.count("*").alias("records"))
+
+
 def escape(text: Column) -> Column:
     text = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
     return F.replace(text, F.lit("<|"), F.lit("<\\|"))

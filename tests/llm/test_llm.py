@@ -115,6 +115,54 @@ def test_chat_layouts_and_escapes(spark):
     assert row.l == "".join(c[3] or "" for c in conv if c[2] == "assistant") and row.formatted.count("<|im_start|>") == len(bad)
 
 
+#: record, layout, turns
+MIXED = [
+    ({"messages": [{"role": "system"}, {"role": "user", "content": "a"}, {"role": "assistant", "content": None}]}, "messages", [("system", None), ("user", "a"), ("assistant", None)]),
+    ({"messages": [{"role": "user", "content": "a"}], "prompt": "p"}, "messages", [("user", "a")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, {"type": "text", "text": "b"}, "c"]}]}, "messages", [("user", "abc")]),
+    ({"messages": []}, "empty_messages", []),
+    ({"conversations": [], "id": 3}, "empty_conversations", []),
+    ({"prompt": "a", "response": "b", "completion": "c"}, "prompt_response", [("user", "a"), ("assistant", "b")]),
+    ({"instruction": "a", "input": "i", "output": "b", "text": "whole"}, "instruction_input", [("user", "a\n\ni"), ("assistant", "b")]),
+    ({"prompt": "a", "response": "b", "input": 1, "role": "x"}, "prompt_response", [("user", "a"), ("assistant", "b")]),
+    ({"system": "s", "question": "a", "answer": "b"}, "question_answer", [("system", "s"), ("user", "a"), ("assistant", "b")]),
+    ({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b", "weight": 1}]}, "from_value", [("user", "a"), ("assistant", "b")]),
+    ({"a": {"b": [{"c": 1}, {"d": [2]}]}}, None, []),
+    (["x"], None, []),
+    ("text", None, []),
+    (None, None, []),
+]
+
+
+def test_chat_mixed_layouts(spark):
+    rows = [(i, json.dumps(r)) for i, (r, _, _) in enumerate(MIXED)] + [(len(MIXED), None)]
+    df = spark.createDataFrame(rows, "id int, j string").select("id", F.parse_json("j").alias("record"))
+    got = {r.id: r for r in chat.canonical_turns(df).drop("record").collect()}
+    for i, (record, layout, turns) in enumerate(MIXED):
+        assert (got[i].layout, [(t.role, t.text) for t in got[i].turns]) == (layout, turns), record
+
+    def paths(v, at="$"):
+        if isinstance(v, dict):
+            return {x for k, w in v.items() for x in {f"{at}.{k}"} | paths(w, f"{at}.{k}")}
+        return {x for w in v for x in paths(w, at + "[]")} if isinstance(v, list) else set()
+
+    for i, (record, _, _) in enumerate(MIXED):
+        assert got[i].field_paths == sorted(paths(record)), record
+    counted = chat.layouts(df).collect()
+    assert sum(r.records for r in counted) == len(MIXED) + 1 and sum(r.records for r in counted if r.layout is None) == 5
+    assert len({r.schema_hash for r in counted}) == len(counted)
+    assert chat.layouts(df.limit(0)).count() == 0
+
+
+def test_chat_null_ids_and_turns(spark):
+    rows = [(None, 1, "user", "b"), (None, None, "user", "a"), (5, None, None, None), (5, 1, "assistant", "x"), (5, 1, "assistant", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("record", F.lit("clash"))
+    got = {r.conv_id: r.formatted for r in chat.format_conversations(df).collect()}
+    say = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert got == {None: say("user", "a") + say("user", "b"), 5: say("", "") + say("assistant", "x") * 2}
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     tokenizers = pytest.importorskip("tokenizers")
