@@ -35,15 +35,10 @@ def _paths(value: str, depth: int) -> str:
     """SQL for the paths inside a VARIANT expression, relative to it."""
     if not depth:
         return "cast(array() as array<string>)"
-    fields = f"try_variant_get({value}, '$', 'map<string,variant>')"
-    items = f"try_variant_get({value}, '$', 'array<variant>')"
-    below = lambda x: _paths(x, depth - 1)
-    return (
-        f"CASE WHEN {fields} IS NOT NULL THEN flatten(transform(map_entries({fields}),"
-        f" e{depth} -> transform(concat(array(''), {below(f'e{depth}.value')}), p{depth} -> concat('.', e{depth}.key, p{depth}))))"
-        f" WHEN {items} IS NOT NULL THEN transform(flatten(transform({items}, i{depth} -> {below(f'i{depth}')})), p{depth} -> concat('[]', p{depth}))"
-        f" ELSE cast(array() as array<string>) END"
-    )
+    fields = f"transform(map_entries(try_variant_get({value}, '$', 'map<string,variant>')), f -> named_struct('step', concat('.', f.key), 'value', f.value))"
+    items = f"transform(try_variant_get({value}, '$', 'array<variant>'), i -> named_struct('step', '[]', 'value', i))"
+    steps = f"coalesce({fields}, {items}, cast(array() as array<struct<step:string,value:variant>>))"
+    return f"flatten(transform({steps}, s{depth} -> transform(concat(array(''), {_paths(f's{depth}.value', depth - 1)}), p{depth} -> concat(s{depth}.step, p{depth}))))"
 
 
 def field_paths(record: str = "record") -> Column:

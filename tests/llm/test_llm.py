@@ -144,7 +144,7 @@ def test_chat_mixed_layouts(spark):
     def paths(v, at="$"):
         if isinstance(v, dict):
             return {x for k, w in v.items() for x in {f"{at}.{k}"} | paths(w, f"{at}.{k}")}
-        return {x for w in v for x in paths(w, at + "[]")} if isinstance(v, list) else set()
+        return {x for w in v for x in {at + "[]"} | paths(w, at + "[]")} if isinstance(v, list) else set()
 
     for i, (record, _, _) in enumerate(MIXED):
         assert got[i].field_paths == sorted(paths(record)), record
