@@ -23,8 +23,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the shared folder that ``spark.checkpoint.dir`` names (a temporary one where nothing is set)."""
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names.
+
+    Only a local session may leave it unset; on a cluster a temporary folder of one machine would not be shared.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"

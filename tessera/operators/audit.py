@@ -133,25 +133,39 @@ def source_labeling(claims: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def collapse_facts(facts: DataFrame) -> DataFrame:
-    """One row for each (type, value, unit, label): first known year and region, rows behind it."""
-    return facts.groupBy("type", "value", "unit", "label").agg(F.min("year").alias("year"), F.min("region").alias("region"), F.count("*").alias("copies"))
+    """One row for each (type, value, unit, label, year): first known region and source, rows behind it."""
+    known = [F.min(c).alias(c) for c in ("region", "source")]
+    return facts.groupBy("type", "value", "unit", "label", "year").agg(*known, F.count("*").alias("copies"))
 
 
 def absorb_labels(facts: DataFrame) -> DataFrame:
-    """Drops a fact when another of equal (type, value, unit), with an equal or unknown year, has a longer label that contains it.
-
-    Candidates meet on the first two characters of the shorter label, which every containing label holds somewhere. Empty labels stay.
+    """Merges collapsed facts of equal (type, value, unit) where one label contains the other and the years are equal or one is unknown.
+
+    A fact contains another by a longer label, or by an equal label and a known year. A fact that none contains is final;
+    every other one goes to the final fact that contains it with the longest label (then the least label and year) and
+    hands on what that one lacks: the least year, region and source handed on. A fact whose containers are all merged
+    themselves stays (a 2024 fact in an unknown year's label that belongs to 2023). Facts with a null value or an empty
+    or null label are not merged. Candidates meet on the first two characters of the shorter label, which every
+    containing label holds somewhere.
     """
     keys = ["type", "value", "unit"]
+    fact = F.xxhash64(*keys, "label", F.coalesce(F.col("year").cast("string"), F.lit("?")))
+    facts = facts.withColumn("fact_", fact)
     size = F.char_length("label")
     grams = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring("label", i, F.lit(2)))
     singles = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring("label", i, F.lit(1)))
-    longer = facts.where(size > 1).select(*keys, F.col("label").alias("long_label"), F.col("year").alias("long_year"), F.explode(F.array_distinct(F.concat(grams, singles))).alias("gram"))
-    mine = facts.where(size > 0).withColumn("gram", F.substring("label", 1, 2))
-    pairs = mine.join(longer, [*keys, "gram"]).where(
-        (F.char_length("long_label") > F.char_length("label")) & F.col("long_label").contains(F.col("label")) & F.coalesce(F.col("year") == F.col("long_year"), F.lit(True))
-    )
-    return facts.join(pairs.select(*keys, "label").distinct(), [*keys, "label"], "left_anti")
+    held = facts.where(size > 0).select(*keys, F.col("label").alias("label_"), F.col("year").alias("year_"), F.col("fact_").alias("in_"), F.explode(F.array_distinct(F.concat(grams, singles))).alias("gram"))
+    mine = facts.where(size > 0).select(*keys, "label", "year", "region", "source", "fact_", F.substring("label", 1, 2).alias("gram"))
+    longer = (F.char_length("label_") > size) & F.col("label_").contains(F.col("label")) & F.coalesce(F.col("year") == F.col("year_"), F.lit(True))
+    dated = (F.col("label_") == F.col("label")) & F.col("year").isNull() & F.col("year_").isNotNull()
+    pairs = mine.join(held, [*keys, "gram"]).where(longer | dated)
+    inner = pairs.select("fact_").distinct()
+    best = F.min_by(F.col("in_"), F.struct(-F.char_length("label_"), "label_", F.coalesce("year_", F.lit(0))))
+    merged = pairs.join(inner.select(F.col("fact_").alias("in_")), "in_", "left_anti").groupBy("fact_").agg(best.alias("in_"))
+    given = facts.join(merged, "fact_").groupBy(F.col("in_").alias("fact_")).agg(*[F.min(c).alias(f"{c}_") for c in ("year", "region", "source")], F.sum("copies").alias("copies_"))
+    out = facts.join(merged.select("fact_"), "fact_", "left_anti").join(given, "fact_", "left")
+    filled = [F.coalesce(c, f"{c}_").alias(c) for c in ("year", "region", "source")]
+    return out.select(*keys, "label", *filled, (F.col("copies") + F.coalesce("copies_", F.lit(0))).alias("copies"))
 
 
 def foreign_entity_filter(facts: DataFrame, target: str, others: list[str]) -> DataFrame:

@@ -32,9 +32,11 @@ def melt_missing(wide: DataFrame, keys: list[str], metrics: list[str], facts: Da
 
 
 def price_volume_pairs(rows: DataFrame, least: int = 5) -> DataFrame:
-    """(name, price, amount) from rows (name, metric, value), by conditional aggregation."""
+    """(name, price, amount) from rows (name, metric, value), by conditional aggregation; no rows below ``least`` pairs."""
     pairs = rows.groupBy("name").agg(F.max(F.when(F.col("metric") == "price", F.col("value"))).alias("price"), F.max(F.when(F.col("metric") == "amount", F.col("value"))).alias("amount"))
-    return pairs.where("price is not null and amount is not null")
+    pairs = pairs.where("price is not null and amount is not null")
+    enough = pairs.agg((F.count("*") >= least).alias("enough")).where("enough")
+    return pairs.join(F.broadcast(enough), F.lit(True), "left_semi")  # one row
 
 
 def chart_type(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -45,7 +45,7 @@ def growth_claims(r):
 P.add("derived_trace", growth_claims, f"""{YEARS}, g AS (SELECT entity, abs(round((revenue / nullif(lag(revenue) OVER (PARTITION BY entity ORDER BY year), 0) - 1) * 100, 4)) AS g FROM y)
 SELECT c_custkey AS claim_id, n_name AS entity, EXISTS (SELECT 1 FROM g WHERE g.entity = n_name AND abs(g.g - abs(c_acctbal / 100)) <= 0.05::DOUBLE) AS derived FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 P.add("conflicting_figures", lambda r: A.conflicting_figures(r("lineitem").select(F.col("l_partkey").alias("metric"), F.year("l_shipdate").alias("year"), F.col("l_quantity").alias("value")), ["metric", "year"]), "WITH c AS (SELECT l_partkey AS metric, CAST(year(l_shipdate) AS INTEGER) AS year, l_quantity AS value, count(*) AS n FROM lineitem GROUP BY ALL) SELECT metric, year, arg_max(value, (n, -value)) AS main_value, count(*) - 1 AS others FROM c GROUP BY metric, year HAVING count(*) > 1")
-SENTENCES = r"""s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g'), '[.;\n。；．]'), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '')) AS sentence FROM documents)"""
+SENTENCES = r"""s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '([0-9])\.', '\1' || chr(1), 'g'), '\.([0-9])', chr(1) || '\1', 'g'), '[.;\n。；．]'), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '')) AS sentence FROM documents)"""
 P.add("entity_attribution", lambda r: A.entity_attribution(r("documents"), ["der", "die"], ["the", "and"]), rf"""WITH {SENTENCES}, w AS (SELECT doc_id, regexp_split_to_array(lower(sentence), '[^\p{{L}}]+') AS w, unnest(regexp_extract_all(sentence, '[0-9]+(?:\.[0-9]+)?')) AS number FROM s),
 n AS (SELECT doc_id, number, bool_or(list_has_any(w, ['der', 'die'])) AS near_target, bool_or(list_has_any(w, ['the', 'and'])) AS near_other FROM w GROUP BY ALL) SELECT *, near_other AND NOT near_target AS flagged FROM n""")
 #: The rest of the attribution rules, on documents that are their own sources; no SQL twin.
@@ -54,11 +54,38 @@ P.add("source_labeling", lambda r: A.source_labeling(r("documents").select(F.col
 
 
 def part_facts(r):
-    return r("part").select(F.col("p_type").alias("type"), (F.floor(F.col("p_retailprice") / 50) * 50).cast("long").alias("value"), F.col("p_brand").alias("unit"), F.col("p_name").alias("label"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 20 + 2000).alias("year"), F.when(F.col("p_size") > 25, "east").alias("region"))
-
-
-FACTS = "WITH f AS (SELECT p_type AS type, CAST(floor(p_retailprice / 50) * 50 AS BIGINT) AS value, p_brand AS unit, p_name AS label, CASE WHEN p_size % 3 > 0 THEN p_size % 20 + 2000 END AS year, CASE WHEN p_size > 25 THEN 'east' END AS region FROM part), c AS (SELECT type, value, unit, label, min(year) AS year, min(region) AS region, count(*) AS copies FROM f GROUP BY ALL)"
-P.add("dedupe_facts", lambda r: A.absorb_labels(A.collapse_facts(part_facts(r))), f"{FACTS} SELECT * FROM c WHERE length(label) = 0 OR NOT EXISTS (SELECT 1 FROM c o WHERE o.type = c.type AND o.value = c.value AND o.unit = c.unit AND length(o.label) > length(c.label) AND contains(o.label, c.label) AND coalesce(o.year = c.year, true))")
+    """Every part is told three times: in full, by a part of its name without a year, and by its whole name without region."""
+    year = F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 20 + 2000)
+    value = (F.floor(F.col("p_retailprice") / 50) * 50).cast("long")
+    one = lambda label, y, region, source: F.struct(F.col("p_type").alias("type"), value.alias("value"), F.col("p_brand").alias("unit"), label.alias("label"), y.alias("year"), region.alias("region"), source.alias("source"))
+    name, none = F.col("p_name"), F.lit(None).cast("string")
+    told = [
+        one(name, year, F.when(F.col("p_size") > 25, "east"), none),
+        one(F.substring_index(name, " ", 1), F.lit(None).cast("int"), F.lit("west"), F.lit("press")),
+        one(name, F.lit(None).cast("int"), none, F.lit("site")),
+    ]
+    return r("part").select(F.explode(F.array(*told)).alias("f")).select("f.*")
+
+
+FACTS = """WITH p AS (
+  SELECT p_type AS type, CAST(floor(p_retailprice / 50) * 50 AS BIGINT) AS value, p_brand AS unit, p_name, p_size, CASE WHEN p_size % 3 > 0 THEN p_size % 20 + 2000 END AS y FROM part
+), f AS (
+  SELECT type, value, unit, p_name AS label, y AS year, CASE WHEN p_size > 25 THEN 'east' END AS region, NULL AS source FROM p
+  UNION ALL SELECT type, value, unit, split_part(p_name, ' ', 1), NULL, 'west', 'press' FROM p
+  UNION ALL SELECT type, value, unit, p_name, NULL, NULL, 'site' FROM p
+), c AS (
+  SELECT type, value, unit, label, year, min(region) AS region, min(source) AS source, count(*) AS copies, row_number() OVER () AS id FROM f GROUP BY type, value, unit, label, year
+), pairs AS (
+  SELECT a.id AS a, b.id AS b, b.label, b.year FROM c a JOIN c b USING (type, value, unit)
+  WHERE a.label <> '' AND ((length(b.label) > length(a.label) AND contains(b.label, a.label) AND coalesce(a.year = b.year, true)) OR (a.label = b.label AND a.year IS NULL AND b.year IS NOT NULL))
+), merged AS (
+  SELECT a, b FROM pairs WHERE b NOT IN (SELECT a FROM pairs) QUALIFY row_number() OVER (PARTITION BY a ORDER BY length(label) DESC, label, coalesce(year, 0)) = 1
+), given AS (
+  SELECT b AS id, min(year) AS y, min(region) AS r, min(source) AS s, sum(copies) AS n FROM merged JOIN c ON c.id = merged.a GROUP BY b
+)"""
+P.add("dedupe_facts", lambda r: A.absorb_labels(A.collapse_facts(part_facts(r))), f"""{FACTS}
+SELECT type, value, unit, label, coalesce(year, y) AS year, coalesce(region, r) AS region, coalesce(source, s) AS source, CAST(copies + coalesce(n, 0) AS BIGINT) AS copies
+FROM c LEFT JOIN given USING (id) WHERE id NOT IN (SELECT a FROM merged)""")
 P.add("foreign_entity_filter", lambda r: A.foreign_entity_filter(part_facts(r), "red", ["ring", "widget"]), rf"{FACTS} SELECT * FROM f WHERE NOT list_has_any(regexp_split_to_array(lower(label), '[^\p{{L}}]+'), ['ring', 'widget']) OR contains(label, 'red')")
 P.add("facts_union", lambda r: N.facts_union([part_facts(r), r("orders").select(F.lit("order").alias("type"), F.col("o_orderkey").alias("value"), F.col("o_orderstatus").alias("unit"))]).groupBy("type", "unit").agg(F.count("*").alias("rows"), F.count("label").alias("labels")), f"{FACTS} SELECT type, unit, count(*) AS rows, count(label) AS labels FROM (SELECT type, unit, label FROM f UNION ALL SELECT 'order', o_orderstatus, NULL FROM orders) GROUP BY ALL")
 P.add("company_resolve", lambda r: A.resolve_names(r("part").select(F.explode(letters(F.col("p_name"))).alias("query")), r("part").groupBy(F.col("p_name").alias("name"), F.col("p_type").alias("market")).agg(F.min("p_partkey").alias("code"))), rf"""WITH q AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(p_name), '[^\p{{L}}]+'), lambda w: w <> '')) AS query FROM part), k AS (SELECT p_name AS name, p_type AS market, min(p_partkey) AS code FROM part GROUP BY ALL),

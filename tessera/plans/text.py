@@ -21,7 +21,7 @@ P.add("entity_frequency", lambda r: T.entity_frequency(r("documents"), r("docume
 P.add("entity_alias_join", lambda r: r("documents").select("doc_id", F.explode(T.letters(F.col("text"))).alias("alias")).join(F.broadcast(r("documents").sparkSession.createDataFrame(ALIASES, "alias string, name string")), "alias").groupBy("doc_id", "name").agg(F.count("*").alias("mentions")), f"SELECT doc_id, name, count(*) AS mentions FROM (SELECT doc_id, {WORDS} AS alias FROM documents) JOIN (VALUES ('the', 'definite'), ('der', 'definite'), ('la', 'definite'), ('le', 'definite'), ('of', 'genitive'), ('de', 'genitive'), ('von', 'genitive')) v(alias, name) USING (alias) GROUP BY ALL")
 P.add("most_common_k", lambda r: r("documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(10), "SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang LIMIT 10")
 P.add("topic_gate", lambda r: r("documents").where(F.arrays_overlap(T.letters(F.col("text")), F.array(F.lit("license"), F.lit("with")))).select("doc_id", "source"), f"SELECT DISTINCT doc_id, source FROM (SELECT doc_id, source, {WORDS} AS w FROM documents) WHERE w IN ('license', 'with')")
-P.add("sentences", lambda r: T.sentences(r("documents")), r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g'), '[.;\n。；．]'), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '') AS p FROM documents)
+P.add("sentences", lambda r: T.sentences(r("documents")), r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '([0-9])\.', '\1' || chr(1), 'g'), '\.([0-9])', chr(1) || '\1', 'g'), '[.;\n。；．]'), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '') AS p FROM documents)
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, p[i] AS sentence FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i FROM s)""")
 P.add("extract_numbers", lambda r: T.extract_numbers(r("documents")).groupBy("doc_id").agg(F.count("*").alias("numbers"), F.max("number").alias("greatest")), r"""WITH n AS (SELECT doc_id, TRY_CAST(replace(unnest(regexp_extract_all(regexp_replace(text, 'https?://[^ \n]+', ' ', 'g'), '[0-9][0-9,]*(?:\.[0-9]+)?')), ',', '') AS DOUBLE) AS number FROM documents) SELECT doc_id, count(*) AS numbers, max(number) AS greatest FROM n WHERE number IS NOT NULL GROUP BY doc_id""")
 P.add("content_hash", lambda r: T.content_hash(r("documents")), "SELECT doc_id, substr(sha256(text), 1, 12) AS content_hash, md5(substr(text, 1, 500)) AS cache_key FROM documents")
