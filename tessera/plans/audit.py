@@ -114,13 +114,9 @@ def latencies(r):
 P.add("latency_join", latencies, "WITH b AS (SELECT user_id AS k, ts FROM events WHERE event_type = 'purchase'), j AS (SELECT a.event_id AS id, a.user_id AS k, round((epoch_us(min(b.ts)) - epoch_us(any_value(a.ts))) / 1e6, 3) AS latency FROM events a LEFT JOIN b ON b.k = a.user_id AND b.ts >= a.ts WHERE a.event_type = 'click' GROUP BY a.event_id, a.user_id) SELECT id, k, CASE WHEN latency <= 86400 THEN latency END AS latency FROM j")
 PRICES = {"click": "low", "purchase": "high"}
 P.add("cost_lookup", lambda r: A.lookup(task_log(r).select("task_id", F.concat_ws("/", F.lit("Vendor"), "model").alias("model")), F.element_at(F.split(F.lower("model"), "/"), -1), PRICES, F.lit("default")).withColumnRenamed("found", "band"), f"{LOG_SQL} SELECT task_id, 'Vendor/' || model AS model, CASE lower(model) WHEN 'click' THEN 'low' WHEN 'purchase' THEN 'high' ELSE 'default' END AS band FROM log")
-P.add("fix_suggestion", lambda r: A.lookup(task_log(r).where("failed").select("task_id", F.when(F.col("tokens") < 20, "timeout").when(F.col("tokens") < 60, "empty").otherwise("runtime").alias("error")), F.col("error"), {"timeout": "retry with a longer limit", "empty": "use another source"}, F.lit("read the log")).withColumnRenamed("found", "suggestion"), f"{LOG_SQL} SELECT task_id, CASE WHEN tokens < 20 THEN 'timeout' WHEN tokens < 60 THEN 'empty' ELSE 'runtime' END AS error, CASE WHEN tokens < 20 THEN 'retry with a longer limit' WHEN tokens < 60 THEN 'use another source' ELSE 'read the log' END AS suggestion FROM log WHERE failed")
 P.add("alias_normalize", lambda r: A.lookup(r("nation").select("n_nationkey", "n_name"), F.lower("n_name"), {"france": "FR", "germany": "DE"}, F.upper("n_name")).withColumnRenamed("found", "code"), "SELECT n_nationkey, n_name, CASE lower(n_name) WHEN 'france' THEN 'FR' WHEN 'germany' THEN 'DE' ELSE upper(n_name) END AS code FROM nation")
 K = F.get_json_object
-P.add("contract_check", lambda r: r("events").select("event_id", A.rule_issues([("k_missing", K("props", "$.k").isNotNull()), ("k_small", K("props", "$.k").cast("long") >= 10), ("value_small", F.col("value") >= 5), ("kind", F.col("event_type") != "error")]).alias("issues")), "WITH p AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_id, concat_ws(',', CASE WHEN k IS NULL THEN 'k_missing' END, CASE WHEN NOT coalesce(k >= 10, false) THEN 'k_small' END, CASE WHEN NOT coalesce(value >= 5, false) THEN 'value_small' END, CASE WHEN NOT coalesce(event_type <> 'error', false) THEN 'kind' END) AS issues FROM p")
 P.add("tagged_json", lambda r: r("events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k")), "SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-P.add("unsafe_flag", lambda r: r("conversations").select("conv_id", "turn", F.array_join(F.filter(F.array(*[F.lit(w) for w in ("die", "ou", "th")]), lambda w: F.lower("text").contains(w)), ",").alias("found")), "SELECT conv_id, turn, concat_ws(',', CASE WHEN contains(lower(text), 'die') THEN 'die' END, CASE WHEN contains(lower(text), 'ou') THEN 'ou' END, CASE WHEN contains(lower(text), 'th') THEN 'th' END) AS found FROM conversations")
-P.add("recency_check", lambda r: r("orders").join(r("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("data_date")), "o_orderkey").select("o_orderkey", F.datediff("data_date", "o_orderdate").alias("days")).withColumn("fresh", F.col("days") <= 7), "SELECT o_orderkey, CAST(date_diff('day', o_orderdate, data_date) AS INTEGER) AS days, date_diff('day', o_orderdate, data_date) <= 7 AS fresh FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS data_date FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey")
 
 
 def checks():
@@ -130,10 +126,7 @@ def checks():
 CHECK_SQL = "WITH c AS (SELECT doc_id, unnest([{'check': 'length', 'ok': coalesce(length(text) >= 200, false)}, {'check': 'marks', 'ok': coalesce(len(regexp_extract_all(text, '[#|]')) < 3, false)}, {'check': 'ending', 'ok': coalesce(ends_with(text, '.'), false)}], recursive := true) FROM documents)"
 P.add("register_check", lambda r: A.run_checks(r("documents"), "doc_id", checks()), f"{CHECK_SQL} SELECT * FROM c")
 P.add("audit_rollup", lambda r: A.audit_rollup(A.run_checks(r("documents"), "doc_id", checks()), "doc_id"), f"{CHECK_SQL} SELECT doc_id, bool_and(ok) AS passed, coalesce(string_agg(\"check\", ',' ORDER BY \"check\") FILTER (NOT ok), '') AS gaps FROM c GROUP BY doc_id")
-P.add("chart_spec_check", lambda r: part_rows(r).groupBy("series", "unit").agg(F.count("*").alias("n"), F.count_if(F.trim("label") == "").alias("blank"), F.count_if(F.col("value").isNull()).alias("empty")).select("series", "unit", A.rule_issues([("rows", F.col("n") >= 20), ("label", F.col("blank") == 0), ("value", F.col("empty") == 0)]).alias("issues")), "SELECT p_type AS series, p_brand AS unit, concat_ws(',', CASE WHEN count(*) < 20 THEN 'rows' END, CASE WHEN count(*) FILTER (trim(p_name) = '') > 0 THEN 'label' END, CASE WHEN count(*) FILTER (p_retailprice IS NULL) > 0 THEN 'value' END) AS issues FROM part GROUP BY 1, 2")
 P.add("chart_topic_filter", lambda r: part_rows(r).where(~F.col("label").rlike("widget") & F.array_contains(letters(F.col("label")), "red")), "SELECT p_name AS label, p_type AS series, p_brand AS unit, p_retailprice AS value, p_size % 20 + 2000 AS year FROM part WHERE NOT contains(p_name, 'widget') AND regexp_matches(lower(p_name), '(^|[^a-z])red([^a-z]|$)')")
-P.add("chart_order", lambda r: part_rows(r).groupBy("series").agg(F.bool_and(F.col("label").rlike("^[0-9]+$")).alias("natural"), F.max_by("label", F.struct("value", "label")).alias("first_label")), "SELECT p_type AS series, bool_and(regexp_matches(p_name, '^[0-9]+$')) AS natural, arg_max(p_name, (p_retailprice, p_name)) AS first_label FROM part GROUP BY 1")
-P.add("short_label", lambda r: part_rows(r).select("label", F.when(F.char_length("label") <= 12, F.col("label")).otherwise(F.substring("unit", 1, 12)).alias("short")), "SELECT p_name AS label, CASE WHEN length(p_name) <= 12 THEN p_name ELSE substr(p_brand, 1, 12) END AS short FROM part")
 P.add("tail_points", lambda r: (lambda d: d.withColumn("back", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("day")))).where("back <= 240"))(r("events").groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))), "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY series ORDER BY day DESC) AS INTEGER) AS back FROM (SELECT event_type AS series, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL)) WHERE back <= 240")
 P.add("best_deliverable", lambda r: A.best_deliverable(r("conversations").select("conv_id", "turn", "role", F.char_length("text").alias("chars")), "conv_id", [(F.col("role") == "assistant").cast("int"), F.col("chars"), -F.col("turn")]), "SELECT conv_id, turn, role, CAST(length(text) AS INTEGER) AS chars FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY role = 'assistant' DESC, length(text) DESC, turn) = 1")
 P.add("tokens", lambda r: r("documents").select("doc_id", F.filter(letters(F.col("text")), lambda w: F.char_length(w) >= 3).alias("w")).select("doc_id", F.size("w").alias("tokens"), F.size(F.array_distinct("w")).alias("distinct_tokens")), r"SELECT doc_id, CAST(len(w) AS INTEGER) AS tokens, CAST(len(list_distinct(w)) AS INTEGER) AS distinct_tokens FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+'), lambda x: length(x) >= 3) AS w FROM documents)")
@@ -143,6 +136,5 @@ P.add("rejected_source_anti", lambda r: (lambda p: p.select("page_id", "host").j
 
 P.add("spec_provenance", lambda r: A.spec_provenance(r("lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("label"), F.col("l_quantity").alias("value")), r("orders").select(F.col("o_orderkey").alias("task"), F.concat_ws(" ", F.col("o_totalprice").cast("decimal(18,2)"), "o_orderpriority").alias("text")), "task"), "WITH k AS (SELECT l_orderkey AS task, l_linenumber AS label, l_quantity AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE contains(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || o_orderpriority, CAST(CAST(abs(l_quantity) AS BIGINT) AS VARCHAR))) SELECT * FROM k WHERE task IN (SELECT task FROM k GROUP BY task HAVING count(*) >= 2)")
 P.add("schedule_calendar", lambda r: A.schedule_calendar(r("orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("start"), (F.col("o_orderkey") % 7 * 60 + 60).cast("int").alias("minutes")), F.col("start") + F.expr("interval 6 hours")), "SELECT o_orderkey AS job_id, o_orderdate + i * (o_orderkey % 7 * 60 + 60) * INTERVAL 1 MINUTE AS due FROM (SELECT *, unnest(generate_series(1, 6)) AS i FROM orders) WHERE i * (o_orderkey % 7 * 60 + 60) <= 360")
-P.add("loose_json", lambda r: r("events").select("event_id", A.loose_json(F.concat(F.lit("note: ```json "), F.col("props"), F.lit(" ``` end"))).alias("found")), "SELECT event_id, props AS found FROM events")
 
 QUERIES, ORACLES = P.queries, P.oracles

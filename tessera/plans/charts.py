@@ -50,15 +50,12 @@ P.add("specs_from_rows", lambda r: N.specs_from_rows(part_rows(r)), f"{PART} SEL
 P.add("chart_type", lambda r: N.chart_type(part_rows(r), ["unit", "series"]), f"{PART} SELECT unit, series, count(*) AS rows, CASE WHEN count(year) = count(*) AND count(DISTINCT year) >= 2 THEN 'line' WHEN count(*) > 10 THEN 'hbar' ELSE 'bar' END AS type FROM rows GROUP BY unit, series")
 P.add("pie_guard", lambda r: N.pie_guard(r("part").withColumn("half", F.col("p_size") <= 25).groupBy("p_brand", "half").agg(F.count("*").alias("n")).join(r("part").groupBy("p_brand").agg(F.count("*").alias("t")), "p_brand").select(F.col("p_brand").alias("group"), (F.col("n") * 100 / F.col("t")).alias("share"))), "WITH s AS (SELECT p_brand AS \"group\", count(*) AS slices FROM (SELECT DISTINCT p_brand, p_size <= 25 FROM part) GROUP BY 1) SELECT \"group\", 100.0::DOUBLE AS total, slices, slices <= 5 AS ok FROM s")
 P.add("largest_unit_group", lambda r: N.largest_unit_group(part_rows(r)), f"{PART} SELECT unit, label, series, value, year FROM rows WHERE unit = (SELECT unit FROM rows GROUP BY unit HAVING count(*) >= 2 ORDER BY count(*) DESC, unit LIMIT 1)")
-P.add("noise_label_filter", lambda r: part_rows(r).where(~F.col("label").rlike("(?i)noise|1")).select("label", "value"), f"{PART} SELECT label, value FROM rows WHERE NOT regexp_matches(label, '(?i)noise|1')")
-P.add("series_key", lambda r: r("part").select("p_partkey", F.regexp_replace(F.lower("p_type"), "[^a-z]+", "_").alias("key")), "SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z]+', '_', 'g') AS key FROM part")
 P.add("profile_table", lambda r: N.profile_table(r("lineitem").select("l_orderkey", "l_quantity", "l_returnflag", "l_shipdate")), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls, {n} AS is_numeric, count(*) AS rows FROM lineitem" for c, n in (("l_orderkey", "true"), ("l_quantity", "true"), ("l_returnflag", "false"), ("l_shipdate", "false"))))
 P.add("load_dataset_profile", lambda r: (lambda d: d.agg(F.count("*").alias("rows"), F.lit(len(d.columns)).alias("columns")))(r("lineitem")), "SELECT count(*) AS rows, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE lineitem)) AS columns FROM lineitem")
 P.add("histograms", lambda r: N.histogram(r("lineitem"), "l_extendedprice"), "WITH m AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 30 AS w FROM lineitem) SELECT CAST(least(floor((l_extendedprice - lo) / w), 29) AS INTEGER) AS bin, count(*) AS n FROM lineitem, m GROUP BY 1")
 P.add("corr_matrix", lambda r: N.corr_pairs(r("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM lineitem" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax"))))
 P.add("top_feature", lambda r: N.corr_pairs(r("lineitem"), ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]).where("a = 'l_extendedprice'").agg(F.max_by("b", F.abs("corr")).alias("feature"), F.max(F.abs("corr")).alias("corr")), "WITH c AS (" + " UNION ALL ".join(f"SELECT '{b}' AS feature, round(abs(corr(l_extendedprice, {b})), 6) AS corr FROM lineitem" for b in ("l_quantity", "l_discount", "l_tax")) + ") SELECT feature, corr FROM c ORDER BY corr DESC LIMIT 1")
 P.add("margin_ratio", lambda r: r("lineitem").groupBy("l_returnflag").agg(F.round(F.sum(money()).cast("double") / F.nullif(F.sum(F.col("l_extendedprice").cast("decimal(18,4)")).cast("double"), F.lit(0.0)) * 100, 4).alias("margin_pct")), "SELECT l_returnflag, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4)) * CAST(1 - l_discount AS DECIMAL(10,4))) AS DOUBLE) / CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) * 100, 4) AS margin_pct FROM lineitem GROUP BY 1")
-P.add("ticker_code", lambda r: r("supplier").select("s_suppkey", F.concat(F.when(F.col("s_suppkey") % 10 == 6, "sh").when(F.col("s_suppkey") % 10 == 8, "bj").otherwise("sz"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("ticker")), "SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 6 THEN 'sh' WHEN s_suppkey % 10 = 8 THEN 'bj' ELSE 'sz' END || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS ticker FROM supplier")
 P.add("scale_round", lambda r: r("lineitem").select("l_orderkey", "l_linenumber", N.as_number(F.col("l_extendedprice").cast("string"), 7.0).alias("scaled")), "SELECT l_orderkey, l_linenumber, round(l_extendedprice * 7.0, 2) AS scaled FROM lineitem")
 
 QUERIES, ORACLES = P.queries, P.oracles

@@ -22,7 +22,6 @@ P.add("cost_ledger", lambda r: M.cost_ledger(task_log(r), r("events").sparkSessi
 SELECT model, CAST(sum(tokens) AS BIGINT) AS tokens, round(CAST(sum(tokens) AS DOUBLE) / 1e6 * CAST(coalesce(max(price.price), 2.0) AS DOUBLE), 6) AS cost FROM log LEFT JOIN price ON lower(model) = price.name GROUP BY model""")
 P.add("backlog_by_capability", lambda r: M.backlog_by_capability(task_log(r), F.col("model") == "view", F.col("model") == "signup"), f"""{LOG_SQL}, b AS (SELECT capability, count(*) FILTER (model = 'view') AS queue, count(DISTINCT agent) AS instances, count(DISTINCT agent) FILTER (model = 'signup') AS idle FROM log GROUP BY capability)
 SELECT *, CASE WHEN queue > 5 AND idle = 0 AND instances < 20 THEN 'scale_up' WHEN queue > 5 AND idle = 0 THEN 'blocked' ELSE 'hold' END AS decision FROM b""")
-P.add("ab_compare", lambda r: M.ab_compare(task_log(r), F.col("agent") % 5 == 0), f"{LOG_SQL} SELECT CASE WHEN agent % 5 = 0 THEN 'candidate' ELSE 'baseline' END AS variant, count(*) AS runs, {PCT.format('NOT failed', 2)} AS success_pct, round(avg(latency), 4) AS mean_latency, round(stddev_samp(latency), 4) AS std_latency FROM log GROUP BY 1")
 
 
 def rankings(r):
@@ -47,12 +46,7 @@ P.add("degradation_summary", lambda r: M.degradation_summary(task_log(r).withCol
 SELECT agent, count(*) AS switches, max(reasons) AS reasons, bool_or(tokens % 9 = 0) AS both_failed, max(ts) AS last_ts FROM bad JOIN seen USING (agent) GROUP BY agent""")
 P.add("verified_chain_count", lambda r: M.verified_chain_count(r("events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("tie"), F.col("event_type").alias("step"))), """WITH s AS (SELECT user_id AS key, ts, event_id, event_type AS step, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS place FROM s WHERE before IS NULL OR before <> step),
 c AS (SELECT key, string_agg(step, '>' ORDER BY place) AS chain FROM k WHERE place <= 5 GROUP BY key) SELECT chain, count(*) AS n, count(*) >= 3 AS verified FROM c GROUP BY chain""")
-P.add("system_status", lambda r: (lambda o: o.withColumn("late", F.lit(o.agg(F.max("o_orderdate")).first()[0])).agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("success"), F.count_if(F.col("o_orderdate") >= F.col("late") - F.expr("interval 1 day")).alias("last_day")))(r("orders")), "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS success, count(*) FILTER (o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 1 DAY) AS last_day FROM orders")
 P.add("project_counts", lambda r: r("orders").groupBy(F.col("o_custkey").alias("project")).agg(F.count("*").alias("tasks")), "SELECT o_custkey AS project, count(*) AS tasks FROM orders GROUP BY 1")
-P.add("replan_counts", lambda r: task_log(r).groupBy("capability").agg(F.count_if(F.col("model") == "click").alias("replans"), F.count_if((F.col("model") == "click") & (F.col("tokens") % 2 == 0)).alias("credited")), f"{LOG_SQL} SELECT capability, count(*) FILTER (model = 'click') AS replans, count(*) FILTER (model = 'click' AND tokens % 2 = 0) AS credited FROM log GROUP BY capability")
-P.add("critic_stats", lambda r: task_log(r).groupBy("agent").agg(F.count_if(F.col("latency") >= 50).alias("passed"), F.count_if(F.col("latency") < 50).alias("rejected"), F.coalesce(F.min("latency"), F.lit(10.0)).alias("min_score")), f"{LOG_SQL} SELECT agent, count(*) FILTER (latency >= 50) AS passed, count(*) FILTER (latency < 50) AS rejected, coalesce(min(latency), 10.0) AS min_score FROM log GROUP BY agent")
-P.add("memory_chars", lambda r: r("conversations").groupBy("role").agg(F.coalesce(F.sum(F.when(F.lower("text").contains("the"), F.char_length("text"))), F.lit(0)).alias("chars")), "SELECT role, CAST(coalesce(sum(length(text)) FILTER (contains(lower(text), 'the')), 0) AS BIGINT) AS chars FROM conversations GROUP BY role")
-P.add("final_status", lambda r: task_log(r).groupBy("agent").agg(F.when(F.bool_or(F.col("failed") & (F.col("tokens") % 2 == 0)), "FAILED").when(F.bool_or("failed"), "SUCCESS_WITH_ISSUES").otherwise("SUCCESS").alias("status")), f"{LOG_SQL} SELECT agent, CASE WHEN bool_or(failed AND tokens % 2 = 0) THEN 'FAILED' WHEN bool_or(failed) THEN 'SUCCESS_WITH_ISSUES' ELSE 'SUCCESS' END AS status FROM log GROUP BY agent")
 
 P.add("keep_last_n", lambda r: H.keep_last_n(r("events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], 50), "SELECT * FROM (SELECT user_id, ts, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank FROM events) WHERE rank <= 50")
 P.add("latest_state_per_key", lambda r: H.latest_state_per_key(r("events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]), "SELECT user_id, event_type, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
@@ -78,12 +72,9 @@ P.add("conversation_list", lambda r: H.conversation_list(r("conversations")), "S
 P.add("conversation_context", lambda r: H.conversation_context(r("conversations").select("conv_id", "turn", "role", "text")), "SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 60), chr(10) ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4 GROUP BY conv_id")
 P.add("first_last_per_group", lambda r: r("conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("first_role"), F.max_by(F.char_length("text"), "turn").alias("last_chars")), "SELECT conv_id, arg_min(role, turn) AS first_role, CAST(arg_max(length(text), turn) AS INTEGER) AS last_chars FROM conversations GROUP BY conv_id")
 P.add("context_precision", lambda r: H.context_precision(r("labels").withColumn("answer", F.col("doc_id") % 50), "answer", "doc_id", "quality"), "WITH p AS (SELECT doc_id % 50 AS answer, quality, sum(quality) OVER w / row_number() OVER w AS p FROM labels WINDOW w AS (PARTITION BY doc_id % 50 ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) SELECT answer, round(avg(p), 6) AS context_precision FROM p WHERE quality = 1 GROUP BY answer")
-P.add("regression_guard", lambda r: r("conversations").where("role = 'assistant'").select("conv_id", "turn", F.char_length("text").alias("chars"), F.lag(F.char_length("text")).over(Window.partitionBy("conv_id").orderBy("turn")).alias("before")).withColumn("worse", F.coalesce((F.col("before") >= 300) & (F.col("chars") < 0.4 * F.col("before")), F.lit(False))), "SELECT *, coalesce(before >= 300 AND chars < 0.4 * before, false) AS worse FROM (SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS chars, CAST(lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS before FROM conversations WHERE role = 'assistant')")
-P.add("oldest_idle_agent", lambda r: task_log(r).groupBy("capability", "agent").agg(F.max("ts").alias("last_seen")).groupBy("capability").agg(F.min(F.struct("last_seen", "agent")).alias("s")).select("capability", "s.agent", "s.last_seen"), f"{LOG_SQL}, a AS (SELECT capability, agent, max(ts) AS last_seen FROM log GROUP BY ALL) SELECT capability, agent, last_seen FROM a QUALIFY row_number() OVER (PARTITION BY capability ORDER BY last_seen, agent) = 1")
 P.add("recent_tasks", lambda r: r("orders").select("o_orderkey", "o_orderdate", "o_orderstatus").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50), "SELECT o_orderkey, o_orderdate, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
 P.add("stream_stale_timeout", lambda r: r("orders").select("o_orderkey", F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")), "FAILED").otherwise(F.col("o_orderstatus")).alias("status")), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1998-01-01' THEN 'FAILED' ELSE o_orderstatus END AS status FROM orders")
 P.add("poison_except", lambda r: r("events").select("user_id", "event_type").distinct().join(r("events").where("event_type = 'error'").select("user_id").distinct(), "user_id", "left_anti"), "SELECT DISTINCT user_id, event_type FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
-P.add("supersede_failed", lambda r: (lambda a: a.where("k % 2 = 1").join(a.where("k % 2 = 0").select("user_id", "event_type").distinct(), ["user_id", "event_type"], "left_anti").unionByName(a.where("k % 2 = 0")))(r("events").select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))), "WITH a AS (SELECT event_id, user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) SELECT user_id, event_type, event_id, k FROM a WHERE k % 2 = 0 OR NOT EXISTS (SELECT 1 FROM a b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND b.k % 2 = 0)")
 
 
 def acl_query(r):

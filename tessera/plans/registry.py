@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import audit, charts, facts, ops, reports, sources, streams, text
+from tessera.plans import audit, charts, checks, facts, ops, reports, sources, streams, text
 
-QUERIES = ops.QUERIES | text.QUERIES | charts.QUERIES | audit.QUERIES | facts.QUERIES | reports.QUERIES | sources.QUERIES | streams.QUERIES
-ORACLES = ops.ORACLES | text.ORACLES | charts.ORACLES | audit.ORACLES | facts.ORACLES | reports.ORACLES | sources.ORACLES | streams.ORACLES
+QUERIES = ops.QUERIES | text.QUERIES | charts.QUERIES | audit.QUERIES | facts.QUERIES | reports.QUERIES | sources.QUERIES | streams.QUERIES | checks.QUERIES
+ORACLES = ops.ORACLES | text.ORACLES | charts.ORACLES | audit.ORACLES | facts.ORACLES | reports.ORACLES | sources.ORACLES | streams.ORACLES | checks.ORACLES

@@ -29,14 +29,11 @@ P.add("dedupe_notes", lambda r: T.dedupe_first(r("documents")), "SELECT substr(t
 P.add("script_ratio_flag", lambda r: T.script_ratio_flag(r("documents"), "[a-zA-Z]", 0.1, 100), "SELECT doc_id, round(len(regexp_extract_all(text, '[a-zA-Z]')) / length(text), 6) AS share, len(regexp_extract_all(text, '[a-zA-Z]')) / length(text) < 0.1 AS gibberish FROM documents WHERE length(text) > 100")
 P.add("md_summary", lambda r: T.md_summary(r("documents")), r"""SELECT doc_id, CASE WHEN length(p) > 300 THEN substr(p, 1, 300) || '...' ELSE p END AS summary FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[#*`>|_]', '', 'g'), '[ \t\n\r]+', ' ', 'g')) AS p FROM documents)""")
 P.add("html_to_text", lambda r: T.html_to_text(r("pages")), r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|iframe|svg|nav|footer)[^>]*>.*?</(script|style|noscript|iframe|svg|nav|footer)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')), 1, 30000) AS text FROM pages""")
-P.add("too_short_report", lambda r: r("documents").select("doc_id", ((F.char_length("text") < 50) | F.col("text").startswith('{"error"')).alias("too_short")), "SELECT doc_id, length(text) < 50 OR starts_with(text, '{\"error\"') AS too_short FROM documents")
-P.add("completeness_check", lambda r: r("documents").select("doc_id", F.regexp_count("text", F.lit(r"\|")).cast("long").alias("marks")).withColumn("ok", F.col("marks") < 3), r"SELECT doc_id, len(regexp_extract_all(text, '\|')) AS marks, len(regexp_extract_all(text, '\|')) < 3 AS ok FROM documents")
 DOMAINS = [("finance", "(?i)price|market|die "), ("news", "(?i)news|the "), ("other_source", "(?i) que | les ")]
 P.add("task_domain", lambda r: r("conversations").select("conv_id", "turn", T.first_rule(F.col("text"), DOMAINS, "general").alias("domain")), "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)price|market|die ') THEN 'finance' WHEN regexp_matches(text, '(?i)news|the ') THEN 'news' WHEN regexp_matches(text, '(?i) que | les ') THEN 'other_source' ELSE 'general' END AS domain FROM conversations")
 BAD = [("override", r"(?i)ignore (all|previous)"), ("control", r"<\|"), ("system", r"(?i)system prompt")]
 P.add("injection_flag", lambda r: r("conversations").select("conv_id", "turn", T.first_rule(F.col("text"), BAD, "none").alias("label")), r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)ignore (all|previous)') THEN 'override' WHEN regexp_matches(text, '<\|') THEN 'control' WHEN regexp_matches(text, '(?i)system prompt') THEN 'system' ELSE 'none' END AS label FROM conversations")
 P.add("wants_chart_flag", lambda r: r("conversations").select("conv_id", "turn", F.col("text").rlike("(?i)chart|plot|graph|on a ").alias("wants_chart")), "SELECT conv_id, turn, regexp_matches(text, '(?i)chart|plot|graph|on a ') AS wants_chart FROM conversations")
-P.add("error_class", lambda r: task_log(r).select("task_id", F.when(~F.col("failed"), "none").when(F.col("tokens") < 20, "timeout").when(F.col("tokens") < 60, F.concat(F.lit("HTTP_"), (F.col("tokens") + 440).cast("string"))).otherwise("runtime").alias("error_class")), f"{LOG_SQL} SELECT task_id, CASE WHEN NOT failed THEN 'none' WHEN tokens < 20 THEN 'timeout' WHEN tokens < 60 THEN 'HTTP_' || CAST(tokens + 440 AS VARCHAR) ELSE 'runtime' END AS error_class FROM log")
 P.add("char_ngrams", lambda r: T.char_ngrams(r("benchmark"), 3), "SELECT item_id, gram, count(*) AS times FROM (SELECT item_id, substr(text, CAST(i AS INTEGER), 3) AS gram FROM (SELECT item_id, text, unnest(generate_series(1, length(text) - 2)) AS i FROM benchmark)) GROUP BY ALL")
 MATCH = f"""WITH g AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE length(w) >= 6), d AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE length(w) >= 6), h AS (SELECT item_id, doc_id, count(*) AS shared FROM g JOIN d USING (w) GROUP BY ALL)"""
 P.add("search_relevance", lambda r: T.search_matches(r("benchmark"), r("documents")), f"{MATCH} SELECT * FROM (SELECT item_id, doc_id, shared, CAST(row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 3")
