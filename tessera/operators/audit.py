@@ -223,20 +223,6 @@ def best_url(pages: DataFrame, host: Column, good: str, official: str) -> DataFr
     return rows.groupBy("host").agg(F.max_by(F.struct("page_id", "url", "score"), order).alias("s")).select("host", "s.*")
 
 
-def skill_match(texts: DataFrame, keys: list[str], skills: DataFrame) -> DataFrame:
-    """Keyword hits of every text by skill (skill, keyword, weight); best first, name on ties. skills is a parameter table."""
-    words = texts.select(*keys, F.explode(F.array_distinct(letters(F.col("text")))).alias("keyword"))
-    scored = words.join(F.broadcast(skills), "keyword").groupBy(*keys, "skill").agg(F.sum("weight").alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "skill")))
-
-
-def template_match(texts: DataFrame, keys: list[str], templates: list[tuple[str, list[str]]]) -> DataFrame:
-    """The first template all of whose keywords occur in the text, else null."""
-    words = letters(F.col("text"))
-    hits = [F.when(F.forall(F.array(*[F.lit(w) for w in need]), lambda w: F.array_contains(words, w)), name) for name, need in templates]
-    return texts.select(*keys, F.coalesce(*hits).alias("template"))
-
-
 GOAL_STOP = ["搜索", "总结", "分析", "报告", "最新", "当前", "现状", "发展", "历程", "集团", "财报", "历年", "年度", "数据", "信息", "内容", "情况", "相关", "进行", "需要", "完成", "输出", "生成", "配合"]
 GOAL_STOP += ["the", "and", "with", "for", "report", "analysis", "search", "summary"]
 #: Words with the digits and hyphens inside them.
@@ -264,11 +250,6 @@ def latency_join(starts: DataFrame, results: DataFrame, key: str, seconds: float
     return rows.select("id", key, F.when(F.col("latency") <= seconds, F.col("latency")).alias("latency"))
 
 
-def rule_issues(rules: list[tuple[str, Column]]) -> Column:
-    """The names of the failed rules in order, joined by commas; a null condition counts as failed."""
-    return F.array_join(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules])), ",")
-
-
 def run_checks(df: DataFrame, key: str, checks: list[tuple[str, Column]]) -> DataFrame:
     """(key, check, ok) of every user check, from one scan; a check that yields null counts as failed."""
     cells = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(ok, F.lit(False)).alias("ok")) for n, ok in checks])
@@ -286,13 +267,6 @@ def lookup(df: DataFrame, column: Column, table: dict[str, str], default: Column
     return df.withColumn("found", reduce(lambda out, kv: F.when(column == kv[0], kv[1]).otherwise(out), reversed(table.items()), default))
 
 
-def best_deliverable(rows: DataFrame, key: str, rank: list[Column]) -> DataFrame:
-    """The first row of each key by the given order, by aggregation on a struct."""
-    names = [f"r{i}" for i in range(len(rank))]
-    rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max(F.struct(*[c.alias(n) for c, n in zip(rank, names, strict=True)], *rest)).alias("s")).select(key, *[f"s.{c}" for c in rest])
-
-
 def spec_provenance(rows: DataFrame, texts: DataFrame, key: str, least: int = 2) -> DataFrame:
     """Rows (key, label, value) whose value, as a whole number without sign, occurs in the blank-free text of the key; keys keep ``least`` rows or none."""
     plain = texts.select(key, F.regexp_replace("text", r"[ \t\n\r]+", "").alias("plain"))
@@ -308,9 +282,3 @@ def schedule_calendar(jobs: DataFrame, end: Column) -> DataFrame:
     due = F.filter(F.sequence("start", F.greatest(end, F.col("start")), step), lambda t: t > F.col("start"))
     return jobs.select("job_id", F.explode(due).alias("due"))
 
-
-def loose_json(text: Column) -> Column:
-    """The JSON text in a fence or from the first to the last brace, null when it does not parse."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    braces = F.regexp_extract(F.when(fenced != "", fenced).otherwise(text), r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.when(F.try_parse_json(braces).isNotNull(), braces)

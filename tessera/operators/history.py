@@ -21,13 +21,6 @@ def latest_state_per_key(df: DataFrame, keys: list[str], order: list[str]) -> Da
     return df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("s")).select(*keys, "s.*")
 
 
-def repeat_suppress(df: DataFrame, key: str, reason: str, seconds: float) -> DataFrame:
-    """Drops a row equal to the previous row of its key within so many seconds (compares with the previous row)."""
-    order = Window.partitionBy(key).orderBy("ts", "id")
-    near = (F.lag(reason).over(order) == F.col(reason)) & (F.col("s") - F.lag("s").over(order) <= seconds)
-    return df.withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("near", near).where(~F.coalesce("near", F.lit(False))).drop("near", "s")
-
-
 def failure_streak(df: DataFrame, key: str, failed: Column, limit: int) -> DataFrame:
     """Consecutive failures up to each row and whether the key is unhealthy; a success resets."""
     order = Window.partitionBy(key).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)

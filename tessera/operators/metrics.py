@@ -57,12 +57,6 @@ def backlog_by_capability(log: DataFrame, queued: Column, idle: Column, limit: i
     return out.withColumn("decision", F.when(wanted & (F.col("instances") < limit), "scale_up").when(wanted, "blocked").otherwise("hold"))
 
 
-def ab_compare(log: DataFrame, candidate: Column) -> DataFrame:
-    """Success rate and latency of two variants."""
-    variant = F.when(candidate, "candidate").otherwise("baseline")
-    return log.groupBy(variant.alias("variant")).agg(F.count("*").alias("runs"), percent(~F.col("failed"), 2).alias("success_pct"), F.round(F.avg("latency"), 4).alias("mean_latency"), F.round(F.stddev_samp("latency"), 4).alias("std_latency"))
-
-
 def tournament_scores(rankings: DataFrame) -> DataFrame:
     """Points (size - position) and wins by player; rankings: (game, player, position from 1, size)."""
     return rankings.groupBy("player").agg(F.sum(F.col("size") - F.col("position")).alias("points"), F.count_if(F.col("position") == 1).alias("wins"))
@@ -73,23 +67,10 @@ def stability_flag(rankings: DataFrame) -> DataFrame:
     return rankings.groupBy("player").agg(F.count("*").alias("games"), F.count_if(F.col("position") == 1).alias("wins")).withColumn("stable", F.col("wins") * 2 >= F.col("games"))
 
 
-def judge_calibration(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Mean absolute error and agreement of automatic and human scores (auto, human)."""
-    return pairs.agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("auto") - F.col("human"))), 6).alias("mae"), F.round(F.avg(((F.col("auto") >= threshold) == (F.col("human") >= threshold)).cast("int")), 6).alias("agreement"))
-
-
 def eval_gate(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.agg(F.round(F.avg("score"), 6).alias("mean_score"), (F.avg("score") >= threshold).alias("passed"))
 
 
-def degradation_summary(log: DataFrame, both_failed: Column) -> DataFrame:
-    """By agent: failures, the distinct reasons in first-seen order, whether both endpoints failed, the last time."""
-    bad = log.where("failed")
-    first = bad.groupBy("agent", "model").agg(F.min("ts").alias("first_ts")).groupBy("agent").agg(F.array_sort(F.collect_list(F.struct("first_ts", "model"))).alias("seen"))
-    totals = bad.groupBy("agent").agg(F.count("*").alias("switches"), F.bool_or(both_failed).alias("both_failed"), F.max("ts").alias("last_ts"))
-    return totals.join(first, "agent").select("agent", "switches", F.array_join(F.transform("seen", lambda s: s["model"]), ",").alias("reasons"), "both_failed", "last_ts")
-
-
 def verified_chain_count(steps: DataFrame, least: int = 3, longest: int = 5) -> DataFrame:
     """Chains of steps without immediate repeats (first ``longest``), counted over keys; steps: (key, ts, tie, step)."""
     order = Window.partitionBy("key").orderBy("ts", "tie")

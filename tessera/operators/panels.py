@@ -84,16 +84,6 @@ def profile_table(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 
 
-def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
-    """Counts of equal-width bins; the greatest value falls in the last bin."""
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    if low is None:
-        return df.sparkSession.createDataFrame([], "bin int, n long")
-    width = (high - low) / bins or 1.0
-    at = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    return df.where(F.col(column).isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
-
-
 def corr_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every two columns, from one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

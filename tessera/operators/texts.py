@@ -31,13 +31,6 @@ def topic_terms(docs: DataFrame, stop: list[str], least: int = 3, top: int = 12)
     return words.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(top)
 
 
-def entity_frequency(docs: DataFrame, aliases: DataFrame, top: int = 12) -> DataFrame:
-    """Mentions by canonical name; aliases (alias, name) meet exploded tokens, so cost is linear in the text."""
-    words = docs.select("doc_id", F.explode(letters(F.col("text"))).alias("alias"))
-    hits = words.join(F.broadcast(aliases), "alias")
-    return hits.groupBy("name").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("docs")).orderBy(F.desc("mentions"), "name").limit(top)
-
-
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, sentence): split at semicolons, line ends and full stops; a "." next to a digit belongs to the number."""
     pieces = F.split("text", r"[。．；;\n]|(?<![0-9])\.(?![0-9])")
@@ -84,14 +77,6 @@ def html_to_text(pages: DataFrame, chars: int = 30_000) -> DataFrame:
     return pages.select("page_id", F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.substring(text, 1, chars).alias("text"))
 
 
-def first_rule(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
-    """The name of the first pattern that matches."""
-    out = F.lit(default)
-    for name, pattern in reversed(rules):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
-    return out
-
-
 def char_ngrams(texts: DataFrame, n: int) -> DataFrame:
     """(item_id, gram, times) over sliding windows of characters."""
     size = F.char_length("text")

@@ -99,8 +99,6 @@ SELECT * EXCLUDE (market) FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q
 P.add("best_url", lambda r: A.best_url(r("pages"), host_of(F.col("url")), "page=|/fr/", "/en/"), f"SELECT host, arg_max(page_id, (score, official, -page_id)) AS page_id, arg_max(url, (score, official, -page_id)) AS url, max(score) AS score FROM (SELECT {HOST} AS host, page_id, url, CASE WHEN regexp_matches(lower(url), 'page=|/fr/') THEN 3 ELSE 0 END + CASE WHEN starts_with(url, 'https') THEN 1 ELSE 0 END AS score, CAST(regexp_matches(lower(url), '/en/') AS INTEGER) AS official FROM pages) GROUP BY host")
 SKILLS = [("german", "der", 2), ("german", "die", 1), ("english", "the", 2), ("english", "and", 1), ("french", "les", 2), ("french", "le", 1)]
 VALUES = ", ".join(f"('{a}', '{b}', {c})" for a, b, c in SKILLS)
-P.add("skill_match", lambda r: A.skill_match(r("conversations"), ["conv_id", "turn"], r("conversations").sparkSession.createDataFrame(SKILLS, "skill string, keyword string, weight int")), f"WITH w AS (SELECT DISTINCT conv_id, turn, keyword FROM (SELECT conv_id, turn, {WORDS} AS keyword FROM conversations)), s AS (SELECT conv_id, turn, skill, CAST(sum(weight) AS BIGINT) AS score FROM w JOIN (VALUES {VALUES}) v(skill, keyword, weight) USING (keyword) GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, skill) AS INTEGER) AS rank FROM s")
-P.add("template_match", lambda r: A.template_match(r("conversations"), ["conv_id", "turn"], [("a", ["der", "die"]), ("b", ["the", "and"]), ("c", ["le"])]), r"WITH w AS (SELECT conv_id, turn, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+') AS w FROM conversations) SELECT conv_id, turn, CASE WHEN list_has_all(w, ['der', 'die']) THEN 'a' WHEN list_has_all(w, ['the', 'and']) THEN 'b' WHEN list_has_all(w, ['le']) THEN 'c' END AS template FROM w")
 P.add("goal_overlap", lambda r: A.goal_overlap(r("conversations")), r"WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+'), lambda x: length(x) >= 4) AS w FROM conversations) SELECT conv_id, turn, coalesce(list_has_any(w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn)), false) AS overlap FROM w")
 #: Words of three letters and stop words as surveyed; no SQL twin.
 P.add("goal_overlap_words", lambda r: A.goal_overlap(r("conversations"), 3, A.GOAL_WORD, A.GOAL_STOP))
@@ -128,9 +126,7 @@ P.add("register_check", lambda r: A.run_checks(r("documents"), "doc_id", checks(
 P.add("audit_rollup", lambda r: A.audit_rollup(A.run_checks(r("documents"), "doc_id", checks()), "doc_id"), f"{CHECK_SQL} SELECT doc_id, bool_and(ok) AS passed, coalesce(string_agg(\"check\", ',' ORDER BY \"check\") FILTER (NOT ok), '') AS gaps FROM c GROUP BY doc_id")
 P.add("chart_topic_filter", lambda r: part_rows(r).where(~F.col("label").rlike("widget") & F.array_contains(letters(F.col("label")), "red")), "SELECT p_name AS label, p_type AS series, p_brand AS unit, p_retailprice AS value, p_size % 20 + 2000 AS year FROM part WHERE NOT contains(p_name, 'widget') AND regexp_matches(lower(p_name), '(^|[^a-z])red([^a-z]|$)')")
 P.add("tail_points", lambda r: (lambda d: d.withColumn("back", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("day")))).where("back <= 240"))(r("events").groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))), "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY series ORDER BY day DESC) AS INTEGER) AS back FROM (SELECT event_type AS series, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL)) WHERE back <= 240")
-P.add("best_deliverable", lambda r: A.best_deliverable(r("conversations").select("conv_id", "turn", "role", F.char_length("text").alias("chars")), "conv_id", [(F.col("role") == "assistant").cast("int"), F.col("chars"), -F.col("turn")]), "SELECT conv_id, turn, role, CAST(length(text) AS INTEGER) AS chars FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY role = 'assistant' DESC, length(text) DESC, turn) = 1")
 P.add("tokens", lambda r: r("documents").select("doc_id", F.filter(letters(F.col("text")), lambda w: F.char_length(w) >= 3).alias("w")).select("doc_id", F.size("w").alias("tokens"), F.size(F.array_distinct("w")).alias("distinct_tokens")), r"SELECT doc_id, CAST(len(w) AS INTEGER) AS tokens, CAST(len(list_distinct(w)) AS INTEGER) AS distinct_tokens FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+'), lambda x: length(x) >= 3) AS w FROM documents)")
-P.add("capability_intersect", lambda r: r("conversations").groupBy("conv_id").agg(F.collect_set("role").alias("roles")).select("conv_id", F.arrays_overlap("roles", F.array(F.lit("system"), F.lit("tool"))).alias("meets")), "SELECT conv_id, bool_or(role IN ('system', 'tool')) AS meets FROM conversations GROUP BY conv_id")
 P.add("spec_merge_by_title", lambda r: (lambda p: p.where("p_size <= 25").select("p_partkey", "p_name").unionByName(p.where("p_size > 25").join(p.where("p_size <= 25").select("p_name").distinct(), "p_name", "left_anti").select("p_partkey", "p_name")))(r("part")), "SELECT p_partkey, p_name FROM part WHERE p_size <= 25 OR p_name NOT IN (SELECT p_name FROM part WHERE p_size <= 25)")
 P.add("rejected_source_anti", lambda r: (lambda p: p.select("page_id", "host").join(p.where(F.col("url").rlike("ref=")).select("host").distinct(), "host", "left_anti"))(r("pages").select("page_id", "url", host_of(F.col("url")).alias("host"))), f"WITH p AS (SELECT page_id, url, {HOST} AS host FROM pages) SELECT page_id, host FROM p WHERE host NOT IN (SELECT host FROM p WHERE contains(url, 'ref='))")
 

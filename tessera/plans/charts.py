@@ -40,7 +40,6 @@ PART = "WITH rows AS (SELECT p_name AS label, p_type AS series, p_brand AS unit,
 
 P.add("rank_topn", lambda r: N.rank_topn(quotes(r), "market", "amount", "code", 10), f"{QUOTES} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY market ORDER BY amount DESC, code) AS INTEGER) AS rank FROM quotes) WHERE rank <= 10")
 P.add("price_volume_pairs", lambda r: N.price_volume_pairs(quotes(r).select(F.concat_ws("-", "market", "code").alias("name"), (F.col("amount") / F.col("volume")).alias("price"), "amount").unpivot("name", ["price", "amount"], "metric", "value")), f"{QUOTES} SELECT market || '-' || code AS name, amount / volume AS price, amount FROM quotes WHERE amount IS NOT NULL")
-P.add("financial_panel", lambda r: N.pivot_panel(statements(r), ["entity", "year"], ["revenue", "orders"]).withColumn("per_order", F.round(F.col("revenue") / F.col("orders"), 2)), f"{YEARS} SELECT *, round(revenue / orders, 2) AS per_order FROM y")
 P.add("yoy_growth", lambda r: N.yoy_growth(statements(r).where("metric = 'revenue'").drop("metric"), "entity", "value"), f"{YEARS} SELECT entity, year, revenue AS value, round((revenue / lag(revenue) OVER (PARTITION BY entity ORDER BY year) - 1) * 100, 4) AS growth_pct FROM y")
 P.add("latest_per_year", lambda r: r("orders").groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_totalprice")).alias("s")).select("o_custkey", "year", F.col("s.o_totalprice").alias("last_price")), "SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, o_totalprice AS last_price FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 P.add("merge_structured_rows", lambda r: (lambda w: N.melt_missing(w, ["entity", "year"], ["revenue", "orders"], w.where("year % 2 = 0").select("entity", "year", F.lit("orders").alias("label"), F.col("orders").alias("value"))))(N.pivot_panel(statements(r), ["entity", "year"], ["revenue", "orders"])), f"{YEARS} SELECT entity, year, 'orders' AS label, orders AS value FROM y UNION ALL SELECT entity, year, 'revenue', revenue FROM y")
@@ -52,7 +51,6 @@ P.add("pie_guard", lambda r: N.pie_guard(r("part").withColumn("half", F.col("p_s
 P.add("largest_unit_group", lambda r: N.largest_unit_group(part_rows(r)), f"{PART} SELECT unit, label, series, value, year FROM rows WHERE unit = (SELECT unit FROM rows GROUP BY unit HAVING count(*) >= 2 ORDER BY count(*) DESC, unit LIMIT 1)")
 P.add("profile_table", lambda r: N.profile_table(r("lineitem").select("l_orderkey", "l_quantity", "l_returnflag", "l_shipdate")), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls, {n} AS is_numeric, count(*) AS rows FROM lineitem" for c, n in (("l_orderkey", "true"), ("l_quantity", "true"), ("l_returnflag", "false"), ("l_shipdate", "false"))))
 P.add("load_dataset_profile", lambda r: (lambda d: d.agg(F.count("*").alias("rows"), F.lit(len(d.columns)).alias("columns")))(r("lineitem")), "SELECT count(*) AS rows, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE lineitem)) AS columns FROM lineitem")
-P.add("histograms", lambda r: N.histogram(r("lineitem"), "l_extendedprice"), "WITH m AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 30 AS w FROM lineitem) SELECT CAST(least(floor((l_extendedprice - lo) / w), 29) AS INTEGER) AS bin, count(*) AS n FROM lineitem, m GROUP BY 1")
 P.add("corr_matrix", lambda r: N.corr_pairs(r("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM lineitem" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax"))))
 P.add("top_feature", lambda r: N.corr_pairs(r("lineitem"), ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]).where("a = 'l_extendedprice'").agg(F.max_by("b", F.abs("corr")).alias("feature"), F.max(F.abs("corr")).alias("corr")), "WITH c AS (" + " UNION ALL ".join(f"SELECT '{b}' AS feature, round(abs(corr(l_extendedprice, {b})), 6) AS corr FROM lineitem" for b in ("l_quantity", "l_discount", "l_tax")) + ") SELECT feature, corr FROM c ORDER BY corr DESC LIMIT 1")
 P.add("margin_ratio", lambda r: r("lineitem").groupBy("l_returnflag").agg(F.round(F.sum(money()).cast("double") / F.nullif(F.sum(F.col("l_extendedprice").cast("decimal(18,4)")).cast("double"), F.lit(0.0)) * 100, 4).alias("margin_pct")), "SELECT l_returnflag, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4)) * CAST(1 - l_discount AS DECIMAL(10,4))) AS DOUBLE) / CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) * 100, 4) AS margin_pct FROM lineitem GROUP BY 1")

@@ -35,14 +35,14 @@ def literal(value: object) -> str:
     return " || o_custkey || ".join("'" + part.replace("'", "''") + "'" for part in value.split("{n}"))
 
 
-def add_cases(name: str, given: str, wanted: list[str], cases: list[tuple[tuple, tuple]], check: Callable[[DataFrame], DataFrame]) -> None:
+def add_cases(name: str, given: str, wanted: list[str], cases: list[tuple[tuple, tuple]], check: Callable[[DataFrame], DataFrame], plans: Plans = P) -> None:
     """Registers a query over staged cases ((given values), (wanted values)) and its twin."""
     columns = []
     for i, column in enumerate(wanted):
         arms = " ".join(f"WHEN {k} THEN {literal(out[i])}" for k, (_, out) in enumerate(cases))
         columns.append(f"CASE o_orderkey % {len(cases)} {arms} END AS {column}")
     sql = f"SELECT o_orderkey, {', '.join(columns)} FROM orders"
-    P.add(name, lambda r: check(staged(r, given, [row for row, _ in cases])), sql)
+    plans.add(name, lambda r: check(staged(r, given, [row for row, _ in cases])), sql)
 
 
 BODY = "全文第{n}段，本段说明市场概况与主要企业的经营情况，并列出数据来源与统计口径，供读者核对。报告共分三章，逐章说明。"
@@ -62,6 +62,11 @@ add_cases(
     ],
     lambda df: df.select("o_orderkey", C.completeness(F.col("report"), F.col("goal")).alias("s")).select("o_orderkey", "s.*"),
 )
+add_cases(
+    "report_gaps", "report string", ["gaps"],
+    [(("价格待获取{n}",), (["待获取"],)), (("完整{n}",), ([],)), (("需重跑搜索：数据未获取",), (["数据未获取", "需重跑搜索"],)), ((None,), ([],))],
+    lambda df: df.select("o_orderkey", C.gap_marks(F.col("report")).alias("gaps")),
+)
 add_cases(
     "too_short_report", "report string", ["short"],
     [

@@ -34,16 +34,9 @@ def rankings(r):
 GAMES = f"{LOG_SQL}, best AS (SELECT date_trunc('hour', ts) AS game, capability AS player, max(latency) AS v FROM log GROUP BY 1, 2), ranked AS (SELECT player, row_number() OVER (PARTITION BY game ORDER BY v DESC, player) AS position, count(*) OVER (PARTITION BY game) AS size FROM best)"
 P.add("tournament_scores", lambda r: M.tournament_scores(rankings(r)), f"{GAMES} SELECT player, CAST(sum(size - position) AS BIGINT) AS points, count(*) FILTER (position = 1) AS wins FROM ranked GROUP BY player")
 P.add("stability_flag", lambda r: M.stability_flag(rankings(r)), f"{GAMES} SELECT player, count(*) AS games, count(*) FILTER (position = 1) AS wins, count(*) FILTER (position = 1) * 2 >= count(*) AS stable FROM ranked GROUP BY player")
-def auto_score():
-    return F.when(F.regexp_count("text", F.lit("[#$%&*!|]")) * 100 > F.char_length("text"), 0.0).otherwise(1.0)
 
-
-P.add("judge_calibration", lambda r: M.judge_calibration(r("documents").join(r("labels"), "doc_id").select(auto_score().alias("auto"), F.col("quality").cast("double").alias("human")), 0.5), """WITH p AS (SELECT CASE WHEN len(regexp_extract_all(text, '[#$%&*!|]')) * 100 > length(text) THEN 0.0 ELSE 1.0 END AS auto, quality AS human FROM documents JOIN labels USING (doc_id))
-SELECT count(*) AS n, CAST(round(avg(abs(auto - human)), 6) AS DOUBLE) AS mae, round(avg(CASE WHEN (auto >= 0.5) = (human >= 0.5) THEN 1 ELSE 0 END), 6) AS agreement FROM p""")
 P.add("eval_gate", lambda r: M.eval_gate(r("labels").select(F.col("quality").alias("score")), 0.8), "SELECT round(avg(quality), 6) AS mean_score, avg(quality) >= 0.8 AS passed FROM labels")
 P.add("fraction_true", lambda r: r("labels").groupBy((F.col("doc_id") % 10).alias("answer")).agg(F.round(F.avg("quality"), 6).alias("share"), F.count("*").alias("n")), "SELECT doc_id % 10 AS answer, round(avg(quality), 6) AS share, count(*) AS n FROM labels GROUP BY 1")
-P.add("degradation_summary", lambda r: M.degradation_summary(task_log(r).withColumns({"failed": F.col("tokens") % 3 == 0}), F.col("tokens") % 9 == 0), f"""{LOG_SQL}, bad AS (SELECT * FROM log WHERE tokens % 3 = 0), firsts AS (SELECT agent, model, min(ts) AS first_ts FROM bad GROUP BY ALL), seen AS (SELECT agent, string_agg(model, ',' ORDER BY first_ts, model) AS reasons FROM firsts GROUP BY agent)
-SELECT agent, count(*) AS switches, max(reasons) AS reasons, bool_or(tokens % 9 = 0) AS both_failed, max(ts) AS last_ts FROM bad JOIN seen USING (agent) GROUP BY agent""")
 P.add("verified_chain_count", lambda r: M.verified_chain_count(r("events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("tie"), F.col("event_type").alias("step"))), """WITH s AS (SELECT user_id AS key, ts, event_id, event_type AS step, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS place FROM s WHERE before IS NULL OR before <> step),
 c AS (SELECT key, string_agg(step, '>' ORDER BY place) AS chain FROM k WHERE place <= 5 GROUP BY key) SELECT chain, count(*) AS n, count(*) >= 3 AS verified FROM c GROUP BY chain""")
 P.add("project_counts", lambda r: r("orders").groupBy(F.col("o_custkey").alias("project")).agg(F.count("*").alias("tasks")), "SELECT o_custkey AS project, count(*) AS tasks FROM orders GROUP BY 1")
@@ -51,7 +44,6 @@ P.add("project_counts", lambda r: r("orders").groupBy(F.col("o_custkey").alias("
 P.add("keep_last_n", lambda r: H.keep_last_n(r("events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], 50), "SELECT * FROM (SELECT user_id, ts, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank FROM events) WHERE rank <= 50")
 P.add("latest_state_per_key", lambda r: H.latest_state_per_key(r("events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]), "SELECT user_id, event_type, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 P.add("history_upsert", lambda r: H.latest_state_per_key(r("orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", "o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"]), "SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
-P.add("repeat_suppress", lambda r: H.repeat_suppress(r("events").select(F.col("event_id").alias("id"), "user_id", "event_type", "ts"), "user_id", "event_type", 3600), """SELECT id, user_id, event_type, ts FROM (SELECT event_id AS id, user_id, event_type, ts, lag(event_type) OVER w AS b, lag(ts) OVER w AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE NOT coalesce(b = event_type AND epoch_us(ts) - epoch_us(t) <= 3600000000, false)""")
 P.add("circuit_state", lambda r: H.failure_streak(task_log(r).select("id", "agent", "ts", "failed"), "agent", F.col("failed"), 2), f"""{LOG_SQL}, s AS (SELECT id, agent, ts, failed, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY agent ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS island FROM log), t AS (SELECT id, agent, ts, failed, CAST(sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY agent, island ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM s) SELECT *, streak >= 2 AS unhealthy FROM t""")
 P.add("idle_streak", lambda r: H.failure_streak(task_log(r).select("id", "agent", "ts", (F.col("tokens") < 40).alias("empty")), "agent", F.col("empty"), 3).groupBy("agent").agg(F.max("streak").alias("longest"), F.count_if("unhealthy").alias("checks_over")), f"""{LOG_SQL}, s AS (SELECT id, agent, ts, tokens < 40 AS e, sum(CASE WHEN tokens < 40 THEN 0 ELSE 1 END) OVER (PARTITION BY agent ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS island FROM log), t AS (SELECT agent, sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY agent, island ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS streak FROM s) SELECT agent, CAST(max(streak) AS BIGINT) AS longest, count(*) FILTER (streak >= 3) AS checks_over FROM t GROUP BY agent""")
 P.add("restart_quarantine", lambda r: H.restart_quarantine(r("events").where("event_type = 'signup'").select("event_id", "user_id", "ts"), "user_id", 86_400, 3), "SELECT event_id, user_id, ts, count(*) OVER w AS restarts, count(*) OVER w >= 3 AS quarantined FROM events WHERE event_type = 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)")
@@ -67,7 +59,6 @@ def as_of_query(r, ttl):
 
 AS_OF = "WITH stored AS (SELECT user_id AS k, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL), asked AS (SELECT event_id AS id, user_id AS k, ts FROM events WHERE event_type = 'view') SELECT a.id, a.k, a.ts, CASE WHEN epoch_us(a.ts) - epoch_us(s.ts) <= {0} THEN s.value END AS value FROM asked a ASOF LEFT JOIN stored s ON a.k = s.k AND a.ts >= s.ts"
 P.add("cached_result_asof", lambda r: as_of_query(r, 86_400), AS_OF.format(86_400_000_000))
-P.add("ttl_cache_lookup", lambda r: as_of_query(r, 600), AS_OF.format(600_000_000))
 P.add("conversation_list", lambda r: H.conversation_list(r("conversations")), "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn, arg_min(text, turn) AS first_text, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")
 P.add("conversation_context", lambda r: H.conversation_context(r("conversations").select("conv_id", "turn", "role", "text")), "SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 60), chr(10) ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4 GROUP BY conv_id")
 P.add("first_last_per_group", lambda r: r("conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("first_role"), F.max_by(F.char_length("text"), "turn").alias("last_chars")), "SELECT conv_id, arg_min(role, turn) AS first_role, CAST(arg_max(length(text), turn) AS INTEGER) AS last_chars FROM conversations GROUP BY conv_id")

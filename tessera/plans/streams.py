@@ -49,18 +49,6 @@ QUERIES["metrics_csv_sink"] = lambda spark, d: J.drain(log(spark, d).select("id"
 ORACLES["metrics_csv_sink"] = "SELECT event_id AS id, event_type AS kind, value, event_type = 'error' AS failed FROM events"
 
 
-def ranking_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranking as CSV with a header; absent values are empty."""
-    out = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_size") > 5, F.col("p_size")).alias("p_size"), "p_retailprice")
-    path = shared_folder(spark)
-    out.write.option("header", True).csv(path)
-    return spark.read.schema(out.schema).option("header", True).csv(path)
-
-
-QUERIES["ranking_csv_export"] = ranking_csv
-ORACLES["ranking_csv_export"] = "SELECT p_partkey, p_name, CASE WHEN p_size > 5 THEN p_size END AS p_size, p_retailprice FROM part"
-
-
 def jsonl_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with a cut field, appended as JSON lines in two writes and read back."""
     path, events = shared_folder(spark), table(spark, sf_dir, "events")
@@ -70,13 +58,5 @@ def jsonl_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def jsonl_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest appended record of each user."""
-    back = jsonl_append(spark, sf_dir)
-    return back.groupBy("user_id").agg(F.max(F.struct("event_id", "note")).alias("s"), F.count("*").alias("records")).select("user_id", "s.*", "records")
-
-
 QUERIES["jsonl_append"] = jsonl_append
 ORACLES["jsonl_append"] = "SELECT event_id, user_id, substr(props, 1, 6) AS note FROM events"
-QUERIES["jsonl_tail"] = jsonl_tail
-ORACLES["jsonl_tail"] = "SELECT user_id, max(event_id) AS event_id, arg_max(substr(props, 1, 6), event_id) AS note, count(*) AS records FROM events GROUP BY user_id"

@@ -13,14 +13,10 @@ WORDS = r"unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[
 STOP = ["the", "and", "der", "die", "que", "les"]
 
 P.add("source_distribution", lambda r: T.source_distribution(r("pages"), "cheap-pills"), f"SELECT host, count(*) AS pages FROM (SELECT {HOST} AS host FROM pages) WHERE host <> '' AND NOT contains(host, 'cheap-pills') GROUP BY host ORDER BY pages DESC, host LIMIT 12")
-P.add("garbage_filter", lambda r: T.garbage_filter(r("pages"), "cheap-pills", r"/(login|tag|search)").select("page_id", "url"), f"SELECT page_id, url FROM pages WHERE NOT contains({HOST}, 'cheap-pills') AND NOT regexp_matches(lower(url), '/(login|tag|search)')")
 P.add("url_union_distinct", lambda r: r("pages").select("page_id", "url").union(r("pages").select((F.col("page_id") + 1000000).alias("page_id"), "url")).groupBy("url").agg(F.min("page_id").alias("page_id")), "SELECT url, min(page_id) AS page_id FROM pages GROUP BY url")
 P.add("topic_terms", lambda r: T.topic_terms(r("documents"), STOP), f"SELECT term, count(*) AS n FROM (SELECT {WORDS} AS term FROM documents) WHERE length(term) >= 3 AND term NOT IN ('the', 'and', 'der', 'die', 'que', 'les') GROUP BY term ORDER BY n DESC, term LIMIT 12")
 ALIASES = [("the", "definite"), ("der", "definite"), ("la", "definite"), ("le", "definite"), ("of", "genitive"), ("de", "genitive"), ("von", "genitive")]
-P.add("entity_frequency", lambda r: T.entity_frequency(r("documents"), r("documents").sparkSession.createDataFrame(ALIASES, "alias string, name string")), f"SELECT name, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, {WORDS} AS alias FROM documents) JOIN (VALUES ('the', 'definite'), ('der', 'definite'), ('la', 'definite'), ('le', 'definite'), ('of', 'genitive'), ('de', 'genitive'), ('von', 'genitive')) v(alias, name) USING (alias) GROUP BY name ORDER BY mentions DESC, name LIMIT 12")
-P.add("entity_alias_join", lambda r: r("documents").select("doc_id", F.explode(T.letters(F.col("text"))).alias("alias")).join(F.broadcast(r("documents").sparkSession.createDataFrame(ALIASES, "alias string, name string")), "alias").groupBy("doc_id", "name").agg(F.count("*").alias("mentions")), f"SELECT doc_id, name, count(*) AS mentions FROM (SELECT doc_id, {WORDS} AS alias FROM documents) JOIN (VALUES ('the', 'definite'), ('der', 'definite'), ('la', 'definite'), ('le', 'definite'), ('of', 'genitive'), ('de', 'genitive'), ('von', 'genitive')) v(alias, name) USING (alias) GROUP BY ALL")
 P.add("most_common_k", lambda r: r("documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(10), "SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang LIMIT 10")
-P.add("topic_gate", lambda r: r("documents").where(F.arrays_overlap(T.letters(F.col("text")), F.array(F.lit("license"), F.lit("with")))).select("doc_id", "source"), f"SELECT DISTINCT doc_id, source FROM (SELECT doc_id, source, {WORDS} AS w FROM documents) WHERE w IN ('license', 'with')")
 P.add("sentences", lambda r: T.sentences(r("documents")), r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '([0-9])\.', '\1' || chr(1), 'g'), '\.([0-9])', chr(1) || '\1', 'g'), '[.;\n。；．]'), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '') AS p FROM documents)
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, p[i] AS sentence FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i FROM s)""")
 P.add("extract_numbers", lambda r: T.extract_numbers(r("documents")).groupBy("doc_id").agg(F.count("*").alias("numbers"), F.max("number").alias("greatest")), r"""WITH n AS (SELECT doc_id, TRY_CAST(replace(unnest(regexp_extract_all(regexp_replace(text, 'https?://[^ \n]+', ' ', 'g'), '[0-9][0-9,]*(?:\.[0-9]+)?')), ',', '') AS DOUBLE) AS number FROM documents) SELECT doc_id, count(*) AS numbers, max(number) AS greatest FROM n WHERE number IS NOT NULL GROUP BY doc_id""")
@@ -30,14 +26,9 @@ P.add("script_ratio_flag", lambda r: T.script_ratio_flag(r("documents"), "[a-zA-
 P.add("md_summary", lambda r: T.md_summary(r("documents")), r"""SELECT doc_id, CASE WHEN length(p) > 300 THEN substr(p, 1, 300) || '...' ELSE p END AS summary FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[#*`>|_]', '', 'g'), '[ \t\n\r]+', ' ', 'g')) AS p FROM documents)""")
 P.add("html_to_text", lambda r: T.html_to_text(r("pages")), r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|iframe|svg|nav|footer)[^>]*>.*?</(script|style|noscript|iframe|svg|nav|footer)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')), 1, 30000) AS text FROM pages""")
 DOMAINS = [("finance", "(?i)price|market|die "), ("news", "(?i)news|the "), ("other_source", "(?i) que | les ")]
-P.add("task_domain", lambda r: r("conversations").select("conv_id", "turn", T.first_rule(F.col("text"), DOMAINS, "general").alias("domain")), "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)price|market|die ') THEN 'finance' WHEN regexp_matches(text, '(?i)news|the ') THEN 'news' WHEN regexp_matches(text, '(?i) que | les ') THEN 'other_source' ELSE 'general' END AS domain FROM conversations")
-BAD = [("override", r"(?i)ignore (all|previous)"), ("control", r"<\|"), ("system", r"(?i)system prompt")]
-P.add("injection_flag", lambda r: r("conversations").select("conv_id", "turn", T.first_rule(F.col("text"), BAD, "none").alias("label")), r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)ignore (all|previous)') THEN 'override' WHEN regexp_matches(text, '<\|') THEN 'control' WHEN regexp_matches(text, '(?i)system prompt') THEN 'system' ELSE 'none' END AS label FROM conversations")
-P.add("wants_chart_flag", lambda r: r("conversations").select("conv_id", "turn", F.col("text").rlike("(?i)chart|plot|graph|on a ").alias("wants_chart")), "SELECT conv_id, turn, regexp_matches(text, '(?i)chart|plot|graph|on a ') AS wants_chart FROM conversations")
 P.add("char_ngrams", lambda r: T.char_ngrams(r("benchmark"), 3), "SELECT item_id, gram, count(*) AS times FROM (SELECT item_id, substr(text, CAST(i AS INTEGER), 3) AS gram FROM (SELECT item_id, text, unnest(generate_series(1, length(text) - 2)) AS i FROM benchmark)) GROUP BY ALL")
 MATCH = f"""WITH g AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE length(w) >= 6), d AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE length(w) >= 6), h AS (SELECT item_id, doc_id, count(*) AS shared FROM g JOIN d USING (w) GROUP BY ALL)"""
 P.add("search_relevance", lambda r: T.search_matches(r("benchmark"), r("documents")), f"{MATCH} SELECT * FROM (SELECT item_id, doc_id, shared, CAST(row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 3")
-P.add("eval_case_match", lambda r: T.search_matches(r("benchmark"), r("documents"), top=1).select("item_id", "doc_id", "shared"), f"{MATCH} SELECT item_id, doc_id, shared FROM h QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) = 1")
 P.add("irrelevant_results", lambda r: r("benchmark").select("item_id").join(T.search_matches(r("benchmark"), r("documents"), top=1).select("item_id", "shared"), "item_id", "left").select("item_id", F.col("shared").isNull().alias("irrelevant")), f"{MATCH} SELECT item_id, NOT EXISTS (SELECT 1 FROM h WHERE h.item_id = b.item_id) AS irrelevant FROM benchmark b")
 #: The whole scoring; no SQL twins, held against brute force by the tests.
 P.add("search_relevance_scored", lambda r: T.search_scores(r("benchmark"), r("documents")))
