@@ -122,16 +122,15 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", bits
 def with_next(df: DataFrame, id_col: str, carry: list[str], slices: int | None = None) -> DataFrame:
     """Adds next_<c> of the row with the next greater id (after the last: the first), without one global sort.
 
-    Ids are cut into equal ranges; each range also gets a copy of the row that follows it, and a window
-    inside the range does the rest. Only the three figures of the id range and one id per range (a
-    number fixed by ``slices``) leave the executors.
+    Ids are cut at their approximate quantiles, so clustered ids give even ranges; each range also gets a copy of the row
+    that follows it, and a window inside the range does the rest. Only the quantiles and one id per range (numbers fixed
+    by ``slices``) leave the executors. Null ids come first.
     """
     spark = df.sparkSession
     slices = slices or max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    low, high = df.agg(F.min(id_col), F.max(id_col)).first()
-    low, high = low or 0, high or 0
-    width = (high - low) // slices + 1
-    slot = F.coalesce(F.floor((F.col(id_col) - F.lit(low)) / F.lit(width)), F.lit(0)).cast("long")
+    cuts = df.agg(F.percentile_approx(id_col, [i / slices for i in range(1, slices)], 10 * slices)).first()[0]
+    bounds = F.array(*[F.lit(b) for b in sorted(set(cuts or []))]).cast("array<long>")
+    slot = F.when(F.col(id_col).isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b < F.col(id_col)))).cast("long")
     df = df.withColumn("slot_", slot)
     firsts = [(r[0], r[1]) for r in df.groupBy("slot_").agg(F.min(F.struct(F.col(id_col).isNotNull(), F.col(id_col)))[id_col]).collect()]
     firsts.sort()

@@ -1,8 +1,9 @@
 """Mixing sources to target weights: temperature, bisected exponent, budgeted block permutations.
 
 Weights are token shares raised to an exponent and normalised. The exponent is bisected until the
-entropy of the weights reaches a target, or no source is repeated more often than a limit. The budget
-keeps the largest source exactly once, so every document stays and small sources are repeated.
+entropy of the weights reaches a target, or no source is repeated more often than a limit. The token budget is a
+parameter; without one it keeps the largest source exactly once, so every document stays and small sources are
+repeated. A smaller budget takes part of the blocks of a source, a larger one repeats all sources more often.
 Each source is cut into hash blocks; every epoch of a source is one pseudo-random permutation of its
 blocks, and the last, partial epoch takes blocks in that order up to the token budget (to the nearest block).
 
@@ -72,8 +73,12 @@ def find_exponent(totals: DataFrame, repetition_limit: float | None = None, targ
     return high if repetition_limit is not None else low
 
 
-def mix(df: DataFrame, repetition_limit: float | None = None, target_entropy: float | None = None, id_col: str = "doc_id", source: str = "source", text: str = "text", blocks: int = BLOCKS) -> DataFrame:
-    """(id, source, tokens, epoch, block, block_rank): one row for each copy of a document in the mixture."""
+def mix(df: DataFrame, repetition_limit: float | None = None, target_entropy: float | None = None, id_col: str = "doc_id", source: str = "source", text: str = "text", blocks: int = BLOCKS, budget: int | None = None) -> DataFrame:
+    """(id, source, tokens, epoch, block, block_rank): one row for each copy of a document in the mixture.
+
+    The budget of a source is met to half a block, which is 1 / blocks of the source on average; give more blocks for a
+    finer cut or larger sources.
+    """
     docs = df.select(
         F.col(id_col), F.col(source).alias("source"), n_tokens(F.col(text)).alias("tokens"),
         F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("key_"),
@@ -86,6 +91,9 @@ def mix(df: DataFrame, repetition_limit: float | None = None, target_entropy: fl
     most = totals.agg(F.max("tokens")).first()[0] or 0
     times = F.when(F.col("tokens") > 0, F.exp(F.lit(1 - exponent) * (F.lit(math.log(most or 1)) - F.log("tokens")))).otherwise(F.lit(1.0))
     plan = totals.select("key_", times.alias("times"), F.col("tokens").alias("source_tokens"))
+    if budget is not None:
+        implied = plan.agg(F.sum(F.col("times") * F.col("source_tokens"))).first()[0] or 1.0
+        plan = plan.withColumn("times", F.when(F.col("source_tokens") > 0, F.col("times") * F.lit(budget / implied)).otherwise(F.col("times")))
     plan = plan.withColumns({"full": F.floor("times").cast("int"), "rest": (F.col("times") - F.floor("times")) * F.col("source_tokens")})
     order = Window.partitionBy("key_", "epoch").orderBy("mark", "block")
     turns = (

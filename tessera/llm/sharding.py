@@ -29,7 +29,7 @@ def hash_key(id_col: Column) -> Column:
 
 
 def _prefix(bits: Column) -> Column:
-    return F.expr("shiftrightunsigned(key_, 60 - bits_)") if bits is None else F.call_function("shiftrightunsigned", F.col("key_"), F.lit(KEY_BITS) - bits)
+    return F.call_function("shiftrightunsigned", F.col("key_"), F.lit(KEY_BITS) - bits)
 
 
 def directory(rows: DataFrame, limit: int) -> list[DataFrame]:
@@ -78,10 +78,24 @@ def shards(df: DataFrame, limit: int, id_col: str = "doc_id", text: str = "text"
 
 
 def write_shards(df: DataFrame, limit: int, path: str, id_col: str = "doc_id", text: str = "text") -> None:
-    """Writes the rows of df as Parquet, one folder for each shard."""
-    found = shards(df, limit, id_col, text).select(F.col(id_col).alias("id_"), "shard").distinct()
-    placed = df.join(found, F.col(id_col).eqNullSafe(F.col("id_"))).drop("id_")
-    placed.withColumn("shard", F.concat(F.lit("b"), "shard")).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Writes the rows of df as Parquet, one folder for each shard.
+
+    A row finds its shard by its own hash and the directory, so null and repeated ids keep their rows and no row meets
+    another one. The directory of the first round has at most 2**20 bins and is broadcast; later rounds, of crowded bins,
+    are ordinary joins.
+    """
+    sizes = cut_lineage(df.select(hash_key(F.col(id_col)).alias("key_"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes")))
+    parts = []
+    for i, found in enumerate(directory(sizes, limit)):
+        n = found.select("bin_bits").head()
+        if n is None:
+            continue
+        name = F.call_function("lpad", F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth").cast("int"), F.lit("0"))
+        bins = found.select(F.col("bin").alias("bin_"), F.concat(F.lit("b"), name).alias("shard"))
+        place = F.call_function("shiftrightunsigned", hash_key(F.col(id_col)), F.lit(KEY_BITS - n[0]))
+        parts.append(df.withColumn("bin_", place).join(F.broadcast(bins) if i == 0 else bins, "bin_").drop("bin_"))
+    rows = reduce(DataFrame.unionByName, parts) if parts else df.withColumn("shard", F.lit("b"))
+    rows.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 #: Bytes of text in one shard.

@@ -65,6 +65,9 @@ def test_op1_edits_against_brute_force(spark):
 def test_next_rows_with_gaps(spark):
     ids = sorted(random.Random(3).sample(range(10_000_000), 300)) + [5_000_000_000]
     df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
+    clustered = spark.createDataFrame([(i, str(i)) for i in [*range(4000), 10**15]], "doc_id long, text string")
+    near = fingerprint.with_next(clustered, "doc_id", ["text"], slices=16)
+    assert {r.doc_id: r.next_text for r in near.collect()} == {**{i: str(i + 1) for i in range(3999)}, 3999: str(10**15), 10**15: "0"}
     got = {r.doc_id: r.next_text for r in fingerprint.with_next(df, "doc_id", ["text"], slices=16).collect()}
     assert got == {a: str(b) for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
     assert fingerprint.with_next(df.limit(0), "doc_id", ["text"]).count() == 0
@@ -263,6 +266,14 @@ def test_mixing_meets_limit_and_entropy(spark):
     assert mixing.mix(df.limit(0), repetition_limit=2.0).count() == 0
 
 
+def test_mixing_meets_a_token_budget(spark):
+    rows = [(i, "abc"[i % 3] if i % 2 else "a", "w " * (i % 5 + 1)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("tokens", F.lit("clash"))
+    for budget in (2000, 9000, 40_000):
+        got = mixing.mix(df, repetition_limit=2.0, budget=budget).agg(F.sum("tokens")).first()[0]
+        assert abs(got - budget) < 0.02 * budget
+
+
 def brute_classes(docs):
     sets = {d: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for d, t in docs}
     words = {d: tuple((t or "").lower().split()) for d, t in docs}
@@ -350,6 +361,17 @@ def test_sharding_writes_every_row(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 200
 
 
+def test_sharding_writes_odd_rows(spark, tmp_path):
+    rows = [(None, "n" * 300)] * 3 + [(5, f"same {i}" * 20) for i in range(9)] + [(i, None) for i in range(50)] + [(i, "x" * 40) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"bin": F.lit("clash"), "depth": F.lit(1), "prefix": F.lit(2)})
+    sharding.write_shards(df, 700, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted((str(x.doc_id), str(x.text), x.bin) for x in back.collect()) == sorted((str(a), str(b), "clash") for a, b in rows)
+    want = {(r.doc_id, "b" + r.shard) for r in sharding.shards(df, 700).collect()}
+    assert {(r.doc_id, r.shard) for r in back.select("doc_id", F.col("shard").cast("string").alias("shard")).distinct().collect()} == want
+    sharding.write_shards(df.limit(0), 700, str(tmp_path / "e"))
+
+
 def test_sharding_writes_rows_without_id(spark, tmp_path):
     df = spark.createDataFrame([(i if i % 4 else None, f"t{i}") for i in range(200)], "doc_id long, text string")
     sharding.write_shards(df, 50, str(tmp_path / "s"))
@@ -564,3 +586,19 @@ def test_pipeline_mixes_null_and_repeated_ids(spark):
     want = mixing.mix(docs, repetition_limit=mixing.REPEATS, id_col="doc_id").groupBy("doc_id", "source").agg(F.count_distinct("epoch").alias("n")).collect()
     times = {(x.doc_id, x.source): x.n for x in want}
     assert got == {t: times[d, s] for d, t, s in rows} and max(got.values()) <= 3
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40).unionByName(odd_docs(spark).drop("score", "h1")).withColumns({"score": F.lit("clash"), "b0": F.lit(1), "block": F.lit(2)})
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, stage in cp.STAGES:
+        got = stage(spark, docs, sf)
+        rows = got.collect()
+        if name != "BPE encoding":
+            assert got.columns == columns and {r.text for r in rows} <= {r.text for r in docs.collect()}, name
+        else:
+            assert len(rows) == docs.count()
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
