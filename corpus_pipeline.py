@@ -1,4 +1,8 @@
-"""A corpus pipeline over ``documents``: each stage reads what its predecessor kept."""
+"""A corpus pipeline over ``documents``: each stage reads what its predecessor kept.
+
+Every stage reads the five columns of documents and no others, keeps rows with null and repeated ids apart, takes null
+texts, and gives no rows for an empty table.
+"""
 
 from __future__ import annotations
 
@@ -12,14 +16,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier scores under 0.5."""
+    """Drops documents that the classifier scores under 0.5; a null text is scored like an empty one, equal rows alike."""
     docs = docs.select(COLUMNS)
     model = quality.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return docs.where(quality.score_column(model) >= 0.5)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is undetermined or narrow."""
+    """Drops documents whose language is undetermined (null texts and texts without letters too) or narrow; equal rows alike."""
     docs = docs.select(COLUMNS)
     content = language.train(docs)
     return docs.where(language.prediction_column(content)["accepted"])
