@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.checks import any_of, occurrences
+from tessera.functions.columns import any_of, occurrences
 from tessera.operators.texts import HAN, sentences
 
 # Fixed values of the goal formats.

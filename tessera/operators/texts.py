@@ -150,16 +150,23 @@ def search_scores(goals: DataFrame, docs: DataFrame, top: int = 3, least: int =
     return best.withColumn("strict", strict).where(~F.col("strict") | (F.col("score") >= least)).drop("strict")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, most: float, blocks: int = 8) -> DataFrame:
-    """The k nearest vectors of each query by cosine distance of unit vectors, itself excluded.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, most: float, per_block: int = 1024) -> DataFrame:
+    """The k nearest vectors of each query by cosine distance of unit vectors, itself excluded; ties go to the lesser id.
 
-    The query side is a stated set, dealt into blocks; every block meets all rows by an equi-join on the block,
-    and the rank limit is applied before the next shuffle.
+    The query side is a stated set. Queries are dealt into blocks of about ``per_block``, vectors into as many parts as
+    there are tasks; a vector meets every block of queries once, by an equi-join on (block, part), so the work is spread
+    over blocks times parts tasks and grows with both sides. The rank limit is applied in each task before its rows
+    are shuffled. Null vectors are left out.
     """
+    spark = vectors.sparkSession
+    asked = queries.where(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").alias("q"))
+    blocks = max(1, -(-asked.count() // per_block))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.withColumn("block", deal(blocks)).withColumn("part", every(parts))
+    held = vectors.where(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("other"), F.col("embedding").alias("v"), deal(parts).alias("part"), every(blocks).alias("block"))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda x, y: x + y)
-    asked = queries.select("vec_id", F.col("embedding").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    held = vectors.select(F.col("vec_id").alias("other"), F.col("embedding").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = held.join(asked, "block").where("other <> vec_id")
-    near = pairs.select("vec_id", "other", F.round(1 - dot, 4).alias("distance")).where(F.col("distance") <= most)
+    near = held.join(asked, ["block", "part"]).where("other <> vec_id").select("vec_id", "part", "other", F.round(1 - dot, 4).alias("distance")).where(F.col("distance") <= most)
     order = Window.partitionBy("vec_id").orderBy("distance", "other")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near.drop("part").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
