@@ -101,16 +101,53 @@ P.add("cache_key", lambda r: r("conversations").select("conv_id", "turn", F.conc
       "SELECT conv_id, turn, 'llm_cache:' || coalesce(role, 'default') || ':' || sha256(substr(coalesce(text, ''), 1, 500)) AS cache_key FROM conversations")
 
 
-def fact_texts(r: Reader) -> DataFrame:
-    n = F.col("p_size")
-    body = text("2024年中国逻辑芯片市场规模将达到", n, "亿元。GPU占有超过", n, "%的市场份额。全球AI大模型总调用量为", n, "万亿Token。CPU出货量同比下降", n, "%。市场规模约为未知")
-    return r("part").select(F.col("p_partkey").alias("doc_id"), body.alias("text"))
+#: Sentences around a figure, {} in its place, and the facts that they state: (sentence, kind, label, sign, unit).
+STATED = (
+    ("显卡占有约{}%的市场份额", "share", "显卡", "", "%"),
+    ("在日本存储市场甲厂的份额为{}%，乙厂落后", "share", "甲厂", "", "%"),
+    ("边缘设备出货量仅占{}%", "share", "边缘设备出货量", "", "%"),
+    ("丙厂拥有{}%的份额", "share", "丙厂", "", "%"),
+    ("中国充电桩装机量已达{}万台", "macro", "充电桩装机量", "", "万台"),
+    ("去年（2023年电动车销量为{}万）", "macro", "电动车销量", "", "万"),
+    ("云服务调用量超过{}亿次", "macro", "云服务调用量", "", "亿次"),
+    ("服务器营收同比增长{}%", "trend", "服务器营收", "", "%"),
+    ("而2024年中国家电的销量同比下滑{}%", "trend", "家电销量", "-", "%"),
+    ("存储芯片走势分化，出货量环比回落{}%", "trend", "存储芯片出货量", "-", "%"),
+    ("面板成为焦点，增速为{}%", "trend", "面板增速", "", "%"),
+    ("门票价格为{}元，折扣{}%", "none", "", "", ""),
+)
+#: (sentence, theme, sign, unit, year, region, kind)
+SIZES = (
+    ("2024年中国逻辑芯片市场规模将达到{}亿元", "逻辑芯片", "", "亿元", "2024", "'中国'", "chip"),
+    ("其中家电销售额约{}万美元", "家电", "", "万美元", "NULL", "NULL", "overall"),
+    ("2022年，丁公司亏损{}亿元", "丁公司", "-", "亿元", "2022", "NULL", "overall"),
+    ("欧洲的市场规模约为{}万亿美元", "市场规模", "", "万亿美元", "NULL", "'欧洲'", "overall"),
+)
+
+
+def fact_texts(r: Reader, forms: tuple) -> DataFrame:
+    """Each part as a text whose second sentence is one of the forms with the part's size as figure."""
+    bodies = [F.replace(F.lit(f"前言。{form[0]}。"), F.lit("{}"), F.col("p_size").cast("string")) for form in forms]
+    return r("part").select(F.col("p_partkey").alias("doc_id"), F.element_at(F.array(*bodies), (F.col("p_partkey") % len(forms) + 1).cast("int")).alias("text"))
 
 
 LEXICON = X.Lexicon()
-P.add("size_theme", lambda r: X.extract_amounts(sentences(fact_texts(r)), LEXICON).select("doc_id", "theme", "value", "unit", "year", "region", X.theme_kind(F.col("theme")).alias("kind")), "SELECT p_partkey AS doc_id, '逻辑芯片' AS theme, CAST(p_size AS DOUBLE) AS value, '亿元' AS unit, 2024 AS year, '中国' AS region, 'chip' AS kind FROM part")
-for name, found, label, sign, unit in (("extract_share", X.extract_shares, "GPU", "", "%"), ("extract_macro", X.extract_indicators, "AI大模型总调用量", "", "万亿Token"), ("extract_trend", X.extract_trends, "CPU出货量", "-", "%")):
-    P.add(name, lambda r, found=found: found(sentences(fact_texts(r)), LEXICON), f"SELECT p_partkey AS doc_id, {('extract_share', 'extract_macro', 'extract_trend').index(name) + 1} AS pos, '{label}' AS label, {sign}CAST(p_size AS DOUBLE) AS value, '{unit}' AS unit FROM part")
+
+
+def sizes(r: Reader) -> DataFrame:
+    found = X.extract_amounts(sentences(fact_texts(r, SIZES)), LEXICON)
+    return found.select("doc_id", "theme", "value", "unit", "year", "region", X.theme_kind(F.col("theme")).alias("kind"))
+
+
+P.add("size_theme", sizes, " UNION ALL ".join(
+    f"SELECT p_partkey AS doc_id, '{theme}' AS theme, {sign}CAST(p_size AS DOUBLE) AS value, '{unit}' AS unit, CAST({year} AS INTEGER) AS year, {region} AS region, '{kind}' AS kind FROM part WHERE p_partkey % {len(SIZES)} = {i}"
+    for i, (_, theme, sign, unit, year, region, kind) in enumerate(SIZES)
+))
+for kind_, found_ in (("share", X.extract_shares), ("macro", X.extract_indicators), ("trend", X.extract_trends)):
+    P.add(f"extract_{kind_}", lambda r, found=found_: found(sentences(fact_texts(r, STATED)), LEXICON), " UNION ALL ".join(
+        f"SELECT p_partkey AS doc_id, 1 AS pos, '{label}' AS label, {sign}CAST(p_size AS DOUBLE) AS value, '{unit}' AS unit FROM part WHERE p_partkey % {len(STATED)} = {i}"
+        for i, (_, kind, label, sign, unit) in enumerate(STATED) if kind == kind_
+    ))
 P.add("norm_sentence", lambda r: r("part").select("p_partkey", X.norm_sentence(text("市 场 ", F.col("p_size"), " 亿 元, ok  两 空")).alias("sentence")), "SELECT p_partkey, '市场' || p_size || '亿元, ok  两空' AS sentence FROM part")
 P.add("clean_label", lambda r: r("orders").select("o_orderkey", X.clean_label(text("其中预计", F.col("o_custkey") % 30 + 2000, "年全球", F.col("o_orderpriority")), LEXICON).alias("label")), "SELECT o_orderkey, o_orderpriority AS label FROM orders")
 

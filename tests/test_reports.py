@@ -30,3 +30,14 @@ def test_columns(spark):
     row = docs(spark, "据新浪财经与财新网 www.sina.com.cn 的年报").select(S.media_suggestions(F.col("text"), ()).alias("m")).first()
     assert [(m.word, m.host) for m in row.m] == [("据新浪财经", "sina.com.cn"), ("与财新网", "sina.com.cn")]
     assert docs(spark, "1，234").select(S.scaled(F.col("text"), F.lit("千亿美元")).alias("s")).first().s == (1234e11, "usd")
+
+
+def test_names_and_claims(spark):
+    goals = ["请帮我分析华润集团与小米公司", "公司财报", "腾讯的历年年报", "总结某某北方重型机械公司", "关于乙公司", "no name", ""]
+    assert [r.c for r in docs(spark, *goals).orderBy("doc_id").select(S.company(F.col("text")).alias("c")).collect()] == ["华润", "公司", "腾讯", "北方重型机械", "", "", ""]
+    claims = ["来源：甲报告，根据 乙所。引自丙|x", "| 来源 | [站点](http://a.b) | http://c.d | x |\n|不计|", "来源：", "来自" + "长" * 100, "", None]
+    got = [r.c for r in docs(spark, *claims).orderBy("doc_id").select(S.source_claims(F.col("text")).alias("c")).collect()]
+    assert got == [["甲报告", "乙所"], ["来源", "站点"], [], ["长" * 60], [], None]
+    texts = ["中国新闻网 HTTPS://WWW.A.example:80/x 与 b.com", "甲财报、周报和北京日报 b.co.uk/path", "网", "", None]
+    got = [r.m for r in docs(spark, *texts).orderBy("doc_id").select(S.media_suggestions(F.col("text"), ()).alias("m")).collect()]
+    assert [[tuple(m) for m in row or []] for row in got] == [[("中国新闻网", "a.example")], [("和北京日报", "b.co.uk")], [], [], []]
