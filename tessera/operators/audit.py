@@ -6,10 +6,13 @@ Every check runs over all reports at once; a report never meets more than its ow
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.operators.texts import ALNUM, HAN, letters, sentences
 
@@ -17,27 +20,27 @@ from tessera.operators.texts import ALNUM, HAN, letters, sentences
 RELATIVE, LEAST = 0.005, 0.5
 
 
-def tolerance(x: Column) -> Column:
-    return F.greatest(F.lit(LEAST), F.abs(x) * RELATIVE)
-
-
-def _scale(x: Column) -> Column:
+def _scale(x: Column, relative: float = RELATIVE, least: float = LEAST) -> Column:
     """Maps numbers so that two values within the tolerance differ by under 1.1: linear near zero, then logarithmic."""
-    far = F.signum(x) * (200 + F.log(F.greatest(F.abs(x), F.lit(100.0)) / 100) / RELATIVE)
-    return F.when(F.abs(x) <= 100, x / LEAST).otherwise(far)
+    near = least / relative
+    far = F.signum(x) * (1 / relative + F.log(F.greatest(F.abs(x), F.lit(near)) / near) / relative)
+    return F.when(F.abs(x) <= near, x / least).otherwise(far)
 
 
-def number_trace(figures: DataFrame, sources: DataFrame, key: str) -> DataFrame:
-    """Figures (key, figure_id, figure) with the number of sources (key, value) within the tolerance.
+def number_trace(figures: DataFrame, sources: DataFrame, key: str | list[str], relative: float = RELATIVE, least: float = LEAST) -> DataFrame:
+    """Figures (keys, figure_id, figure) with the number of sources (keys, value) within ``least``, or the relative share of the figure.
 
-    Equal sources are counted before the join; the range condition is an equi-join on (key, bin) with the
+    Equal sources are counted before the join; the range condition is an equi-join on (keys, bin) with the
     neighbouring bins, so no task meets a whole report times all its sources.
     """
-    held = sources.where("value is not null").groupBy(key, "value").agg(F.count("*").alias("times")).withColumn("bin", F.floor(_scale(F.col("value"))))
-    at = F.floor(_scale(F.col("figure")))
-    asked = figures.where("figure is not null").select(key, "figure_id", "figure", F.explode(F.sequence(at - 2, at + 2)).alias("bin"))
-    hits = asked.join(held, [key, "bin"]).where(F.abs(F.col("value") - F.col("figure")) <= tolerance(F.col("figure"))).groupBy("figure_id").agg(F.sum("times").alias("sources"))
-    return figures.join(hits, "figure_id", "left").select(key, "figure_id", "figure", F.coalesce("sources", F.lit(0)).alias("sources"))
+    keys = [key] if isinstance(key, str) else key
+    bin_of = lambda x: F.floor(_scale(x, relative, least))
+    held = sources.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("times")).withColumn("bin", bin_of(F.col("value")))
+    at = bin_of(F.col("figure"))
+    asked = figures.where("figure is not null").select(*keys, "figure_id", "figure", F.explode(F.sequence(at - 2, at + 2)).alias("bin"))
+    close = F.abs(F.col("value") - F.col("figure")) <= F.greatest(F.lit(least), F.abs("figure") * relative)
+    hits = asked.join(held, [*keys, "bin"]).where(close).groupBy("figure_id").agg(F.sum("times").alias("sources"))
+    return figures.join(hits, "figure_id", "left").select(*keys, "figure_id", "figure", F.coalesce("sources", F.lit(0)).alias("sources"))
 
 
 def trace_status(traced: DataFrame, totals: DataFrame, key: str, share: float = 0.02) -> DataFrame:
@@ -256,6 +259,40 @@ def run_checks(df: DataFrame, key: str, checks: list[tuple[str, Column]]) -> Dat
     return df.select(key, F.inline(cells))
 
 
+@dataclass(frozen=True)
+class Check:
+    """A registered check: ok is a boolean column, or a struct(ok, detail) as ``python_check`` makes; it applies to tasks with one of the capabilities, or to all."""
+
+    name: str
+    ok: Column
+    applies: tuple[str, ...] = ()
+
+
+def python_check(check: Callable[..., tuple[bool, str]], *columns: str) -> Column:
+    """struct(ok, detail) of a Python check over some columns, in Arrow batches; a check that raises has failed, with the error as detail."""
+
+    def run(*values: object) -> tuple[bool, str]:
+        try:
+            ok, detail = check(*values)
+            return bool(ok), str(detail)
+        except Exception as problem:
+            return False, f"{type(problem).__name__}: {problem}"
+
+    return F.udf(run, "struct<ok:boolean,detail:string>", useArrow=True)(*columns)
+
+
+def registered_checks(df: DataFrame, key: str, capabilities: Column, checks: list[Check], chars: int = 200) -> DataFrame:
+    """(key, check, ok, detail) of the checks that apply to a row's capabilities (null: none), from one scan; null counts as failed."""
+    cells = []
+    for i, c in enumerate(checks):
+        df = df.withColumn(f"check_{i}", c.ok)
+        told = isinstance(df.schema[f"check_{i}"].dataType, StructType)
+        ok, detail = (F.col(f"check_{i}.ok"), F.left(f"check_{i}.detail", F.lit(chars))) if told else (F.col(f"check_{i}"), F.lit(None).cast("string"))
+        cell = F.struct(F.lit(c.name).alias("check"), F.coalesce(ok, F.lit(False)).alias("ok"), detail.alias("detail"))
+        cells.append(F.when(F.arrays_overlap(capabilities, F.array(*map(F.lit, c.applies))), cell) if c.applies else cell)
+    return df.select(key, F.inline(F.array_compact(F.array(*cells))))
+
+
 def audit_rollup(results: DataFrame, key: str) -> DataFrame:
     """Pass or fail with the ordered gap list, from (key, check, ok)."""
     gaps = F.array_join(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("check")))), ",")

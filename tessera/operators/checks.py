@@ -366,21 +366,22 @@ def unsafe_words(text: Column, words: list[str] = UNSAFE_WORDS) -> Column:
     return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.coalesce(text, F.lit("")).contains(w))
 
 
-def stated_numbers(texts: DataFrame, key: str) -> DataFrame:
-    """(key, pos, value, unit) of the figures that need a source: those with a unit, and plain ones of four digits or more.
+def stated_numbers(texts: DataFrame, key: str, after: int = 0) -> DataFrame:
+    """(key, pos, value, unit, after) of the figures that need a source: those with a unit, and plain ones of four digits or more.
 
     Images, local paths and addresses are masked first; years, codes with leading zeros or an exchange suffix, and
-    digits inside words or longer numbers are no figures.
+    digits inside words or longer numbers are no figures. ``after`` holds so many of the characters that follow.
     """
     masked = F.coalesce("text", F.lit(""))
     for pattern in (r"!\[[^\]]*\]\([^)]*\)", r"[A-Za-z]:\\\S*", r"/tasks/\S+", r"https?://\S+"):
         masked = F.regexp_replace(masked, pattern, " ")
     unit = r"(?:万亿|千亿|百亿|亿|万)?\s*(?:美元|港元|元|人民币|USD|US\$|%|％)?"
     whole = rf"(?<![A-Za-z0-9.,])[0-9][0-9,]*(?:\.[0-9]+)?\s*{unit}(?:\.(?:HK|T|O|N|US|L|A|B|SS|SZ)\b)?"
-    found = texts.select(key, F.posexplode(F.regexp_extract_all(masked, F.lit(f"({whole})"), F.lit(1))).alias("pos", "raw"))
+    part = lambda group: F.regexp_extract_all(masked, F.lit(f"({whole})(?s)(?=(.{{0,{after}}}))"), F.lit(group))
+    found = texts.select(key, F.posexplode(F.arrays_zip(part(1).alias("raw"), part(2).alias("after"))).alias("pos", "cell")).select(key, "pos", "cell.*")
     digits = F.replace(F.regexp_extract("raw", r"^[0-9][0-9,]*(?:\.[0-9]+)?", 0), F.lit(","), F.lit(""))
     named = F.regexp_replace(F.regexp_replace("raw", r"^[0-9][0-9,]*(?:\.[0-9]+)?", ""), r"\s", "")
-    out = found.select(key, "pos", digits.alias("value"), named.alias("unit"))
+    out = found.select(key, "pos", digits.alias("value"), named.alias("unit"), "after")
     plain = F.col("unit") == ""
     skip = F.col("unit").startswith(".") | (plain & F.col("value").rlike(r"^(0[0-9]{3,}|(19|20)[0-9]{2})$")) | (plain & (F.char_length(F.replace("value", F.lit("."), F.lit(""))) < 4))
     return out.where(~skip)
@@ -389,7 +390,18 @@ def stated_numbers(texts: DataFrame, key: str) -> DataFrame:
 def balanced_json(text: Column) -> Column:
     """The first balanced object of a text (in a fence if there is one), null when it does not parse."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.regexp_extract(F.when(fenced != "", fenced).otherwise(text), r"(?s)(\{.*)", 1)
+    return _first_object(F.when(fenced != "", fenced).otherwise(text))
+
+
+def tagged_specs(text: Column, tag: str = "[CHART_DATA]") -> Column:
+    """The chart objects (JSON texts) of the first balanced object behind a tag: its charts, else its data rows; empty without a tag or when it does not parse."""
+    found = _first_object(F.get(F.split(text, rf"\Q{tag}\E", 2), F.lit(1)))
+    listed = F.from_json(found, "struct<charts:array<string>,data:array<string>>")
+    return F.filter(F.coalesce(listed["charts"], listed["data"], F.array().cast("array<string>")), lambda spec: F.startswith(spec, F.lit("{")))
+
+
+def _first_object(text: Column) -> Column:
+    body = F.regexp_extract(text, r"(?s)(\{.*)", 1)
     pieces = F.regexp_extract_all(body, F.lit(r"(?s)([{}]|[^{}]+)"), F.lit(1))
     zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
 

@@ -145,10 +145,15 @@ NO_MEDIA = "年财月周公表道"
 DOMAINS = ("com", "cn", "net", "org", "info", "io", "cc", "co.uk")
 
 
+def after_cues(text: Column, cues: tuple[str, ...], stop: str, longest: int) -> Column:
+    """What follows each cue, without colons and blanks, up to a stop mark and so many characters."""
+    behind = F.slice(F.split(text, "|".join(sorted(cues, key=len, reverse=True))), 2, 1 << 30)
+    return F.transform(behind, lambda c: F.trim(F.left(F.get(F.split(F.ltrim(c, F.lit("：: \t")), stop, 2), F.lit(0)), F.lit(longest))))
+
+
 def source_claims(text: Column, cues: tuple[str, ...] = CUES, longest: int = 60) -> Column:
     """Distinct claims of sources: what follows a cue up to a mark or bar, then the cells of table lines that speak of a source; links count by their text."""
-    behind = F.slice(F.split(text, "|".join(cues)), 2, 1 << 30)
-    said = F.transform(behind, lambda c: F.trim(F.left(F.ltrim(F.get(F.split(F.ltrim(c, F.lit("：: \t")), "[。；\n，,|]", 2), F.lit(0))), F.lit(longest))))
+    said = after_cues(text, cues, "[。；\n，,|]", longest)
     sourced = F.filter(F.split(text, "\n"), lambda line: F.startswith(F.ltrim(line), F.lit("|")) & line.contains("来源"))
     named = F.transform(F.flatten(F.transform(sourced, cells)), lambda c: F.regexp_replace(c, r"\[([^\]]+)\]\([^)]*\)", "$1"))
     return F.filter(F.array_distinct(F.concat(said, F.filter(named, lambda c: ~c.contains("http")))), lambda c: F.char_length(c) >= 2)

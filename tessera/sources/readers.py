@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 QUOTE = "struct<usd:double,usd_market_cap:double,usd_24h_vol:double,usd_24h_change:double>"
 XBRL = "map<string,struct<units:map<string,array<struct<form:string,start:string,end:string,val:double>>>>>"
@@ -33,13 +34,26 @@ def read_search_docs(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return _whole(spark, path).select("file", F.posexplode(rows).alias("pos", "d")).select("file", "pos", "d.*")
 
 
-def read_structured_frame(spark: SparkSession, path: str | DataFrame, row: str) -> DataFrame:
-    """Rows of a JSON envelope: the first non-empty array of data.rows, data.items, data.points, else the array itself."""
+def read_structured_frame(spark: SparkSession, path: str | DataFrame, row: str, errors: bool = False) -> DataFrame:
+    """Rows of CSV files with a header (a path that ends in .csv, one layout for all its files), or of JSON envelopes.
+
+    Of an envelope the first that is not empty counts: the array data.rows, data.items or data.points, the plain fields of
+    data as one row, the array itself. With ``errors`` there is a column error, and a file without rows gives one row of nulls that says so.
+    """
+    fields = StructType.fromDDL(row.removeprefix("struct<").removesuffix(">"))
+    if isinstance(path, str) and path.endswith(".csv"):
+        lines = _header_csv(spark, path)
+        typed = [(F.col(f.name).try_cast(f.dataType) if f.name in lines.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields]
+        out = lines.select(F.col("_metadata.file_name").alias("file"), *typed)
+        return out.withColumn("error", F.lit(None).cast("string")) if errors else out
     inner = F.from_json("value", f"struct<data:struct<rows:array<{row}>,items:array<{row}>,points:array<{row}>>>")
     full = lambda a: F.when(F.size(a) > 0, a)
-    files = _whole(spark, path).withColumn("e", inner)
-    rows = F.coalesce(full(F.col("e.data.rows")), full(F.col("e.data.items")), full(F.col("e.data.points")), F.from_json("value", f"array<{row}>"))
-    return files.select("file", F.explode(rows).alias("r")).select("file", "r.*")
+    files = _whole(spark, path).withColumns({"e": inner, "one": F.from_json("value", f"struct<data:{row}>")["data"]})
+    plain = F.coalesce(*[F.col("one").getField(f.name).cast("string") for f in fields]).isNotNull()
+    rows = F.coalesce(full(F.col("e.data.rows")), full(F.col("e.data.items")), full(F.col("e.data.points")), F.when(plain, F.array("one")), F.when(F.startswith(F.ltrim("value"), F.lit("[")), full(F.from_json("value", f"array<{row}>"))))
+    if not errors:
+        return files.select("file", F.explode(rows).alias("r")).select("file", "r.*")
+    return files.select("file", F.explode_outer(rows).alias("r")).select("file", "r.*", F.when(F.col("r").isNull(), F.concat("file", F.lit(": no rows"))).alias("error"))
 
 
 def read_ranking_snapshot(spark: SparkSession, path: str | DataFrame) -> DataFrame:
@@ -121,9 +135,21 @@ def read_news_rss(spark: SparkSession, path: str | DataFrame, each: int = 20) ->
 
 
 def read_acl_refs(spark: SparkSession, path: str) -> DataFrame:
-    """(kb_id, position_id) from a CSV whose position_ids is a list as text; an unreadable list is empty."""
-    ids = F.from_json(F.translate("position_ids", "'", '"'), "array<string>")
-    return spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path).where("trim(kb_id) <> ''").select(F.trim("kb_id").alias("kb_id"), F.explode(ids).alias("position_id"))
+    """(kb_id, position_id) from a CSV whose position_ids is a list as text; an unreadable list is empty, apostrophes inside ids are kept."""
+    ids = F.from_json("position_ids", "array<string>", {"allowSingleQuotes": "true"})
+    refs = _header_csv(spark, path).where("trim(kb_id) <> ''")
+    return refs.select(F.trim("kb_id").alias("kb_id"), F.explode(F.transform(ids, lambda i: F.trim(i))).alias("position_id"))
+
+
+def read_acl_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Users (user_id, position_id), positions (position_id, position_name) and controlled items (kb_id, position_id) of user.csv, position.csv and kb_position_ref.csv."""
+    users = _header_csv(spark, f"{folder}/user.csv").select(F.trim("user_id").alias("user_id"), F.trim("position_id").alias("position_id")).where("user_id <> ''")
+    positions = _header_csv(spark, f"{folder}/position.csv").select(F.trim("id").alias("position_id"), F.trim("position_name").alias("position_name"))
+    return users, positions, read_acl_refs(spark, f"{folder}/kb_position_ref.csv")
+
+
+def _header_csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def read_eval_cases(spark: SparkSession, path: str | DataFrame) -> DataFrame:

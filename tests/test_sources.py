@@ -40,6 +40,12 @@ def test_text(spark, tmp_path):
     assert [(r.title, r.link, r.published) for r in R.read_news_rss(spark, p).collect()] == [("a", "l", "")]
     p = put(tmp_path, "k.csv", "kb_id,position_ids\nk1,\"['p1', 'p2']\"\nk2,oops\n")
     assert sorted(tuple(r) for r in R.read_acl_refs(spark, p).collect()) == [("k1", "p1"), ("k1", "p2")]
+    put(tmp_path, "user.csv", "user_id,position_id\nu1,p1\n ,p2\n")
+    put(tmp_path, "position.csv", "id,position_name\np1,chief\n")
+    put(tmp_path, "kb_position_ref.csv", "kb_id,position_ids\nk1,\"['p1', \"\"d'or\"\"]\"\nk2,oops\nk3,\n")
+    assert [sorted(map(tuple, t.collect())) for t in R.read_acl_tables(spark, str(tmp_path))] == [[("u1", "p1")], [("p1", "chief")], [("k1", "d'or"), ("k1", "p1")]]
+    p = put(tmp_path, "f.csv", "k,other,q\n1,x,2.5\nbad,y,\n")
+    assert [tuple(r) for r in R.read_structured_frame(spark, p, "struct<k:bigint,q:double,z:string>").collect()] == [("f.csv", 1, 2.5, None), ("f.csv", None, None, None)]
     fields = [""] * 46
     for i, v in {1: "贵州茅台", 3: "1500.0", 5: "9", 6: "30000", 32: "2.5", 37: "187040.0", 45: "18000.0"}.items():
         fields[i] = v
