@@ -35,16 +35,17 @@ def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_latency"] = latency
 ORACLES["stream_latency"] = "SELECT a.event_id AS id, b.event_id AS result_id, round((epoch_us(b.ts) - epoch_us(a.ts)) / 1e6, 3) AS latency FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 24 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'"
-QUERIES["stream_rate_limit"] = lambda spark, d: J.drain(J.keyed(log(spark, d), J.rate_limit(3, 86_400)))
-QUERIES["stream_circuit"] = lambda spark, d: J.drain(J.keyed(log(spark, d), J.circuit(2, 86_400)))
-QUERIES["stream_dedupe"] = lambda spark, d: J.drain(J.keyed(log(spark, d).withColumn("key", F.concat_ws("/", "key", "kind")), J.dedupe(43_200)))
-QUERIES["stream_ttl_cache"] = lambda spark, d: J.drain(J.keyed(log(spark, d).withColumn("key", F.concat_ws("/", "key", "kind")), J.ttl_cache(43_200)))
+QUERIES["stream_rate_limit"] = lambda spark, d: J.drain(J.keyed(log(spark, d), J.rate_limit(3, 86_400), 86_400))
+QUERIES["stream_circuit"] = lambda spark, d: J.drain(J.keyed(log(spark, d), J.circuit(2, 86_400), 604_800))
+QUERIES["stream_dedupe"] = lambda spark, d: J.drain(J.keyed(log(spark, d).withColumn("key", F.concat_ws("/", "key", "kind")), J.dedupe(43_200), 43_200))
+QUERIES["stream_ttl_cache"] = lambda spark, d: J.drain(J.keyed(log(spark, d).withColumn("key", F.concat_ws("/", "key", "kind")), J.ttl_cache(43_200), 43_200))
 QUERIES["topic_source"] = lambda spark, d: J.drain(J.topic_source(log(spark, d), ["click", "signup"], "^err", "kind").select("id", "kind", "ts"))
 ORACLES["topic_source"] = "SELECT event_id AS id, event_type AS kind, ts FROM events WHERE event_type IN ('click', 'signup') OR event_type LIKE 'err%'"
 QUERIES["summary_json_sink"] = lambda spark, d: J.drain_complete(log(spark, d).groupBy("kind").agg(F.count("*").alias("runs"), F.count_if("failed").alias("failures")), "json")
 ORACLES["summary_json_sink"] = "SELECT event_type AS kind, count(*) AS runs, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1"
-QUERIES["stream_heartbeat"] = lambda spark, d: J.drain(J.keyed(log(spark, d), J.heartbeat(7200)))
-ORACLES["stream_heartbeat"] = "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS key, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 7200000000, false) AS flag FROM events"
+QUERIES["stream_heartbeat"] = lambda spark, d: J.drain(J.keyed(log(spark, d), J.heartbeat(7200), 864_000, alarm=7200))
+ORACLES["stream_heartbeat"] = """SELECT event_id AS id, CAST(user_id AS VARCHAR) AS key, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 7200000000, false) AS flag FROM events
+UNION ALL SELECT NULL, CAST(user_id AS VARCHAR), true FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 2 HOUR < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
 QUERIES["metrics_csv_sink"] = lambda spark, d: J.drain(log(spark, d).select("id", "kind", "value", "failed"), "csv")
 ORACLES["metrics_csv_sink"] = "SELECT event_id AS id, event_type AS kind, value, event_type = 'error' AS failed FROM events"
 

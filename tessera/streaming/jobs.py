@@ -2,6 +2,7 @@
 
 Event time is ``ts`` with a watermark of 10 minutes unless stated. The keyed jobs hold a short list of numbers for
 each key: rows of a key that arrive in one trigger are handled in order of (ts, id); later triggers go on from there.
+State of idle keys expires by event time.
 """
 
 from __future__ import annotations
@@ -116,18 +117,36 @@ def heartbeat(seconds: float) -> Step:
     return lambda state, at, failed: ([at], bool(state) and at - state[0] > seconds)
 
 
-def keyed(stream: DataFrame, step: Step) -> DataFrame:
-    """(id, key, flag) of rows (id, key, ts, failed) by a step over the state of each key."""
+def keyed(stream: DataFrame, step: Step, keep: float, alarm: float | None = None) -> DataFrame:
+    """(id, key, flag) of rows (id, key, ts, failed) by a step over the state of each key.
+
+    A key that is idle for more than ``keep`` seconds is as new: its state is not used any more, and dropped once the watermark
+    is past. With ``alarm`` a key that the watermark finds idle for so long gives one row without id, flagged, until it speaks
+    again. Rows behind the watermark are dropped.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else []
+        last, quiet, held = json.loads(state.get[0]) if state.exists else (None, False, [])
+        if state.hasTimedOut:
+            if alarm is None or quiet:
+                state.remove()
+                return
+            state.update((json.dumps((last, True, held)),))
+            state.setTimeoutTimestamp(max(int((last + keep) * 1000), state.getCurrentWatermarkMs()) + 1)
+            yield pd.DataFrame({"id": pd.Series([None], dtype="Int64"), "key": [key[0]], "flag": [True]})
+            return
         rows = pd.concat(list(parts)).sort_values(["at", "id"])
         flags = []
         for at, failed in zip(rows["at"], rows["failed"], strict=True):
+            if last is not None and at - last > keep:
+                held = []
             held, flag = step(held, float(at), bool(failed))
+            last = float(at)
             flags.append(flag)
-        state.update((json.dumps(held),))
+        state.update((json.dumps((last, False, held)),))
+        state.setTimeoutTimestamp(max(int((last + (alarm or keep)) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"id": rows["id"], "key": rows["key"], "flag": flags})
 
-    rows = stream.select("id", "key", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "failed")
-    return rows.groupBy("key").applyInPandasWithState(run, "id long, key string, flag boolean", "held string", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
+    rows = timed.select("id", "key", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "failed")
+    return rows.groupBy("key").applyInPandasWithState(run, "id long, key string, flag boolean", "held string", "append", GroupStateTimeout.EventTimeTimeout)
