@@ -159,11 +159,37 @@ def source_claims(text: Column, cues: tuple[str, ...] = CUES, longest: int = 60)
     return F.filter(F.array_distinct(F.concat(said, F.filter(named, lambda c: ~c.contains("http")))), lambda c: F.char_length(c) >= 2)
 
 
-def first_host(text: Column, domains: tuple[str, ...] = DOMAINS) -> Column:
-    """The first host in a text, without www: one behind http(s), or a bare one of a known domain; null without one."""
+def hosts_in(text: Column, domains: tuple[str, ...] = DOMAINS) -> Column:
+    """The hosts in a text, without www: those behind http(s), and bare ones of a known domain."""
     words = F.filter(F.split(F.lower(text), r"[^a-z0-9.:/_-]+"), lambda w: w.rlike(r"^https?://.|^[^:/]*[a-z0-9]\.(?:" + "|".join(d.replace(".", r"\.") for d in domains) + ")(?:[:/]|$)"))
-    host = F.get(F.split(F.regexp_replace(F.get(words, F.lit(0)), "^https?://", ""), "[:/]", 2), F.lit(0))
-    return _none(F.regexp_replace(host, r"^www\.", ""))
+    return F.transform(words, lambda w: F.regexp_extract(w, r"^(?:https?://)?(?:www\.)?([^:/]*)", 1))
+
+
+#: How a report declares a source as not used, and headings of its lists of sources.
+REJECTS, APPENDIX = ("已剔除", "剔除", "排除", "不采用"), ("数据来源", "参考文献", "来源附录")
+
+
+def strip_rejected(text: Column, rejects: tuple[str, ...] = REJECTS, appendix: tuple[str, ...] = APPENDIX) -> Column:
+    """Drops the entries of source lists that hold a host or address which the report declares as rejected.
+
+    A declaration reaches from its word to the end of the sentence or line; entries are list items, table rows and lines with an
+    address in sections whose heading names a list of sources.
+    """
+    said = F.array_join(after_cues(text, rejects, r"[。；\n]", 1 << 20), " ")
+    gone = F.filter(F.array_union(hosts_in(said), F.regexp_extract_all(said, F.lit(r"(https?://[^\s，；)\]\"']+)"), F.lit(1))), lambda name: name != "")
+
+    def kept(line: Column) -> Column:
+        low = F.lower(F.trim(line))
+        entry = low.rlike(r"^[-*+|]") | (low.contains("http") & ~F.startswith(low, F.lit("#")))
+        return ~(entry & F.exists(gone, lambda name: low.contains(F.lower(name))))
+
+    def section(part: Column) -> Column:
+        listed = F.get(F.split(part, "\n", 2), F.lit(0)).rlike(r"^#{1,6}\s.*(?:" + "|".join(appendix) + ")")
+        return F.when(listed, F.array_join(F.filter(F.split(part, "\n"), kept), "\n")).otherwise(part)
+
+    parts = F.split(F.coalesce(text, F.lit("")), r"(?m)(?=^#{1,6}\s)")
+    whole = F.array_join(F.transform(parts, section), "")
+    return F.when(F.size(gone) > 0, whole).otherwise(F.coalesce(text, F.lit("")))
 
 
 def media_suggestions(claim: Column, known: tuple[str, ...], ends: tuple[str, ...] = MEDIA) -> Column:
@@ -175,7 +201,7 @@ def media_suggestions(claim: Column, known: tuple[str, ...], ends: tuple[str, ..
     pieces = F.split(F.regexp_replace(claim, f"({end}+)", "$1\n"), r"[^\x{4e00}-\x{9fff}]+")
     words = F.transform(pieces, lambda w: F.regexp_extract(w, f"({CJK}{{2,8}}{end})$", 1))
     other = F.filter(F.array_except(words, F.array(*map(F.lit, known)).cast("array<string>")), lambda w: (w != "") & ~w.rlike(f"[{NO_MEDIA}]报$"))
-    return F.transform(other, lambda w: F.struct(w.alias("word"), first_host(claim).alias("host")))
+    return F.transform(other, lambda w: F.struct(w.alias("word"), _none(F.get(hosts_in(claim), F.lit(0))).alias("host")))
 
 
 def case_issues(value: Column) -> Column:

@@ -110,6 +110,16 @@ def _han_grams(text: Column) -> list[Column]:
     return [_found(text, f"(?=([{HAN}]{{{n}}}))", 1) for n in (2, 3, 4)]
 
 
+def content_tokens(text: Column, stop: list[str], fragments: str, least: int = 2) -> Column:
+    """Tokens for counting: pairs of Han characters without a fragment character, and words of at least so many letters or digits; numbers and stop words go."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    pairs = _found(low, f"[{HAN}]{{2}}")
+    if fragments:
+        pairs = F.filter(pairs, lambda w: ~w.rlike(f"[{fragments}]"))
+    words = F.filter(_found(low, ALNUM + "+"), lambda w: (F.char_length(w) >= least) & ~w.rlike("^[0-9]+$"))
+    return F.filter(F.concat(pairs, words), lambda w: ~F.array_contains(F.array(*map(F.lit, stop)).cast("array<string>"), w))
+
+
 def goal_tokens(text: Column) -> Column:
     """What a goal asks for: Han 2/3/4-grams, runs of four digits, words from 3 characters (hyphens belong to the word)."""
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -17,13 +17,13 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.stream_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("key"), "ts", (F.col("user_id") % 8).alias("capability"), (kind == "error").alias("failed"), kind.alias("kind"), "value")
 
 
-QUERIES["stream_task_metrics"] = lambda spark, d: J.drain_complete(J.task_metrics(log(spark, d)))
+QUERIES["stream_task_metrics"] = lambda spark, d: J.drain_update(J.task_metrics(log(spark, d)), ["start", "capability"])
 ORACLES["stream_task_metrics"] = f"{LOG_SQL} SELECT time_bucket(INTERVAL 30 SECOND, ts) AS start, capability, count(*) AS runs, count(*) FILTER (failed) AS failures FROM log GROUP BY 1, 2"
 QUERIES["stream_summary_30s"] = lambda spark, d: J.drain_complete(log(spark, d).agg(F.count("*").alias("runs"), F.count_if("failed").alias("failures"), F.max("ts").alias("last_ts")))
 ORACLES["stream_summary_30s"] = f"{LOG_SQL} SELECT count(*) AS runs, count(*) FILTER (failed) AS failures, max(ts) AS last_ts FROM log"
-QUERIES["stream_backlog_alert"] = lambda spark, d: J.drain_complete(J.backlog_alert(log(spark, d), F.col("kind") == "view", "1 hour", 1))
+QUERIES["stream_backlog_alert"] = lambda spark, d: J.drain_update(J.backlog_alert(log(spark, d), F.col("kind") == "view", "1 hour", 1), ["start", "capability"])
 ORACLES["stream_backlog_alert"] = f"{LOG_SQL} SELECT date_trunc('hour', ts) AS start, capability, count(*) FILTER (model = 'view') AS queue, count(*) FILTER (model = 'view') > 1 AS alert FROM log GROUP BY 1, 2"
-QUERIES["stream_state_merge"] = lambda spark, d: J.drain_complete(J.state_merge(log(spark, d).select("key", "kind", "ts", "id", "value"), ["key", "kind"], ["ts", "id"]))
+QUERIES["stream_state_merge"] = lambda spark, d: J.drain_update(J.state_merge(log(spark, d).select("key", "kind", "ts", "id", "value"), ["key", "kind"], ["ts", "id"]), ["key", "kind"])
 ORACLES["stream_state_merge"] = "SELECT CAST(user_id AS VARCHAR) AS key, event_type AS kind, ts, event_id AS id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import audit as A
 from tessera.operators import checks as C
+from tessera.operators import reports as S
 from tessera.operators import tracing as T
+from tessera.operators.texts import content_tokens
 from tessera.plans.binding import Plans, Reader
 from tessera.plans.checks import add_cases
 from tessera.plans.sources import text
@@ -70,6 +72,22 @@ add_cases(
     ],
     lambda df: df.select("o_orderkey", F.array_join(C.tagged_specs(F.col("text")), "|").alias("specs")), P,
 )
+add_cases(
+    "rejected_sources", "text string", ["kept"],
+    [
+        (("正文{n}，已剔除 www.Bad.com 与 https://x.io/a{n}。\n# 参考文献\n- http://bad.com/1\n- https://x.io/a{n}\n- http://good.com\nbad.com 一句", ), ("正文{n}，已剔除 www.Bad.com 与 https://x.io/a{n}。\n# 参考文献\n- http://good.com\nbad.com 一句",)),
+        (("排除 b{n}.cn；\n## 结论\n- b{n}.cn 留下\n## 数据来源\n| b{n}.cn | 1 |\n| c.cn | 2 |\n## 末\n- b{n}.cn",), ("排除 b{n}.cn；\n## 结论\n- b{n}.cn 留下\n## 数据来源\n| c.cn | 2 |\n## 末\n- b{n}.cn",)),
+        (("# 来源附录\n- a.com {n}",), ("# 来源附录\n- a.com {n}",)), (("不采用传闻{n}\n# 参考文献\n- a.com",), ("不采用传闻{n}\n# 参考文献\n- a.com",)), ((None,), ("",)),
+    ],
+    lambda df: df.select("o_orderkey", S.strip_rejected(F.col("text")).alias("kept")), P,
+)
+add_cases(
+    "content_tokens", "text string", ["tokens"],
+    [
+        (("存储芯片的GPU出货{n}台，AI与x 4.5%",), ("存储|芯片|出货|gpu|ai",)), (("The chip{n} of 市场一家",), ("一家|chip{n}",)), (("价格和销量",), ("价格",)), (("{n}",), ("",)), ((None,), ("",)),
+    ],
+    lambda df: df.select("o_orderkey", F.array_join(content_tokens(F.col("text"), ["the", "of", "市场"], "的和与"), "|").alias("tokens")), P,
+)
 
 
 def share(text_: str | None, capability: str | None) -> tuple[bool, str]:

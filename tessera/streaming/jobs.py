@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.io import shared_folder
 
@@ -55,6 +56,23 @@ def drain_complete(stream: DataFrame, form: str = "parquet") -> DataFrame:
     return spark.read.schema(stream.schema).format(form).load(f"{base}/out/{last[0]}")
 
 
+def drain_update(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs a stream of running totals; every trigger writes only the rows that it changed, and the newest row of each key is read back.
+
+    A trigger writes under its number, so a rerun overwrites itself; windows behind the watermark leave the state.
+    """
+    spark, base = stream.sparkSession, shared_folder(stream.sparkSession)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    names = stream.columns
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/out")
+    newest = F.max_by(F.struct(*[c for c in names if c not in keys]), "batch")
+    return rows.groupBy(*keys).agg(newest.alias("row")).select(*keys, "row.*").select(names)
+
+
 def task_metrics(log: DataFrame, span: str = "30 seconds") -> DataFrame:
     """Runs and failures by window and capability."""
     return log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE).groupBy(F.window("ts", span).alias("w"), "capability").agg(F.count("*").alias("runs"), F.count_if("failed").alias("failures")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "capability", "runs", "failures")

@@ -48,3 +48,13 @@ def test_state_expires_and_late_rows_go(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
     got = J.drain(J.keyed(stream, J.heartbeat(3600), 864_000, alarm=3600)).collect()
     assert sorted((r.id is None, r.id or 0, r.key, r.flag) for r in got) == [(False, 0, "a", False), (False, 1, "a", False), (False, 10, "b", False), (False, 20, "b", False), (False, 30, "b", False), (False, 40, "a", True), (True, 0, "a", True)]
+
+
+def test_updates_over_triggers(spark, tmp_path):
+    rows = spark.sql("select id, if(id % 2 = 0, 'a', 'b') as key, timestamp_seconds(1700000000 + id) as ts, id * 10 as value from range(6)")
+    for i in (0, 2, 4):
+        rows.where(f"id between {i} and {i + 1 - (i == 4)}").coalesce(1).write.mode("append").parquet(str(tmp_path))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    got = J.drain_update(J.state_merge(stream, ["key"], ["ts", "id"]), ["key"]).collect()
+    assert sorted((r.key, r.id, r.value) for r in got) == [("a", 4, 40), ("b", 3, 30)]
