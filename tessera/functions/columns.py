@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,3 +24,8 @@ def occurrences(text: Column, word: str) -> Column:
 def strip(text: Column) -> Column:
     """Without white space at both ends, line ends included; null is empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\s　]+|[\s　]+$", "")
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once for each row, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

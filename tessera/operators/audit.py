@@ -20,43 +20,60 @@ from tessera.operators.texts import ALNUM, HAN, letters, sentences
 RELATIVE, LEAST = 0.005, 0.5
 
 
-def _scale(x: Column, relative: float = RELATIVE, least: float = LEAST) -> Column:
-    """Maps numbers so that two values within the tolerance differ by under 1.1: linear near zero, then logarithmic."""
-    near = least / relative
-    far = F.signum(x) * (1 / relative + F.log(F.greatest(F.abs(x), F.lit(near)) / near) / relative)
-    return F.when(F.abs(x) <= near, x / least).otherwise(far)
+#: Distinct amounts of a key beyond which they are dealt into pages, and the pages.
+CROWD, PAGES = 200_000, 256
 
 
-def number_trace(figures: DataFrame, sources: DataFrame, key: str | list[str], relative: float = RELATIVE, least: float = LEAST) -> DataFrame:
-    """Figures (keys, figure_id, figure) with the number of sources (keys, value) within ``least``, or the relative share of the figure.
+def nearest_sources(figures: DataFrame, sources: DataFrame, keys: list[str], crowd: int = CROWD) -> DataFrame:
+    """Figures (keys, figure, any other columns) with the nearest sources (keys, value) of the same keys: ``below`` (not above the figure) and ``above`` (not below it).
 
-    Equal sources are counted before the join; the range condition is an equi-join on (keys, bin) with the
-    neighbouring bins, so no task meets a whole report times all its sources.
+    Figures and distinct sources are sorted together, and two windows carry the last source upwards and downwards. The
+    amounts of a key with more than ``crowd`` sources are first cut at their approximate quantiles; each page is a window
+    of its own, and takes the nearest source of the pages beyond it where it has none. Null figures, sources and keys meet nothing.
     """
-    keys = [key] if isinstance(key, str) else key
-    bin_of = lambda x: F.floor(_scale(x, relative, least))
-    held = sources.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("times")).withColumn("bin", bin_of(F.col("value")))
-    at = bin_of(F.col("figure"))
-    asked = figures.where("figure is not null").select(*keys, "figure_id", "figure", F.explode(F.sequence(at - 2, at + 2)).alias("bin"))
-    close = F.abs(F.col("value") - F.col("figure")) <= F.greatest(F.lit(least), F.abs("figure") * relative)
-    hits = asked.join(held, [*keys, "bin"]).where(close).groupBy("figure_id").agg(F.sum("times").alias("sources"))
-    return figures.join(hits, "figure_id", "left").select(*keys, "figure_id", "figure", F.coalesce("sources", F.lit(0)).alias("sources"))
+    known = sources.where("value is not null").select(*keys, F.col("value").cast("double").alias("at_")).na.drop(subset=keys).distinct()
+    crowded = known.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > crowd).drop("n")
+    cuts = known.join(crowded, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx("at_", [i / PAGES for i in range(1, PAGES)], 10_000).alias("cuts_"))
+    rest = [c for c in figures.columns if c not in keys]
+    asked = figures.select(*keys, F.col("figure").cast("double").alias("at_"), F.lit(False).alias("held_"), F.struct(*rest).alias("row_"))
+    rows = asked.unionByName(known.withColumn("held_", F.lit(True)), allowMissingColumns=True)
+    page = F.coalesce(F.size(F.filter("cuts_", lambda c: c < F.col("at_"))), F.lit(0))
+    paged = rows.join(cuts, keys, "left").withColumn("page_", F.when(F.col("cuts_").isNull(), -1).otherwise(page)).drop("cuts_").repartition(*keys, "page_")
+    source = F.when(F.col("held_"), F.col("at_"))
+    over = lambda *order: Window.partitionBy(*keys, "page_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    near = paged.withColumn("below", F.last(source, ignorenulls=True).over(over("at_", F.desc("held_"))))
+    near = near.withColumn("above", F.last(source, ignorenulls=True).over(over(F.desc("at_"), F.desc("held_"))))
+    edges = known.join(cuts, keys).withColumn("page_", page).groupBy(*keys, "page_").agg(F.max("at_").alias("high_"), F.min("at_").alias("low_"))
+    every = cuts.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(PAGES - 1))).alias("page_")).join(edges, [*keys, "page_"], "left")
+    past = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    every = every.select(*keys, "page_", F.last("high_", ignorenulls=True).over(past(F.asc("page_"))).alias("under_"), F.last("low_", ignorenulls=True).over(past(F.desc("page_"))).alias("over_"))
+    out = near.where(~F.col("held_")).join(every, [*keys, "page_"], "left")
+    told = lambda a, b: F.when(F.col("at_").isNotNull(), F.coalesce(a, b)).alias(a)
+    return out.select(*keys, "row_.*", told("below", "under_"), told("above", "over_"))
+
+
+def number_trace(figures: DataFrame, sources: DataFrame, key: str | list[str], relative: float = RELATIVE, least: float = LEAST) -> DataFrame:
+    """Figures (keys, figure, any other columns) with the nearest source (keys, value; the lesser one on ties) and ``traced``: nearer than ``least`` or the relative share of the figure."""
+    near = nearest_sources(figures, sources, [key] if isinstance(key, str) else key)
+    down, up = F.col("figure") - F.col("below"), F.col("above") - F.col("figure")
+    nearest = F.when(F.col("above").isNull() | (down <= up), F.col("below")).otherwise(F.col("above"))
+    near = near.withColumn("nearest", nearest).drop("below", "above")
+    close = F.abs(F.col("nearest") - F.col("figure")) < F.greatest(F.lit(least), F.abs("figure") * relative)
+    return near.withColumn("traced", F.coalesce(close, F.lit(False)))
 
 
 def trace_status(traced: DataFrame, totals: DataFrame, key: str, share: float = 0.02) -> DataFrame:
     """structured when a source agrees, derived when the total (key, total) is within the share, else untraceable."""
     near = F.abs(F.col("total") - F.col("figure")) <= share * F.abs("figure")
-    status = F.when(F.col("sources") > 0, "structured").when(near, "derived").otherwise("untraceable")
+    status = F.when(F.col("traced"), "structured").when(near, "derived").otherwise("untraceable")
     return traced.join(totals, key, "left").select(key, "figure_id", status.alias("status"))
 
 
 def derived_growth(claims: DataFrame, growth: DataFrame, key: str, points: float = 0.05) -> DataFrame:
-    """Claims (key, claim_id, percent) that equal the size of a yearly growth (key, growth_pct) within so many points."""
-    known = growth.select(key, F.abs("growth_pct").alias("g"), F.floor(F.abs("growth_pct") / points).alias("bin")).where("g is not null")
-    at = F.floor(F.abs("percent") / points)
-    asked = claims.select("claim_id", key, "percent", F.explode(F.sequence(at - 1, at + 1)).alias("bin"))
-    hit = asked.join(known, [key, "bin"]).where(F.abs(F.col("g") - F.abs("percent")) <= points).select("claim_id").distinct()
-    return claims.select("claim_id", key).join(hit.withColumn("hit", F.lit(True)), "claim_id", "left").select("claim_id", key, F.coalesce("hit", F.lit(False)).alias("derived"))
+    """Claims (key, claim_id, percent) that equal the size of a yearly growth (key, growth_pct) within less than so many points."""
+    asked = claims.select(key, F.col("claim_id").alias("figure_id"), F.abs("percent").alias("figure"))
+    found = number_trace(asked, growth.select(key, F.abs("growth_pct").alias("value")), key, 0.0, points)
+    return found.select(F.col("figure_id").alias("claim_id"), key, F.col("traced").alias("derived"))
 
 
 def conflicting_figures(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,6 +102,7 @@ def entity_attribution(docs: DataFrame, target: list[str], other: list[str]) ->
     return out.withColumn("flagged", F.col("near_other") & ~F.col("near_target"))
 
 
+#: Verbs of a relation between companies, and words of figures of their own.
 RELATION_VERBS = ["投资", "入股", "收购", "融资", "获得", "出资", "补贴", "捐赠", "认购"]
 CORE_WORDS = ["营收", "收入", "净利润", "净利", "利润", "毛利率", "总资产", "总负债", "负债", "资产", "现金流", "销售额", "占比", "经营利润", "市值"]
 #: Platforms whose names hold the name of a company.
@@ -226,8 +244,46 @@ def best_url(pages: DataFrame, host: Column, good: str, official: str) -> DataFr
     return rows.groupBy("host").agg(F.max_by(F.struct("page_id", "url", "score"), order).alias("s")).select("host", "s.*")
 
 
-GOAL_STOP = ["搜索", "总结", "分析", "报告", "最新", "当前", "现状", "发展", "历程", "集团", "财报", "历年", "年度", "数据", "信息", "内容", "情况", "相关", "进行", "需要", "完成", "输出", "生成", "配合"]
-GOAL_STOP += ["the", "and", "with", "for", "report", "analysis", "search", "summary"]
+#: Words of financial pages, and parts of addresses by the standing of their source.
+FINANCE_WORDS = ("财报", "年报", "季报", "营收", "净利润", "业绩", "财务", "公告", "研报", "复盘", "深度", "投资者关系", "financial", "earnings", "annual", "revenue", "results", "quarterly", "investor")
+OFFICIAL_HOSTS = ("ir.", "investor.", "hkex", "eastmoney", "10jqka", "cninfo", "sse.com.cn", "szse.cn")
+GOOD_HOSTS = ("sina", "163.com", "21jingji", "yicai", "cls.cn", "finance", "stock", "xueqiu", "snowball", "pedaily")
+JUNK_HOSTS = ("blog.csdn", "zhihu.com", "zhengxianling", "cp.baidu", "toutiao", "csdn", "alishui", "sgpjbg")
+
+
+def pick_url(
+    results: DataFrame, key: str, others: tuple[str, ...] = (), topics: tuple[str, ...] = FINANCE_WORDS, official: tuple[str, ...] = OFFICIAL_HOSTS, good: tuple[str, ...] = GOOD_HOSTS, junk: tuple[str, ...] = JUNK_HOSTS
+) -> DataFrame:
+    """(key, url, score) of the best result of each key, from results (key, pos, title, url, target): by score, then an official source, then position.
+
+    A topic word counts 2 in the title, else 1 in the address; an official source 4, else a good one 2; each junk part takes 2 away.
+    With a target: in the title 3, 2 more with a topic, 6 off if other names are there without one; else in the address 1, 1 more with a
+    topic and no other name; else a title in Chinese loses 8 if it names others, 4 if not. Results that are no web address are left out.
+    """
+    title, url = F.coalesce("title", F.lit("")), F.coalesce("url", F.lit(""))
+    low = F.struct(F.lower(title).alias("title"), F.lower(url).alias("url"))
+    rows = results.select(key, "pos", title.alias("title"), url.alias("url"), low.alias("low"), F.nullif("target", F.lit("")).alias("target")).where(F.startswith("url", F.lit("http")))
+    total = lambda cases: reduce(lambda a, b: a + b, cases, F.lit(0))
+    holds = lambda text, words: reduce(lambda a, b: a | b, [text.contains(w) for w in words], F.lit(False))
+    is_official = holds(F.col("low.url"), official)
+    words = total([F.when(F.col("low.title").contains(k), 2).when(F.col("low.url").contains(k), 1).otherwise(0) for k in topics])
+    standing = F.when(is_official, 4).when(holds(F.col("low.url"), good), 2).otherwise(0) - total([F.when(F.col("low.url").contains(j), 2).otherwise(0) for j in junk])
+    topic = holds(F.col("title"), topics)
+    foreign = reduce(lambda a, b: a | b, [(F.col("target") != o) & F.col("title").contains(o) for o in others if o], F.lit(False))
+    of_target = (
+        F.when(F.col("target").isNull(), 0)
+        .when(F.col("title").contains(F.col("target")), F.lit(3) + F.when(topic, 2).when(foreign, -6).otherwise(0))
+        .when(F.col("url").contains(F.col("target")), F.lit(1) + F.when(topic & ~foreign, 1).otherwise(0))
+        .when(F.col("title").rlike(f"[{HAN}]"), F.when(foreign, -8).otherwise(-4))
+        .otherwise(0)
+    )
+    scored = rows.select(key, "pos", "url", (words + standing + of_target).alias("score"), is_official.cast("int").alias("official"))
+    best = F.max_by(F.struct("url", "score"), F.struct("score", "official", -F.col("pos")))
+    return scored.groupBy(key).agg(best.alias("s")).select(key, "s.*")
+
+
+#: Words that say nothing of a goal's topic.
+GOAL_STOP = ["搜索", "总结", "分析", "报告", "最新", "当前", "现状", "发展", "历程", "集团", "财报", "历年", "年度", "数据", "信息", "内容", "情况", "相关", "进行", "需要", "完成", "输出", "生成", "配合", "the", "and", "with", "for", "report", "analysis", "search", "summary"]
 #: Words with the digits and hyphens inside them.
 GOAL_WORD = rf"[\p{{L}}&&[^{HAN}]](?:{ALNUM}|-)*"
 

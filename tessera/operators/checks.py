@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import any_of, occurrences, strip
+from tessera.functions.columns import any_of, bind, occurrences, strip
 
 # Fixed values of the report, goal and step formats.
 PLACEHOLDERS = ["未披露", "未获取", "待补充", "数据缺失", "待获取", "暂缺", "暂无", "无数据"]
@@ -49,23 +49,26 @@ OTHER_SUGGESTION = "按失败原因修正实现；若无法恢复，改用已有
 
 def table_cells(report: Column) -> Column:
     """The filled data cells of all table lines: no ruler line, and not the line before the first ruler."""
+    ruler = lambda row: F.forall(row, lambda c: c.rlike("^[-:—]*$"))
     lines = F.filter(F.transform(F.split(F.coalesce(report, F.lit("")), r"\r?\n"), strip), lambda x: x.startswith("|") & (F.regexp_count(x, F.lit(r"\|")) >= 2))
     rows = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|"), strip))
-    ruler = lambda row: F.forall(row, lambda c: c.rlike("^[-:—]*$"))
-    first = F.array_position(F.transform(rows, ruler), F.lit(True))
-    data = F.filter(F.transform(rows, lambda row, i: F.when(ruler(row) | ((first > 1) & (i == first - 2)), F.array().cast("array<string>")).otherwise(row)), lambda row: F.size(row) > 0)
-    return F.filter(F.flatten(data), lambda c: c != "")
+    marked = F.transform(rows, lambda row: F.struct(row.alias("row"), ruler(row).alias("ruler")))
+
+    def data(found: Column) -> Column:
+        first = F.array_position(F.transform(found, lambda x: x["ruler"]), F.lit(True))
+        return bind(first, lambda at: F.filter(found, lambda x, i: ~x["ruler"] & ~((at > 1) & (i == at - 2))))
+
+    return bind(marked, lambda found: F.filter(F.flatten(F.transform(data(found), lambda x: x["row"])), lambda c: c != ""))
 
 
 def completeness(report: Column, goal: Column, marks: list[str] = PLACEHOLDERS, lists: list[str] = LIST_WORDS, most: int = 3) -> Column:
     """struct(passed, marks, has_table, all_marks, list_wanted): fails with ``most`` placeholder marks, or where a goal wants a list and no table has real cells."""
     count = reduce(lambda a, b: a + b, [occurrences(report, m) for m in marks])
-    cells = table_cells(report)
     has_table = F.coalesce(report, F.lit("")).rlike(r"(?m)^[ \t]*\|.*\|")
-    filled = (F.size(cells) > 0) & F.forall(cells, lambda c: any_of(c, marks))
-    wanted = any_of(F.lower(goal), lists)
-    passed = (count < most) & ~(wanted & (~has_table | filled))
-    return F.struct(passed.alias("passed"), count.alias("marks"), has_table.alias("has_table"), filled.alias("all_marks"), wanted.alias("list_wanted"))
+    filled = bind(table_cells(report), lambda cells: (F.size(cells) > 0) & F.forall(cells, lambda c: any_of(c, marks)))
+    found = F.struct(count.alias("marks"), has_table.alias("has_table"), filled.alias("all_marks"), any_of(F.lower(goal), lists).alias("list_wanted"))
+    passed = lambda v: (v["marks"] < most) & ~(v["list_wanted"] & (~v["has_table"] | v["all_marks"]))
+    return bind(found, lambda v: F.struct(passed(v).alias("passed"), v["marks"].alias("marks"), v["has_table"].alias("has_table"), v["all_marks"].alias("all_marks"), v["list_wanted"].alias("list_wanted")))
 
 
 def gap_marks(report: Column, marks: list[str] = GAP_MARKS) -> Column:
@@ -126,38 +129,40 @@ def contract_issues(capability: Column, raw: Column, contracts: dict[str, Contra
     """The first issues of an output (array of strings, empty when fine); unknown capabilities have none.
 
     Output that parses as JSON is checked as a list (empty, elements of the first five that are no objects or lack a
-    field) or as an object (failed status with its error, missing fields); other text by length and needed words.
+    field) or as an object (failed status with its error, missing fields); other text by length and needed words. The rule is
+    looked up by capability and the output parsed once.
     """
-    out = F.array().cast("array<string>")
-    for name, rule in contracts.items():
-        out = F.when(capability == name, F.slice(_issues(raw, rule), 1, most)).otherwise(out)
-    return out
-
-
-def _issues(raw: Column, rule: Contract) -> Column:
-    get = F.try_variant_get
-    json, none = F.try_parse_json(raw), F.array().cast("array<string>")
-    items = get(json, "$", "array<variant>")
-
-    def lacking(value: Column) -> Column:
-        names = [F.when(_blank(get(value, f"$.{f}", "string")), F.lit(f)) for f in rule.required]
-        return F.array_compact(F.array(*names, F.lit(None).cast("string")))
-
-    def of_item(value: Column) -> Column:
-        no_object = get(value, "$", "map<string,variant>").isNull()
-        return F.when(no_object, "item is no object").when(F.size(lacking(value)) > 0, F.concat(F.lit("item lacks "), F.get(lacking(value), 0)))
-
-    found = F.transform(F.slice(items, 1, 5), of_item)
-    stop = F.array_position(found, F.lit("item is no object"))  # nothing is said on later elements
-    first = F.when(stop > 0, F.slice(found, F.lit(1), F.greatest(stop.cast("int"), F.lit(0)))).otherwise(found)
-    of_list = F.concat(F.when(F.size(items) == 0, F.array(F.lit("empty list"))).otherwise(none), F.array_compact(first))
-    status = F.lower(strip(get(json, "$.status", "string")))
-    error = F.substring(F.coalesce(*[F.nullif(get(json, f"$.{k}", "string"), F.lit("")) for k in ("error", "message", "detail")], F.lit("no detail")), 1, 200)
-    failed = F.when(status.isin(*[x.lower() for x in rule.failed]), F.concat(F.lit("failed: "), error)) if rule.failed else F.lit(None).cast("string")
-    of_object = F.array_compact(F.concat(F.array(failed), F.transform(lacking(json), lambda f: F.concat(F.lit("lacks "), f))))
-    text = F.coalesce(get(json, "$", "string"), raw, F.lit(""))
-    of_text = F.array_compact(F.array(F.when(F.char_length(text) < rule.least, "too short"), F.when(~text.contains(rule.contains), F.lit(f"lacks {rule.contains}"))))
-    return F.when(items.isNotNull(), of_list).when(get(json, "$", "map<string,variant>").isNotNull(), of_object).otherwise(of_text)
+    words = lambda values: F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    rule_of = lambda r: F.struct(words(r.required).alias("required"), words([x.lower() for x in r.failed]).alias("failed"), F.lit(r.least).alias("least"), F.lit(r.contains).alias("contains"))
+    if not contracts:
+        return F.array().cast("array<string>")
+    rules = F.create_map(*[x for name, rule in contracts.items() for x in (F.lit(name), rule_of(rule))])
+    issues = bind(F.struct(F.try_element_at(rules, capability).alias("rule"), F.try_parse_json(raw).alias("json"), raw.alias("raw")), lambda v: _issues(v["rule"], v["json"], v["raw"]))
+    return F.when(F.try_element_at(rules, capability).isNull(), F.array().cast("array<string>")).otherwise(F.slice(issues, 1, most))
+
+
+def _issues(rule: Column, json: Column, raw: Column) -> Column:
+    get, none = F.try_variant_get, F.array().cast("array<string>")
+    fields = lambda value: get(value, "$", "map<string,variant>")
+    told = lambda held, name: get(F.try_element_at(held, name), "$", "string")
+    lacking = lambda held: F.filter(rule["required"], lambda f: _blank(told(held, f)))
+
+    def of_item(held: Column) -> Column:
+        return F.when(held.isNull(), "item is no object").otherwise(bind(lacking(held), lambda names: F.when(F.size(names) > 0, F.concat(F.lit("item lacks "), F.get(names, 0)))))
+
+    def of_list(items: Column) -> Column:
+        found = F.transform(F.transform(F.slice(items, 1, 5), fields), of_item)
+        known = lambda x: bind(F.array_position(x, F.lit("item is no object")), lambda stop: F.array_compact(F.when(stop > 0, F.slice(x, F.lit(1), F.greatest(stop.cast("int"), F.lit(0)))).otherwise(x)))
+        return F.when(F.size(items) == 0, F.array(F.lit("empty list"))).otherwise(bind(found, known))  # nothing is said on elements behind one that is no object
+
+    def of_object(held: Column) -> Column:
+        error = F.substring(F.coalesce(*[F.nullif(told(held, F.lit(k)), F.lit("")) for k in ("error", "message", "detail")], F.lit("no detail")), 1, 200)
+        failed = F.when(F.array_contains(rule["failed"], F.lower(strip(told(held, F.lit("status"))))), F.array(F.concat(F.lit("failed: "), error))).otherwise(none)
+        return F.concat(failed, F.transform(lacking(held), lambda f: F.concat(F.lit("lacks "), f)))
+
+    of_text = lambda text: F.array_compact(F.array(F.when(F.char_length(text) < rule["least"], "too short"), F.when(~text.contains(rule["contains"]), F.concat(F.lit("lacks "), rule["contains"]))))
+    whole = F.struct(get(json, "$", "array<variant>").alias("items"), fields(json).alias("fields"), F.coalesce(get(json, "$", "string"), raw, F.lit("")).alias("text"))
+    return bind(whole, lambda v: F.when(v["items"].isNotNull(), of_list(v["items"])).when(v["fields"].isNotNull(), of_object(v["fields"])).otherwise(of_text(v["text"])))
 
 
 # Failed steps
@@ -272,14 +277,19 @@ def idle_agents(agents: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.select("capability").distinct().join(first, "capability", "left")
 
 
-def system_status(tasks: DataFrame, agents: DataFrame, hours: int = 24) -> DataFrame:
-    """One row: all tasks (status, at), successes, tasks of the last hours before the newest, share of agents (online) alive."""
+def system_status(tasks: DataFrame, agents: DataFrame, hours: int = 24, queued: DataFrame | None = None, recent: int = 5) -> DataFrame:
+    """One row: all tasks (task, status, at), successes, tasks of the last hours before the newest, share of agents (agent, online) alive (100 without any), and, with the waiting rows (agent), the depth of each agent's queue and the ``recent`` newest tasks."""
     newest = tasks.agg(F.max("at").alias("newest"))
     counts = tasks.crossJoin(F.broadcast(newest)).agg(  # one row
         F.count("*").alias("total"), F.count_if(F.col("status") == "SUCCESS").alias("success"), F.count_if(F.col("at") >= F.col("newest") - F.make_interval(hours=F.lit(hours))).alias("recent")
     )
-    alive = agents.agg(F.when(F.count("*") > 0, F.round(F.count_if("online") * 100 / F.count("*"), 1)).otherwise(0.0).alias("survival"))
-    return counts.crossJoin(F.broadcast(alive))  # one row each
+    alive = agents.agg(F.when(F.count("*") > 0, F.round(F.count_if("online") * 100 / F.count("*"), 1)).otherwise(100.0).alias("survival"))
+    out = counts.crossJoin(F.broadcast(alive))  # one row each
+    if queued is None:
+        return out
+    depths = agents.select("agent").distinct().join(queued.groupBy("agent").agg(F.count("*").alias("n")), "agent", "left").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("agent", F.coalesce("n", F.lit(0)))))).alias("queues"))  # a map of all agents is the report
+    last = tasks.orderBy(F.desc("at"), F.desc("task")).limit(recent).agg(F.reverse(F.sort_array(F.collect_list(F.struct("at", "task")))).alias("tasks")).select(F.col("tasks.task").alias("newest"))
+    return out.crossJoin(F.broadcast(depths)).crossJoin(F.broadcast(last))  # one row each
 
 
 # Charts and codes
@@ -378,13 +388,19 @@ def stated_numbers(texts: DataFrame, key: str, after: int = 0) -> DataFrame:
     unit = r"(?:万亿|千亿|百亿|亿|万)?\s*(?:美元|港元|元|人民币|USD|US\$|%|％)?"
     whole = rf"(?<![A-Za-z0-9.,])[0-9][0-9,]*(?:\.[0-9]+)?\s*{unit}(?:\.(?:HK|T|O|N|US|L|A|B|SS|SZ)\b)?"
     part = lambda group: F.regexp_extract_all(masked, F.lit(f"({whole})(?s)(?=(.{{0,{after}}}))"), F.lit(group))
-    found = texts.select(key, F.posexplode(F.arrays_zip(part(1).alias("raw"), part(2).alias("after"))).alias("pos", "cell")).select(key, "pos", "cell.*")
-    digits = F.replace(F.regexp_extract("raw", r"^[0-9][0-9,]*(?:\.[0-9]+)?", 0), F.lit(","), F.lit(""))
-    named = F.regexp_replace(F.regexp_replace("raw", r"^[0-9][0-9,]*(?:\.[0-9]+)?", ""), r"\s", "")
-    out = found.select(key, "pos", digits.alias("value"), named.alias("unit"), "after")
-    plain = F.col("unit") == ""
-    skip = F.col("unit").startswith(".") | (plain & F.col("value").rlike(r"^(0[0-9]{3,}|(19|20)[0-9]{2})$")) | (plain & (F.char_length(F.replace("value", F.lit("."), F.lit(""))) < 4))
-    return out.where(~skip)
+    digits = r"^[0-9][0-9,]*(?:\.[0-9]+)?"
+
+    def cell(c: Column, pos: Column) -> Column:
+        value = F.replace(F.regexp_extract(c["raw"], digits, 0), F.lit(","), F.lit(""))
+        unit = F.regexp_replace(F.regexp_replace(c["raw"], digits, ""), r"\s", "")
+        return F.struct(pos.alias("pos"), value.alias("value"), unit.alias("unit"), c["after"].alias("after"))
+
+    def needs_source(c: Column) -> Column:
+        plain = c["value"].rlike(r"^(0[0-9]{3,}|(19|20)[0-9]{2})$") | (F.char_length(F.replace(c["value"], F.lit("."), F.lit(""))) < 4)
+        return ~F.startswith(c["unit"], F.lit(".")) & ~((c["unit"] == "") & plain)
+
+    found = F.transform(F.arrays_zip(part(1).alias("raw"), part(2).alias("after")), cell)
+    return texts.select(key, F.inline(F.filter(found, needs_source)))
 
 
 def balanced_json(text: Column) -> Column:

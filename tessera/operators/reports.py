@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import strip
+
 CJK = r"[\x{4e00}-\x{9fff}]"
 #: Fixed values of the report format: headers of each column, units in headers, marks of an empty value.
 VALUE_HEADS = ("数值", "规模", "金额", "份额", "增速", "营收")
@@ -71,6 +73,61 @@ def md_table_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     return found.where("value is not null and unit is not null")
 
 
+#: Headers of chart tables by meaning, in order of preference, and words of units in a header.
+FACT_HEADS = {
+    "value": ("数值", "规模", "金额", "份额", "增速", "营收"), "metric": ("指标", "指标/年份", "指标名称"), "year": ("年份", "时间", "年度"), "source": ("来源", "来源链接", "出处", "链接"),
+    "caliber": ("口径", "口径说明", "口径/年份", "统计口径", "口径范围", "备注"),
+}
+HEAD_UNITS = ("美元", "亿元", "万亿", "%", "万辆", "万台", "元", "欧元", "人民币")
+#: Metrics named after the header of their values.
+HEAD_METRICS = (("规模|市场", "市场规模"), ("份额|占比", "市场份额"), ("增速|增长|复合", "增速"))
+
+
+def md_table_facts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, block, n, metric, year, value, unit, caliber, source) of the lines of all tables with a column of values; a line with a column of shares gives a second row in percent.
+
+    A table is a run of at least three lines in bars; its third line and those behind are data. A value needs a unit: its own, or the one in
+    brackets in the header. The year may be anywhere in the line, the source is an address in its column or else in any cell, the
+    caliber its column or else the first cell that says something new.
+    """
+    whole = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\|.+\|(?:\n\|.+\|)+)"), F.lit(1))
+    bars = lambda line: F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), strip)
+    tables = docs.select(id_col, F.posexplode(F.transform(whole, lambda t: F.split(t, "\n"))).alias("block", "lines")).where(F.size("lines") >= 3)
+    tables = tables.select(id_col, "block", bars(F.get("lines", F.lit(0))).alias("head"), F.posexplode(F.slice("lines", F.lit(3), F.size("lines"))).alias("n", "line"))
+    last = lambda name: F.when(F.array_contains("head", name), F.size("head") - F.array_position(F.reverse("head"), F.lit(name)))
+    spot = lambda kind: F.coalesce(*[last(n) for n in FACT_HEADS[kind]]).cast("int")
+    loose = F.array_position(F.transform("head", lambda h: h.rlike("|".join(FACT_HEADS["value"]))), F.lit(True))
+    spots = F.struct(F.coalesce(spot("value"), F.when(loose > 0, loose - 1)).cast("int").alias("value"), *[spot(k).alias(k) for k in ("metric", "year", "source", "caliber")])
+    rows = tables.where(~F.col("line").contains("---")).select(id_col, "block", "n", "head", bars(F.col("line")).alias("cells"), spots.alias("at")).where("at.value < size(cells)")
+    cell = lambda kind: F.when(F.col(f"at.{kind}") < F.size("cells"), F.get("cells", F.col(f"at.{kind}")))
+    share = F.array_position(F.transform("head", lambda h, i: (i != F.col("at.value")) & h.rlike("占比|份额")), F.lit(True)).cast("int") - 1
+    joined, empty = F.array_join("cells", " "), F.lit("")
+    number = r"([0-9]+(?:\.[0-9]+)?)\s*(万亿|千亿|百亿|亿|万)?\s*(亿美元|亿元|%|万辆|万台|美元)?"
+    part = lambda i: F.regexp_extract(F.regexp_replace(cell("value"), "[,，]", ""), number, i)
+    named = F.regexp_extract(F.get("head", F.col("at.value")), "[（(]([^）)]*)[）)]", 1)
+    unit = F.coalesce(_none(F.when((part(2) != "") & (part(3) == "美元"), F.concat(part(2), part(3))).otherwise(part(3))), F.when(named.rlike("|".join(HEAD_UNITS)), strip(named)))
+    url = r"(https?://[^\s)\]]+)"
+    own = lambda c: F.coalesce(_none(F.regexp_extract(c, url, 1)), _none(F.substring(c, 1, 40)))
+    source = F.coalesce(own(F.coalesce(cell("source"), empty)), _none(F.regexp_extract(joined, url, 1)), empty)
+    by_head = F.get("head", F.col("at.value"))
+    for pattern, name in reversed(HEAD_METRICS):
+        by_head = F.when(F.get("head", F.col("at.value")).rlike(pattern), name).otherwise(by_head)
+    metric = F.when(cell("metric").isNull(), by_head).when(cell("metric").isin("", "—", "-"), "指标").otherwise(F.substring(cell("metric"), 1, 30))
+    found = rows.select(
+        id_col, "block", "n", "head", "cells", metric.alias("metric"), part(1).try_cast("double").alias("value"), unit.alias("unit"), source.alias("source"), cell("value").alias("raw"), _none(F.coalesce(cell("caliber"), empty)).alias("said"),
+        F.coalesce(_none(F.regexp_extract(F.coalesce(cell("year"), empty), "(20[0-9]{2})", 1)), _none(F.regexp_extract(joined, "(20[0-9]{2})", 1))).cast("int").alias("year"),
+        F.regexp_extract(F.when((share >= 0) & (share < F.size("cells")), F.get("cells", share)), r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double").alias("share"),
+    ).where("value is not null and unit is not null")
+    plain = r"^[0-9.]+(万亿|千亿|百亿|亿|万)?(美元|元|%|辆|台)?$"
+    new = lambda c: ~c.isin("", "—", "-") & (c != F.col("metric")) & (c != F.col("raw")) & ~c.rlike(plain) & ((F.col("source") == "") | (c != F.col("source")))
+    caliber = F.coalesce(F.substring("said", 1, 30), F.substring(F.get(F.filter("cells", new), 0), 1, 30), F.lit("表格"))
+    first = F.get("cells", F.lit(0))
+    of_share = F.when((first != "") & ~F.array_contains("head", first), first).otherwise(F.coalesce(_none(F.substring("metric", 1, 20)), F.lit("占比")))
+    one = lambda m, v, u, c: F.struct(m.alias("metric"), v.alias("value"), u.alias("unit"), c.alias("caliber"))
+    both = F.array_compact(F.array(one(F.col("metric"), F.col("value"), F.col("unit"), caliber), F.when(F.col("share").isNotNull(), one(F.lit("市场份额"), F.col("share"), F.lit("%"), of_share))))
+    return found.select(id_col, "block", "n", "year", "source", F.inline(both)).select(id_col, "block", "n", "metric", "year", "value", "unit", "caliber", "source")
+
+
 def scrub_blocks(text: Column) -> Column:
     """Tagged chart data up to the next blank line (or the end) and feedback blocks up to the next heading are removed."""
     parts = F.split(F.coalesce(text, F.lit("")), r"\[CHART_DATA\]")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.audit import number_trace
+from tessera.operators.audit import nearest_sources, number_trace
 from tessera.operators.checks import stated_numbers
 from tessera.operators.reports import after_cues, scaled
 from tessera.operators.texts import host_of
@@ -29,17 +29,21 @@ def _amounts(rows: DataFrame, *keep: str) -> DataFrame:
 def statement_trace(reports: DataFrame, facts: DataFrame, derived: DataFrame, sources: DataFrame, key: str, window: int = 60) -> DataFrame:
     """(key, pos, value, unit, status) of every figure of the reports (key, text) that needs a source.
 
-    structured: a fact (key, value, unit) agrees within half a unit or half a percent; derived: a computed value
-    (key, value, unit) agrees within 0.05 or 2 percent; text: a source (key, text) states the same amount; disclosed: a
-    note without source follows within the window; else untraceable. Amounts compare in the same group of units only.
+    structured: a fact (key, value, unit) of the same group of units agrees within less than half a unit or half a percent; derived: a
+    percentage is within 0.05 points of the size of a computed one (key, value, unit), another figure within 2 percent of a positive
+    fact or computed value, whatever its currency; text: a source (key, text) states the same amount and group of units; disclosed: a
+    note without source follows within the window; else untraceable.
     """
-    said = stated_numbers(reports.select(key, "text"), key, window)
-    asked = _amounts(said, key, "pos", "value", "unit", "after").withColumn("figure_id", F.struct(key, "pos"))
-    figures = asked.select(key, "unit_group", "figure_id", F.col("amount").alias("figure"))
-    keys = [key, "unit_group"]
-    hits = lambda held, name, *tolerance: number_trace(figures, _amounts(held, key).withColumnRenamed("amount", "value"), keys, *tolerance).where("sources > 0").select("figure_id", F.lit(True).alias(name))
-    stated = _amounts(stated_numbers(sources.select(key, "text"), key), key).distinct().withColumn("text", F.lit(True))
-    out = asked.join(hits(facts, "structured"), "figure_id", "left").join(hits(derived, "derived", 0.02, 0.05), "figure_id", "left").join(stated, [key, "unit_group", "amount"], "left")
+    said = _amounts(stated_numbers(reports.select(key, "text"), key, window), key, "pos", "value", "unit", "after").withColumnRenamed("amount", "figure")
+    percent = F.col("unit_group") == "%"
+    known, computed = _amounts(facts, key), _amounts(derived, key)
+    exact = number_trace(said, known.withColumnRenamed("amount", "value"), [key, "unit_group"]).withColumnRenamed("traced", "structured").drop("nearest")
+    loose = known.where(~percent).unionAll(computed).select(key, percent.alias("percent"), F.when(percent, F.abs("amount")).otherwise(F.col("amount")).alias("value"))
+    near = nearest_sources(exact.withColumn("percent", percent), loose.where("percent or value > 0"), [key, "percent"])
+    gap = lambda c: F.abs(F.col(c) - F.col("figure"))
+    agrees = lambda c: F.coalesce(F.when(F.col("percent"), gap(c) < 0.05).otherwise(gap(c) <= 0.02 * F.col(c)), F.lit(False))
+    stated = _amounts(stated_numbers(sources.select(key, "text"), key), key).distinct().select(key, "unit_group", F.col("amount").alias("figure"), F.lit(True).alias("text"))
+    out = near.withColumn("derived", agrees("below") | agrees("above")).join(stated, [key, "unit_group", "figure"], "left")
     noted = F.col("after").rlike("|".join(DISCLOSED))
     status = F.when(F.col("structured"), "structured").when(F.col("derived"), "derived").when(F.col("text"), "text").when(noted, "disclosed").otherwise("untraceable")
     return out.select(key, "pos", "value", "unit", status.alias("status"))

@@ -29,10 +29,10 @@ def traced(r):
     return A.trace_status(A.number_trace(figures(r), lines(r), "task"), total, "task")
 
 
-TRACE = "WITH f AS (SELECT o_orderkey AS task, o_totalprice AS figure FROM orders), h AS (SELECT task, count(*) AS sources FROM f JOIN lineitem ON l_orderkey = task WHERE abs(l_extendedprice - figure) <= greatest(0.5::DOUBLE, abs(figure) * 0.005::DOUBLE) GROUP BY task)"
+TRACE = "WITH f AS (SELECT o_orderkey AS task, o_totalprice AS figure FROM orders), h AS (SELECT task, arg_min(l_extendedprice, (abs(l_extendedprice - figure), l_extendedprice)) AS nearest FROM f JOIN lineitem ON l_orderkey = task GROUP BY task), n AS (SELECT task, figure, nearest, coalesce(abs(nearest - figure) < greatest(0.5::DOUBLE, abs(figure) * 0.005::DOUBLE), false) AS traced FROM f LEFT JOIN h USING (task))"
 STATUS = f"""{TRACE}, t AS (SELECT l_orderkey AS task, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem GROUP BY 1),
-s AS (SELECT task, task AS figure_id, CASE WHEN h.sources > 0 THEN 'structured' WHEN abs(total - figure) <= 0.02::DOUBLE * abs(figure) THEN 'derived' ELSE 'untraceable' END AS status FROM f LEFT JOIN h USING (task) LEFT JOIN t USING (task))"""
-P.add("number_trace", lambda r: A.number_trace(figures(r), lines(r), "task"), f"{TRACE} SELECT task, task AS figure_id, figure, coalesce(sources, 0) AS sources FROM f LEFT JOIN h USING (task)")
+s AS (SELECT task, task AS figure_id, CASE WHEN traced THEN 'structured' WHEN abs(total - figure) <= 0.02::DOUBLE * abs(figure) THEN 'derived' ELSE 'untraceable' END AS status FROM n LEFT JOIN t USING (task))"""
+P.add("number_trace", lambda r: A.number_trace(figures(r), lines(r), "task"), f"{TRACE} SELECT task, task AS figure_id, figure, nearest, traced FROM n")
 P.add("trace_rates", lambda r: traced(r).join(r("orders").select(F.col("o_orderkey").alias("task"), "o_orderpriority"), "task").groupBy("o_orderpriority").agg(F.count("*").alias("figures"), F.round(F.avg((F.col("status") == "structured").cast("int")), 6).alias("structured"), F.round(F.avg((F.col("status") == "derived").cast("int")), 6).alias("derived")), f"{STATUS} SELECT o_orderpriority, count(*) AS figures, round(avg(CASE WHEN status = 'structured' THEN 1 ELSE 0 END), 6) AS structured, round(avg(CASE WHEN status = 'derived' THEN 1 ELSE 0 END), 6) AS derived FROM s JOIN orders ON o_orderkey = task GROUP BY 1")
 
 
@@ -43,7 +43,7 @@ def growth_claims(r):
 
 
 P.add("derived_trace", growth_claims, f"""{YEARS}, g AS (SELECT entity, abs(round((revenue / nullif(lag(revenue) OVER (PARTITION BY entity ORDER BY year), 0) - 1) * 100, 4)) AS g FROM y)
-SELECT c_custkey AS claim_id, n_name AS entity, EXISTS (SELECT 1 FROM g WHERE g.entity = n_name AND abs(g.g - abs(c_acctbal / 100)) <= 0.05::DOUBLE) AS derived FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+SELECT c_custkey AS claim_id, n_name AS entity, EXISTS (SELECT 1 FROM g WHERE g.entity = n_name AND abs(g.g - abs(c_acctbal / 100)) < 0.05::DOUBLE) AS derived FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 P.add("conflicting_figures", lambda r: A.conflicting_figures(r("lineitem").select(F.col("l_partkey").alias("metric"), F.year("l_shipdate").alias("year"), F.col("l_quantity").alias("value")), ["metric", "year"]), "WITH c AS (SELECT l_partkey AS metric, CAST(year(l_shipdate) AS INTEGER) AS year, l_quantity AS value, count(*) AS n FROM lineitem GROUP BY ALL) SELECT metric, year, arg_max(value, (n, -value)) AS main_value, count(*) - 1 AS others FROM c GROUP BY metric, year HAVING count(*) > 1")
 SENTENCES = r"""s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '([0-9])\.', '\1' || chr(1), 'g'), '\.([0-9])', chr(1) || '\1', 'g'), '[.;\n。；．]'), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '')) AS sentence FROM documents)"""
 P.add("entity_attribution", lambda r: A.entity_attribution(r("documents"), ["der", "die"], ["the", "and"]), rf"""WITH {SENTENCES}, w AS (SELECT doc_id, regexp_split_to_array(lower(sentence), '[^\p{{L}}]+') AS w, unnest(regexp_extract_all(sentence, '[0-9]+(?:\.[0-9]+)?')) AS number FROM s),
@@ -97,6 +97,28 @@ q AS (SELECT DISTINCT unnest([w, substr(w, 2, 3), substr(w, 1, 1), p_name || 's'
 s AS (SELECT query, code, name, market, CASE market WHEN 'STANDARD' THEN 10 WHEN 'ECONOMY' THEN 6 ELSE 4 END + CASE WHEN name = query THEN 2 ELSE 0 END AS score FROM q JOIN k ON query <> '' AND name <> '' AND (contains(name, query) OR contains(query, name)))
 SELECT * EXCLUDE (market) FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, code, name, market) AS INTEGER) AS rank FROM s) WHERE rank <= 5""")
 P.add("best_url", lambda r: A.best_url(r("pages"), host_of(F.col("url")), "page=|/fr/", "/en/"), f"SELECT host, arg_max(page_id, (score, official, -page_id)) AS page_id, arg_max(url, (score, official, -page_id)) AS url, max(score) AS score FROM (SELECT {HOST} AS host, page_id, url, CASE WHEN regexp_matches(lower(url), 'page=|/fr/') THEN 3 ELSE 0 END + CASE WHEN starts_with(url, 'https') THEN 1 ELSE 0 END AS score, CAST(regexp_matches(lower(url), '/en/') AS INTEGER) AS official FROM pages) GROUP BY host")
+
+
+def results(r):
+    """Pages as results of their host, with the title and the last label of the host but one as target."""
+    host = host_of(F.col("url"))
+    return r("pages").select(host.alias("host"), F.col("page_id").alias("pos"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), "url", F.substring(host, 1, 2).alias("target"))
+
+
+URL_WORDS = {"others": ("der", "que", "on"), "topics": ("the", "and", "en"), "official": ("/en/", ".org"), "good": ("https", "/de/"), "junk": ("page=", "ref=", "#")}
+P.add("pick_url", lambda r: A.pick_url(results(r), "host", **URL_WORDS), f"""WITH p AS (
+  SELECT {HOST} AS host, page_id AS pos, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url FROM pages
+), q AS (
+  SELECT *, lower(title) AS t, lower(url) AS u, substr(host, 1, 2) AS target FROM p WHERE starts_with(url, 'http')
+), s AS (
+  SELECT host, pos, url, contains(u, '/en/') OR contains(u, '.org') AS official, contains(title, 'the') OR contains(title, 'and') OR contains(title, 'en') AS topic,
+    (target <> 'der' AND contains(title, 'der')) OR (target <> 'que' AND contains(title, 'que')) OR (target <> 'on' AND contains(title, 'on')) AS foreign_name,
+    list_sum(list_transform(['the', 'and', 'en'], lambda k: CASE WHEN contains(t, k) THEN 2 WHEN contains(u, k) THEN 1 ELSE 0 END)) - list_sum(list_transform(['page=', 'ref=', '#'], lambda k: CASE WHEN contains(u, k) THEN 2 ELSE 0 END)) AS words,
+    contains(u, 'https') OR contains(u, '/de/') AS good, contains(title, target) AS in_title, contains(url, target) AS in_url FROM q
+), z AS (
+  SELECT host, pos, url, official, CAST(words + CASE WHEN official THEN 4 WHEN good THEN 2 ELSE 0 END
+    + CASE WHEN in_title THEN 3 + CASE WHEN topic THEN 2 WHEN foreign_name THEN -6 ELSE 0 END WHEN in_url THEN 1 + CASE WHEN topic AND NOT foreign_name THEN 1 ELSE 0 END ELSE 0 END AS INTEGER) AS score FROM s
+) SELECT host, arg_max(url, (score, official, -pos)) AS url, max(score) AS score FROM z GROUP BY host""")
 SKILLS = [("german", "der", 2), ("german", "die", 1), ("english", "the", 2), ("english", "and", 1), ("french", "les", 2), ("french", "le", 1)]
 VALUES = ", ".join(f"('{a}', '{b}', {c})" for a, b, c in SKILLS)
 P.add("goal_overlap", lambda r: A.goal_overlap(r("conversations")), r"WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+'), lambda x: length(x) >= 4) AS w FROM conversations) SELECT conv_id, turn, coalesce(list_has_any(w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn)), false) AS overlap FROM w")

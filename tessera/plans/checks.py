@@ -259,6 +259,16 @@ P.add(
     """SELECT (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS success,
 (SELECT count(*) FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 24 HOUR) AS recent, (SELECT round(count(*) FILTER (s_acctbal > 0) * 100.0 / count(*), 1) FROM supplier) AS survival""",
 )
+P.add(
+    "system_status_queues",
+    lambda r: C.system_status(
+        r("orders").select(F.col("o_orderkey").alias("task"), F.when(F.col("o_orderstatus") == "F", "SUCCESS").otherwise("OPEN").alias("status"), F.col("o_orderdate").alias("at")),
+        r("nation").select(F.col("n_nationkey").alias("agent"), (F.col("n_regionkey") > 0).alias("online")), queued=r("customer").select(F.col("c_nationkey").alias("agent")),
+    ).select("total", "success", "recent", "survival", F.to_json("queues").alias("queues"), F.array_join(F.col("newest").cast("array<string>"), ",").alias("newest")),
+    """SELECT (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS success, (SELECT count(*) FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 24 HOUR) AS recent,
+(SELECT round(count(*) FILTER (n_regionkey > 0) * 100.0 / count(*), 1) FROM nation) AS survival, (SELECT '{' || string_agg('"' || n_nationkey || '":' || n, ',' ORDER BY n_nationkey) || '}' FROM (SELECT n_nationkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)) AS queues,
+(SELECT string_agg(o_orderkey, ',' ORDER BY o_orderdate DESC, o_orderkey DESC) FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 5)) AS newest""",
+)
 P.add(
     "critic_stats",
     lambda r: C.critic_stats(task_log(r).select("agent", F.when(F.col("tokens") % 4 > 0, "PASS").when(F.col("tokens") % 8 == 0, "FAIL").alias("verdict"), F.when(F.col("tokens") % 5 > 0, F.create_map(F.lit("a"), F.col("latency"), F.lit("b"), F.col("tokens").cast("double"))).alias("scores")), "agent"),

@@ -24,6 +24,19 @@ def part_reports(r: Reader) -> DataFrame:
 
 
 P.add("md_table_rows", lambda r: S.md_table_rows(part_reports(r)).drop("n", "note"), """SELECT p_partkey AS doc_id, p_type AS label, CAST(p_size AS DOUBLE) AS value, '亿美元' AS unit, p_size % 20 + 2000 AS year, '[site](http://a.example)' AS source FROM part""")
+
+
+def part_tables(r: Reader) -> DataFrame:
+    """Two tables for each part: sizes with shares, years and addresses, and prices whose unit is in the header."""
+    k, year = F.col("p_partkey"), F.col("p_size") % 20 + 2000
+    first = text("| 指标 | 年份 | 数值 | 占比 | 口径 | 来源 |\n|---|---|---|---|---|---|\n| ", F.col("p_type"), " | ", year, " | ", F.col("p_size"), "亿美元 | ", k % 100, "% | ", F.col("p_brand"), " | 见 http://a.example/", k, " |\n| - | | ", F.col("p_size"), " | 5% | | |")
+    second = text("| 品名 | 零售金额（万元） | 链接说明 |\n|:--|--:|:--|\n| ", F.col("p_name"), " | ", F.col("p_size"), ",000 | 2024 |\n| open | 数千 | |")
+    return r("part").select(k.alias("doc_id"), text("# ", F.col("p_name"), "\n\n", first, "\n\nText | 5亿元 | more\n\n", second, "\n").alias("text"))
+
+
+P.add("md_table_facts", lambda r: S.md_table_facts(part_tables(r)), """SELECT p_partkey AS doc_id, 0 AS block, 0 AS n, p_type AS metric, p_size % 20 + 2000 AS year, CAST(p_size AS DOUBLE) AS value, '亿美元' AS unit, p_brand AS caliber, 'http://a.example/' || p_partkey AS source FROM part
+UNION ALL SELECT p_partkey, 0, 0, '市场份额', p_size % 20 + 2000, CAST(p_partkey % 100 AS DOUBLE), '%', p_type, 'http://a.example/' || p_partkey FROM part
+UNION ALL SELECT p_partkey, 1, 0, '零售金额（万元）', 2024, p_size * 1000.0::DOUBLE, '万元', p_name, '' FROM part""")
 P.add("report_scrub", lambda r: S.report_scrub(part_reports(r)), """SELECT p_partkey AS doc_id, '# ' || p_name || '
 Body ' || p_brand || '
 

@@ -116,7 +116,7 @@ HAVING count(*) FILTER (event_type = 'view') >= 3 ORDER BY date DESC LIMIT 240""
 
 
 def rss(r: Reader) -> DataFrame:
-    feed = text("<rss><channel><item><title>page ", F.col("page_id"), "</title><link>", F.col("url"), "</link><pubDate>Mon</pubDate></item><item><title></title><link></link></item></channel></rss>")
+    feed = text("<rss><channel><item><title>page ", F.col("page_id"), "</title><link>", F.replace("url", F.lit("&"), F.lit("&amp;")), "</link><pubDate>Mon</pubDate></item><item><title></title><link></link></item></channel></rss>")
     return R.read_news_rss(r("pages").sparkSession, staged(r("pages"), F.col("page_id"), feed))
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import lexicon as K
 from tessera.operators import texts as T
+from tessera.operators import vectors as V
+from tessera.operators.pages import html_text
 from tessera.plans.binding import LOG_SQL, Plans, task_log
 
 P = Plans()
@@ -24,7 +27,13 @@ P.add("content_hash", lambda r: T.content_hash(r("documents")), "SELECT doc_id,
 P.add("dedupe_notes", lambda r: T.dedupe_first(r("documents")), "SELECT substr(text, 1, 80) AS lead, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
 P.add("script_ratio_flag", lambda r: T.script_ratio_flag(r("documents"), "[a-zA-Z]", 0.1, 100), "SELECT doc_id, round(len(regexp_extract_all(text, '[a-zA-Z]')) / length(text), 6) AS share, len(regexp_extract_all(text, '[a-zA-Z]')) / length(text) < 0.1 AS gibberish FROM documents WHERE length(text) > 100")
 P.add("md_summary", lambda r: T.md_summary(r("documents")), r"""SELECT doc_id, CASE WHEN length(p) > 300 THEN substr(p, 1, 300) || '...' ELSE p END AS summary FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[#*`>|_]', '', 'g'), '[ \t\n\r]+', ' ', 'g')) AS p FROM documents)""")
-P.add("html_to_text", lambda r: T.html_to_text(r("pages")), r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|iframe|svg|nav|footer)[^>]*>.*?</(script|style|noscript|iframe|svg|nav|footer)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')), 1, 30000) AS text FROM pages""")
+P.add("html_to_text", lambda r: html_text(r("pages")), r"""WITH p AS (
+  SELECT page_id, html, regexp_split_to_array(regexp_replace(html, '(?is)<!--.*?-->|<(script|style|nav|footer)[^>]*>.*?</(script|style|nav|footer)>', '<>', 'g'), '<[^>]*>') AS parts FROM pages
+), t AS (
+  SELECT page_id, html, list_filter(list_transform(parts, lambda x: regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM p
+) SELECT page_id, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) AS title, substr(array_to_string(parts, chr(10)), 1, 30000) AS text FROM t""")
+#: By patterns alone, on one line.
+P.add("html_to_text_plain", lambda r: T.html_to_text(r("pages")), r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|iframe|svg|nav|footer)[^>]*>.*?</(script|style|noscript|iframe|svg|nav|footer)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')), 1, 30000) AS text FROM pages""")
 DOMAINS = [("finance", "(?i)price|market|die "), ("news", "(?i)news|the "), ("other_source", "(?i) que | les ")]
 P.add("char_ngrams", lambda r: T.char_ngrams(r("benchmark"), 3), "SELECT item_id, gram, count(*) AS times FROM (SELECT item_id, substr(text, CAST(i AS INTEGER), 3) AS gram FROM (SELECT item_id, text, unnest(generate_series(1, length(text) - 2)) AS i FROM benchmark)) GROUP BY ALL")
 MATCH = f"""WITH g AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE length(w) >= 6), d AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE length(w) >= 6), h AS (SELECT item_id, doc_id, count(*) AS shared FROM g JOIN d USING (w) GROUP BY ALL)"""
@@ -35,5 +44,31 @@ P.add("search_relevance_scored", lambda r: T.search_scores(r("benchmark"), r("do
 P.add("eval_case_match_scored", lambda r: T.search_scores(r("benchmark"), r("documents"), top=1).select("item_id", "doc_id", "score"))
 P.add("irrelevant_results_scored", lambda r: r("benchmark").select("item_id").join(T.search_scores(r("benchmark"), r("documents"), top=1).select("item_id", "score"), "item_id", "left").select("item_id", F.col("score").isNull().alias("irrelevant")))
 P.add("memory_topk", lambda r: T.nearest(r("embeddings").where("vec_id % 100 = 0"), r("embeddings"), 3, 0.6), "WITH p AS (SELECT q.vec_id, e.vec_id AS other, round(1 - list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 4) AS distance FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0) SELECT * FROM (SELECT vec_id, other, distance, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) AS INTEGER) AS rank FROM p WHERE distance <= 0.6) WHERE rank <= 3")
+#: Through the index of cells; recall is held against the exact form by a test.
+P.add("memory_topk_index", lambda r: V.nearest_by_index(r("embeddings").where("vec_id % 100 = 0"), r("embeddings"), 3, 0.6))
+#: Through the index as well, with all cells probed.
+P.add("memory_topk_cells", lambda r: V.nearest_by_index(r("embeddings").where("vec_id % 100 = 0"), r("embeddings"), 3, 0.6, probes=V.CELLS), P.oracles["memory_topk"])
+
+
+def names(r):
+    """Every word of letters of the benchmark and of the names of parts is an alias of its first two letters; others are an alias of themselves."""
+    words = r("benchmark").select("text").unionAll(r("part").select("p_name")).select(F.explode(F.split("text", "[ .,\n]+")).alias("alias"))
+    return words.distinct().select("alias", F.when(F.col("alias").rlike("^[A-Za-z]{2,}$"), F.lower(F.substring("alias", 1, 2))).otherwise(F.col("alias")).alias("name"))
+
+
+NAMES = r"""WITH n AS (
+  SELECT DISTINCT unnest(regexp_split_to_array(text, '[ .,\n]+')) AS alias FROM (SELECT text FROM benchmark UNION ALL SELECT p_name FROM part)
+), w AS (
+  SELECT DISTINCT lower(alias) AS alias FROM n WHERE regexp_matches(alias, '^[A-Za-z]{2,}$')
+), o AS (
+  SELECT DISTINCT alias FROM n WHERE alias <> '' AND NOT regexp_matches(alias, '^[A-Za-z]{2,}$')
+), d AS (
+  SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS alias FROM documents
+), f AS (
+  SELECT doc_id, substr(alias, 1, 2) AS name, count(*) AS n FROM d JOIN w USING (alias) GROUP BY ALL
+  UNION ALL SELECT doc_id, alias, CAST((length(text) - length(replace(text, alias, ''))) / length(alias) AS BIGINT) FROM documents JOIN o ON contains(text, alias)
+) SELECT doc_id, name, CAST(sum(n) AS BIGINT) AS mentions FROM f GROUP BY ALL"""
+P.add("lexicon_mentions", lambda r: K.alias_mentions(r("documents"), names(r)), NAMES)
+P.add("lexicon_mentions_joined", lambda r: K.alias_mentions(r("documents"), names(r), rows=0), NAMES)
 
 QUERIES, ORACLES = P.queries, P.oracles

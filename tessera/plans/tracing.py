@@ -26,22 +26,56 @@ def traced(df: DataFrame) -> DataFrame:
 
 
 add_cases(
-    "statement_trace", "report string, fact string, fact_unit string, computed string, computed_unit string, source string", ["statuses"],
+    "statement_trace_cases", "report string, fact string, fact_unit string, computed string, computed_unit string, source string", ["statuses"],
     [
         (("营收9{n}.5亿元", "9{n}.5", "亿元", None, None, None), ("structured",)),
-        (("营收9{n}.5亿元", "9{n}.5", "亿美元", None, None, None), ("untraceable",)),
+        (("营收9{n}.5亿元", "9{n}.5", "亿美元", None, None, None), ("derived",)),
+        (("占比9{n}.5%", "9{n}.5", "亿美元", None, None, None), ("untraceable",)),
         (("营收9{n}.5亿元，净利率7%", "9{n}5000", "万元", None, None, "净利率为 7 ％"), ("structured,text",)),
-        (("第{n}家增速8%（模型知识，未验证）", None, None, None, None, "其他"), ("disclosed",)),
+        (("第n{n}家增速8%（模型知识，未验证）", None, None, None, None, "其他"), ("disclosed",)),
         (("共9{n}000件", None, None, None, None, "共有 9{n}000 件"), ("text",)),
-        (("同比13.9%，{n}家占55.0%", None, None, "13.86", "%", ""), ("derived,untraceable",)),
+        (("同比13.9%，n{n}家占55.0%", None, None, "-13.86", "%", ""), ("derived,untraceable",)),
         (("规模1000亿元，后为1000亿元", "1004", "亿元", None, None, None), ("structured,structured",)),
-        (("规模1000亿元", "1006", "亿元", None, None, None), ("untraceable",)),
+        (("规模1000亿元", "1006", "亿元", None, None, None), ("derived",)),
+        (("规模1000亿元", "1021", "亿元", None, None, None), ("untraceable",)),
+        (("规模1000亿元，后为500万", None, None, "990", "亿元", None), ("derived,untraceable",)),
         ((None, "1", "亿元", None, None, None), ("",)),
     ],
     traced, P,
 )
 
 
+def order_reports(r: Reader) -> DataFrame:
+    """A report for each order that tells its lines; facts are some prices, in full or rounded to ten thousands; taxes are the computed growth rates; the total and the second price are in the source."""
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    lines = r("lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("n"), price.alias("price"), (F.col("l_discount") * 100).cast("int").alias("off"), (F.col("l_tax") * 100).cast("int").alias("tax"))
+    said = F.concat(F.lit("项"), "n", F.lit("金额"), "price", F.lit("元，同比"), "off", F.lit("%"), F.when(F.col("n") == 4, "（未验证）").otherwise(""), F.lit("。" + "略" * 60))
+    told = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", said.alias("s")))), lambda x: x["s"]), "").alias("text"))
+    third = F.col("n") % 3
+    facts = lines.where("n % 3 < 2").select("l_orderkey", F.when(third == 0, F.col("price").cast("string")).otherwise((F.round(F.col("price").cast("double") / 10000, 2)).cast("decimal(18,2)").cast("string")).alias("value"), F.when(third == 0, "元").otherwise("万元").alias("unit"))
+    computed = lines.select("l_orderkey", F.col("tax").cast("string").alias("value"), F.lit("%").alias("unit"))
+    second = lines.where("n = 2").select("l_orderkey", F.concat(F.lit("另有"), "price", F.lit("元")).alias("text"))
+    total = r("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("总额"), F.col("o_totalprice").cast("decimal(18,2)"), F.lit("元")).alias("text"))
+    return T.statement_trace(told, facts, computed, total.unionAll(second), "l_orderkey")
+
+
+P.add("statement_trace", order_reports, """WITH l AS (
+  SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS n, CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(trunc(l_discount * 100) AS INTEGER) AS off, CAST(trunc(l_tax * 100) AS INTEGER) AS tax, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)) || '元，同比' || CAST(trunc(l_discount * 100) AS INTEGER) || '%') AS place FROM lineitem
+), f AS (
+  SELECT l_orderkey, CASE WHEN n % 3 = 0 THEN CAST(price AS DOUBLE) ELSE CAST(CAST(round(CAST(price AS DOUBLE) / 10000, 2) AS DECIMAL(18,2)) AS DOUBLE) * 10000 END AS amount FROM l WHERE n % 3 < 2
+), s AS (
+  SELECT o_orderkey AS l_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS amount FROM orders UNION SELECT l_orderkey, price FROM l WHERE n = 2
+), prices AS (
+  SELECT l.l_orderkey, n, place, price, bool_or(abs(f.amount - CAST(price AS DOUBLE)) < greatest(0.5::DOUBLE, CAST(price AS DOUBLE) * 0.005::DOUBLE)) AS structured, bool_or(abs(f.amount - CAST(price AS DOUBLE)) <= 0.02::DOUBLE * f.amount) AS derived
+  FROM l LEFT JOIN f USING (l_orderkey) GROUP BY ALL
+), rates AS (
+  SELECT l.l_orderkey, l.n, l.place, l.off, bool_or(l.off = o.tax) AS derived FROM l JOIN l o USING (l_orderkey) GROUP BY ALL
+)
+SELECT l_orderkey, CAST(place * 3 - 2 AS INTEGER) AS pos, CAST(price AS VARCHAR) AS value, '元' AS unit,
+  CASE WHEN structured THEN 'structured' WHEN derived THEN 'derived' WHEN EXISTS (SELECT 1 FROM s WHERE s.l_orderkey = p.l_orderkey AND s.amount = p.price) THEN 'text' WHEN n = 4 THEN 'disclosed' ELSE 'untraceable' END AS status FROM prices p
+UNION ALL SELECT l_orderkey, CAST(place * 3 - 1 AS INTEGER), CAST(off AS VARCHAR), '%', CASE WHEN derived THEN 'derived' WHEN n = 4 THEN 'disclosed' ELSE 'untraceable' END FROM rates""")
+
+
 def honesty(df: DataFrame) -> DataFrame:
     known = T.known_sources(df.select("o_orderkey", F.col("source").alias("text")), "o_orderkey", {"caijing.example": "财经台"})
     found = T.source_honesty(df.select("o_orderkey", "claim"), known, "o_orderkey", [("甲通讯", "甲社")])

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.functions.columns import strip
+
 QUOTE = "struct<usd:double,usd_market_cap:double,usd_24h_vol:double,usd_24h_change:double>"
 XBRL = "map<string,struct<units:map<string,array<struct<form:string,start:string,end:string,val:double>>>>>"
 RANKING = "struct<data:struct<diff:array<struct<f2:string,f3:string,f5:string,f6:string,f8:string,f12:string,f14:string,f20:string>>>>"
@@ -126,12 +128,26 @@ def read_macro_csv(spark: SparkSession, path: str, series: str, newest: int = 24
     return rows.where("date <> '' and value is not null").withColumn("back", F.row_number().over(order)).where(F.col("back") <= newest).drop("back")
 
 
-def read_news_rss(spark: SparkSession, path: str | DataFrame, each: int = 20) -> DataFrame:
-    """(file, pos, title, link, published): items without title and link are dropped; the first ones of each feed stay."""
-    items = _whole(spark, path).select("file", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<item>(.*?)</item>"), 1)).alias("pos", "item"))
-    field = lambda tag: F.trim(F.regexp_replace(F.regexp_extract("item", rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1), r"^<!\[CDATA\[|\]\]>$", ""))
-    rows = items.select("file", "pos", field("title").alias("title"), field("link").alias("link"), field("pubDate").alias("published")).where("title <> '' or link <> ''")
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).where(F.col("n") <= each).drop("n")
+ITEM = "array<struct<title:array<string>,link:array<string>,pubDate:array<string>>>"
+
+
+def read_news_rss(spark: SparkSession, path: str | DataFrame, each: int = 20, errors: bool = False) -> DataFrame:
+    """(file, pos, title, link, published) of the items of feeds, parsed as XML: entities, CDATA and attributes are resolved, the first of repeated fields counts, namespaces are ignored.
+
+    Items without title and link are dropped; the first ``each`` of a feed stay. A feed that is no XML gives no rows, or, with
+    ``errors``, one row that names it in the column error.
+    """
+    schema = f"channel struct<item:{ITEM}>, item {ITEM}, _corrupt_record string"
+    parsed = _whole(spark, path).select("file", F.from_xml("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "ignoreNamespace": "true"}).alias("feed"))
+    field = lambda item, name: strip(F.get(item[name], F.lit(0)))
+    items = F.coalesce("feed.channel.item", "feed.item", F.array().cast(ITEM))
+    cells = F.transform(items, lambda item, i: F.struct(i.alias("pos"), field(item, "title").alias("title"), field(item, "link").alias("link"), field(item, "pubDate").alias("published")))
+    kept = F.slice(F.filter(cells, lambda c: (c["title"] != "") | (c["link"] != "")), 1, each)
+    rows = parsed.select("file", F.inline(kept))
+    if not errors:
+        return rows
+    broken = parsed.where("feed is null or feed._corrupt_record is not null").select("file", F.concat("file", F.lit(": no feed")).alias("error"))
+    return rows.unionByName(broken, allowMissingColumns=True)
 
 
 def read_acl_refs(spark: SparkSession, path: str) -> DataFrame:
