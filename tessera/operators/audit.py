@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.functions.columns import bind
 from tessera.operators.texts import ALNUM, HAN, letters, sentences
 
 #: A figure and a source agree within half a unit or half a percent of the figure.
@@ -109,20 +110,28 @@ CORE_WORDS = ["营收", "收入", "净利润", "净利", "利润", "毛利率",
 COMPOUNDS = "百度百科|百度知道|百度贴吧|百度文库|谷歌学术|维基百科|微软百科|阿里云盘"
 
 
-def _figures(texts: DataFrame, key: str, radius: int) -> DataFrame:
-    """(key, sentence, prev, number, around): every number with its sentence, the one before and the characters around it."""
+def _figures(texts: DataFrame, key: str, radius: int, **marks: Column) -> DataFrame:
+    """(key, number, around, marks): every number with so many characters on both sides of it, and marks of its sentence (columns over ``sentence`` and ``prev``, the one before).
+
+    A sentence is cut at its numbers once; a neighbourhood is put together from at most ``radius`` parts on each side.
+    """
     safe = F.regexp_replace(F.coalesce("text", F.lit("")), r"([0-9]),(?=[0-9]{3})", "$1")
     parts = F.filter(F.split(safe, r"[。！？；;\n]+|\.(?![0-9])"), lambda s: F.trim(s) != "")
     rows = texts.select(key, parts.alias("parts")).where(F.size("parts") > 0)
     rows = rows.select(key, F.inline(F.arrays_zip(F.concat(F.array(F.lit("")), F.slice("parts", 1, F.size("parts") - 1)).alias("prev"), F.col("parts").alias("sentence"))))
-    rows = rows.toDF(key, "prev", "sentence")
+    rows = rows.toDF(key, "prev", "sentence").where(F.col("sentence").rlike("[0-9]"))
     number = r"(?<![0-9.])[0-9]+(?:\.[0-9]+)?"
-    found = lambda pattern, group: F.regexp_extract_all("sentence", F.lit("(?s)" + pattern), F.lit(group))
-    before = found(rf"(?<=(^.{{0,{radius - 1}}}|.{{{radius}}})){number}", 1)
-    after = found(rf"{number}(?=(.{{0,{radius}}}))", 1)
-    cells = F.arrays_zip(found(number, 0).alias("number"), before.alias("before"), after.alias("after"))
-    rows = rows.select(key, "prev", "sentence", F.inline(cells)).toDF(key, "prev", "sentence", "number", "before", "after")
-    return rows.select(key, "prev", "sentence", "number", F.concat("before", "number", "after").alias("around"))
+    tokens = F.regexp_extract_all("sentence", F.lit(rf"(?s)({number}|[^0-9]+|[0-9])"), F.lit(1))
+
+    def near(found: Column) -> Column:
+        left = lambda i: F.array_join(F.slice(found, F.greatest(i + 1 - radius, F.lit(1)), F.least(i, F.lit(radius))), "")
+        right = lambda i: F.array_join(F.slice(found, i + 2, F.lit(radius)), "")
+        last = lambda text: F.when(F.char_length(text) > radius, F.substring(text, -radius, radius)).otherwise(text)
+        one = lambda t, i: F.struct(t.alias("number"), F.concat(bind(left(i), last), t, F.substring(right(i), 1, radius)).alias("around"))
+        starts = lambda t, i: t.rlike("^[0-9]") & ((i == 0) | ~F.get(found, i - 1).rlike("[0-9.]$"))
+        return F.filter(F.transform(found, lambda t, i: F.when(starts(t, i), one(t, i))), lambda c: c.isNotNull())
+
+    return rows.select(key, *[c.alias(n) for n, c in marks.items()], F.inline(bind(tokens, near)))
 
 
 def attribution_evidence(reports: DataFrame, sources: DataFrame, key: str, target: list[str], other: list[str], verbs: list[str] = RELATION_VERBS, core: list[str] = CORE_WORDS, radius: int = 80) -> DataFrame:
@@ -133,20 +142,39 @@ def attribution_evidence(reports: DataFrame, sources: DataFrame, key: str, targe
     a core word, and never with the target. A number in a sentence without names is ambiguous. Source evidence is gathered
     for each (key, number) before the join.
     """
-    clean = lambda c: F.regexp_replace(c, COMPOUNDS, "")
-    prev, sentence = F.col("prev"), F.col("sentence")
-    tail = F.when(F.char_length(prev) > radius, F.substring(prev, -radius, radius)).otherwise(prev)
-    for_target = names_in(sentence, target) | (names_in(prev, target) & ~names_in(clean(prev), other))
-    for_other = (names_in(F.col("around"), other) | names_in(tail, other)) & names_in(sentence, core)
-    held = _figures(sources, key, radius).select(key, "number", for_target.alias("t"), for_other.alias("o"))
-    held = held.groupBy(key, "number").agg(F.bool_or("t").alias("t"), F.bool_or("o").alias("o"))
-    said = _figures(reports, key, radius).select(key, "number", names_in(sentence, target).alias("mine"), names_in(clean(sentence), other).alias("theirs"), names_in(sentence, verbs).alias("exempt"))
+    sentence = F.col("sentence")
+    said = _figures(reports, key, radius, mine=names_in(sentence, target), theirs=names_in(_plain(sentence), other), exempt=names_in(sentence, verbs))
     claims = said.groupBy(key, "number").agg(
         F.count("*").alias("checked"), F.bool_or(F.expr("mine and not theirs and not exempt")).alias("claimed"), F.bool_or(F.expr("not mine and not theirs and not exempt")).alias("ambiguous")
     )
+    held = _evidence(sources, key, target, other, core, radius)
     return claims.join(held, [key, "number"]).select(key, "number", "checked", F.expr("claimed and o and not t").alias("contaminated"), "ambiguous")
 
 
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(text, COMPOUNDS, "")
+
+
+def _evidence(sources: DataFrame, key: str, target: list[str], other: list[str], core: list[str], radius: int) -> DataFrame:
+    """(key, number, t, o): whether a number stands with the target, and near others in a sentence with a core word, in any source."""
+    prev, sentence = F.col("prev"), F.col("sentence")
+    tail = F.when(F.char_length(prev) > radius, F.substring(prev, -radius, radius)).otherwise(prev)
+    for_target = names_in(sentence, target) | (names_in(prev, target) & ~names_in(_plain(prev), other))
+    held = _figures(sources, key, radius, t=for_target, tail=names_in(tail, other), core=names_in(sentence, core))
+    o = (names_in(F.col("around"), other) | F.col("tail")) & F.col("core")
+    return held.groupBy(key, "number").agg(F.bool_or("t").alias("t"), F.bool_or(o).alias("o"))
+
+
+def fact_attribution(facts: DataFrame, sources: DataFrame, key: str, target: list[str], other: list[str], core: list[str] = CORE_WORDS, radius: int = 80) -> DataFrame:
+    """Facts (key, label, value) with ``status``: target when the label names it; label when it names others; evidence when the sources (key, text) show the value only near others; else fine. A null label names nobody."""
+    label = F.coalesce("label", F.lit(""))
+    number = F.regexp_replace(F.regexp_replace(F.col("value").cast("string"), "[,，]", ""), r"\.0+$", "")
+    held = _evidence(sources, key, target, other, core, radius)
+    rows = facts.withColumn("number", number).join(held, [key, "number"], "left")
+    status = F.when(names_in(label, target), "target").when(names_in(label, other), "label").when(F.expr("o and not t"), "evidence").otherwise("fine")
+    return rows.withColumn("status", status).drop("number", "t", "o")
+
+
 def source_labeling(claims: DataFrame, known: DataFrame) -> DataFrame:
     """Claims (claim_id, source) marked by whether the source is a known one; copies of a source count once."""
     names = known.select("source").distinct().withColumn("known", F.lit(True))

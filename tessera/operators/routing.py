@@ -19,9 +19,7 @@ MACRO_WORDS = ["gdp", "cpi", "通胀", "通货膨胀", "失业率", "宏观", "
 NEWS_WORDS = ["最新新闻", "头条", "要闻", "今日新闻", "实时新闻", "新闻资讯", "news", "headline"]
 FINANCE_WORDS = ["财报", "年报", "季报", "营收", "净利润", "净利", "利润", "负债", "财务", "市值", "股票", "股价", "港交所", "港股", "a股", "美股", "上市公司", "业绩", "毛利率", "现金流", "financial", "revenue", "earnings"]
 DOMAINS = [("crypto", CRYPTO_WORDS), ("macro", MACRO_WORDS), ("news", NEWS_WORDS), ("financial", FINANCE_WORDS)]
-CHART_WORDS = ["可视化", "图表", "趋势图", "柱状", "饼图", "折线", "调研", "plot", "chart", "graph", "财报", "营收", "净利润", "财务", "季报", "年报", "业绩"]
-CHART_WORDS += ["市场规模", "市场份额", "占比", "销售", "销量", "出货", "渗透率", "增长率", "cagr", "预测", "规模", "币价", "比特币", "以太坊", "加密货币", "行情", "走势", "趋势"]
-CHART_WORDS += ["宏观", "通胀", "利率", "涨跌幅", "市值", "份额", "竞争格局", "排名", "排行", "前十", "榜单", "成交量", "成交额", "涨停", "跌幅", "美联储", "cpi", "gdp"]
+CHART_WORDS = ["可视化", "图表", "趋势图", "柱状", "饼图", "折线", "调研", "plot", "chart", "graph", "财报", "营收", "净利润", "财务", "季报", "年报", "业绩", "市场规模", "市场份额", "占比", "销售", "销量", "出货", "渗透率", "增长率", "cagr", "预测", "规模", "币价", "比特币", "以太坊", "加密货币", "行情", "走势", "趋势", "宏观", "通胀", "利率", "涨跌幅", "市值", "份额", "竞争格局", "排名", "排行", "前十", "榜单", "成交量", "成交额", "涨停", "跌幅", "美联储", "cpi", "gdp"]
 MARKET_WORDS = ["成交量排行", "成交额排行", "成交量前十", "成交额前十", "涨停", "跌幅榜", "a股今日", "今日a股", "前十股", "排名榜", "股票排行", "a股排行", "股票排名", "成交量榜", "成交额榜"]
 RANK_WORDS, STOCK_WORDS = ["排行", "排名", "前十", "榜单"], ["a股", "股票", "沪深", "股市", "今日"]
 #: Label and patterns of injected instructions, in order.
@@ -37,7 +35,7 @@ INJECTIONS = [
 ]
 #: Words of goals that name the kind of work, not its subject.
 WORK_WORDS = ["分析", "生成", "报告", "可视化", "市场", "数据", "训练", "模型", "输出", "包括", "主要", "技术", "趋势", "一个"]
-#: Subject words that stand for a whole field: (a goal word of the field, the anchors that it brings).
+#: Subject words that stand for a whole field: (a goal word of the field, the anchors that it brings).
 ANCHOR_PACKS = [
     (["财报", "财务", "营收", "利润", "负债", "年报", "季报", "业绩"], ["营收", "净利润", "负债", "总资产", "销售额", "利润", "亏损", "财报", "收入"]),
     (["芯片", "ai", "gpu", "算力", "半导体", "英伟达"], ["芯片", "ai", "gpu", "算力", "半导体", "nvidia", "英伟达"]),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import lexicon as K
+from tessera.operators import search as S
 from tessera.operators import texts as T
 from tessera.operators import vectors as V
 from tessera.operators.pages import html_text
@@ -39,6 +40,28 @@ P.add("char_ngrams", lambda r: T.char_ngrams(r("benchmark"), 3), "SELECT item_id
 MATCH = f"""WITH g AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE length(w) >= 6), d AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE length(w) >= 6), h AS (SELECT item_id, doc_id, count(*) AS shared FROM g JOIN d USING (w) GROUP BY ALL)"""
 P.add("search_relevance", lambda r: T.search_matches(r("benchmark"), r("documents")), f"{MATCH} SELECT * FROM (SELECT item_id, doc_id, shared, CAST(row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 3")
 P.add("irrelevant_results", lambda r: r("benchmark").select("item_id").join(T.search_matches(r("benchmark"), r("documents"), top=1).select("item_id", "shared"), "item_id", "left").select("item_id", F.col("shared").isNull().alias("irrelevant")), f"{MATCH} SELECT item_id, NOT EXISTS (SELECT 1 FROM h WHERE h.item_id = b.item_id) AS irrelevant FROM benchmark b")
+
+
+def found_pages(r):
+    """Pages as the results of the benchmark item that their number falls to."""
+    tag = lambda name: F.regexp_extract("html", f"<{name}>([^<]*)</{name}>", 1)
+    return r("pages").select((F.col("page_id") % 40).alias("item_id"), F.col("page_id").alias("doc_id"), tag("title").alias("title"), "url", F.concat(tag("h1"), F.lit(" "), F.substring_index("html", "</h1>", -1)).alias("snippet"))
+
+
+SEARCH = r"""WITH p AS (
+  SELECT page_id % 40 AS item_id, page_id AS doc_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url, regexp_extract(html, '<h1>([^<]*)</h1>', 1) || ' ' || string_split(html, '</h1>')[-1] AS snippet FROM pages
+), q AS (
+  SELECT item_id, doc_id, lower(title || ' ' || snippet) AS said, CASE WHEN contains(lower(url || ' ' || title), '/fr/') THEN 3 ELSE 0 END AS preferred FROM p
+  WHERE title <> '' AND starts_with(url, 'http') AND NOT contains(url, 'example.com') AND NOT regexp_matches(lower(url), '/login|/register|/agent') AND NOT contains(lower(url || ' ' || title), 'ref=') AND NOT regexp_matches(lower(title || ' ' || snippet), 'casino|lottery|bet365|betting|gambling|404 not found|page not found')
+), g AS (
+  SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(trim(text)), '[a-z][a-z0-9-]{2,}'))) AS token, 2 AS weight FROM benchmark
+  UNION ALL SELECT item_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{4}'))), 1 FROM benchmark
+), s AS (
+  SELECT item_id, doc_id, preferred + sum(CASE WHEN contains(said, token) AND (weight = 1 OR regexp_matches(said, '(^|[^a-z0-9])' || token || '($|[^a-z0-9])')) THEN weight ELSE 0 END) AS score FROM q JOIN g USING (item_id) GROUP BY item_id, doc_id, preferred
+)"""
+P.add("search_results", lambda r: S.filter_results(found_pages(r), r("benchmark").select("item_id", F.col("text").alias("goal")), "item_id", ("/fr/",), ("ref=",)), f"{SEARCH} SELECT item_id, doc_id, CAST(score AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score >= 2")
+#: Items without a result that says enough.
+P.add("search_misses", lambda r: r("benchmark").select("item_id").join(S.filter_results(found_pages(r), r("benchmark").select("item_id", F.col("text").alias("goal")), "item_id", ("/fr/",), ("ref=",)).select("item_id").distinct(), "item_id", "left_anti"), f"{SEARCH} SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM s WHERE score >= 2)")
 #: The whole scoring; no SQL twins, held against brute force by the tests.
 P.add("search_relevance_scored", lambda r: T.search_scores(r("benchmark"), r("documents")))
 P.add("eval_case_match_scored", lambda r: T.search_scores(r("benchmark"), r("documents"), top=1).select("item_id", "doc_id", "score"))

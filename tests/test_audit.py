@@ -42,3 +42,36 @@ def test_goal_overlap_of_han_and_short_words(spark):
     rows = spark.createDataFrame(turns, "conv_id long, turn long, text string")
     assert [x.overlap for x in A.goal_overlap(rows).orderBy("turn").collect()] == [False, True, False, False, True, False]
     assert [x.overlap for x in A.goal_overlap(rows, 3, A.GOAL_WORD, A.GOAL_STOP).orderBy("turn").collect()] == [False, True, False, True, False, False]
+
+
+def test_attribution_evidence_against_a_loop(spark):
+    import re
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    docs += [(9001, "the 4 in 5.5 of 6.7.8 and 1,234,567 in der 9"), (9002, None), (9003, "12 " * 300 + "and in the 12")]
+    word = lambda t, names: any(re.search(rf"(?<![^\W\d_]){n}(?![^\W\d_])", t.lower()) for n in names)
+    target, other, verbs, core = ["der", "die"], ["the", "and"], ["with", "mit"], ["in", "of", "und"]
+    want = {}
+    for doc, text in docs:
+        safe = re.sub(r"([0-9]),(?=[0-9]{3})", r"\1", text or "")
+        parts, said, held = [p for p in re.split(r"[。！？；;\n]+|\.(?![0-9])", safe) if p.strip(" ")], {}, {}
+        for prev, sentence in zip(["", *parts], parts, strict=False):
+            for m in re.finditer(r"(?<![0-9.])[0-9]+(?:\.[0-9]+)?", sentence):
+                around = sentence[max(0, m.start() - 80) : m.end() + 80]
+                mine, theirs, exempt = word(sentence, target), word(sentence, other), word(sentence, verbs)
+                said.setdefault(m[0], []).append((mine and not theirs and not exempt, not mine and not theirs and not exempt))
+                t = mine or (word(prev, target) and not word(prev, other))
+                held.setdefault(m[0], []).append((t, (word(around, other) or word(prev[-80:], other)) and word(sentence, core)))
+        for n, found in said.items():
+            t, o = (any(h[i] for h in held[n]) for i in (0, 1))
+            want[doc, n] = (len(found), any(f[0] for f in found) and o and not t, any(f[1] for f in found))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.number): (r.checked, r.contaminated, r.ambiguous) for r in A.attribution_evidence(df, df, "doc_id", target, other, verbs, core).collect()}
+    assert got == want
+
+
+def test_fact_labels_that_name_others(spark):
+    facts = spark.createDataFrame([(1, "腾讯营收", "4"), (1, "Line占比", "5"), (1, "占比", "4.0"), (1, "占比", "7"), (1, None, None)], "k long, label string, value string")
+    sources = spark.createDataFrame([(1, "Line占比4%。腾讯占比7%")], "k long, text string")
+    got = [(r.label, r.value, r.status) for r in A.fact_attribution(facts, sources, "k", ["腾讯"], ["line"]).collect()]
+    assert sorted(got, key=repr) == sorted([("腾讯营收", "4", "target"), ("Line占比", "5", "label"), ("占比", "4.0", "evidence"), ("占比", "7", "fine"), (None, None, "fine")], key=repr)

@@ -64,7 +64,7 @@ def test_table_facts(spark):
     rows = S.md_table_facts(spark.createDataFrame([(1, f"x\n{table}\n\n{none}\n\n{plain}"), (2, None), (3, "| a | b |")], "doc_id long, text string")).collect()
     assert sorted((r.block, r.n, r.metric, r.year, r.value, r.unit, r.caliber, r.source) for r in rows) == [
         (0, 0, "市场份额", 2023, 12.5, "%", "甲", "http://a.example/1"), (0, 0, "市场规模", 2023, 1200.0, "亿美元", "2023年口径", "http://a.example/1"),
-        (0, 2, "市场规模", None, 30.0, "万亿美元", "丙", "见报"), (2, 1, "增速", None, 8.0, "%", "表格", ""),
+        (0, 2, "市场规模", None, 30.0, "万亿美元", "—", "见报"), (2, 1, "增速", None, 8.0, "%", "表格", ""),
     ]
 
 
