@@ -218,8 +218,9 @@ def absorb_labels(facts: DataFrame) -> DataFrame:
 
 
 def foreign_entity_filter(facts: DataFrame, target: str, others: list[str]) -> DataFrame:
-    """Drops facts whose label names another entity and not the target."""
-    return facts.where(~names_in(F.col("label"), others) | F.col("label").contains(target))
+    """Drops facts whose label or caliber (if they have that column) names another entity, and neither the target."""
+    text = F.concat_ws(" ", "label", *[F.col(c) for c in ("caliber",) if c in facts.columns])
+    return facts.where(~names_in(text, others) | text.contains(target))
 
 
 def resolve_names(asked: DataFrame, known: DataFrame, top: int = 5) -> DataFrame:

@@ -21,6 +21,8 @@ SELECT doc_id, count(*) AS facts, max(CASE WHEN contains(tail, 'not') THEN -abs(
 P.add("extract_fixed_segments", lambda r: X.fixed_segments(sentences(r("documents")), [("english", r"the[^0-9]*?([0-9]+)"), ("german", r"der[^0-9]*?([0-9]+)")]), f"""WITH {SENTENCES.replace("SELECT doc_id, unnest(", "SELECT doc_id, generate_subscripts(p, 1) AS pos, unnest(p) AS sentence FROM (SELECT doc_id, (").replace(") AS sentence FROM documents)", ") AS p FROM documents))")},
 m AS (SELECT 'english' AS segment, doc_id, pos, TRY_CAST(regexp_extract(sentence, 'the[^0-9]*?([0-9]+)', 1) AS DOUBLE) AS value FROM s UNION ALL SELECT 'german', doc_id, pos, TRY_CAST(regexp_extract(sentence, 'der[^0-9]*?([0-9]+)', 1) AS DOUBLE) FROM s) SELECT segment, arg_min(value, (doc_id, pos)) AS value FROM m WHERE value IS NOT NULL GROUP BY segment""")
 
+P.add("extract_source_segments", lambda r: X.fixed_segments(sentences(r("documents")).join(r("documents").select("doc_id", "source"), "doc_id"), [("english", r"the[^0-9]*?([0-9]+)"), ("german", r"der[^0-9]*?([0-9]+)")], ["source"]), P.oracles["extract_fixed_segments"].replace("SELECT segment, arg_min(value, (doc_id, pos)) AS value FROM m WHERE value IS NOT NULL GROUP BY segment", "SELECT source, segment, arg_min(value, (doc_id, pos)) AS value FROM m JOIN documents USING (doc_id) WHERE value IS NOT NULL GROUP BY source, segment"))
+
 
 def told(r):
     """Amounts with a unit and addresses of every document, by the table function in SQL."""

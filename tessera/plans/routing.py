@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.io import shared_folder, table
+from tessera.operators import goals as G
 from tessera.operators import routing as R
 from tessera.operators import texts as T
 from tessera.plans.binding import LOG_SQL, Plans, Reader, task_log
@@ -217,4 +218,25 @@ def ranking_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 P.queries["ranking_csv_export"] = ranking_csv
 P.oracles["ranking_csv_export"] = "SELECT CAST(p_partkey AS VARCHAR) AS rank, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, p_name AS name, CASE WHEN p_size > 5 THEN CAST(p_size AS VARCHAR) END AS price, CAST(p_size * 100 AS VARCHAR) AS volume_hand, " + ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in RANKING[4:] if c != "volume_hand") + " FROM part"
 
+P.add("goal_routes", lambda r: r("conversations").select("conv_id", "turn", G.route_goal(F.col("text")).alias("g")).select("conv_id", "turn", "g.*"), r"""WITH c AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations), g AS (
+  SELECT conv_id, turn, t, CASE WHEN regexp_matches(t, 'btc|eth|bitcoin|ethereum|crypto|coin') THEN 'crypto' WHEN regexp_matches(t, 'gdp|cpi|unrate|pmi') THEN 'macro' WHEN regexp_matches(t, 'news|headline') THEN 'news' END AS route, list_filter(regexp_extract_all(t, '[a-z]{2,12}'), lambda x: x NOT IN ('usd', 'cny', 'eur', 'price'))[1] AS code FROM c
+) SELECT conv_id, turn, route, NULL::VARCHAR AS market, NULL::VARCHAR AS metric, CASE WHEN route = 'crypto' THEN coalesce(CASE code WHEN 'btc' THEN 'bitcoin' WHEN 'eth' THEN 'ethereum' WHEN 'sol' THEN 'solana' WHEN 'bnb' THEN 'binancecoin' WHEN 'usdt' THEN 'tether' WHEN 'usdc' THEN 'usd-coin' WHEN 'xrp' THEN 'ripple' WHEN 'doge' THEN 'dogecoin' ELSE code END, 'bitcoin') END AS coin,
+  CASE WHEN route = 'macro' THEN CASE WHEN contains(t, 'cpi') THEN 'CPIAUCSL' ELSE 'GDP' END END AS indicator FROM g""")
+
+
+def part_charts(r: Reader) -> tuple[DataFrame, DataFrame]:
+    """A chart and a goal for each part: the goal names chips, cars or nothing, the chart's rows name the part, chips and robots."""
+    size, none = F.col("p_size"), F.lit(None).cast("string")
+    row = lambda label, caliber, source: F.struct(F.lit(label).alias("label") if isinstance(label, str) else label.alias("label"), caliber.alias("caliber"), source.alias("source"))
+    data = F.array(row(F.col("p_name"), none, F.col("p_brand")), row("芯片出货", F.col("p_type"), none), row("机器人出货", none, none))
+    title = F.when(size % 5 == 0, F.concat(F.col("p_name"), F.lit("汽车"))).when(size % 5 == 1, F.col("p_name"))
+    specs = r("part").select("p_partkey", F.lit(0).alias("pos"), title.alias("title"), none.alias("question"), F.when(size % 7 == 0, "投资差异显著").alias("conclusion"), F.when(size % 11 > 0, data).alias("data"))
+    goal = F.when(size % 3 == 0, "分析全球芯片市场").when(size % 3 == 1, "汽车市场与机器人现状")
+    return specs, r("part").select("p_partkey", goal.alias("goal"))
+
+
+P.add("chart_specs_on_topic", lambda r: G.filter_chart_specs(*part_charts(r), "p_partkey").select("p_partkey", F.size("data").alias("rows")), """WITH s AS (
+  SELECT p_partkey, p_size, p_size % 3 AS g, CASE WHEN p_size % 3 = 1 THEN 3 ELSE 2 END AS rows FROM part WHERE p_size % 11 > 0 AND p_size % 7 > 0 AND (p_size % 5 > 0 OR p_size % 3 = 1)
+) SELECT p_partkey, CAST(rows AS INTEGER) AS rows FROM s WHERE g <> 1 OR p_size % 5 = 0 OR rows = 3""")
+
 QUERIES, ORACLES = P.queries, P.oracles

@@ -107,6 +107,10 @@ ORACLES["stream_heartbeat"] = """WITH b AS (
 ), seen AS (SELECT d.* FROM dead d LEFT JOIN q USING (key) WHERE q."at" IS NULL OR d."at" <= q."at")
 SELECT key, "at", status, coalesce((SELECT arg_max(t.near, t."at") FROM t WHERE t.key = seen.key AND t."at" < seen."at"), 0) AS restarts FROM seen
 UNION ALL SELECT key, "at", CASE WHEN coalesce(last, false) THEN 'quarantined' ELSE 'restarted' END, CASE WHEN coalesce(last, false) THEN near - 1 ELSE near END FROM t"""
+QUERIES["stream_stale_tasks"] = lambda spark, d: J.drain(S.stale_tasks(log(S.with_rocksdb(spark), d).select("id", "key", "ts", F.col("kind").alias("status")), "view", 7200))
+ORACLES["stream_stale_tasks"] = """WITH e AS (
+  SELECT CAST(user_id AS VARCHAR) AS key, event_type, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later FROM events
+) SELECT key, epoch_us(ts) / 1e6 + 7200 AS "at", 'FAILED' AS status FROM e WHERE event_type = 'view' AND ts + INTERVAL 2 HOUR < coalesce(later, (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)"""
 #: Long gaps and keys that have fallen silent, without restarts.
 QUERIES["stream_heartbeat_gap"] = lambda spark, d: J.drain(J.keyed(log(spark, d), J.heartbeat(7200), 864_000, alarm=7200))
 ORACLES["stream_heartbeat_gap"] = """SELECT event_id AS id, CAST(user_id AS VARCHAR) AS key, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 7200000000, false) AS flag FROM events

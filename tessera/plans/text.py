@@ -19,6 +19,7 @@ STOP = ["the", "and", "der", "die", "que", "les"]
 P.add("source_distribution", lambda r: T.source_distribution(r("pages"), "cheap-pills"), f"SELECT host, count(*) AS pages FROM (SELECT {HOST} AS host FROM pages) WHERE host <> '' AND NOT contains(host, 'cheap-pills') GROUP BY host ORDER BY pages DESC, host LIMIT 12")
 P.add("url_union_distinct", lambda r: r("pages").select("page_id", "url").union(r("pages").select((F.col("page_id") + 1000000).alias("page_id"), "url")).groupBy("url").agg(F.min("page_id").alias("page_id")), "SELECT url, min(page_id) AS page_id FROM pages GROUP BY url")
 P.add("topic_terms", lambda r: T.topic_terms(r("documents"), STOP), f"SELECT term, count(*) AS n FROM (SELECT {WORDS} AS term FROM documents) WHERE length(term) >= 3 AND term NOT IN ('the', 'and', 'der', 'die', 'que', 'les') GROUP BY term ORDER BY n DESC, term LIMIT 12")
+P.add("topic_content_terms", lambda r: r("documents").select(F.explode(T.content_tokens(F.col("text"), STOP, "的和与")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(12), r"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{Nd}]+')) AS term FROM documents) WHERE length(term) >= 2 AND NOT regexp_matches(term, '^[0-9]+$') AND term NOT IN ('the', 'and', 'der', 'die', 'que', 'les') GROUP BY term ORDER BY n DESC, term LIMIT 12")
 ALIASES = [("the", "definite"), ("der", "definite"), ("la", "definite"), ("le", "definite"), ("of", "genitive"), ("de", "genitive"), ("von", "genitive")]
 P.add("most_common_k", lambda r: r("documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(10), "SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang LIMIT 10")
 P.add("sentences", lambda r: T.sentences(r("documents")), r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '([0-9])\.', '\1' || chr(1), 'g'), '\.([0-9])', chr(1) || '\1', 'g'), '[.;\n。；．]'), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '') AS p FROM documents)

@@ -107,6 +107,57 @@ def worker_health(beats: DataFrame, timeout: float = 20, window: float = 300, mo
     return timed.groupBy("key").transformWithStateInPandas(WorkerHealth(timeout, window, most, grace), "key string, at double, status string, restarts long", "Append", "EventTime")
 
 
+class StaleTasks(StatefulProcessor):
+    """Rows (key, at, status) of tasks that stayed in a status for longer than ``seconds``, told with the time at which they ran out."""
+
+    def __init__(self, waiting: str, seconds: float):
+        self.waiting, self.seconds = waiting, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.task = handle.getValueState("task", "at double, status string, told boolean")
+
+    def _run_out(self, key: tuple, held: tuple, until: float) -> tuple[list, tuple]:
+        at, status, told = held
+        if status != self.waiting or told or at + self.seconds >= until:
+            return [], held
+        return [(key[0], at + self.seconds, "FAILED")], (at, status, True)
+
+    def _save(self, held: tuple, out: list) -> Iterator[pd.DataFrame]:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held[1] != self.waiting:
+            self.task.clear()  # a task at rest needs no state
+        else:
+            self.task.update(held)
+            if not held[2]:
+                self.handle.registerTimer(int((held[0] + self.seconds) * 1000) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["key", "at", "status"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, out = self.task.get() if self.task.exists() else (0.0, "", False), []
+        for _, r in pd.concat(list(rows)).sort_values(["at", "id"]).iterrows():
+            more, held = self._run_out(key, held, float(r["at"]))
+            out += more
+            if r["at"] >= held[0]:
+                held = (float(r["at"]), r["status"], False)
+        yield from self._save(held, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out, held = self._run_out(key, self.task.get(), timerValues.getCurrentWatermarkInMs() / 1000)
+        yield from self._save(held, out)
+
+    def close(self) -> None:
+        pass
+
+
+def stale_tasks(updates: DataFrame, waiting: str = "PENDING", seconds: float = 1800) -> DataFrame:
+    """(key, at, status) of a stream of updates (id, key, ts, status): FAILED at the time when a waiting task has had no update for so long."""
+    timed = updates.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE).select("id", "key", "ts", "status", (F.unix_micros("ts") / 1e6).alias("at"))
+    return timed.groupBy("key").transformWithStateInPandas(StaleTasks(waiting, seconds), "key string, at double, status string", "Append", "EventTime")
+
+
 class IdleStreak(StatefulProcessor):
     """Adds to each closed window of a key how many windows in a row, up to it, had an empty queue; windows without rows are empty."""
 
