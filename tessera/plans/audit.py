@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import audit as A
 from tessera.operators import panels as N
+from tessera.operators.lexicon import alias_lookup
 from tessera.operators.texts import host_of, letters
 from tessera.plans.binding import LOG_SQL, Plans, task_log
 from tessera.plans.charts import YEARS, part_rows, statements
@@ -134,7 +135,8 @@ def latencies(r):
 P.add("latency_join", latencies, "WITH b AS (SELECT user_id AS k, ts FROM events WHERE event_type = 'purchase'), j AS (SELECT a.event_id AS id, a.user_id AS k, round((epoch_us(min(b.ts)) - epoch_us(any_value(a.ts))) / 1e6, 3) AS latency FROM events a LEFT JOIN b ON b.k = a.user_id AND b.ts >= a.ts WHERE a.event_type = 'click' GROUP BY a.event_id, a.user_id) SELECT id, k, CASE WHEN latency <= 86400 THEN latency END AS latency FROM j")
 PRICES = {"click": "low", "purchase": "high"}
 P.add("cost_lookup", lambda r: A.lookup(task_log(r).select("task_id", F.concat_ws("/", F.lit("Vendor"), "model").alias("model")), F.element_at(F.split(F.lower("model"), "/"), -1), PRICES, F.lit("default")).withColumnRenamed("found", "band"), f"{LOG_SQL} SELECT task_id, 'Vendor/' || model AS model, CASE lower(model) WHEN 'click' THEN 'low' WHEN 'purchase' THEN 'high' ELSE 'default' END AS band FROM log")
-P.add("alias_normalize", lambda r: A.lookup(r("nation").select("n_nationkey", "n_name"), F.lower("n_name"), {"france": "FR", "germany": "DE"}, F.upper("n_name")).withColumnRenamed("found", "code"), "SELECT n_nationkey, n_name, CASE lower(n_name) WHEN 'france' THEN 'FR' WHEN 'germany' THEN 'DE' ELSE upper(n_name) END AS code FROM nation")
+#: The names of a region's nations are the aliases.
+P.add("alias_normalize", lambda r: alias_lookup(r("customer").join(r("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.lower("n_name").alias("n_name")), F.col("n_name"), r("nation").where("n_regionkey = 3").select(F.col("n_name").alias("alias"), F.substring("n_name", 1, 2).alias("value")), F.upper("n_name"), "code"), "SELECT c_custkey, lower(n_name) AS n_name, CASE WHEN n_regionkey = 3 THEN substr(n_name, 1, 2) ELSE upper(n_name) END AS code FROM customer JOIN nation ON c_nationkey = n_nationkey")
 K = F.get_json_object
 P.add("tagged_json", lambda r: r("events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k")), "SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 

@@ -131,9 +131,10 @@ STATED = (
 )
 #: (sentence, theme, sign, unit, year, region, kind)
 SIZES = (
-    ("2024年中国逻辑芯片市场规模将达到{}亿元", "逻辑芯片", "", "亿元", "2024", "'中国'", "chip"),
-    ("其中家电销售额约{}万美元", "家电", "", "万美元", "NULL", "NULL", "overall"),
+    ("2024年中国逻辑芯片市场规模将达到{}亿元", "逻辑芯片市场", "", "亿元", "2024", "'中国'", "chip"),
+    ("其中家电销售额约{}万美元", "中家电", "", "万美元", "NULL", "NULL", "overall"),
     ("2022年，丁公司亏损{}亿元", "丁公司", "-", "亿元", "2022", "NULL", "overall"),
+    ("供应紧张而据德勤预测2025年全球服务器销售规模约{}亿美元", "德勤服务器市场", "", "亿美元", "2025", "'全球'", "overall"),
     ("欧洲的市场规模约为{}万亿美元", "市场规模", "", "万亿美元", "NULL", "'欧洲'", "overall"),
 )
 

@@ -9,6 +9,7 @@ from tessera.io import shared_folder, table
 from tessera.operators import goals as G
 from tessera.operators import routing as R
 from tessera.operators import texts as T
+from tessera.operators.lexicon import alias_mentions
 from tessera.plans.binding import LOG_SQL, Plans, Reader, task_log
 from tessera.plans.checks import add_cases
 from tessera.plans.streams import jsonl_append
@@ -20,7 +21,7 @@ MENTIONS = """WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coale
   SELECT doc_id, CASE WHEN w IN ('the', 'der', 'la', 'le') THEN 'definite' ELSE 'genitive' END AS name, 1 AS n FROM t WHERE w IN ('the', 'der', 'la', 'le', 'of', 'de', 'von')
   UNION ALL SELECT doc_id, 'purpose', CAST((length(text) - length(replace(text, 'für', ''))) / 3 AS BIGINT) FROM documents WHERE contains(text, 'für')
 )"""
-P.add("entity_alias_join", lambda r: R.entity_mentions(r("documents"), ALIASES), f"{MENTIONS} SELECT doc_id, name, CAST(sum(n) AS BIGINT) AS mentions FROM m GROUP BY ALL")
+P.add("entity_alias_join", lambda r: alias_mentions(r("documents"), r("documents").sparkSession.createDataFrame(ALIASES, "alias string, name string")), f"{MENTIONS} SELECT doc_id, name, CAST(sum(n) AS BIGINT) AS mentions FROM m GROUP BY ALL")
 P.add("entity_frequency", lambda r: R.entity_frequency(r("documents"), ALIASES), f"{MENTIONS} SELECT name, CAST(sum(n) AS BIGINT) AS mentions, count(DISTINCT doc_id) AS docs FROM m GROUP BY name ORDER BY mentions DESC, name LIMIT 12")
 
 
