@@ -187,6 +187,28 @@ def collapse_facts(facts: DataFrame) -> DataFrame:
     return facts.groupBy("type", "value", "unit", "label", "year").agg(*known, F.count("*").alias("copies"))
 
 
+def tail_points(points: DataFrame, series: str, order: str, most: int = 240) -> DataFrame:
+    """The newest ``most`` points of each series, with ``back``: 1 for the newest."""
+    newest = Window.partitionBy(series).orderBy(F.desc(order))
+    return points.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= most)
+
+
+def token_counts(docs: DataFrame, key: str = "doc_id", least: int = 3) -> DataFrame:
+    """(key, tokens, distinct_tokens): runs of at least so many letters in each text, and how many of them differ."""
+    words = docs.select(key, F.filter(letters(F.col("text")), lambda w: F.char_length(w) >= least).alias("words"))
+    return words.select(key, F.size("words").alias("tokens"), F.size(F.array_distinct("words")).alias("distinct_tokens"))
+
+
+def merge_by_title(first: DataFrame, second: DataFrame, title: str) -> DataFrame:
+    """All rows of the first table, and those of the second whose title the first does not have."""
+    return first.unionByName(second.join(first.select(title).distinct(), title, "left_anti").select(first.columns))
+
+
+def without_rejected(pages: DataFrame, host: str, rejected: Column) -> DataFrame:
+    """Pages of hosts none of whose pages is rejected."""
+    return pages.join(pages.where(rejected).select(host).distinct(), host, "left_anti")
+
+
 def absorb_labels(facts: DataFrame) -> DataFrame:
     """Merges collapsed facts of equal (type, value, unit) where one label contains the other and the years are equal or one is unknown.
 
@@ -198,7 +220,8 @@ def absorb_labels(facts: DataFrame) -> DataFrame:
     containing label holds somewhere.
     """
     keys = ["type", "value", "unit"]
-    fact = F.xxhash64(*keys, "label", F.coalesce(F.col("year").cast("string"), F.lit("?")))
+    told = [*[F.col(k) for k in keys], F.col("label"), F.coalesce(F.col("year").cast("string"), F.lit("?"))]
+    fact = F.struct(F.xxhash64(*told).alias("a"), F.xxhash64(F.lit("second"), *told).alias("b"))  # 128 bits
     facts = facts.withColumn("fact_", fact)
     size = F.char_length("label")
     grams = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring("label", i, F.lit(2)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import audit as A
@@ -149,10 +148,10 @@ CHECK_SQL = "WITH c AS (SELECT doc_id, unnest([{'check': 'length', 'ok': coalesc
 P.add("register_check", lambda r: A.run_checks(r("documents"), "doc_id", checks()), f"{CHECK_SQL} SELECT * FROM c")
 P.add("audit_rollup", lambda r: A.audit_rollup(A.run_checks(r("documents"), "doc_id", checks()), "doc_id"), f"{CHECK_SQL} SELECT doc_id, bool_and(ok) AS passed, coalesce(string_agg(\"check\", ',' ORDER BY \"check\") FILTER (NOT ok), '') AS gaps FROM c GROUP BY doc_id")
 P.add("chart_topic_filter", lambda r: part_rows(r).where(~F.col("label").rlike("widget") & F.array_contains(letters(F.col("label")), "red")), "SELECT p_name AS label, p_type AS series, p_brand AS unit, p_retailprice AS value, p_size % 20 + 2000 AS year FROM part WHERE NOT contains(p_name, 'widget') AND regexp_matches(lower(p_name), '(^|[^a-z])red([^a-z]|$)')")
-P.add("tail_points", lambda r: (lambda d: d.withColumn("back", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("day")))).where("back <= 240"))(r("events").groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))), "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY series ORDER BY day DESC) AS INTEGER) AS back FROM (SELECT event_type AS series, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL)) WHERE back <= 240")
-P.add("tokens", lambda r: r("documents").select("doc_id", F.filter(letters(F.col("text")), lambda w: F.char_length(w) >= 3).alias("w")).select("doc_id", F.size("w").alias("tokens"), F.size(F.array_distinct("w")).alias("distinct_tokens")), r"SELECT doc_id, CAST(len(w) AS INTEGER) AS tokens, CAST(len(list_distinct(w)) AS INTEGER) AS distinct_tokens FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+'), lambda x: length(x) >= 3) AS w FROM documents)")
-P.add("spec_merge_by_title", lambda r: (lambda p: p.where("p_size <= 25").select("p_partkey", "p_name").unionByName(p.where("p_size > 25").join(p.where("p_size <= 25").select("p_name").distinct(), "p_name", "left_anti").select("p_partkey", "p_name")))(r("part")), "SELECT p_partkey, p_name FROM part WHERE p_size <= 25 OR p_name NOT IN (SELECT p_name FROM part WHERE p_size <= 25)")
-P.add("rejected_source_anti", lambda r: (lambda p: p.select("page_id", "host").join(p.where(F.col("url").rlike("ref=")).select("host").distinct(), "host", "left_anti"))(r("pages").select("page_id", "url", host_of(F.col("url")).alias("host"))), f"WITH p AS (SELECT page_id, url, {HOST} AS host FROM pages) SELECT page_id, host FROM p WHERE host NOT IN (SELECT host FROM p WHERE contains(url, 'ref='))")
+P.add("tail_points", lambda r: A.tail_points(r("events").groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), "series", "day"), "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY series ORDER BY day DESC) AS INTEGER) AS back FROM (SELECT event_type AS series, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL)) WHERE back <= 240")
+P.add("tokens", lambda r: A.token_counts(r("documents")), r"SELECT doc_id, CAST(len(w) AS INTEGER) AS tokens, CAST(len(list_distinct(w)) AS INTEGER) AS distinct_tokens FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+'), lambda x: length(x) >= 3) AS w FROM documents)")
+P.add("spec_merge_by_title", lambda r: A.merge_by_title(*[r("part").where(c).select("p_partkey", "p_name") for c in ("p_size <= 25", "p_size > 25")], "p_name"), "SELECT p_partkey, p_name FROM part WHERE p_size <= 25 OR p_name NOT IN (SELECT p_name FROM part WHERE p_size <= 25)")
+P.add("rejected_source_anti", lambda r: A.without_rejected(r("pages").select("page_id", "url", host_of(F.col("url")).alias("host")), "host", F.col("url").rlike("ref=")).select("page_id", "host"), f"WITH p AS (SELECT page_id, url, {HOST} AS host FROM pages) SELECT page_id, host FROM p WHERE host NOT IN (SELECT host FROM p WHERE contains(url, 'ref='))")
 
 P.add("spec_provenance", lambda r: A.spec_provenance(r("lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("label"), F.col("l_quantity").alias("value")), r("orders").select(F.col("o_orderkey").alias("task"), F.concat_ws(" ", F.col("o_totalprice").cast("decimal(18,2)"), "o_orderpriority").alias("text")), "task"), "WITH k AS (SELECT l_orderkey AS task, l_linenumber AS label, l_quantity AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE contains(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || o_orderpriority, CAST(CAST(abs(l_quantity) AS BIGINT) AS VARCHAR))) SELECT * FROM k WHERE task IN (SELECT task FROM k GROUP BY task HAVING count(*) >= 2)")
 P.add("schedule_calendar", lambda r: A.schedule_calendar(r("orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("start"), (F.col("o_orderkey") % 7 * 60 + 60).cast("int").alias("minutes")), F.col("start") + F.expr("interval 6 hours")), "SELECT o_orderkey AS job_id, o_orderdate + i * (o_orderkey % 7 * 60 + 60) * INTERVAL 1 MINUTE AS due FROM (SELECT *, unnest(generate_series(1, 6)) AS i FROM orders) WHERE i * (o_orderkey % 7 * 60 + 60) <= 360")
