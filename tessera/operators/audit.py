@@ -15,42 +15,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.functions.columns import bind
+from tessera.io import cut_lineage
 from tessera.operators.texts import ALNUM, HAN, letters, sentences
 
 #: A figure and a source agree within half a unit or half a percent of the figure.
 RELATIVE, LEAST = 0.005, 0.5
 
 
-#: Distinct amounts of a key beyond which they are dealt into pages, and the pages.
-CROWD, PAGES = 200_000, 256
+#: Distinct sources of a key beyond which they are dealt into pages, the pages, and keys with pages that may be broadcast.
+CROWD, PAGES, PAGED_KEYS = 200_000, 256, 10_000
 
 
 def nearest_sources(figures: DataFrame, sources: DataFrame, keys: list[str], crowd: int = CROWD) -> DataFrame:
     """Figures (keys, figure, any other columns) with the nearest sources (keys, value) of the same keys: ``below`` (not above the figure) and ``above`` (not below it).
 
-    Figures and distinct sources are sorted together, and two windows carry the last source upwards and downwards. The
-    amounts of a key with more than ``crowd`` sources are first cut at their approximate quantiles; each page is a window
+    Figures and distinct sources are sorted together, and two windows carry the last source upwards and downwards. Sources are
+    counted first: where a key has more than ``crowd`` of them, its amounts are cut at their approximate quantiles, each page is a window
     of its own, and takes the nearest source of the pages beyond it where it has none. Null figures, sources and keys meet nothing.
     """
     known = sources.where("value is not null").select(*keys, F.col("value").cast("double").alias("at_")).na.drop(subset=keys).distinct()
-    crowded = known.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > crowd).drop("n")
-    cuts = known.join(crowded, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx("at_", [i / PAGES for i in range(1, PAGES)], 10_000).alias("cuts_"))
+    crowded = cut_lineage(known.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > crowd).drop("n"))
+    many = crowded.count()
     rest = [c for c in figures.columns if c not in keys]
     asked = figures.select(*keys, F.col("figure").cast("double").alias("at_"), F.lit(False).alias("held_"), F.struct(*rest).alias("row_"))
     rows = asked.unionByName(known.withColumn("held_", F.lit(True)), allowMissingColumns=True)
-    page = F.coalesce(F.size(F.filter("cuts_", lambda c: c < F.col("at_"))), F.lit(0))
-    paged = rows.join(cuts, keys, "left").withColumn("page_", F.when(F.col("cuts_").isNull(), -1).otherwise(page)).drop("cuts_").repartition(*keys, "page_")
+    place = keys
+    if many:
+        cuts = known.join(crowded, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx("at_", [i / PAGES for i in range(1, PAGES)], 10_000).alias("cuts_"))
+        cuts = cut_lineage(cuts)
+        cuts = F.broadcast(cuts) if many <= PAGED_KEYS else cuts
+        place, page = [*keys, "page_"], F.coalesce(F.size(F.filter("cuts_", lambda c: c < F.col("at_"))), F.lit(0))
+        rows = rows.join(cuts, keys, "left").withColumn("page_", F.when(F.col("cuts_").isNull(), -1).otherwise(page)).drop("cuts_").repartition(*place)
     source = F.when(F.col("held_"), F.col("at_"))
-    over = lambda *order: Window.partitionBy(*keys, "page_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    near = paged.withColumn("below", F.last(source, ignorenulls=True).over(over("at_", F.desc("held_"))))
-    near = near.withColumn("above", F.last(source, ignorenulls=True).over(over(F.desc("at_"), F.desc("held_"))))
-    edges = known.join(cuts, keys).withColumn("page_", page).groupBy(*keys, "page_").agg(F.max("at_").alias("high_"), F.min("at_").alias("low_"))
-    every = cuts.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(PAGES - 1))).alias("page_")).join(edges, [*keys, "page_"], "left")
-    past = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    every = every.select(*keys, "page_", F.last("high_", ignorenulls=True).over(past(F.asc("page_"))).alias("under_"), F.last("low_", ignorenulls=True).over(past(F.desc("page_"))).alias("over_"))
-    out = near.where(~F.col("held_")).join(every, [*keys, "page_"], "left")
-    told = lambda a, b: F.when(F.col("at_").isNotNull(), F.coalesce(a, b)).alias(a)
-    return out.select(*keys, "row_.*", told("below", "under_"), told("above", "over_"))
+    over = lambda *order: Window.partitionBy(*place).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("below", F.last(source, ignorenulls=True).over(over("at_", F.desc("held_"))))
+    near = near.withColumn("above", F.last(source, ignorenulls=True).over(over(F.desc("at_"), F.desc("held_")))).where(~F.col("held_"))
+    beyond = [F.lit(None).cast("double"), F.lit(None).cast("double")]
+    if many:
+        edges = known.join(cuts, keys).withColumn("page_", page).groupBy(*place).agg(F.max("at_").alias("high_"), F.min("at_").alias("low_"))
+        every = cuts.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(PAGES - 1))).alias("page_")).join(edges, place, "left")
+        past = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        under, above = (F.last(c, ignorenulls=True).over(past(order)).alias(n) for c, order, n in (("high_", F.asc("page_"), "under_"), ("low_", F.desc("page_"), "over_")))
+        near, beyond = near.join(every.select(*place, under, above), place, "left"), [F.col("under_"), F.col("over_")]
+    told = lambda name, b: F.when(F.col("at_").isNotNull(), F.coalesce(name, b)).alias(name)
+    return near.select(*keys, "row_.*", told("below", beyond[0]), told("above", beyond[1]))
 
 
 def number_trace(figures: DataFrame, sources: DataFrame, key: str | list[str], relative: float = RELATIVE, least: float = LEAST) -> DataFrame:
