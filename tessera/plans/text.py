@@ -93,6 +93,5 @@ NAMES = r"""WITH n AS (
   UNION ALL SELECT doc_id, alias, CAST((length(text) - length(replace(text, alias, ''))) / length(alias) AS BIGINT) FROM documents JOIN o ON contains(text, alias)
 ) SELECT doc_id, name, CAST(sum(n) AS BIGINT) AS mentions FROM f GROUP BY ALL"""
 P.add("lexicon_mentions", lambda r: K.alias_mentions(r("documents"), names(r)), NAMES)
-P.add("lexicon_mentions_joined", lambda r: K.alias_mentions(r("documents"), names(r), rows=0), NAMES)
 
 QUERIES, ORACLES = P.queries, P.oracles
