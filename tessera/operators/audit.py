@@ -22,7 +22,7 @@ from tessera.operators.texts import ALNUM, HAN, letters, sentences
 RELATIVE, LEAST = 0.005, 0.5
 
 
-#: Distinct sources of a key beyond which they are dealt into pages, the pages, and keys with pages that may be broadcast.
+#: Sources of a key beyond which they are dealt into pages, the pages, and keys with pages that may be broadcast.
 CROWD, PAGES, PAGED_KEYS = 200_000, 256, 10_000
 
 
@@ -30,18 +30,18 @@ def nearest_sources(figures: DataFrame, sources: DataFrame, keys: list[str], cro
     """Figures (keys, figure, any other columns) with the nearest sources (keys, value) of the same keys: ``below`` (not above the figure) and ``above`` (not below it).
 
     Figures and distinct sources are sorted together, and two windows carry the last source upwards and downwards. Sources are
-    counted first: where a key has more than ``crowd`` of them, its amounts are cut at their approximate quantiles, each page is a window
+    counted first (repeated ones too): where a key has more than ``crowd`` of them, its amounts are cut at their approximate quantiles, each page is a window
     of its own, and takes the nearest source of the pages beyond it where it has none. Null figures, sources and keys meet nothing.
     """
     known = sources.where("value is not null").select(*keys, F.col("value").cast("double").alias("at_")).na.drop(subset=keys).distinct()
-    crowded = cut_lineage(known.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > crowd).drop("n"))
+    crowded = sources.where("value is not null").groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > crowd).drop("n")
     many = crowded.count()
     rest = [c for c in figures.columns if c not in keys]
     asked = figures.select(*keys, F.col("figure").cast("double").alias("at_"), F.lit(False).alias("held_"), F.struct(*rest).alias("row_"))
     rows = asked.unionByName(known.withColumn("held_", F.lit(True)), allowMissingColumns=True)
     place = keys
     if many:
-        cuts = known.join(crowded, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx("at_", [i / PAGES for i in range(1, PAGES)], 10_000).alias("cuts_"))
+        cuts = known.join(cut_lineage(crowded), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx("at_", [i / PAGES for i in range(1, PAGES)], 10_000).alias("cuts_"))
         cuts = cut_lineage(cuts)
         cuts = F.broadcast(cuts) if many <= PAGED_KEYS else cuts
         place, page = [*keys, "page_"], F.coalesce(F.size(F.filter("cuts_", lambda c: c < F.col("at_"))), F.lit(0))
