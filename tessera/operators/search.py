@@ -43,10 +43,14 @@ def asked_tokens(goal: Column) -> Column:
 
 def sound_results(results: DataFrame, blocks: tuple[str, ...] = ()) -> DataFrame:
     """Results (title, url, snippet) with a title and a web address that are neither spam, documents of low standing, gambling, empty pages nor blocked."""
-    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    title, url, said = low("title"), low("url"), F.concat(low("title"), F.lit(" "), low("snippet"))
-    bad = _holds(url, SPAM_HOSTS + LOW_HOSTS) | url.rlike(JUNK_PATHS) | _holds(said, GAMBLING + EMPTY_PAGES) | strip(title).isin(*JUNK_TITLES) | _holds(F.concat(url, F.lit(" "), title), blocks)
-    return results.where((title != "") & F.startswith("url", F.lit("http")) & ~bad)
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+
+    def sound(v: Column) -> Column:
+        said, named = F.concat(v["title"], F.lit(" "), v["snippet"]), F.concat(v["url"], F.lit(" "), v["title"])
+        bad = _holds(v["url"], SPAM_HOSTS + LOW_HOSTS) | v["url"].rlike(JUNK_PATHS) | strip(v["title"]).isin(*JUNK_TITLES) | _holds(named, blocks)
+        return (v["title"] != "") & ~bad & bind(said, lambda text: ~_holds(text, GAMBLING + EMPTY_PAGES))
+
+    return results.where(F.startswith("url", F.lit("http")) & bind(F.struct(*[low(c).alias(c) for c in ("title", "url", "snippet")]), sound))
 
 
 def filter_results(results: DataFrame, goals: DataFrame, key: str, boosts: tuple[str, ...] = (), blocks: tuple[str, ...] = (), least: int = 2) -> DataFrame:
@@ -59,9 +63,15 @@ def filter_results(results: DataFrame, goals: DataFrame, key: str, boosts: tuple
     said = F.lower(F.concat(title, F.lit(" "), snippet))
     preferred = F.when(_holds(F.lower(F.concat("url", F.lit(" "), title)), boosts), 3).otherwise(0)
     rows = sound_results(results, blocks).select(key, "doc_id", said.alias("said"), preferred.alias("preferred")).join(goals.select(key, asked_tokens(clean_goal(F.col("goal"))).alias("tokens")), key)
-    word = lambda t: t.rlike("^[a-z]")
-    held = lambda text, t: F.when(word(t), F.rlike(text, F.concat(F.lit(r"(?<![a-z0-9])\Q"), t, F.lit(r"\E(?![a-z0-9])")))).otherwise(text.contains(t))
-    hits = bind(F.col("said"), lambda text: F.filter("tokens", lambda t: text.contains(t) & held(text, t)))
-    score = F.aggregate(F.transform(hits, token_weight), F.lit(0), lambda a, b: a + b) + F.col("preferred")
+    plain = F.filter("tokens", lambda t: t.rlike("^[a-z][a-z0-9]*$"))  # whole words without hyphens are runs of the text
+    rest = F.filter("tokens", lambda t: ~t.rlike("^[a-z][a-z0-9]*$"))
+    held = lambda text, t: F.when(t.rlike("^[a-z]"), F.rlike(text, F.concat(F.lit(r"(?<![a-z0-9])\Q"), t, F.lit(r"\E(?![a-z0-9])")))).otherwise(True)
+
+    def hits(text: Column) -> Column:
+        words = F.array_intersect(plain, F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)))
+        return F.concat(words, F.filter(rest, lambda t: text.contains(t) & held(text, t)))
+
+    score = F.aggregate(F.transform(bind(F.col("said"), hits), token_weight), F.lit(0), lambda a, b: a + b) + F.col("preferred")
+    scored = F.filter(F.array(F.struct(score.alias("score"))), lambda s: s["score"] >= least)  # worked out once for filter and result
     order = Window.partitionBy(key).orderBy(F.desc("score"), "doc_id")
-    return rows.select(key, "doc_id", score.alias("score")).where(F.col("score") >= least).withColumn("rank", F.row_number().over(order))
+    return rows.select(key, "doc_id", F.inline(scored)).withColumn("rank", F.row_number().over(order))
