@@ -23,9 +23,14 @@ TOKEN = (
 
 
 def unescaped(text: Column) -> Column:
-    """A text with its references to characters resolved: numbers, and names that end in a semicolon (or the older names without one); others stay."""
+    """A text with its references to characters resolved: numbers, names that end in a semicolon, and the older names without one, also before further letters (the longest that fits); others stay."""
     parts = F.regexp_extract_all(text, F.lit(r"(&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z0-9]+;?|&|[^&]+)"), F.lit(1))
     names = F.create_map(*[F.lit(x) for name, value in html.entities.html5.items() for x in (f"&{name}", value)])
+    older = f"^&(?:{'|'.join(sorted((n for n in html.entities.html5 if not n.endswith(';')), key=len, reverse=True))})"
+
+    def led(p: Column) -> Column:
+        lead = F.regexp_extract(p, older, 0)
+        return F.when(lead != "", F.concat(F.try_element_at(names, lead), F.substr(p, F.char_length(lead) + 1))).otherwise(p)
 
     def one(p: Column) -> Column:
         digits = F.regexp_extract(p, "^&#[xX]?([0-9a-fA-F]+)", 1)
@@ -34,7 +39,7 @@ def unescaped(text: Column) -> Column:
         sound = number.isNotNull() & (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF) & (F.char_length(digits) <= 8)
         code = F.when(sound, number).otherwise(0xFFFD)
         letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(~F.startswith(p, F.lit("&")), p).when(F.startswith(p, F.lit("&#")), letter).otherwise(F.coalesce(F.try_element_at(names, p), p))
+        return F.when(~F.startswith(p, F.lit("&")), p).when(F.startswith(p, F.lit("&#")), letter).otherwise(F.coalesce(F.try_element_at(names, p), led(p)))
 
     return F.when(text.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(text)
 

@@ -32,7 +32,7 @@ P.add("md_summary", lambda r: T.md_summary(r("documents")), r"""SELECT doc_id, C
 P.add("html_to_text", lambda r: html_text(r("pages")), r"""WITH p AS (
   SELECT page_id, html, regexp_split_to_array(regexp_replace(html, '(?is)<!--.*?-->|<(script|style|nav|footer)[^>]*>.*?</(script|style|nav|footer)>', '<>', 'g'), '<[^>]*>') AS parts FROM pages
 ), t AS (
-  SELECT page_id, html, list_filter(list_transform(parts, lambda x: regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM p
+  SELECT page_id, html, list_filter(list_transform(parts, lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM p
 ) SELECT page_id, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) AS title, substr(array_to_string(parts, chr(10)), 1, 30000) AS text FROM t""")
 #: By patterns alone, on one line.
 P.add("html_to_text_plain", lambda r: T.html_to_text(r("pages")), r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|iframe|svg|nav|footer)[^>]*>.*?</(script|style|noscript|iframe|svg|nav|footer)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')), 1, 30000) AS text FROM pages""")

@@ -2,11 +2,13 @@
 
 from html.parser import HTMLParser
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tessera.operators import audit as A
 from tessera.operators import reports as S
 from tessera.operators.pages import HIDDEN, html_text
+from tessera.plans import registry
 from tessera.sources import readers as R
 
 PAGES = [
@@ -41,6 +43,26 @@ def test_pages_as_the_parser_sees_them(spark):
         assert got[i] == "\n".join(line for line in "\n".join(parser.found).splitlines() if line.strip())[:30_000], page[:80]
 
 
+def test_names_without_semicolon(spark):
+    pages = ["<title>a&amp</title>b&amp", "<p>x&ampy &copyz; &copysr; &notit; &notin; &amp_ &ampé", "&quot&quot&middot &amp;copy; &AMPx &bogusamp &ampamp;"]
+    got = {r.page_id: r.text for r in html_text(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).collect()}
+    for i, page in enumerate(pages):
+        parser = Shown()
+        parser.feed(page)
+        parser.close()
+        assert got[i] == "\n".join(parser.found), page
+
+
+def test_cut_names_in_the_twin(spark, tmp_path):
+    rows = [(1, "<title>one&amp</title><p>and&amp</p><p>x&ampy &copyz</p>"), (2, "<p>&quot&quot;z&middot</p>&amp;copy; &amp")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(map(tuple, registry.QUERIES["html_to_text"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(f"select page_id, title, text from ({registry.ORACLES['html_to_text']})").fetchall())
+    assert got[0][2] == "one&\nand&\nx&y ©z"
+
+
 def test_feeds(spark):
     feeds = {
         "a": "<rss><channel><title>feed</title><item><title type='html'>A &amp; B &#233;</title><link>http://a</link><pubDate> Mon </pubDate></item><item><title><![CDATA[x <b>y</b>]]></title><link/></item><item><title/></item></channel></rss>",
