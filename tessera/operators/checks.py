@@ -376,31 +376,33 @@ def unsafe_words(text: Column, words: list[str] = UNSAFE_WORDS) -> Column:
     return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.coalesce(text, F.lit("")).contains(w))
 
 
-def stated_numbers(texts: DataFrame, key: str, after: int = 0) -> DataFrame:
-    """(key, pos, value, unit, after) of the figures that need a source: those with a unit, and plain ones of four digits or more.
+def stated_numbers(texts: DataFrame, key: str, after: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns kept, pos, value, unit, after) of the figures that need a source: those with a unit, and plain ones of four digits or more.
 
     Images, local paths and addresses are masked first; years, codes with leading zeros or an exchange suffix, and
     digits inside words or longer numbers are no figures. ``after`` holds so many of the characters that follow.
     """
-    masked = F.coalesce("text", F.lit(""))
+    text = masked = F.coalesce("text", F.lit(""))
     for pattern in (r"!\[[^\]]*\]\([^)]*\)", r"[A-Za-z]:\\\S*", r"/tasks/\S+", r"https?://\S+"):
         masked = F.regexp_replace(masked, pattern, " ")
+    texts = texts.select(key, *keep, F.when(text.rlike(r"!\[|:\\|/tasks/|https?://"), masked).otherwise(text).alias("masked"))
     unit = r"(?:万亿|千亿|百亿|亿|万)?\s*(?:美元|港元|元|人民币|USD|US\$|%|％)?"
     whole = rf"(?<![A-Za-z0-9.,])[0-9][0-9,]*(?:\.[0-9]+)?\s*{unit}(?:\.(?:HK|T|O|N|US|L|A|B|SS|SZ)\b)?"
-    part = lambda group: F.regexp_extract_all(masked, F.lit(f"({whole})(?s)(?=(.{{0,{after}}}))"), F.lit(group))
+    part = lambda group: F.regexp_extract_all("masked", F.lit(f"({whole})(?s)(?=(.{{0,{after}}}))"), F.lit(group))
     digits = r"^[0-9][0-9,]*(?:\.[0-9]+)?"
 
     def cell(c: Column, pos: Column) -> Column:
-        value = F.replace(F.regexp_extract(c["raw"], digits, 0), F.lit(","), F.lit(""))
-        unit = F.regexp_replace(F.regexp_replace(c["raw"], digits, ""), r"\s", "")
-        return F.struct(pos.alias("pos"), value.alias("value"), unit.alias("unit"), c["after"].alias("after"))
+        unit = F.translate(F.substr(c["raw"], F.char_length(c["number"]) + 1), " \t\n\x0b\f\r", "")
+        return F.struct(pos.alias("pos"), F.replace(c["number"], F.lit(","), F.lit("")).alias("value"), unit.alias("unit"), c["after"].alias("after"))
 
     def needs_source(c: Column) -> Column:
         plain = c["value"].rlike(r"^(0[0-9]{3,}|(19|20)[0-9]{2})$") | (F.char_length(F.replace(c["value"], F.lit("."), F.lit(""))) < 4)
         return ~F.startswith(c["unit"], F.lit(".")) & ~((c["unit"] == "") & plain)
 
-    found = F.transform(F.arrays_zip(part(1).alias("raw"), part(2).alias("after")), cell)
-    return texts.select(key, F.inline(F.filter(found, needs_source)))
+    pairs = F.arrays_zip(part(1).alias("raw"), part(2).alias("after")) if after else F.transform(part(1), lambda r: F.struct(r.alias("raw"), F.lit("").alias("after")))
+    numbered = F.transform(pairs, lambda c: F.struct(c["raw"].alias("raw"), c["after"].alias("after"), F.regexp_extract(c["raw"], digits, 0).alias("number")))
+    found = F.filter(F.transform(numbered, cell), needs_source)
+    return texts.select(key, *keep, F.inline(found))
 
 
 def balanced_json(text: Column) -> Column:

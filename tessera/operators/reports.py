@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import strip
+from tessera.functions.columns import any_of, strip
 
 CJK = r"[\x{4e00}-\x{9fff}]"
 #: Fixed values of the report format: headers of each column, units in headers, marks of an empty value.
@@ -279,17 +279,17 @@ def strategy_rules(rules: DataFrame) -> DataFrame:
 
 #: Magnitudes of units, and names of one currency.
 SCALES = (("万亿", 1e12), ("千亿", 1e11), ("百亿", 1e10), ("亿", 1e8), ("万", 1e4))
-CURRENCIES = (("usd", "usd|美元|\\$"), ("hkd", "hkd|港元|港币|hk\\$"), ("cny", "cny|人民币|元"))
+CURRENCIES = (("hkd", ("hkd", "港元", "港币", "hk$")), ("usd", ("usd", "美元", "$")), ("cny", ("cny", "人民币", "元")))
 
 
 def scaled(value: Column, unit: Column) -> Column:
     """struct(amount, unit_group): separators stripped, magnitude applied, currency names folded; the rest of the unit stays as it is."""
-    number = F.regexp_replace(value, "[,，\\s]", "").try_cast("double")
+    number = F.translate(value, ",， \t\n\x0b\f\r", "").try_cast("double")
     factor, group, low = F.lit(1.0), F.lower(F.trim(unit)), F.lower(F.trim(unit))
     for name, size in reversed(SCALES):
         factor = F.when(unit.contains(name), size).otherwise(factor)
-    for name, pattern in reversed((CURRENCIES[1], CURRENCIES[0], CURRENCIES[2])):
-        group = F.when(low.rlike(pattern), name).otherwise(group)
+    for name, words in reversed(CURRENCIES):
+        group = F.when(any_of(low, words), name).otherwise(group)
     return F.struct((number * factor).alias("amount"), group.alias("unit_group"))
 
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.audit import nearest_sources, number_trace
+from tessera.io import cut_lineage
+from tessera.operators.audit import LEAST, RELATIVE, nearest_sources, number_trace
 from tessera.operators.checks import stated_numbers
 from tessera.operators.reports import after_cues, scaled
 from tessera.operators.texts import host_of
@@ -26,14 +27,55 @@ def _amounts(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, s["amount"].alias("amount"), s["unit_group"].alias("unit_group"))
 
 
-def statement_trace(reports: DataFrame, facts: DataFrame, derived: DataFrame, sources: DataFrame, key: str, window: int = 60) -> DataFrame:
+#: Facts, computed values and numbers in texts of a key that are held beside each of its reports; a key with more is traced by windows over sorted amounts.
+HELD = 256
+
+
+def statement_trace(reports: DataFrame, facts: DataFrame, derived: DataFrame, sources: DataFrame, key: str, window: int = 60, held: int = HELD) -> DataFrame:
     """(key, pos, value, unit, status) of every figure of the reports (key, text) that needs a source.
 
     structured: a fact (key, value, unit) of the same group of units agrees within less than half a unit or half a percent; derived: a
     percentage is within 0.05 points of the size of a computed one (key, value, unit), another figure within 2 percent of a positive
     fact or computed value, whatever its currency; text: a source (key, text) states the same amount and group of units; disclosed: a
     note without source follows within the window; else untraceable.
+
+    The facts, computed values and numbers of sources of a key are gathered into one row and held beside its reports, up to
+    ``held`` of them; keys with more, which are counted first, meet theirs by windows and a join.
     """
+    one = F.lit(1).alias("n")
+    counted = facts.select(key, one).unionAll(derived.select(key, one)).unionAll(sources.select(key, F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[0-9]+")).alias("n")))
+    crowded = cut_lineage(counted.groupBy(key).agg(F.sum("n").alias("n")).where(F.col("n") > held).select(key))
+    if crowded.isEmpty():
+        return _trace_held(reports, facts, derived, sources, key, window)
+    side = lambda rows, how: rows.join(crowded, key, how)
+    many = _trace_sorted(*[side(rows, "left_semi") for rows in (reports, facts, derived, sources)], key, window)
+    return many.unionByName(_trace_held(*[side(rows, "left_anti") for rows in (reports, facts, derived, sources)], key, window))
+
+
+def _status(structured: Column, derived: Column, text: Column) -> Column:
+    noted = F.col("after").rlike("|".join(DISCLOSED))
+    return F.when(structured, "structured").when(derived, "derived").when(text, "text").when(noted, "disclosed").otherwise("untraceable").alias("status")
+
+
+def _trace_held(reports: DataFrame, facts: DataFrame, derived: DataFrame, sources: DataFrame, key: str, window: int) -> DataFrame:
+    side = lambda rows, kind: _amounts(rows, key).where("amount is not null").withColumn("kind", F.lit(kind))
+    rows = side(facts, 0).unionAll(side(derived, 1)).unionAll(side(stated_numbers(sources.select(key, "text"), key), 2)).where(F.col(key).isNotNull())
+    amount, percent = F.col("amount"), F.col("unit_group") == "%"
+    of = lambda when, *fields: F.collect_list(F.when(when, F.struct(*fields) if len(fields) > 1 else fields[0]))
+    gathered = rows.groupBy(key).agg(
+        of(F.col("kind") == 0, amount, "unit_group").alias("known"), of((F.col("kind") == 1) & percent, F.abs(amount)).alias("rates"),
+        of((F.col("kind") < 2) & ~percent & (amount > 0), amount).alias("sizes"), of(F.col("kind") == 2, amount, "unit_group").alias("stated"),
+    )
+    lists = ("known", "rates", "sizes", "stated")
+    said = _amounts(stated_numbers(reports.select(key, "text").join(gathered, key, "left"), key, window, lists), key, *lists, "pos", "value", "unit", "after")
+    gap = lambda v: F.abs(v - amount)
+    same = lambda x: x["unit_group"] == F.col("unit_group")
+    structured = F.exists("known", lambda x: same(x) & (gap(x["amount"]) < F.greatest(F.lit(LEAST), F.abs(amount) * RELATIVE)))
+    near = F.when(percent, F.exists("rates", lambda v: gap(v) < 0.05)).otherwise(F.exists("sizes", lambda v: gap(v) <= 0.02 * v))
+    return said.select(key, "pos", "value", "unit", _status(structured, near, F.exists("stated", lambda x: same(x) & (x["amount"] == amount))))
+
+
+def _trace_sorted(reports: DataFrame, facts: DataFrame, derived: DataFrame, sources: DataFrame, key: str, window: int) -> DataFrame:
     said = _amounts(stated_numbers(reports.select(key, "text"), key, window), key, "pos", "value", "unit", "after").withColumnRenamed("amount", "figure")
     percent = F.col("unit_group") == "%"
     known, computed = _amounts(facts, key), _amounts(derived, key)
@@ -44,9 +86,7 @@ def statement_trace(reports: DataFrame, facts: DataFrame, derived: DataFrame, so
     agrees = lambda c: F.coalesce(F.when(F.col("percent"), gap(c) < 0.05).otherwise(gap(c) <= 0.02 * F.col(c)), F.lit(False))
     stated = _amounts(stated_numbers(sources.select(key, "text"), key), key).distinct().select(key, "unit_group", F.col("amount").alias("figure"), F.lit(True).alias("text"))
     out = near.withColumn("derived", agrees("below") | agrees("above")).join(stated, [key, "unit_group", "figure"], "left")
-    noted = F.col("after").rlike("|".join(DISCLOSED))
-    status = F.when(F.col("structured"), "structured").when(F.col("derived"), "derived").when(F.col("text"), "text").when(noted, "disclosed").otherwise("untraceable")
-    return out.select(key, "pos", "value", "unit", status.alias("status"))
+    return out.select(key, "pos", "value", "unit", _status(F.col("structured"), F.col("derived"), F.col("text")))
 
 
 def trace_verdict(traced: DataFrame, key: str, threshold: float, few: int = 0) -> DataFrame:

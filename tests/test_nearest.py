@@ -51,6 +51,23 @@ def test_statement_tiers(spark):
     assert got == {1: "structured", 2: "structured", 3: "derived", 4: "untraceable", 5: "derived", 6: "untraceable", 7: "text", 8: "disclosed", 9: "untraceable"}
 
 
+def test_statement_trace_of_crowded_and_other_keys(spark):
+    """Keys with many sources go another way to the same result, and an order's few sources meet no window."""
+    rng = random.Random(3)
+    frame = lambda rows, schema: spark.createDataFrame(rows, f"k long, {schema}")
+    number = lambda: rng.choice(["1000", "1004", "1019.5", "7", "12345", "903.2", "4321", "88888"])
+    units = ["亿元", "万元", "亿美元", "%", "港币", "件", ""]
+    keys = [None, *range(6)]
+    said = [(k, "".join(f"于{number()}{rng.choice(units)}额{rng.choice(['', '（未验证）'])}，" + "略" * rng.choice([0, 80]) for _ in range(30))) for k in keys for _ in range(2)]
+    facts, derived = ([(k, rng.choice([number(), "x", None]), rng.choice([*units, None])) for k in keys for _ in range(k or 1)] for _ in range(2))
+    sources = [(k, f"{number()}亿元 与 {number()}件，http://a/1000") for k in keys] + [(0, None)]
+    args = (frame(said, "text string"), frame(facts, "value string, unit string"), frame(derived, "value string, unit string"), frame(sources, "text string"), "k")
+    got = {held: sorted(map(repr, tracing.statement_trace(*args, held=held).collect())) for held in (0, 8, 1000)}
+    assert got[0] == got[8] == got[1000] and len({r.split("status=")[1] for r in got[0]}) == 5
+    plan = tracing.statement_trace(*args)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def unit_rows(n, size, rng, centres=None):
     x = rng.normal(size=(n, size)) if centres is None else centres[rng.integers(0, len(centres), n)] + 0.4 * rng.normal(size=(n, size))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
