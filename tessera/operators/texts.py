@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.vectors import nearest_exact
+
 
 def host_of(url: Column) -> Column:
     """Host without scheme and www."""
@@ -160,23 +162,22 @@ def search_scores(goals: DataFrame, docs: DataFrame, top: int = 3, least: int =
     return best.withColumn("strict", strict).where(~F.col("strict") | (F.col("score") >= least)).drop("strict")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, most: float, per_block: int = 1024) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, most: float, per_block: int = 1024, per_part: int = 8192) -> DataFrame:
     """The k nearest vectors of each query by cosine distance of unit vectors, itself excluded; ties go to the lesser id.
 
-    The query side is a stated set. Queries are dealt into blocks of about ``per_block``, vectors into as many parts as
-    there are tasks; a vector meets every block of queries once, by an equi-join on (block, part), so the work is spread
-    over blocks times parts tasks and grows with both sides. The rank limit is applied in each task before its rows
-    are shuffled. Null vectors are left out.
+    The query side is a stated set. Queries are dealt into blocks of about ``per_block``, vectors into parts of about ``per_part``; every
+    block meets every part in a task of its own, which multiplies matrices to find what may be among the nearest and works out
+    only those distances term by term, so it holds a bounded number of rows and hands on k of them for each query. The work grows with
+    queries times vectors. Null vectors, and pairs of different lengths, are left out.
     """
-    spark = vectors.sparkSession
-    asked = queries.where(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").alias("q"))
-    blocks = max(1, -(-asked.count() // per_block))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    held = lambda df: df.where(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("size"))
+    asked, known = held(queries), held(vectors)
+    blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((asked, per_block), (known, per_part)))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = asked.withColumn("block", deal(blocks)).withColumn("part", every(parts))
-    held = vectors.where(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("other"), F.col("embedding").alias("v"), deal(parts).alias("part"), every(blocks).alias("block"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda x, y: x + y)
-    near = held.join(asked, ["block", "part"]).where("other <> vec_id").select("vec_id", "part", "other", F.round(1 - dot, 4).alias("distance")).where(F.col("distance") <= most)
+    left = asked.withColumn("block", deal(blocks)).withColumn("part", every(parts))
+    right = known.withColumn("part", deal(parts)).withColumn("block", every(blocks))
+    place = ["block", "part", "size"]
+    near = left.groupBy(place).cogroup(right.groupBy(place)).applyInArrow(lambda key, a, b: nearest_exact(key[2].as_py(), a, b, k, most), "vec_id long, other long, distance double")
     order = Window.partitionBy("vec_id").orderBy("distance", "other")
-    return near.drop("part").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

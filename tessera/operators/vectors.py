@@ -11,6 +11,7 @@ no task grows with a cell. Probing all cells gives the exact result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,40 @@ def _nearest(key, asked: pa.Table, held: pa.Table, k: int, most: float) -> pa.Ta
     return pa.table({"vec_id": ids[rows[keep]], "other": others[near[keep]], "distance": found[keep]})
 
 
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To four places, halves of the decimal form away from zero, as Spark rounds."""
+    out = np.round(x, 4)
+    for i in np.flatnonzero(np.abs(np.abs(x) * 1e4 % 1 - 0.5) < 1e-6):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+    return out
+
+
+def nearest_exact(size: int, asked: pa.Table, held: pa.Table, k: int, most: float, rows: int = 128) -> pa.Table:
+    """The k nearest of the held vectors (all of ``size`` numbers) for each query. Products of matrices leave what may be among the k; sums term by term settle it."""
+    q, v = (_matrix(t["embedding"]).reshape(t.num_rows, size) for t in (asked, held))
+    ids, others = asked["vec_id"].to_numpy(), held["vec_id"].to_numpy()
+    order = np.argsort(others, kind="stable")  # ties go to the lesser id
+    others, v, found = others[order], v[order], []
+    for start in range(0, len(ids) if len(others) else 0, rows):
+        some = ids[start : start + rows]
+        about = 1 - q[start : start + rows] @ v.T
+        about[some[:, None] == others[None, :]] = np.inf
+        bound = np.full(len(some), most) if len(others) <= k else np.fmin(np.partition(about, k - 1, axis=1)[:, k - 1], most)
+        i, j = np.nonzero(about <= bound[:, None] + 2e-4)
+        dot = np.zeros(len(i))
+        for n in range(size):
+            dot += q[start + i, n] * v[j, n]
+        distance = _rounded(1 - dot)
+        keep = distance <= most
+        i, j, distance = i[keep], j[keep], distance[keep]
+        place = np.lexsort((others[j], distance, i))
+        i, j, distance = i[place], j[place], distance[place]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((some[i[best]], others[j[best]], distance[best]))
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table(dict(zip(["vec_id", "other", "distance"], columns, strict=True)))
+
+
 @dataclass
 class Index:
     """Centroids, places of neighbours' cells in the sample, the vectors with their cells (vec_id, embedding, cell), and the number of vectors of each cell."""

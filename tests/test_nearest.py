@@ -73,6 +73,27 @@ def unit_rows(n, size, rng, centres=None):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def test_exact_nearest_in_blocks_and_parts(spark):
+    """Copies, halves, lengths that differ, nulls and twice the same id, against plain sums; no pair leaves Python but the nearest."""
+    rng = np.random.default_rng(5)
+    x = np.float32(unit_rows(120, 4, rng)).tolist()
+    x[40:60] = [x[0]] * 20
+    x[60:64] = [[1.0, 0.0, 0.0, 0.0], [0.99985, 0.0, 0.0, 0.0], [0.99995, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0]]
+    x[64], x[65] = None, [1.0, None, 0.0, 0.0]
+    rows = [(i, v) for i, v in enumerate(x)] + [(61, x[1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    dots = F.aggregate(F.zip_with("a.embedding", "b.embedding", lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
+    pairs = df.alias("a").join(df.alias("b"), F.expr("a.vec_id <> b.vec_id and a.vec_id % 4 = 0")).select(F.col("a.vec_id").alias("v"), F.col("b.vec_id").alias("o"), F.round(1 - dots, 4).alias("d")).where("d <= 0.6")
+    best = {}
+    for r in sorted(pairs.collect(), key=lambda r: (r.v, r.d, r.o)):
+        best.setdefault(r.v, []).append((r.o, r.d))
+    want = {(v, o, d, n + 1) for v, found in best.items() for n, (o, d) in enumerate(found[:3])}
+    for per_block, per_part in ((1024, 8192), (8, 30), (3, 2)):
+        near = T.nearest(df.where("vec_id % 4 = 0"), df, 3, 0.6, per_block, per_part)
+        assert {(r.vec_id, r.other, r.distance, r["rank"]) for r in near.collect()} == want
+    assert "Aggregate" not in str(near._jdf.queryExecution().executedPlan().toString()) and "zip_with" not in str(near._jdf.queryExecution().executedPlan().toString())
+
+
 def test_index_with_all_cells_is_exact(spark, monkeypatch):
     monkeypatch.setattr(V, "CHUNK", 40)
     monkeypatch.setattr(V, "BLOCK", 7)
