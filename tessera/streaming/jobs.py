@@ -24,9 +24,9 @@ Step = Callable[[list[float], float, bool], tuple[list[float], bool]]
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's files as a stream; new files are picked up as they arrive."""
+    """A table's files as a stream, whether it is one file or a folder of them; new files are picked up as they arrive."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet")
 
 
 def drain(stream: DataFrame, form: str = "parquet") -> DataFrame:
@@ -135,36 +135,49 @@ def heartbeat(seconds: float) -> Step:
     return lambda state, at, failed: ([at], bool(state) and at - state[0] > seconds)
 
 
-def keyed(stream: DataFrame, step: Step, keep: float, alarm: float | None = None) -> DataFrame:
+#: Groups that keys are dealt into by their hash; a running stream keeps its number.
+BUCKETS = 1024
+
+
+def keyed(stream: DataFrame, step: Step, keep: float, alarm: float | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(id, key, flag) of rows (id, key, ts, failed) by a step over the state of each key.
 
     A key that is idle for more than ``keep`` seconds is as new: its state is not used any more, and dropped once the watermark
     is past. With ``alarm`` a key that the watermark finds idle for so long gives one row without id, flagged, until it speaks
-    again. Rows behind the watermark are dropped.
+    again. Rows behind the watermark are dropped. Keys are dealt into ``buckets`` whose states are lists of theirs, as a call for every
+    key costs far more than its rows; a trigger rewrites the buckets that it touches.
     """
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, quiet, held = json.loads(state.get[0]) if state.exists else (None, False, [])
-        if state.hasTimedOut:
-            if alarm is None or quiet:
-                state.remove()
-                return
-            state.update((json.dumps((last, True, held)),))
-            state.setTimeoutTimestamp(max(int((last + keep) * 1000), state.getCurrentWatermarkMs()) + 1)
-            yield pd.DataFrame({"id": pd.Series([None], dtype="Int64"), "key": [key[0]], "flag": [True]})
-            return
-        rows = pd.concat(list(parts)).sort_values(["at", "id"])
-        flags = []
-        for at, failed in zip(rows["at"], rows["failed"], strict=True):
-            if last is not None and at - last > keep:
-                held = []
-            held, flag = step(held, float(at), bool(failed))
-            last = float(at)
-            flags.append(flag)
-        state.update((json.dumps((last, False, held)),))
-        state.setTimeoutTimestamp(max(int((last + (alarm or keep)) * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"id": rows["id"], "key": rows["key"], "flag": flags})
+    def run(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {k: rest for k, *rest in json.loads(state.get[0])} if state.exists else {}
+        mark, spoke, out = state.getCurrentWatermarkMs(), set(), []
+        due = lambda last, seconds: max(int((last + seconds) * 1000), mark) + 1
+        frames = [] if state.hasTimedOut else [p for p in parts if len(p)]
+        if frames:
+            rows = pd.concat(frames).sort_values(["at", "id"])
+            for key, number, at, failed in zip(rows["key"].tolist(), rows["id"].tolist(), rows["at"].tolist(), rows["failed"].tolist(), strict=True):
+                key = key if isinstance(key, str) else None
+                _, last, _, held = known.get(key, (0, None, False, []))
+                if last is not None and at - last > keep:
+                    held = []
+                held, flag = step(held, at, bool(failed))
+                known[key] = (due(at, alarm or keep), at, False, held)
+                spoke.add(key)
+                out.append((number, key, flag))
+        for key in [k for k, rest in known.items() if rest[0] < mark and k not in spoke]:
+            _, last, quiet, held = known.pop(key)
+            if alarm is not None and not quiet:
+                known[key] = (due(last, keep), last, True, held)
+                out.append((None, key, True))
+        if known:
+            state.update((json.dumps([(k, *rest) for k, rest in known.items()]),))
+            state.setTimeoutTimestamp(max(min(rest[0] for rest in known.values()), mark + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            numbers, keys, flags = zip(*out, strict=True)
+            yield pd.DataFrame({"id": pd.array(numbers, dtype="Int64"), "key": keys, "flag": flags})
 
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
-    rows = timed.select("id", "key", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "failed")
-    return rows.groupBy("key").applyInPandasWithState(run, "id long, key string, flag boolean", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = timed.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "id", "key", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "failed")
+    return rows.groupBy("bucket").applyInPandasWithState(run, "id long, key string, flag boolean", "held string", "append", GroupStateTimeout.EventTimeTimeout)

@@ -50,6 +50,26 @@ def test_state_expires_and_late_rows_go(spark, tmp_path):
     assert sorted((r.id is None, r.id or 0, r.key, r.flag) for r in got) == [(False, 0, "a", False), (False, 1, "a", False), (False, 10, "b", False), (False, 20, "b", False), (False, 30, "b", False), (False, 40, "a", True), (True, 0, "a", True)]
 
 
+def test_keys_of_one_bucket_keep_apart(spark, tmp_path):
+    """Two buckets for nine keys and a null one: states, expiry and alarms are those of keys by themselves."""
+    for i, seconds in enumerate(([(k, 10 * k) for k in range(9)], [(k, 10_000 + k) for k in (1, 2)], [(1, 10_100)], [(2, 10_200)], [(0, 10_300), (3, 20_000)], [(1, 20_100)])):
+        rows = [(100 * i + j, None if k == 8 else f"k{k}", t) for j, (k, t) in enumerate(seconds)]
+        frame = spark.createDataFrame(rows, "id long, key string, s long").selectExpr("id", "key", "timestamp_seconds(1700000000 + s) as ts", "false as failed")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    found = {n: sorted((r.id or -1, r.key or "", r.flag) for r in J.drain(J.keyed(stream, J.heartbeat(3600), 9_000, 3600, buckets=n)).collect()) for n in (2, 4096)}
+    assert found[2] == found[4096]
+    assert sum(number < 0 for number, _, _ in found[2]) >= 9
+
+
+def test_folders_of_files_as_streams(spark, tmp_path):
+    for form in ("one", "many"):
+        spark.range(7).repartition(2).write.parquet(f"{tmp_path}/{form}/events.parquet")
+    assert {J.drain(J.stream_table(spark, f"{tmp_path}/{form}", "events")).count() for form in ("one", "many")} == {7}
+    assert J.drain(J.stream_table(spark, SF, "events")).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
 def test_updates_over_triggers(spark, tmp_path):
     rows = spark.sql("select id, if(id % 2 = 0, 'a', 'b') as key, timestamp_seconds(1700000000 + id) as ts, id * 10 as value from range(6)")
     for i in (0, 2, 4):
