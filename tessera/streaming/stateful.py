@@ -6,6 +6,7 @@ same: a deadline is acted upon when a later row of the key comes or the watermar
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from tessera.io import shared_folder
-from tessera.streaming.jobs import LATE
+from tessera.streaming.jobs import BUCKETS, LATE
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -108,54 +109,66 @@ def worker_health(beats: DataFrame, timeout: float = 20, window: float = 300, mo
 
 
 class StaleTasks(StatefulProcessor):
-    """Rows (key, at, status) of tasks that stayed in a status for longer than ``seconds``, told with the time at which they ran out."""
+    """Rows (key, at, status) of tasks that stayed in a status for longer than ``seconds``, told with the time at which they ran out.
+
+    Keys come dealt into buckets: a bucket's state is the list of its waiting tasks, and one timer stands at the first of their deadlines.
+    """
 
     def __init__(self, waiting: str, seconds: float):
         self.waiting, self.seconds = waiting, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.task = handle.getValueState("task", "at double, status string, told boolean")
+        self.tasks = handle.getValueState("tasks", "held string")
 
-    def _run_out(self, key: tuple, held: tuple, until: float) -> tuple[list, tuple]:
+    def _run_out(self, key: str | None, held: tuple, until: float) -> tuple[list, tuple]:
         at, status, told = held
         if status != self.waiting or told or at + self.seconds >= until:
             return [], held
-        return [(key[0], at + self.seconds, "FAILED")], (at, status, True)
+        return [(key, at + self.seconds, "FAILED")], (at, status, True)
 
-    def _save(self, held: tuple, out: list) -> Iterator[pd.DataFrame]:
+    def _known(self) -> dict:
+        return {k: tuple(held) for k, *held in json.loads(self.tasks.get()[0])} if self.tasks.exists() else {}
+
+    def _save(self, known: dict, out: list) -> Iterator[pd.DataFrame]:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if held[1] != self.waiting:
-            self.task.clear()  # a task at rest needs no state
+        rest = [(k, *held) for k, held in known.items() if held[1] == self.waiting]  # a task at rest needs no state
+        if rest:
+            self.tasks.update((json.dumps(rest),))
         else:
-            self.task.update(held)
-            if not held[2]:
-                self.handle.registerTimer(int((held[0] + self.seconds) * 1000) + 1)
+            self.tasks.clear()
+        open_ = [at for _, at, _, told in rest if not told]
+        if open_:
+            self.handle.registerTimer(int((min(open_) + self.seconds) * 1000) + 1)
         if out:
             yield pd.DataFrame(out, columns=["key", "at", "status"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held, out = self.task.get() if self.task.exists() else (0.0, "", False), []
-        for _, r in pd.concat(list(rows)).sort_values(["at", "id"]).iterrows():
-            more, held = self._run_out(key, held, float(r["at"]))
+        known, out = self._known(), []
+        part = pd.concat(list(rows)).sort_values(["at", "id"])
+        for name, at, status in zip(part["key"].tolist(), part["at"].tolist(), part["status"].tolist(), strict=True):
+            name = name if isinstance(name, str) else None
+            more, held = self._run_out(name, known.get(name, (0.0, "", False)), at)
             out += more
-            if r["at"] >= held[0]:
-                held = (float(r["at"]), r["status"], False)
-        yield from self._save(held, out)
+            known[name] = (at, status, False) if at >= held[0] else held
+        yield from self._save(known, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out, held = self._run_out(key, self.task.get(), timerValues.getCurrentWatermarkInMs() / 1000)
-        yield from self._save(held, out)
+        known, out, mark = self._known(), [], timerValues.getCurrentWatermarkInMs() / 1000
+        for name, held in known.items():
+            more, known[name] = self._run_out(name, held, mark)
+            out += more
+        yield from self._save(known, out)
 
     def close(self) -> None:
         pass
 
 
-def stale_tasks(updates: DataFrame, waiting: str = "PENDING", seconds: float = 1800) -> DataFrame:
+def stale_tasks(updates: DataFrame, waiting: str = "PENDING", seconds: float = 1800, buckets: int = BUCKETS) -> DataFrame:
     """(key, at, status) of a stream of updates (id, key, ts, status): FAILED at the time when a waiting task has had no update for so long."""
-    timed = updates.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE).select("id", "key", "ts", "status", (F.unix_micros("ts") / 1e6).alias("at"))
-    return timed.groupBy("key").transformWithStateInPandas(StaleTasks(waiting, seconds), "key string, at double, status string", "Append", "EventTime")
+    timed = updates.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE).select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "id", "key", "ts", "status", (F.unix_micros("ts") / 1e6).alias("at"))
+    return timed.groupBy("bucket").transformWithStateInPandas(StaleTasks(waiting, seconds), "key string, at double, status string", "Append", "EventTime")
 
 
 class IdleStreak(StatefulProcessor):

@@ -51,3 +51,14 @@ def test_stale_tasks_over_triggers(spark, tmp_path):
     stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     got = spark.read.schema(stream.schema).parquet(f"{base}/out").collect()
     assert sorted((r.key, r.at - START, r.status) for r in got) == [("a", 100, "FAILED"), ("a", 6100, "FAILED")]
+
+
+def test_stale_tasks_of_one_bucket(spark, tmp_path):
+    S.with_rocksdb(spark)
+    rows = [(1, "a", "PENDING", 0.0), (2, "b", "PENDING", 30.0), (3, None, "PENDING", 60.0), (4, "b", "DONE", 140.0), (5, "b", "PENDING", 150.0), (6, "z", "DONE", 5000.0)]
+    df = spark.createDataFrame(rows, "id long, key string, status string, s double").withColumn("ts", F.timestamp_micros(((F.col("s") + START) * 1e6).cast("long"))).drop("s")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = S.stale_tasks(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), seconds=100, buckets=1)
+    stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.key or "", r.at - START) for r in got) == [("", 160), ("a", 100), ("b", 130), ("b", 250)]
