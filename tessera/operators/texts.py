@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,23 +150,64 @@ def token_weight(token: Column) -> Column:
     return F.when(token.rlike(f"^([{HAN}]{{2}}|[0-9]{{4}})$"), 1).otherwise(2)
 
 
-def search_scores(goals: DataFrame, docs: DataFrame, top: int = 3, least: int = 2, salts: int = 8) -> DataFrame:
-    """(item_id, doc_id, score, rank): the best ``top`` documents of each goal by the weights of its tokens that they hold.
+#: Tokens of goals that are sent to every worker; more stay a table and are joined.
+HELD_TOKENS = 500_000
+
+
+def search_scores(goals: DataFrame, docs: DataFrame, top: int = 3, least: int = 2, salts: int = 8, held: int = HELD_TOKENS) -> DataFrame:
+    """(item_id, doc_id, score, rank): the best ``top`` documents (one row for each doc_id) of each goal by the weights of its tokens that they hold.
 
-    Documents under the ``least`` score are left out, unless a goal has none above it. No token is dropped; the goal side
-    is repeated for each salt, so the rows of a frequent token are dealt over several tasks where the join is shuffled.
+    Documents under the ``least`` score are left out, unless a goal has none above it. No token is dropped. Up to ``held`` tokens of goals
+    go to the workers, which score their documents batch by batch and hand on the best of each goal, so no pair of a goal and a document is shuffled
+    or kept. More tokens are joined: the goal side is repeated for each salt, so the rows of a frequent token are dealt over several tasks.
     """
     wanted = goals.select("item_id", F.explode(goal_tokens(F.col("text"))).alias("token"))
-    parts = wanted.agg(F.max(F.size(F.split("token", "-")))).first()[0] or 1
-    wanted = wanted.distinct().select("item_id", "token", token_weight(F.col("token")).alias("weight"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    held = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), F.explode(text_tokens(F.col("text"), parts)).alias("token"))
-    scores = held.join(wanted, ["token", "salt"]).groupBy("item_id", "doc_id").agg(F.sum("weight").alias("score"))
+    parts, count = wanted.agg(F.max(F.size(F.split("token", "-"))), F.count("*")).first()
+    wanted = wanted.distinct().select("item_id", "token", token_weight(F.col("token")).alias("weight"))
+    if count <= held:
+        best = docs.select("doc_id", text_tokens(F.col("text"), parts or 1).alias("tokens")).mapInArrow(best_by_tokens(wanted.toArrow(), top), "item_id long, doc_id long, score long")
+    else:
+        wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        said = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), F.explode(text_tokens(F.col("text"), parts or 1)).alias("token"))
+        best = said.join(wanted, ["token", "salt"]).groupBy("item_id", "doc_id").agg(F.sum("weight").alias("score"))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     strict = F.max("score").over(Window.partitionBy("item_id")) >= least
     return best.withColumn("strict", strict).where(~F.col("strict") | (F.col("score") >= least)).drop("strict")
 
 
+def best_by_tokens(wanted: pa.Table, top: int, cells: int = 1_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches of documents (doc_id, tokens) that gives the best ``top`` of them for each item of (item_id, token, weight), about ``cells`` scores at a time."""
+    wanted = wanted.filter(pc.is_valid(wanted["item_id"])).sort_by("token")
+    items, item = np.unique(wanted["item_id"].to_numpy(), return_inverse=True)
+    weight, words = wanted["weight"].to_numpy(), pc.unique(wanted["token"])
+    starts = np.append(np.flatnonzero(np.diff(pc.index_in(wanted["token"], words).to_numpy(), prepend=-1)), len(item)).astype(np.int64)
+
+    def shrink(i, doc, score):
+        place = np.lexsort((doc, -score, i))
+        i, doc, score = i[place], doc[place], score[place]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < top
+        return i[best], doc[best], score[best]
+
+    def run(batches):
+        best = tuple(np.zeros(0, np.int64) for _ in range(3))
+        for whole in batches:
+            for at in range(0, whole.num_rows, max(1, cells // max(1, len(items)))):
+                b = whole.slice(at, max(1, cells // max(1, len(items))))
+                known = pc.index_in(pc.list_flatten(b.column("tokens")), words)
+                found, row = pc.fill_null(known, -1).to_numpy(zero_copy_only=False), pc.list_parent_indices(b.column("tokens")).to_numpy()
+                row, found = row[found >= 0], found[found >= 0]
+                times = starts[found + 1] - starts[found]
+                spot = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[found], times)
+                scores = np.bincount(np.repeat(row, times) * len(items) + item[spot], weight[spot], b.num_rows * len(items)).astype(np.int64)
+                hit = np.flatnonzero(scores)
+                doc = b.column("doc_id").to_numpy(zero_copy_only=False)[hit // max(1, len(items))].astype(np.int64)
+                best = shrink(*(np.concatenate(c) for c in zip(best, (hit % max(1, len(items)), doc, scores[hit]), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(items[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.int64())], ["item_id", "doc_id", "score"])
+
+    return run
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, most: float, per_block: int = 1024, per_part: int = 8192) -> DataFrame:
     """The k nearest vectors of each query by cosine distance of unit vectors, itself excluded; ties go to the lesser id.
 
