@@ -25,6 +25,11 @@ class Plans:
             self.oracles[name] = sql
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows of which each is much work, dealt over as many tasks as a shuffle has: a small file is one task otherwise, and AQE would join small parts again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def task_log(read: Reader) -> DataFrame:
     """events as a task log."""
     return read("events").select(

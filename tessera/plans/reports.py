@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import facts as X
 from tessera.operators import reports as S
 from tessera.operators.texts import sentences
-from tessera.plans.binding import Plans, Reader
+from tessera.plans.binding import Plans, Reader, dealt
 from tessera.plans.sources import text
 
 P = Plans()
@@ -31,7 +31,7 @@ def part_tables(r: Reader) -> DataFrame:
     k, year = F.col("p_partkey"), F.col("p_size") % 20 + 2000
     first = text("| 指标 | 年份 | 数值 | 占比 | 口径 | 来源 |\n|---|---|---|---|---|---|\n| ", F.col("p_type"), " | ", year, " | ", F.col("p_size"), "亿美元 | ", k % 100, "% | ", F.col("p_brand"), " | 见 http://a.example/", k, " |\n| - | | ", F.col("p_size"), " | 5% | | |")
     second = text("| 品名 | 零售金额（万元） | 链接说明 |\n|:--|--:|:--|\n| ", F.col("p_name"), " | ", F.col("p_size"), ",000 | 2024 |\n| open | 数千 | |")
-    return r("part").select(k.alias("doc_id"), text("# ", F.col("p_name"), "\n\n", first, "\n\nText | 5亿元 | more\n\n", second, "\n").alias("text"))
+    return dealt(r("part"), "p_partkey").select(k.alias("doc_id"), text("# ", F.col("p_name"), "\n\n", first, "\n\nText | 5亿元 | more\n\n", second, "\n").alias("text"))
 
 
 P.add("md_table_facts", lambda r: S.md_table_facts(part_tables(r)), """SELECT p_partkey AS doc_id, 0 AS block, 0 AS n, p_type AS metric, p_size % 20 + 2000 AS year, CAST(p_size AS DOUBLE) AS value, '亿美元' AS unit, p_brand AS caliber, 'http://a.example/' || p_partkey AS source FROM part

@@ -15,3 +15,9 @@ def test_recency_takes_years_inside_customer_numbers(spark, tmp_path):
     got = sorted(map(tuple, df.select("o_orderkey", "passed", "reason").collect()))
     assert got == sorted(con.sql(f"select o_orderkey, passed, reason from ({registry.ORACLES['recency_check']})").fetchall())
     assert {reason for key, _, reason in got if key % 10 == 4} == {"recent", "stale_year"}
+
+
+def test_parts_are_dealt_over_tasks(spark):
+    """A small file of parts is read by one task; their tables are not cut by one."""
+    found = registry.QUERIES["md_table_facts"](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
