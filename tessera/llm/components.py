@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from tessera.io import cut_lineage
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """Fewer links (a, b) with the same components: a node keeps the link to the least of its lesser nodes and hands the others down to that one.
+
+    In stars that share their members, as of texts that meet in many buckets, the links left are about as many as the
+    nodes. A node's lesser nodes are gathered in one row, so they should be few (a text's buckets).
+    """
+    way = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    held = way.groupBy("a").agg(F.collect_set("b").alias("lesser")).select("a", "lesser", F.array_min("lesser").alias("b"))
+    passed = held.select(F.explode("lesser").alias("a"), "b").where("a <> b")
+    return held.select("a", "b").unionAll(passed).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for links (a, b): root is the least node of the component.
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.io import cut_lineage
-from tessera.llm.components import components
+from tessera.llm.components import components, thinned
 
 WORDS, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 128
 #: Texts and shingles of a unit that one side of a task holds, and columns of shared shingles that are multiplied at a time.
@@ -214,8 +214,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
     )
     banded = texts.where("b0 is not null").select("rep", "size", F.posexplode(F.array(*[f"b{i}" for i in range(bands)])).alias("band", "hash"))
     leaders = banded.groupBy("band", "hash").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = banded.join(leaders, ["band", "hash"]).where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    grouped = components(stars).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
+    stars = banded.join(leaders, ["band", "hash"]).where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
+    grouped = components(thinned(stars)).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
     placed = cut_lineage(_units(grouped, texts.select("rep", "size"), banded, block).join(texts.select("rep", "least.id_", "least.text_hash", F.array(*[f"b{i}" for i in range(bands)]).alias("bands")), "rep"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
     dealt = dealt.withColumn("pair", F.explode(pairs)).select("band", "unit", "pair.left", "pair.right", "chunk", "rep", "bands", "shingles")
     checked = dealt.groupBy("band", "unit", "left", "right").applyInArrow(lambda part: _verify(part, threshold), "rep long, root long, links long")
     checked = cut_lineage(checked)
-    tied = components(checked.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
+    tied = components(thinned(checked.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))))
     roots = tied.select(F.col("node").alias("rep"), "root")
     heads = texts.select("rep", "least").join(roots, "rep").groupBy("root").agg(F.min("least").alias("head"))
     found = (

@@ -261,3 +261,14 @@ def test_oracle_of_the_trie(spark):
     want = con.sql(trie.OP12_SQL)
     got = trie.op12_prefix_trie(spark, SF).select(want.columns).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_stars_with_shared_members_are_thinned(spark):
+    from tessera.llm.components import components, thinned
+
+    links = [(i, leader) for i in range(20, 220) for leader in range(i % 3, 18)] + [(900, 901), (901, 900), (5, 5)]
+    df = spark.createDataFrame(links, "a long, b long")
+    few = thinned(df)
+    assert few.count() == 249 and few.where("a = b").isEmpty()  # of 3,402 links: one for each member and 48 between leaders
+    assert {tuple(r) for r in components(few).collect()} == {tuple(r) for r in components(df).collect()}
+    assert thinned(df.where("a < 0")).isEmpty()
