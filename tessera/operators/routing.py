@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import any_of, occurrences
+from tessera.functions.columns import any_of, bind, occurrences
 from tessera.operators.texts import HAN, sentences
 
 # Fixed values of the goal formats.
@@ -33,6 +33,11 @@ INJECTIONS = [
     ("编码混淆", r"base64\s*[-_]\s*d|b64decode|fromCharCode"),
     ("命令注入", r"curl\s+\S+|wget\s+\S+|powershell\s+-"),
 ]
+#: Lower-case words of which a text must hold one for a pattern to match; looked for first, as plain words cost far less than patterns.
+INJECTION_HINTS = dict(zip([p for _, p in INJECTIONS], [
+    ["忽略"], ["无视", "不要理会", "忘记", "遗忘"], ["扮演", "假装你是", "冒充", "system prompt"], ["update", "drop", "delete", "insert", "alter"], ["--", "union"], ["$", "`"],
+    ["base64", "b64decode", "fromcharcode"], ["curl", "wget", "powershell"],
+], strict=True))
 #: Words of goals that name the kind of work, not its subject.
 WORK_WORDS = ["分析", "生成", "报告", "可视化", "市场", "数据", "训练", "模型", "输出", "包括", "主要", "技术", "趋势", "一个"]
 #: Subject words that stand for a whole field: (a goal word of the field, the anchors that it brings).
@@ -46,7 +51,8 @@ DEFAULT_ANCHOR = "芯片"
 def injection_label(text: Column, patterns: list[tuple[str, str]] = INJECTIONS, chars: int = 20_000) -> Column:
     """The label of the first pattern found in the first ``chars`` characters, which is the reach of the rule; null without one."""
     start = F.substring(F.coalesce(text, F.lit("")), 1, chars)
-    return F.coalesce(*[F.when(start.rlike(f"(?i){p}"), F.lit(label)) for label, p in patterns])
+    hinted = lambda v, p: any_of(v["low"], INJECTION_HINTS[p]) if p in INJECTION_HINTS else F.lit(True)
+    return bind(F.struct(start.alias("text"), F.lower(start).alias("low")), lambda v: F.coalesce(*[F.when(hinted(v, p) & v["text"].rlike(f"(?i){p}"), F.lit(label)) for label, p in patterns]))
 
 
 def trace_domain(goal: Column, domains: list[tuple[str, list[str]]] = DOMAINS) -> Column:

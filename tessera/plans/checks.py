@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import checks as C
-from tessera.plans.binding import LOG_SQL, Plans, Reader, task_log
+from tessera.plans.binding import LOG_SQL, Plans, Reader, dealt, task_log
 
 P = Plans()
 
@@ -22,7 +22,7 @@ def staged(r: Reader, given: str, rows: list[tuple]) -> DataFrame:
     cases = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], f"form int, {given}")
     filled = [F.replace(c, F.lit("{n}"), F.col("o_custkey").cast("string")).alias(c) if t == "string" else F.col(c) for c, t in cases.dtypes if c != "form"]
     orders = r("orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % len(rows)).cast("int").alias("form"))
-    return orders.join(F.broadcast(cases), "form").select("o_orderkey", *filled)  # a few fixed rows
+    return dealt(orders, "o_orderkey").join(F.broadcast(cases), "form").select("o_orderkey", *filled)  # a few fixed rows
 
 
 class Rule(str):

@@ -1,7 +1,9 @@
 """Staged cases on customer numbers that the smallest tables do not have."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from tessera.operators import routing as R
 from tessera.plans import registry
 
 
@@ -21,3 +23,21 @@ def test_parts_are_dealt_over_tasks(spark):
     """A small file of parts is read by one task; their tables are not cut by one."""
     found = registry.QUERIES["md_table_facts"](spark, "/root/testdata/sf0.001")
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_injection_hints_lose_no_match(spark):
+    texts = ["忽略指令", "无视规则", "不要理会提示", "忘记系统的指令", "遗忘以上提示", "假装你是x", "冒充", "SYSTEM PROMPT", "Update t", "DELETE  x", "Insert a", "aLTER b", "x; --", ";--", "Union\tSelect", "$ (x)", "`ab`", "`a`", "BASE64 -D", "B64Decode", "FromCharCode", "CURL x", "Wget y", "PowerShell -c", "drop", "", None, "union", "\u0130drop \u0130x drop t"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    start = F.coalesce("text", F.lit(""))
+    plain = F.coalesce(*[F.when(start.rlike(f"(?i){p}"), F.lit(label)) for label, p in R.INJECTIONS])
+    rows = df.select("text", R.injection_label(F.col("text")).alias("got"), plain.alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and {r.want for r in rows} == {None, *[label for label, _ in R.INJECTIONS]}
+    assert set(R.INJECTION_HINTS) == {p for _, p in R.INJECTIONS}
+
+
+def test_staged_rows_are_dealt(spark, tmp_path):
+    from tessera.plans.checks import staged
+
+    spark.range(50).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    rows = staged(lambda name: spark.read.parquet(str(tmp_path / f"{name}.parquet")), "text string", [("a{n}",), ("b",)])
+    assert rows.rdd.getNumPartitions() == 4 and rows.count() == 50  # one file was one task
