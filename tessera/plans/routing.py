@@ -10,7 +10,7 @@ from tessera.operators import goals as G
 from tessera.operators import routing as R
 from tessera.operators import texts as T
 from tessera.operators.lexicon import alias_mentions
-from tessera.plans.binding import LOG_SQL, Plans, Reader, task_log
+from tessera.plans.binding import LOG_SQL, Plans, Reader, dealt, task_log
 from tessera.plans.checks import add_cases
 from tessera.plans.streams import jsonl_append
 from tessera.plans.text import HOST
@@ -236,7 +236,7 @@ def part_charts(r: Reader) -> tuple[DataFrame, DataFrame]:
     return specs, r("part").select("p_partkey", goal.alias("goal"))
 
 
-P.add("chart_specs_on_topic", lambda r: G.filter_chart_specs(*part_charts(r), "p_partkey").select("p_partkey", F.size("data").alias("rows")), """WITH s AS (
+P.add("chart_specs_on_topic", lambda r: G.filter_chart_specs(*[dealt(rows, "p_partkey") for rows in part_charts(r)], "p_partkey").select("p_partkey", F.size("data").alias("rows")), """WITH s AS (
   SELECT p_partkey, p_size, p_size % 3 AS g, CASE WHEN p_size % 3 = 1 THEN 3 ELSE 2 END AS rows FROM part WHERE p_size % 11 > 0 AND p_size % 7 > 0 AND (p_size % 5 > 0 OR p_size % 3 = 1)
 ) SELECT p_partkey, CAST(rows AS INTEGER) AS rows FROM s WHERE g <> 1 OR p_size % 5 = 0 OR rows = 3""")
 

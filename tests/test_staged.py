@@ -41,3 +41,13 @@ def test_staged_rows_are_dealt(spark, tmp_path):
     spark.range(50).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
     rows = staged(lambda name: spark.read.parquet(str(tmp_path / f"{name}.parquet")), "text string", [("a{n}",), ("b",)])
     assert rows.rdd.getNumPartitions() == 4 and rows.count() == 50  # one file was one task
+
+
+def test_charts_are_dealt(spark, tmp_path):
+    part = spark.range(40).selectExpr("id as p_partkey", "concat('n', id) as p_name", "'b' as p_brand", "'t' as p_type", "cast(id as int) as p_size")
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    df = registry.QUERIES["chart_specs_on_topic"](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 4  # adaptive execution made one task of the small join
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect())) == sorted(con.sql(registry.ORACLES["chart_specs_on_topic"]).fetchall())
