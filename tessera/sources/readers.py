@@ -68,17 +68,28 @@ def read_ranking_snapshot(spark: SparkSession, path: str | DataFrame) -> DataFra
     )
 
 
+#: Bytes of a batch of files that are decoded at a time.
+PIECE = 1 << 22
+
+
 def decoded(spark: SparkSession, path: str | DataFrame, charsets: list[str]) -> DataFrame:
     """(file, value): each file's bytes in the first charset that fits; latin-1 always does."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"file": part["path"], "value": [None if b is None else _decode(bytes(b), charsets) for b in part["content"]]})
+            yield from _pieces(part, charsets)
 
     files = path if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path)
     return files.select("path", "content").mapInPandas(run, "file string, value string")
 
 
+def _pieces(part: pd.DataFrame, charsets: list[str]) -> Iterator[pd.DataFrame]:
+    """The texts of a batch of files, PIECE bytes at a time, so that they are never all decoded at once."""
+    size = part["content"].map(lambda b: 0 if b is None else len(b))
+    for _, few in part.groupby((size.cumsum() - size) // PIECE):
+        yield pd.DataFrame({"file": few["path"], "value": [None if b is None else _decode(bytes(b), charsets) for b in few["content"]]})
+
+
 def _decode(data: bytes, charsets: list[str]) -> str:
     for name in charsets:
         try:

@@ -73,3 +73,21 @@ def test_golden_and_fresh(spark, tmp_path):
     assert R.fresh_files(spark.read.text(p), now).count() == 1 and R.fresh_files(spark.read.text(p), now + F.expr("interval 1 hour")).count() == 0
     put(tmp_path, "a_check_b.txt", "x")
     assert R.fresh_files(spark.read.text(str(tmp_path / "a_check_b.txt")), now).count() == 0
+
+
+def test_batches_of_files_are_decoded_in_pieces():
+    import tracemalloc
+
+    import pandas as pd
+
+    from tessera.sources import readers
+
+    part = pd.DataFrame({"path": [str(i) for i in range(602)], "content": [b"ab\xc3\xa9" * 25_000] * 600 + [None, b""]})
+    tracemalloc.start()
+    found = [(f, None if v is None else len(v)) for few in readers._pieces(part, ["utf-8-sig"]) for f, v in zip(few["file"], few["value"], strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [*((str(i), 75_000) for i in range(600)), ("600", None), ("601", 0)]
+    assert peak < 16_000_000  # the decoded texts of the batch are 45 million characters
+    print("peak", peak)
+    assert not list(readers._pieces(part[:0], ["utf-8-sig"]))
