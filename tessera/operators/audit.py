@@ -425,8 +425,7 @@ def spec_provenance(rows: DataFrame, texts: DataFrame, key: str, least: int = 2)
     plain = texts.select(key, F.regexp_replace("text", r"[ \t\n\r]+", "").alias("plain"))
     form = F.abs("value").cast("long").cast("string")
     kept = rows.join(plain, key).where(F.col("plain").contains(form)).select(key, "label", "value")
-    enough = kept.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key)
-    return kept.join(enough, key, "left_semi")
+    return kept.withColumn("n_", F.count("*").over(Window.partitionBy(key))).where(F.col("n_") >= least).drop("n_")
 
 
 def schedule_calendar(jobs: DataFrame, end: Column) -> DataFrame:

@@ -75,3 +75,15 @@ def test_fact_labels_that_name_others(spark):
     sources = spark.createDataFrame([(1, "Line占比4%。腾讯占比7%")], "k long, text string")
     got = [(r.label, r.value, r.status) for r in A.fact_attribution(facts, sources, "k", ["腾讯"], ["line"]).collect()]
     assert sorted(got, key=repr) == sorted([("腾讯营收", "4", "target"), ("Line占比", "5", "label"), ("占比", "4.0", "evidence"), ("占比", "7", "fine"), (None, None, "fine")], key=repr)
+
+
+def test_spec_provenance_joins_once(spark, capsys):
+    from tessera.operators.audit import spec_provenance
+
+    rows = spark.createDataFrame([(1, "a", 12.0), (1, "b", -34.0), (2, "c", 12.0), (None, "d", 1.0), (None, "e", 1.0), (3, "f", None), (3, "g", 9.0)], "task int, label string, value double")
+    texts = spark.createDataFrame([(1, "x 1 2"), (1, "3 4"), (2, "12"), (None, "1"), (3, "9")], "task int, text string")
+    df = spec_provenance(rows, texts, "task")
+    assert sorted(map(tuple, df.collect())) == [(1, "a", 12.0), (1, "b", -34.0)] and df.columns == ["task", "label", "value"]
+    df.explain("simple")
+    plan = capsys.readouterr().out.split("Initial Plan")[0]
+    assert plan.count("Join") == 1  # before, the join of rows and texts ran twice and a third join put them together
