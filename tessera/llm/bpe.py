@@ -29,6 +29,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 import regex
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words kept with their tokens by a worker, longest word of the fast path, characters of text taken at a time.
-CACHE, SHORT, PIECE = 100_000, 256, 1 << 16
+CACHE, SHORT, PIECE = 300_000, 256, 1 << 16
 #: Characters without a blank that wait, and those at the end of a cut that stay for what may follow.
 LIMIT, TAIL = 1 << 13, 64
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -73,7 +74,7 @@ class Vocabulary:
         self.final = {b: self.ids[c + self.end] for b, c in self.letters.items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern.replace(r"\s", _SPACE) if r"[^\s" in pattern else pattern)
-        self.white = regex.compile(f"[{_SPACE}]+")
+        self.white = regex.compile(f"[{_SPACE.replace(' ', '', 1)}][{_SPACE}]*| [{_SPACE}]+")  # all but single blanks
         self.marks = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.signs = regex.compile(rf"[^{_SPACE}\p{{L}}\p{{N}}]+")
         self.lookahead = sufficient_lookahead(pairs, self.end)
@@ -115,20 +116,24 @@ def sufficient_lookahead(merges: list, end: str = "") -> int:
     return longest + max((size(a + b) for a, b in merges), default=1)
 
 
+#: Stands for the merge of a pair that has none.
+_NEVER = (1 << 60, -1)
+
+
 def merge_all(symbols: list[int], rank: dict) -> list[int]:
     """All merges in order of rank, leftmost first."""
     if len(symbols) <= 24:
         out, get = list(symbols), rank.get
-        while True:
-            best, place, left = None, 0, None
-            for i, right in enumerate(out):
-                found = get((left, right))
-                if found is not None and (best is None or found < best):
-                    best, place = found, i
-                left = right
-            if best is None:
-                return out
-            out[place - 1 : place + 1] = [best[1]]
+        found = [get(p, _NEVER) for p in zip(out, out[1:], strict=False)]
+        while found and (best := min(found)) is not _NEVER:
+            i = found.index(best)
+            out[i : i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = get((out[i - 1], out[i]), _NEVER)
+            if i < len(found):
+                found[i] = get((out[i], out[i + 1]), _NEVER)
+        return out
     token, after, before = list(symbols), list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
     heap = [(rank[p][0], i, *p) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in rank]
     heapq.heapify(heap)
@@ -190,6 +195,24 @@ class LongWord:
         return tokens
 
 
+class _Stems(dict):
+    """Normalised word to its tokens; emptied when large, words above SHORT are not kept."""
+
+    def __init__(self, vocabulary: Vocabulary, window: int):
+        self.v, self.window = vocabulary, window
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(word) > SHORT:
+            out: list[int] = []
+            long = LongWord(self.v, self.window)
+            long.feed(word, out)
+            return out + long.finish()
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = tokens = merge_all(self.v.symbols(word.encode(), True), self.v.rank)
+        return tokens
+
+
 class Encoder:
     """Text pieces in, stable tokens out."""
 
@@ -197,8 +220,7 @@ class Encoder:
         self.v = vocabulary
         self.window = max(window or 4096, 2 * vocabulary.lookahead)
         self.limit = limit
-        self.known: dict[str, list[int]] = {}  # by piece between spaces
-        self.stems: dict[str, list[int]] = {}  # by word
+        self.stems = _Stems(vocabulary, self.window)
         self.rest = ""  # text as given
         self.open, self.norm = False, ""  # a run without blanks is being released; its normalised text that may still change
         self.long: LongWord | None = None
@@ -282,7 +304,7 @@ class Encoder:
         while not last and words and (words[-1].end() == len(self.norm) or words[-1].start() > len(self.norm) - 4):
             keep = words.pop().start()
         for w in words:
-            self._word(w[0], out)
+            out += self.stems[w[0]]
         self.norm = "" if last else self.norm[keep:]
         if len(self.norm) > SHORT and (found := self.v.pattern.match(self.norm)) and found.end() == len(self.norm):
             self.kind = _LETTERS if _LETTERS.match(self.norm) else self.v.signs
@@ -301,36 +323,8 @@ class Encoder:
         return out
 
     def _plain(self, text: str, out: list[int]) -> None:
-        """Pieces between spaces are independent: no word, mark or composed character spans a space."""
-        known = self.known
-        for piece in text.split(" "):
-            tokens = known.get(piece)
-            if tokens is None:
-                tokens = self._words(piece)
-                if len(piece) <= SHORT:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[piece] = tokens
-            out += tokens
-
-    def _words(self, piece: str) -> list[int]:
-        out: list[int] = []
-        for word in self.v.pattern.findall(self.v.normalize(piece)):
-            self._word(word, out)
-        return out
-
-    def _word(self, word: str, out: list[int]) -> None:
-        if len(word) > SHORT:
-            long = LongWord(self.v, self.window)
-            long.feed(word, out)
-            out += long.finish()
-            return
-        tokens = self.stems.get(word)
-        if tokens is None:
-            if len(self.stems) >= CACHE:
-                self.stems.clear()
-            tokens = self.stems[word] = merge_all(self.v.symbols(word.encode(), True), self.v.rank)
-        out += tokens
+        """Words of a text that ends at a blank are normalised and split together; no word, mark or composed character spans a blank."""
+        out.extend(chain.from_iterable(map(self.stems.__getitem__, self.v.pattern.findall(self.v.normalize(text)))))
 
 
 class Decoder:

@@ -602,3 +602,15 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark):
         else:
             assert len(rows) == docs.count()
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_bpe_text_is_normalised_at_once_and_words_are_merged_once(tokenizer, monkeypatch):
+    t, v = tokenizer
+    merged, normal = [], []
+    monkeypatch.setattr(bpe, "merge_all", lambda s, rank, old=bpe.merge_all: merged.append(s) or old(s, rank))
+    monkeypatch.setattr(v, "normalize", lambda x, old=v.normalize: normal.append(x) or old(x))
+    e, text = bpe.Encoder(v), "Alpha alpha, alpha. ALPHA\nalpha  \t alpha; (alpha) 　alpha\x85 \n alpha"
+    assert e.encode(text) == t.encode(text, add_special_tokens=False).ids
+    assert len(normal) <= 2 and len(merged) == 6  # what precedes the last blank, and the rest; a word and five signs
+    e.encode(text)
+    assert len(merged) == 6
