@@ -24,3 +24,12 @@ def test_forest_finds_the_step(spark):
     got = L.train_eval(rows, ["z", "x"], "y", F.col("id") % 4 > 0, forest=True).collect()
     assert got[0].feature == "x" and got[0].weight > 0.9 and got[0].r2 > 0.9
     assert [tuple(r) for r in L.train_eval(rows, ["z", "x"], "y", F.col("id") % 4 > 0, forest=True).collect()] == [tuple(r) for r in got]
+
+
+def test_forest_grows_from_sums_of_equal_features(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L.RandomForestRegressor, "fit", lambda self, rows, old=L.RandomForestRegressor.fit: seen.append(rows.count()) or old(self, rows))
+    rows = spark.range(2000).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("z")).withColumn("y", F.col("x") * 2 + F.col("id") % 11)
+    few, whole = (L.train_eval(rows, ["x", "z"], "y", F.col("id") % 4 > 0, forest=True, **how).collect() for how in ({}, {"cells": 5}))
+    assert len(seen) == L.TREES + 1 and max(seen[:-1]) <= 21 and seen[-1] == 1500
+    assert [r.feature for r in few] == [r.feature for r in whole] and abs(few[0].rmse - whole[0].rmse) < 0.1 and abs(few[0].r2 - whole[0].r2) < 0.05
