@@ -32,7 +32,8 @@ class WorkerHealth(StatefulProcessor):
 
     Silent for longer than ``timeout`` seconds, a worker is dead. Outside its first ``grace`` seconds it is then restarted, which
     counts as a sign of life; ``most`` restarts within ``window`` seconds before another one put it into quarantine for good. A heartbeat brings a
-    dead worker back. State: first and last sign of life, status (value), times of restarts (list), changes by status (map).
+    dead worker back. Workers come dealt into buckets: a bucket's state is the list of its workers, each with its first and last sign of life,
+    status and times of restarts, and one timer stands at the first of their deadlines.
     """
 
     def __init__(self, timeout: float, window: float, most: int, grace: float):
@@ -40,9 +41,7 @@ class WorkerHealth(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.life = handle.getValueState("life", "first double, last double, status string")
-        self.restarts = handle.getListState("restarts", "at double")
-        self.changes = handle.getMapState("changes", "status string", "n long")
+        self.workers = handle.getValueState("workers", "held string")
 
     def _advance(self, first: float, last: float, status: str, until: float, restarts: list[float], out: list[tuple]) -> tuple[float, str]:
         """Acts upon all deadlines before ``until``."""
@@ -64,48 +63,55 @@ class WorkerHealth(StatefulProcessor):
                 out.append((due, "restarted", len(restarts)))
         return last, status
 
-    def _save(self, key: tuple, first: float, last: float, status: str, restarts: list[float], out: list[tuple]) -> Iterator[pd.DataFrame]:
-        self.life.update((first, last, status))
-        self.restarts.put([(t,) for t in restarts]) if restarts else self.restarts.clear()
+    def _due(self, first: float, last: float, status: str) -> float:
+        return last + self.timeout if status == "healthy" else max(last + self.timeout, first + self.grace)
+
+    def _known(self) -> dict:
+        return {k: held for k, *held in json.loads(self.workers.get()[0])} if self.workers.exists() else {}
+
+    def _save(self, known: dict, out: list) -> Iterator[pd.DataFrame]:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if status != "quarantined":
-            due = last + self.timeout if status == "healthy" else max(last + self.timeout, first + self.grace)
-            self.handle.registerTimer(int(due * 1000) + 1)
-        for _, name, _ in out:
-            n = self.changes.getValue((name,))[0] if self.changes.containsKey((name,)) else 0
-            self.changes.updateValue((name,), (n + 1,))
+        self.workers.update((json.dumps([(k, *held) for k, held in known.items()]),))
+        dues = [self._due(first, last, status) for first, last, status, _ in known.values() if status != "quarantined"]
+        if dues:
+            self.handle.registerTimer(int(min(dues) * 1000) + 1)
         if out:
-            yield pd.DataFrame({"key": [key[0]] * len(out), "at": [o[0] for o in out], "status": [o[1] for o in out], "restarts": [o[2] for o in out]})
+            yield pd.DataFrame(out, columns=["key", "at", "status", "restarts"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        beats = sorted(t for part in rows for t in part["at"])
-        held = self.life.get() if self.life.exists() else (beats[0], beats[0], "healthy")
-        first, last, status = held
-        restarts, out = [r[0] for r in self.restarts.get()] if self.restarts.exists() else [], []
-        for t in beats:
-            last, status = self._advance(first, last, status, t, restarts, out)
+        known, out = self._known(), []
+        part = pd.concat(list(rows)).sort_values("at")
+        for name, t in zip(part["key"].tolist(), part["at"].tolist(), strict=True):
+            name, found = name if isinstance(name, str) else None, []
+            first, last, status, restarts = known.get(name) or (t, t, "healthy", [])
+            last, status = self._advance(first, last, status, t, restarts, found)
             if status == "dead":
                 status = "healthy"
-                out.append((t, "back", len(restarts)))
+                found.append((t, "back", len(restarts)))
             if status != "quarantined":
                 last = max(last, t)
-        yield from self._save(key, first, last, status, restarts, out)
+            known[name] = [first, last, status, restarts]
+            out += [(name, *change) for change in found]
+        yield from self._save(known, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        first, last, status = self.life.get()
-        restarts, out = [r[0] for r in self.restarts.get()] if self.restarts.exists() else [], []
-        last, status = self._advance(first, last, status, timerValues.getCurrentWatermarkInMs() / 1000, restarts, out)
-        yield from self._save(key, first, last, status, restarts, out)
+        known, out, mark = self._known(), [], timerValues.getCurrentWatermarkInMs() / 1000
+        for name, (first, last, status, restarts) in known.items():
+            found: list[tuple] = []
+            last, status = self._advance(first, last, status, mark, restarts, found)
+            known[name] = [first, last, status, restarts]
+            out += [(name, *change) for change in found]
+        yield from self._save(known, out)
 
     def close(self) -> None:
         pass
 
 
-def worker_health(beats: DataFrame, timeout: float = 20, window: float = 300, most: int = 3, grace: float = 60) -> DataFrame:
+def worker_health(beats: DataFrame, timeout: float = 20, window: float = 300, most: int = 3, grace: float = 60, buckets: int = BUCKETS) -> DataFrame:
     """(key, at, status, restarts) of a stream of heartbeats (key, ts); ``at`` in seconds since 1970."""
-    timed = beats.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE).select("key", "ts", (F.unix_micros("ts") / 1e6).alias("at"))
-    return timed.groupBy("key").transformWithStateInPandas(WorkerHealth(timeout, window, most, grace), "key string, at double, status string, restarts long", "Append", "EventTime")
+    timed = beats.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE).select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "ts", (F.unix_micros("ts") / 1e6).alias("at"))
+    return timed.groupBy("bucket").transformWithStateInPandas(WorkerHealth(timeout, window, most, grace), "key string, at double, status string, restarts long", "Append", "EventTime")
 
 
 class StaleTasks(StatefulProcessor):

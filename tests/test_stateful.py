@@ -48,6 +48,15 @@ def test_worker_health_over_restarts(spark, tmp_path):
     assert told("c")[:3] == [(20, "dead", 0), (30, "back", 0), (50, "dead", 0)]
 
 
+def test_workers_of_a_bucket_keep_apart(spark, tmp_path):
+    S.with_rocksdb(spark)
+    path = str(tmp_path / "in")
+    put(spark, path, [(f"w{i}", float(i)) for i in range(30)] + [(None, 3.0)], "key string")
+    schema = put(spark, path, [(f"w{i}", 90.0 + i) for i in range(0, 30, 2)] + [("z", 3000.0)], "key string")
+    one, many = (sorted(((r.key or "", r.at, r.status, r.restarts) for r in run(S.worker_health(source(spark, path, schema), 20, 300, 3, 60, buckets=n), str(tmp_path / f"job{n}")))) for n in (1, 7))
+    assert one == many and {r[0] for r in one} == {"", *(f"w{i}" for i in range(30))}
+
+
 def test_lost_results_are_told(spark, tmp_path):
     a, b = str(tmp_path / "a"), str(tmp_path / "b")
     for starts, results in [([(1, "x", 0.0), (2, "x", 10.0), (3, "y", 20.0)], [(7, "x", 5.0)]), ([(4, "y", 9_000.0)], [(8, "y", 9_100.0)]), ([(5, "z", 20_000.0)], [(9, "q", 20_000.0)])]:
