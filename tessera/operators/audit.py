@@ -24,22 +24,29 @@ RELATIVE, LEAST = 0.005, 0.5
 
 #: Sources of a key beyond which they are dealt into pages, the pages, and keys with pages that may be broadcast.
 CROWD, PAGES, PAGED_KEYS = 200_000, 256, 10_000
+#: Figures and sources that a task sorts, about.
+SORTED = 1_000_000
 
 
-def nearest_sources(figures: DataFrame, sources: DataFrame, keys: list[str], crowd: int = CROWD) -> DataFrame:
+def nearest_sources(figures: DataFrame, sources: DataFrame, keys: list[str], crowd: int = CROWD, each: int = SORTED) -> DataFrame:
     """Figures (keys, figure, any other columns) with the nearest sources (keys, value) of the same keys: ``below`` (not above the figure) and ``above`` (not below it).
 
-    Figures and distinct sources are sorted together, and two windows carry the last source upwards and downwards. Sources are
-    counted first (repeated ones too): where a key has more than ``crowd`` of them, its amounts are cut at their approximate quantiles, each page is a window
+    Figures and sources are sorted together, and two windows carry the last source upwards and downwards. Both are
+    counted first (repeated ones too), and dealt over a task for each ``each`` of them if a shuffle has fewer tasks; where a key has more than ``crowd`` of them, its amounts are cut at their approximate quantiles, each page is a window
     of its own, and takes the nearest source of the pages beyond it where it has none. Null figures, sources and keys meet nothing.
     """
-    known = sources.where("value is not null").select(*keys, F.col("value").cast("double").alias("at_")).na.drop(subset=keys).distinct()
-    crowded = sources.where("value is not null").groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > crowd).drop("n")
-    many = crowded.count()
+    known = sources.where("value is not null").select(*keys, F.col("value").cast("double").alias("at_")).na.drop(subset=keys)
+    counted = sources.where("value is not null").groupBy(*keys).agg(F.count("*").alias("n"))
+    crowded = counted.where(F.col("n") > crowd).drop("n")
+    many, held = counted.agg(F.count_if(F.col("n") > crowd), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = (held + figures.count()) // each + 1
+    known = known.distinct() if many else known
     rest = [c for c in figures.columns if c not in keys]
     asked = figures.select(*keys, F.col("figure").cast("double").alias("at_"), F.lit(False).alias("held_"), F.struct(*rest).alias("row_"))
     rows = asked.unionByName(known.withColumn("held_", F.lit(True)), allowMissingColumns=True)
     place = keys
+    if not many and parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(parts, *keys)
     if many:
         cuts = known.join(cut_lineage(crowded), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx("at_", [i / PAGES for i in range(1, PAGES)], 10_000).alias("cuts_"))
         cuts = cut_lineage(cuts)

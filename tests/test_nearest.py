@@ -182,3 +182,10 @@ def test_table_function(spark):
     for wrong in ("value map<int,int>", "pos long", ""):
         with pytest.raises(Exception, match="no schema of facts|UDTF"):
             spark.sql(sql.format(wrong)).collect()
+
+
+def test_nearest_sources_over_tasks_by_rows(spark, monkeypatch):
+    asked = spark.range(300).select((F.col("id") % 90).alias("k"), (F.col("id") * 7 % 50).cast("double").alias("figure"))
+    held = spark.range(600).select((F.col("id") % 90).alias("k"), (F.col("id") * 11 % 40).cast("double").alias("value"))
+    whole, many = A.nearest_sources(asked, held, ["k"]), A.nearest_sources(asked, held, ["k"], each=100)
+    assert many.rdd.getNumPartitions() == 10 and sorted(map(tuple, many.collect())) == sorted(map(tuple, whole.collect()))
