@@ -11,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -514,6 +515,22 @@ def test_lm_scores_against_brute_force(spark, order):
     assert got == sorted((n, x is not None and x) for n, x in brute_lm(texts, ["the cat saw a zebra and the dog", None], order, False))
 
 
+def test_lm_asks_once_a_slice(spark, monkeypatch):
+    """A slice asks once for each n-gram that may be known outside it, whatever its documents repeat, and not a row a document."""
+    texts = ["the cat saw the dog", "the cat saw a bird", *["alone in a house"] * 3, None] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = pa.table({"id_": list(range(12)), "text_": pa.array(texts), "slice": pa.array([0] * 12, pa.int32())})
+    first = lm._asking(range(3), 3, 10, True, True)[0](docs)
+    assert sum(map(len, first["grams"].to_pylist())) == len(first["grams"].combine_chunks().flatten().unique()) == 1 + 10 + 12
+    back = lambda n: pa.table({"slice": [0] * len(first), "part": [p % lm.PARTS for p in first["place"].to_pylist()], "bucket": first["bucket"], "counts": [[n] * len(g) for g in first["grams"].to_pylist()]})
+    third = lm._asking(range(3, 4), 3, 10, True, True)[1]
+    assert third(docs, back(0)).num_rows == 0 and sum(map(len, third(docs, back(1))["grams"].to_pylist())) == 11
+    want = sorted((n, x is not None and x) for n, x in brute_lm(texts, texts, 3, True))
+    for size in (1, 40, 8 << 20):
+        monkeypatch.setattr(lm, "SLICE", size)
+        assert sorted((r.n_words, r.score is not None and round(r.score, 9)) for r in lm.score_self(df).collect()) == want
+
+
 def test_lm_empty_tables_and_copies(spark):
     df = odd_docs(spark)
     assert lm.score_self(df.limit(0)).count() == 0
