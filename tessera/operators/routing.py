@@ -122,16 +122,31 @@ def entity_frequency(docs: DataFrame, aliases: list[tuple[str, str]], top: int =
     return found.groupBy("name").agg(F.sum("mentions").alias("mentions"), F.count("*").alias("docs")).orderBy(F.desc("mentions"), "name").limit(top)
 
 
-def match_cases(goals: DataFrame, cases: DataFrame, stop: list[str] = WORK_WORDS) -> DataFrame:
-    """(goal_id, case_id, score): the case that holds most of a goal's Han pairs (the first case on ties); goals without a hit are left out.
+#: Pairs of cases that are held beside each goal (a map is searched from its start); more are joined.
+HELD_PAIRS = 256
 
-    A pair is in a case exactly if it is one of the case's pairs, so they meet by an equi-join.
+
+def match_cases(goals: DataFrame, cases: DataFrame, stop: list[str] = WORK_WORDS, held: int = HELD_PAIRS, keep: bool = False) -> DataFrame:
+    """(goal_id, case_id, score): the case that holds most of a goal's Han pairs (the first case on ties); goals (each of an id of its own) without a hit are left out, or have nulls if ``keep``.
+
+    A pair is in a case exactly if it is one of the case's pairs. Up to ``held`` of these, which are counted first, are
+    looked up inside the row of a goal, so that no goal is shuffled; more meet the goals by an equi-join.
     """
-    asked = goals.select("goal_id", F.explode(F.array_except(goal_bigrams(F.col("goal"), 4), F.array(*[F.lit(w) for w in stop]))).alias("pair"))
+    pairs = F.array_except(goal_bigrams(F.col("goal"), 4), F.array(*[F.lit(w) for w in stop]))
     every = F.regexp_extract_all(F.lower("text"), F.lit(f"(?=([{HAN}]{{2}}))"), F.lit(1))
-    held = cases.select("case_id", F.explode(F.array_distinct(every)).alias("pair"))
-    scores = asked.join(held, "pair").groupBy("goal_id", "case_id").agg(F.count("*").alias("score"))
-    return scores.groupBy("goal_id").agg(F.max(F.struct("score", (-F.col("case_id")).alias("first"))).alias("s")).select("goal_id", (-F.col("s.first")).alias("case_id"), "s.score")
+    known = cases.select("case_id", F.explode(F.array_distinct(every)).alias("pair"))
+    if known.limit(held + 1).count() > held:
+        scores = goals.select("goal_id", F.explode(pairs).alias("pair")).join(known, "pair").groupBy("goal_id", "case_id").agg(F.count("*").alias("score"))
+        best = scores.groupBy("goal_id").agg(F.max(F.struct("score", (-F.col("case_id")).alias("first"))).alias("s"))
+        found = goals.select("goal_id").join(best, "goal_id", "left") if keep else best
+    else:
+        lists = known.groupBy("pair").agg(F.collect_list("case_id").alias("ids")).agg(F.map_from_entries(F.collect_list(F.struct("pair", "ids"))).alias("known"))  # one row of at most ``held`` pairs
+        hits = F.flatten(F.transform(F.filter("pairs", lambda p: F.map_contains_key("known", p)), lambda p: F.element_at("known", p)))
+        rows = goals.select("goal_id", pairs.alias("pairs")).crossJoin(F.broadcast(lists)).select("goal_id", hits.alias("hits"))
+        each = F.transform(F.array_distinct("hits"), lambda c: F.struct(F.size(F.filter("hits", lambda h: h == c)).cast("long").alias("score"), (-c).alias("first")))
+        found = rows.select("goal_id", F.array_max(each).alias("s"))
+        found = found if keep else found.where("s is not null")
+    return found.select("goal_id", (-F.col("s.first")).alias("case_id"), "s.score")
 
 
 def skill_scores(goal: Column, capability: Column, skills: dict[str, list[str]], boosts: dict[str, str]) -> Column:

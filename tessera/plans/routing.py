@@ -99,8 +99,8 @@ CASES = [(1, "新能源汽车产业链"), (2, "咖啡连锁门店扩张与新能
 
 def matched(df: DataFrame) -> DataFrame:
     goals = df.select(F.col("o_orderkey").alias("goal_id"), "goal")
-    found = R.match_cases(goals, goals.sparkSession.createDataFrame(CASES, "case_id int, text string"))
-    return goals.join(found, "goal_id", "left").select(F.col("goal_id").alias("o_orderkey"), "case_id", "score")
+    found = R.match_cases(goals, goals.sparkSession.createDataFrame(CASES, "case_id int, text string"), keep=True)
+    return found.withColumnRenamed("goal_id", "o_orderkey")
 
 
 add(

@@ -51,3 +51,17 @@ def test_charts_are_dealt(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
     assert sorted(map(tuple, df.collect())) == sorted(con.sql(registry.ORACLES["chart_specs_on_topic"]).fetchall())
+
+
+def test_cases_are_matched_without_a_shuffle_of_goals(spark):
+    """Pairs held beside the goals and pairs joined say the same, and the first shuffles no goal (its memory grew with the goals of a task)."""
+    goals = spark.createDataFrame([(1, "新能源汽车"), (2, "咖啡门店新能源"), (3, "茶叶"), (4, None), (5, "数据报告"), (6, "新能源")], "goal_id long, goal string")
+    cases = spark.createDataFrame([(2, "新能源汽车产业"), (1, "咖啡门店与新能源"), (3, None)], "case_id int, text string")
+    want = [(1, 2, 3), (2, 1, 5), (3, None, None), (4, None, None), (5, None, None), (6, 1, 2)]
+    for held in (0, 100):
+        assert sorted(map(tuple, R.match_cases(goals, cases, held=held, keep=True).collect())) == want
+        assert sorted(map(tuple, R.match_cases(goals, cases, held=held).collect())) == [r for r in want if r[1]]
+    none = R.match_cases(goals, cases.limit(0), keep=True).collect()
+    assert len(none) == 6 and all(r.case_id is None for r in none)
+    plan = R.match_cases(goals, cases)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastNestedLoopJoin" in plan
